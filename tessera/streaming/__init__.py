@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The modelled workload is one batch pass over one table (load, encode,
+reduce, cluster, select, summarise).  It has no stream, watermark, window
+or state, so nothing here is registered; every operator is a batch
+DataFrame transformation and can be applied inside ``foreachBatch`` if a
+caller wants to re-run it per micro-batch.
+"""
