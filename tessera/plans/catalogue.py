@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 
 
 def tidy_frame(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (comparison hygiene)."""
+    """Round every double col_name (comparison hygiene)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -122,3 +122,251 @@ SELECT CAST(cluster AS INTEGER) AS cluster, CAST(line_no AS INTEGER) AS line_no,
 def q_cluster_report_lines(spark, sf_dir):
     f1 = fx.mixed_table(spark, sf_dir)
     return summarize.report_lines(f1, F1_NUMERIC, F1_FLAGS, segment_col="seg")
+
+
+# ------------------------------------------------------------------ profile and roles
+
+from tessera.operators import encode, profile  # noqa: E402
+
+F3_CANDIDATES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax", "l_returnflag", "l_linestatus", "all_null", "with_nan"]
+F3_TEXT = {"l_returnflag", "l_linestatus"}
+
+
+def _f3_value(c: str) -> str:
+    if c == "with_nan":
+        return "CASE WHEN isnan(with_nan) THEN NULL ELSE with_nan END"
+    return c
+
+
+def _profile_sql() -> str:
+    parts = []
+    for i, c in enumerate(F3_CANDIDATES):
+        kind = "categorical" if c in F3_TEXT else "numeric"
+        v = _f3_value(c)
+        parts.append(f"SELECT '{c}' AS col_name, '{kind}' AS kind, {i} AS pos, CAST(COUNT({v}) AS BIGINT) AS non_null, "
+                     f"CAST(COUNT(DISTINCT {v}) AS BIGINT) AS n_unique FROM f3")
+    return "prof AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _ratio_sql() -> str:
+    return "CASE WHEN non_null > 0 THEN CAST(n_unique AS DOUBLE) / non_null ELSE 1.0 END"
+
+
+@register("column_profile", fx.with_fixtures(
+    f"WITH {_profile_sql()} SELECT col_name, kind, non_null, n_unique, {r6(_ratio_sql())} AS ratio FROM prof", "f3"))
+def q_column_profile(spark, sf_dir):
+    f3 = fx.wide_table(spark, sf_dir)
+    return tidy_frame(profile.column_profile(f3, F3_CANDIDATES + ["l_shipdate"]))
+
+
+def _roles_sql(t: int, r: float) -> str:
+    return fx.with_fixtures(f"""
+WITH {_profile_sql()}, p AS (SELECT *, {_ratio_sql()} AS ratio FROM prof)
+SELECT col_name,
+       CASE WHEN kind = 'categorical' OR n_unique <= {t} OR (ratio <= {r} AND n_unique < non_null)
+            THEN 'categorical' ELSE 'numeric' END AS role,
+       (kind = 'numeric' AND (n_unique <= {t} OR (ratio <= {r} AND n_unique < non_null))) AS reclassified
+FROM p WHERE non_null > 0""", "f3")
+
+
+@register("nominal_roles", _roles_sql(5, 0.00005))
+def q_nominal_roles(spark, sf_dir):
+    f3 = fx.wide_table(spark, sf_dir)
+    return profile.nominal_roles(profile.column_profile(f3, F3_CANDIDATES), 5, 0.00005)
+
+
+@register("nominal_roles_doc_thresholds", _roles_sql(20, 0.05))
+def q_nominal_roles_doc(spark, sf_dir):
+    f3 = fx.wide_table(spark, sf_dir)
+    return profile.nominal_roles(profile.column_profile(f3, F3_CANDIDATES), 20, 0.05)
+
+
+# The requested-feature spec used on F1 (seg and flag play the forced categoricals).
+F1_SPEC_FEATURES = ["num_a", "num_text", "num_b", "n_orders", "seg", "flag", "region", "not_there"]
+F1_SPEC_NUMERIC = ["num_text", "num_b"]
+F1_FORCED_CATS = ["seg", "flag"]
+
+
+def f1_roles(spark, sf_dir):
+    f1 = fx.mixed_table(spark, sf_dir)
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return f1, profile.resolve_roles(f1, F1_SPEC_FEATURES, F1_SPEC_NUMERIC, F1_FORCED_CATS)
+
+
+def _role_resolution_sql() -> str:
+    feats = [("num_a", "numeric", "num_a"), ("num_text", "numeric", "TRY_CAST(num_text AS DOUBLE)"),
+             ("num_b", "numeric", "num_b"), ("n_orders", "numeric", "n_orders"), ("seg", "categorical", "seg"),
+             ("flag", "numeric", "flag"), ("region", "numeric", "region")]
+    prof = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, {i} AS spec_pos, '{k}' AS kind, COUNT({v}) AS nn, COUNT(DISTINCT {v}) AS nu FROM f1"
+        for i, (c, k, v) in enumerate(feats))
+    pnum = ", ".join(f"'{c}'" for c in F1_SPEC_NUMERIC)
+    fcat = ", ".join(f"'{c}'" for c in F1_FORCED_CATS)
+    return fx.with_fixtures(f"""
+WITH prof AS ({prof}),
+auto AS (
+  SELECT *, CASE WHEN nn = 0 THEN NULL
+                 WHEN col IN ({pnum}) THEN 'numeric'
+                 WHEN kind = 'categorical' OR nu <= 5 OR (CAST(nu AS DOUBLE) / nn <= 0.00005 AND nu < nn) THEN 'categorical'
+                 ELSE 'numeric' END AS auto_role,
+            col IN ({fcat}) AS forced_cat
+  FROM prof
+),
+num AS (
+  SELECT col, 0 AS part, ROW_NUMBER() OVER (ORDER BY col) AS k FROM auto WHERE auto_role = 'numeric' AND NOT forced_cat
+  UNION ALL
+  SELECT col, 1, spec_pos FROM auto
+  WHERE NOT forced_cat AND auto_role = 'categorical' AND kind = 'numeric' AND nn > 0
+),
+cat AS (SELECT col FROM auto WHERE auto_role = 'categorical' OR forced_cat)
+SELECT 'numeric' AS role, CAST(ROW_NUMBER() OVER (ORDER BY part, k) - 1 AS INTEGER) AS position, col AS col_name FROM num
+UNION ALL
+SELECT 'categorical', CAST(ROW_NUMBER() OVER (ORDER BY col) - 1 AS INTEGER), col FROM cat""", "f1")
+
+
+@register("role_resolution_with_spec", _role_resolution_sql())
+def q_role_resolution(spark, sf_dir):
+    _, roles = f1_roles(spark, sf_dir)
+    return profile.roles_frame(roles)
+
+
+@register("coerce_numeric", fx.with_fixtures(
+    "SELECT id, num_text, TRY_CAST(num_text AS DOUBLE) AS num_text_value FROM f1", "f1"))
+def q_coerce_numeric(spark, sf_dir):
+    from tessera.functions.numeric import to_number
+
+    f1 = fx.mixed_table(spark, sf_dir)
+    return f1.select("id", "num_text", to_number(F.col("num_text"), T.StringType()).alias("num_text_value"))
+
+
+# ------------------------------------------------------------------ encoding
+
+F1_NUM_ROLE = ["n_orders", "num_a", "num_b", "num_text", "region"]
+F1_CAT_ROLE = ["flag", "region", "seg"]
+
+
+def _f1_numeric_unpivot() -> str:
+    exprs = {"n_orders": "CAST(n_orders AS DOUBLE)", "num_a": "num_a", "num_b": "num_b",
+             "num_text": "TRY_CAST(num_text AS DOUBLE)", "region": "CAST(region AS DOUBLE)"}
+    return " UNION ALL ".join(f"SELECT id, '{c}' AS col_name, {exprs[c]} AS value FROM f1" for c in F1_NUM_ROLE)
+
+
+@register("impute_median", fx.with_fixtures(
+    f"WITH lg AS ({_f1_numeric_unpivot()}) SELECT col_name, {r6('MEDIAN(value)')} AS median FROM lg GROUP BY col_name",
+    "f1"))
+def q_impute_median(spark, sf_dir):
+    f1 = fx.mixed_table(spark, sf_dir)
+    return tidy_frame(encode.column_medians(f1, F1_NUM_ROLE))
+
+
+def _mode_sql(fixture: str, cols: list[tuple[str, bool]]) -> str:
+    parts = []
+    for c, is_num in cols:
+        num = f"CAST({c} AS DOUBLE)" if is_num else "CAST(NULL AS DOUBLE)"
+        parts.append(f"SELECT '{c}' AS col_name, CAST({c} AS VARCHAR) AS value, {num} AS value_num "
+                     f"FROM {fixture} WHERE {c} IS NOT NULL")
+    return fx.with_fixtures(f"""
+WITH lg AS ({' UNION ALL '.join(parts)}),
+vc AS (SELECT col_name, value, value_num, COUNT(*) AS n FROM lg GROUP BY col_name, value, value_num),
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY col_name ORDER BY n DESC, value_num ASC NULLS LAST, value ASC) AS r FROM vc)
+SELECT col_name, value AS mode_text, {r6('value_num')} AS mode_num, CAST(n AS BIGINT) AS mode_count FROM rk WHERE r = 1""",
+                            fixture)
+
+
+@register("impute_mode", _mode_sql("f1", [("flag", True), ("region", True), ("seg", False)]))
+def q_impute_mode(spark, sf_dir):
+    f1 = fx.mixed_table(spark, sf_dir)
+    return tidy_frame(encode.column_modes(f1, F1_CAT_ROLE))
+
+
+@register("impute_mode_labels", _mode_sql("f4", [("quality", True), ("lang", False), ("source", False)]))
+def q_impute_mode_labels(spark, sf_dir):
+    f4 = fx.labelled_documents(spark, sf_dir)
+    return tidy_frame(encode.column_modes(f4, ["quality", "lang", "source"]))
+
+
+def _standardize_sql_cte() -> str:
+    return f"""lg AS ({_f1_numeric_unpivot()}),
+med AS (SELECT col_name, MEDIAN(value) AS median FROM lg GROUP BY col_name),
+st AS (SELECT lg.col_name, ANY_VALUE(med.median) AS median, AVG(COALESCE(value, med.median)) AS mean,
+              STDDEV_POP(COALESCE(value, med.median)) AS std
+       FROM lg JOIN med ON lg.col_name = med.col_name GROUP BY lg.col_name)"""
+
+
+@register("standardize", fx.with_fixtures(f"""
+WITH {_standardize_sql_cte()}
+SELECT col_name, {r6('median')} AS median, {r6('mean')} AS mean, {r6('std')} AS std,
+       {r6('CASE WHEN std > 0 THEN std ELSE 1.0 END')} AS scale FROM st""", "f1"))
+def q_standardize(spark, sf_dir):
+    f1 = fx.mixed_table(spark, sf_dir)
+    return tidy_frame(encode.scaling_stats(f1, F1_NUM_ROLE, encode.column_medians(f1, F1_NUM_ROLE)))
+
+
+def _vocab_sql_cte() -> str:
+    parts = [f"SELECT '{c}' AS col_name, CAST({c} AS VARCHAR) AS level, "
+             f"{'CAST(' + c + ' AS DOUBLE)' if c != 'seg' else 'CAST(NULL AS DOUBLE)'} AS level_num FROM f1 "
+             f"WHERE {c} IS NOT NULL" for c in F1_CAT_ROLE]
+    return f"""vl AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)})),
+voc AS (SELECT col_name, level, level_num,
+               CAST(ROW_NUMBER() OVER (PARTITION BY col_name ORDER BY level_num NULLS LAST, level) - 1 AS INTEGER) AS level_idx
+        FROM vl)"""
+
+
+@register("one_hot_long", fx.with_fixtures(f"""
+WITH {_vocab_sql_cte()}
+SELECT col_name, level_idx, level, {r6('level_num')} AS level_num FROM voc""", "f1"))
+def q_one_hot_long(spark, sf_dir):
+    f1 = fx.mixed_table(spark, sf_dir)
+    return tidy_frame(encode.vocabulary(f1, F1_CAT_ROLE))
+
+
+def _feature_matrix_sql() -> str:
+    n_num = len(F1_NUM_ROLE)
+    num_idx = " UNION ALL ".join(f"SELECT '{c}' AS col_name, {i} AS feature_idx" for i, c in enumerate(F1_NUM_ROLE))
+    cat_pos = " UNION ALL ".join(f"SELECT '{c}' AS col_name, {i} AS cpos" for i, c in enumerate(F1_CAT_ROLE))
+    mode_parts = []
+    for c in F1_CAT_ROLE:
+        num = f"CAST({c} AS DOUBLE)" if c != "seg" else "CAST(NULL AS DOUBLE)"
+        mode_parts.append(f"SELECT id, '{c}' AS col_name, CAST({c} AS VARCHAR) AS level, {num} AS level_num FROM f1")
+    return fx.with_fixtures(f"""
+WITH {_standardize_sql_cte()}, {_vocab_sql_cte()},
+nidx AS ({num_idx}),
+sizes AS (SELECT col_name, COUNT(*) AS k FROM voc GROUP BY col_name),
+cpos AS ({cat_pos}),
+offs AS (SELECT c.col_name, {n_num} + COALESCE(SUM(s2.k), 0) AS off
+         FROM cpos c LEFT JOIN cpos c2 ON c2.cpos < c.cpos LEFT JOIN sizes s2 ON s2.col_name = c2.col_name
+         GROUP BY c.col_name),
+clong AS ({' UNION ALL '.join(mode_parts)}),
+cnt AS (SELECT col_name, level, level_num, COUNT(*) AS n FROM clong WHERE level IS NOT NULL GROUP BY ALL),
+modes AS (SELECT col_name, level AS mode_level FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY col_name ORDER BY n DESC, level_num NULLS LAST, level) AS r FROM cnt)
+          WHERE r = 1),
+numf AS (SELECT lg.id, nidx.feature_idx, 'num__' || lg.col_name AS feature,
+                (COALESCE(lg.value, st.median) - st.mean) / CASE WHEN st.std > 0 THEN st.std ELSE 1.0 END AS value
+         FROM lg JOIN st ON lg.col_name = st.col_name JOIN nidx ON nidx.col_name = lg.col_name),
+catf AS (SELECT cl.id, CAST(offs.off + voc.level_idx AS INTEGER) AS feature_idx,
+                'cat__' || cl.col_name || '_' || voc.level AS feature, 1.0 AS value
+         FROM clong cl JOIN modes m ON m.col_name = cl.col_name
+         JOIN voc ON voc.col_name = cl.col_name AND voc.level = COALESCE(cl.level, m.mode_level)
+         JOIN offs ON offs.col_name = cl.col_name)
+SELECT id, CAST(feature_idx AS INTEGER) AS feature_idx, feature, {r6('value')} AS value FROM numf
+UNION ALL SELECT id, feature_idx, feature, {r6('value')} FROM catf""", "f1")
+
+
+def f1_encoded(spark, sf_dir):
+    f1, roles = f1_roles(spark, sf_dir)
+    model = encode.fit_encoder(f1, roles.numeric, roles.categorical)
+    return f1, roles, model
+
+
+@register("feature_matrix_long", _feature_matrix_sql())
+def q_feature_matrix_long(spark, sf_dir):
+    f1, _, model = f1_encoded(spark, sf_dir)
+    long = encode.transform_long(f1, model)
+    names = model.feature_names()
+    return tidy_frame(long.join(F.broadcast(names), "feature_idx")  # names: one row per feature (width-bounded)
+                      .select("id", "feature_idx", "feature", "value"))
