@@ -370,3 +370,242 @@ def q_feature_matrix_long(spark, sf_dir):
     names = model.feature_names()
     return tidy_frame(long.join(F.broadcast(names), "feature_idx")  # names: one row per feature (width-bounded)
                       .select("id", "feature_idx", "feature", "value"))
+
+
+# ------------------------------------------------------------------ status, membership, sampling
+
+from tessera.operators import cover, neighbors, status  # noqa: E402
+from tessera.sources.readers import id_map_from_sets, read_table  # noqa: E402
+
+
+def f4_id_map(f4: DataFrame) -> DataFrame:
+    return id_map_from_sets(f4.where("in_on").select("id"), f4.where("in_not").select("id"))
+
+
+@register("status_coordinate", fx.with_fixtures(
+    f"SELECT id, {r6('CASE WHEN in_not THEN 0.0 WHEN in_on THEN 1.0 ELSE 0.0 END')} AS emb_z FROM f4", "f4"))
+def q_status_coordinate(spark, sf_dir):
+    f4 = fx.labelled_documents(spark, sf_dir)
+    return tidy_frame(status.status_coordinate(f4.select("id"), f4_id_map(f4), "id", 0.0).select("id", "emb_z"))
+
+
+@register("membership_filter", fx.with_fixtures(
+    "SELECT id, lang, source, n_chars FROM f4 WHERE id IN (SELECT id FROM f4 WHERE in_on)", "f4"))
+def q_membership_filter(spark, sf_dir):
+    f4 = fx.labelled_documents(spark, sf_dir)
+    on_ids = f4_id_map(f4).where("in_on").select("id")
+    return f4.select("id", "lang", "source", "n_chars").join(on_ids, "id", "left_semi")
+
+
+def _sample_sql(n: int) -> str:
+    return (f"SELECT o_orderkey, o_custkey, {r6('o_totalprice')} AS o_totalprice FROM orders "
+            f"ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'), o_orderkey LIMIT {n}")
+
+
+def _sample(spark, sf_dir, n):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return tidy_frame(status.exact_sample(o, n, 42, "o_orderkey"))
+
+
+@register("exact_sample", _sample_sql(60000))
+def q_exact_sample(spark, sf_dir):
+    """The modelled row cap (60,000) as an exact seeded sample."""
+    return _sample(spark, sf_dir, 60000)
+
+
+@register("exact_sample_5000", _sample_sql(5000))
+def q_exact_sample_5000(spark, sf_dir):
+    return _sample(spark, sf_dir, 5000)
+
+
+# ------------------------------------------------------------------ geometry (F2)
+
+XYZ3 = ("x", "y", "z")
+COVER_EPS = 0.2  # the modelled default radius
+
+
+def _d2(a: str, b: str) -> str:
+    return f"({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y) + ({a}.z - {b}.z) * ({a}.z - {b}.z)"
+
+
+@register("ball_pairs", fx.with_fixtures(f"""
+SELECT a.id AS id_a, b.id AS id_b, {r6('SQRT(' + _d2('a', 'b') + ')')} AS dist
+FROM f2 a JOIN f2 b ON a.id < b.id
+WHERE {_d2('a', 'b')} <= CAST('{0.1 * 0.1!r}' AS DOUBLE)""", "f2"))
+def q_ball_pairs(spark, sf_dir):
+    f2 = fx.points(spark, sf_dir)
+    bp = neighbors.ball_pairs(f2.select("id", *XYZ3), 0.1, XYZ3, "id")
+    return tidy_frame(bp.select("id_a", "id_b", F.sqrt("d2").alias("dist")))
+
+
+def _nearest_sql(scope: bool) -> str:
+    cond = "AND q.cluster = p.cluster" if scope else ""
+    return fx.with_fixtures(f"""
+WITH nn AS (
+  SELECT p.id AS probe_id, p.cluster, q.id AS match_id, {_d2('p', 'q')} AS d2,
+         ROW_NUMBER() OVER (PARTITION BY p.id ORDER BY {_d2('p', 'q')}, q.id) AS r
+  FROM f2 p JOIN f2 q ON q.in_not {cond}
+  WHERE p.in_on AND p.cluster <> -1)
+SELECT probe_id, cluster, match_id, {r6('SQRT(d2)')} AS dist FROM nn WHERE r = 1""", "f2")
+
+
+def _nearest(spark, sf_dir, scope: bool):
+    f2 = fx.points(spark, sf_dir)
+    probes = f2.where("in_on AND cluster <> -1").select("id", "cluster", *XYZ3)
+    cands = f2.where("in_not").select("id", "cluster", *XYZ3)
+    part = ("cluster",) if scope else ()
+    res = neighbors.knn(probes, cands, 1, XYZ3, "id", part)
+    if not scope:
+        res = res.join(probes.select(F.col("id").alias("probe_id"), "cluster"), "probe_id")
+    return tidy_frame(res.select("probe_id", "cluster", "match_id", "dist"))
+
+
+@register("nearest_in_cluster", _nearest_sql(True))
+def q_nearest_in_cluster(spark, sf_dir):
+    return _nearest(spark, sf_dir, True)
+
+
+@register("nearest_global", _nearest_sql(False))
+def q_nearest_global(spark, sf_dir):
+    return _nearest(spark, sf_dir, False)
+
+
+def _cover_ctes(eps: float, scope: bool) -> str:
+    """Sequential scan of each cluster's on-points in id order (recursive CTE)."""
+    if scope:
+        filt = "AND cluster IN (SELECT cluster FROM f2 WHERE in_not AND cluster <> -1)"
+    else:
+        filt = "AND EXISTS (SELECT 1 FROM f2 WHERE in_not)"
+    return f"""onp AS (
+  SELECT cluster, id, x, y, z, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY id) AS rk
+  FROM f2 WHERE in_on AND cluster <> -1 {filt}),
+walk AS (
+  SELECT cluster, rk, [{{'id': id, 'x': x, 'y': y, 'z': z}}] AS cs FROM onp WHERE rk = 1
+  UNION ALL
+  SELECT w.cluster, p.rk,
+         CASE WHEN len(list_filter(w.cs, lambda c: {_d2('c', 'p')} <= CAST('{eps * eps!r}' AS DOUBLE))) = 0
+              THEN list_append(w.cs, {{'id': p.id, 'x': p.x, 'y': p.y, 'z': p.z}}) ELSE w.cs END
+  FROM walk w JOIN onp p ON p.cluster = w.cluster AND p.rk = w.rk + 1),
+lastrk AS (SELECT cluster, MAX(rk) AS mr FROM onp GROUP BY cluster),
+fin AS (SELECT w.cluster, w.cs FROM walk w JOIN lastrk l ON w.cluster = l.cluster AND w.rk = l.mr),
+unn AS (SELECT cluster, UNNEST(range(1, len(cs) + 1)) AS center_rank, UNNEST(cs) AS c FROM fin),
+cen AS (SELECT cluster, CAST(center_rank AS INTEGER) AS center_rank, c.id AS id, c.x AS x, c.y AS y, c.z AS z FROM unn),
+nn AS (
+  SELECT c.cluster, c.center_rank, c.id AS center_id, q.id AS match_id, q.x AS mx, q.y AS my, q.z AS mz,
+         SQRT({_d2('c', 'q')}) AS dist,
+         ROW_NUMBER() OVER (PARTITION BY c.cluster, c.center_rank ORDER BY {_d2('c', 'q')}, q.id) AS r
+  FROM cen c JOIN f2 q ON q.in_not {"AND q.cluster = c.cluster" if scope else ""}),
+matched AS (SELECT * FROM nn WHERE r = 1),
+firsts AS (SELECT cluster, match_id, MIN(center_rank) AS fr FROM matched GROUP BY cluster, match_id),
+sel AS (SELECT cluster, CAST(ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY fr, match_id) AS INTEGER) AS rank,
+               match_id AS id FROM firsts),
+flat AS (SELECT id, CAST(ROW_NUMBER() OVER (ORDER BY cluster, rank) AS INTEGER) AS sel_order FROM (
+           SELECT id, cluster, rank, ROW_NUMBER() OVER (PARTITION BY id ORDER BY cluster, rank) AS k FROM sel)
+         WHERE k = 1)"""
+
+
+def _cover_sql(select: str, eps: float = COVER_EPS, scope: bool = False) -> str:
+    return fx.with_fixtures(f"WITH RECURSIVE {_cover_ctes(eps, scope)}\n{select}", "f2")
+
+
+def _f2_cover(spark, sf_dir, eps: float = COVER_EPS, scope: bool = False):
+    f2 = fx.points(spark, sf_dir)
+    centres, matches = cover.cover_and_match(f2, eps, XYZ3, "id", "cluster", use_cluster_scope=scope)
+    return f2, centres, matches
+
+
+@register("epsilon_cover", _cover_sql("SELECT cluster, center_rank, id FROM cen"))
+def q_epsilon_cover(spark, sf_dir):
+    _, centres, _ = _f2_cover(spark, sf_dir)
+    return centres.select("cluster", "center_rank", "id")
+
+
+@register("epsilon_cover_eps01", _cover_sql("SELECT cluster, center_rank, id FROM cen", 0.1))
+def q_epsilon_cover_eps01(spark, sf_dir):
+    _, centres, _ = _f2_cover(spark, sf_dir, 0.1)
+    return centres.select("cluster", "center_rank", "id")
+
+
+@register("cover_sizes", _cover_sql("""
+SELECT a.cluster, CAST(COUNT(*) FILTER (WHERE a.in_on) AS BIGINT) AS n_on,
+       CAST((SELECT COUNT(*) FROM f2 WHERE in_not) AS BIGINT) AS n_candidates,
+       CAST(COALESCE(ANY_VALUE(k.n), 0) AS BIGINT) AS n_centers
+FROM f2 a LEFT JOIN (SELECT cluster, COUNT(*) AS n FROM cen GROUP BY cluster) k ON a.cluster = k.cluster
+GROUP BY a.cluster"""))
+def q_cover_sizes(spark, sf_dir):
+    f2, centres, _ = _f2_cover(spark, sf_dir)
+    return cover.cover_sizes(f2, centres)
+
+
+_SEL_SQL = """
+SELECT cluster, rank, id FROM sel
+UNION ALL
+SELECT DISTINCT cluster, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT) FROM f2
+WHERE cluster NOT IN (SELECT cluster FROM sel)"""
+
+
+@register("epsilon_selection", _cover_sql(_SEL_SQL))
+def q_epsilon_selection(spark, sf_dir):
+    f2, _, matches = _f2_cover(spark, sf_dir)
+    return cover.selection(matches, f2.select("cluster").distinct())
+
+
+@register("epsilon_selection_in_cluster", _cover_sql(_SEL_SQL, scope=True))
+def q_epsilon_selection_in_cluster(spark, sf_dir):
+    f2, _, matches = _f2_cover(spark, sf_dir, scope=True)
+    return cover.selection(matches, f2.select("cluster").distinct())
+
+
+@register("selected_rows", _cover_sql(
+    "SELECT f.id, f.sel_order, p.cluster, p.x, p.y, p.z FROM flat f JOIN f2 p ON p.id = f.id"))
+def q_selected_rows(spark, sf_dir):
+    f2, _, matches = _f2_cover(spark, sf_dir)
+    flat = cover.flatten_selection(cover.selection(matches, f2.select("cluster").distinct()))
+    return flat.join(f2.select("id", "cluster", *XYZ3), "id").select("id", "sel_order", "cluster", *XYZ3)
+
+
+@register("selected_rows_original", _cover_sql(
+    f"SELECT f.id, f.sel_order, {r6('p.orig_a')} AS orig_a, {r6('p.orig_b')} AS orig_b FROM flat f JOIN f2 p ON p.id = f.id"))
+def q_selected_rows_original(spark, sf_dir):
+    f2, _, matches = _f2_cover(spark, sf_dir)
+    flat = cover.flatten_selection(cover.selection(matches, f2.select("cluster").distinct()))
+    return tidy_frame(flat.join(f2.select("id", "orig_a", "orig_b"), "id").select("id", "sel_order", "orig_a", "orig_b"))
+
+
+@register("plot_layer_points", fx.with_fixtures("SELECT id, cluster, x, y, z FROM f2 WHERE cluster <> -1", "f2"))
+def q_plot_layer_points(spark, sf_dir):
+    f2 = fx.points(spark, sf_dir)
+    from tessera.operators.summarize import drop_noise
+
+    return drop_noise(f2).select("id", "cluster", *XYZ3)
+
+
+@register("plot_layer_centers", _cover_sql("SELECT cluster, center_rank, id, x, y, z FROM cen"))
+def q_plot_layer_centers(spark, sf_dir):
+    _, centres, _ = _f2_cover(spark, sf_dir)
+    return centres.select("cluster", "center_rank", "id", *XYZ3)
+
+
+@register("plot_layer_segments", _cover_sql(f"""
+SELECT m.cluster, m.center_rank, m.center_id, m.match_id, c.x AS cx, c.y AS cy, c.z AS cz,
+       m.mx, m.my, m.mz, {r6('m.dist')} AS dist
+FROM matched m JOIN cen c ON c.cluster = m.cluster AND c.center_rank = m.center_rank"""))
+def q_plot_layer_segments(spark, sf_dir):
+    f2, centres, matches = _f2_cover(spark, sf_dir)
+    c = centres.select("cluster", "center_rank", *[F.col(a).alias(f"c{a}") for a in XYZ3])
+    q = f2.select(F.col("id").alias("match_id"), *[F.col(a).alias(f"m{a}") for a in XYZ3])
+    seg = matches.join(c, ["cluster", "center_rank"]).join(q, "match_id")
+    return tidy_frame(seg.select("cluster", "center_rank", "center_id", "match_id", "cx", "cy", "cz",
+                                 "mx", "my", "mz", "dist"))
+
+
+MAX_SPHERES_PER_CLUSTER = 200  # the modelled cap on drawn ball markers
+
+
+@register("plot_layer_halos", _cover_sql(f"""
+SELECT cluster, center_rank, id, x, y, z FROM cen
+WHERE cluster IN (SELECT cluster FROM cen GROUP BY cluster HAVING COUNT(*) <= {MAX_SPHERES_PER_CLUSTER})"""))
+def q_plot_layer_halos(spark, sf_dir):
+    _, centres, _ = _f2_cover(spark, sf_dir)
+    small = centres.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_SPHERES_PER_CLUSTER)
+    return centres.join(small.select("cluster"), "cluster", "left_semi").select("cluster", "center_rank", "id", *XYZ3)

@@ -146,6 +146,8 @@ def with_fixtures(body: str, *names: str) -> str:
     parts = {"f1": F1_SQL, "f2": F2_SQL, "f3": F3_SQL, "f4": F4_SQL}
     ctes = ",".join(parts[n] for n in names)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
