@@ -33,7 +33,6 @@ def epsilon_cover(
     id_col: str = "id",
     part_cols: Sequence[str] = ("cluster",),
     order_col: str | None = None,
-    checkpoint_every: int = 4,
     max_rounds: int = 100_000,
 ) -> DataFrame:
     """Centres per partition: ``(part..., center_rank, id)``.
@@ -42,34 +41,30 @@ def epsilon_cover(
     """
     order_cols = [order_col] if order_col and order_col != id_col else []
     pts = points.select(*part_cols, id_col, *coords, *order_cols)
-    pairs = ball_pairs(pts, eps, coords, id_col, part_cols, order_cols).select(*part_cols, "id_a", "id_b").cache()
-    und = pts.select(*part_cols, F.col(id_col).alias("v")).cache()
-    centres = None
+    pairs = ball_pairs(pts, eps, coords, id_col, part_cols, order_cols).select(*part_cols, "id_a", "id_b")
+    pairs = pairs.checkpoint(eager=True)
+    und = pts.select(*part_cols, F.col(id_col).alias("v")).checkpoint(eager=True)
+    found = []
     keys = list(part_cols)
-    for rnd in range(max_rounds):
-        # v is blocked while some undecided neighbour comes earlier in the order
+    for _ in range(max_rounds):
+        # Every round reads only checkpointed inputs: the plan stays one round
+        # deep (nested plans make Catalyst's work grow with each round), and a
+        # lost executor recomputes at most one round.
         live = (pairs.join(und.withColumnRenamed("v", "id_a"), keys + ["id_a"], "left_semi")
-                     .join(und.withColumnRenamed("v", "id_b"), keys + ["id_b"], "left_semi"))
+                     .join(und.withColumnRenamed("v", "id_b"), keys + ["id_b"], "left_semi")).checkpoint(eager=True)
+        # v is blocked while some undecided neighbour comes earlier in the order
         blocked = live.select(*keys, F.col("id_b").alias("v")).distinct()
-        new_c = und.join(blocked, keys + ["v"], "left_anti").cache()
+        new_c = und.join(blocked, keys + ["v"], "left_anti").checkpoint(eager=True)
         covered = (live.join(new_c.withColumnRenamed("v", "id_a"), keys + ["id_a"], "left_semi")
                        .select(*keys, F.col("id_b").alias("v")))
-        decided = new_c.unionByName(covered)
-        nxt = und.join(decided, keys + ["v"], "left_anti")
-        pairs_next = live
-        if (rnd + 1) % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-            pairs_next = live.checkpoint(eager=True)
-        else:
-            nxt = nxt.cache()
-            pairs_next = live.cache()
-        centres = new_c if centres is None else centres.unionByName(new_c)
-        centres = centres.checkpoint(eager=True) if (rnd + 1) % checkpoint_every == 0 else centres
-        left = nxt.count()  # materialise before releasing the previous round
-        und.unpersist()
-        und, pairs = nxt, pairs_next
-        if left == 0:
+        nxt = und.join(new_c.unionByName(covered), keys + ["v"], "left_anti").checkpoint(eager=True)
+        found.append(new_c)
+        und, pairs = nxt, live
+        if und.isEmpty():
             break
+    centres = None
+    for c in found:
+        centres = c if centres is None else centres.unionByName(c)
     if centres is None:
         return pts.limit(0).select(*part_cols, F.lit(1).alias("center_rank"), F.col(id_col).alias("id"))
     ranked = centres.withColumnRenamed("v", id_col).join(pts.select(*part_cols, id_col, *order_cols),

@@ -609,3 +609,111 @@ def q_plot_layer_halos(spark, sf_dir):
     _, centres, _ = _f2_cover(spark, sf_dir)
     small = centres.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_SPHERES_PER_CLUSTER)
     return centres.join(small.select("cluster"), "cluster", "left_semi").select("cluster", "center_rank", "id", *XYZ3)
+
+
+# ------------------------------------------------------------------ reduction, k-means, metrics
+
+from tessera.operators import cluster as kmeans_ops  # noqa: E402
+from tessera.operators import evaluate, reduce  # noqa: E402
+
+
+@register("feature_covariance", fx.with_fixtures(f"""
+WITH u AS (SELECT id, UNNEST(range(0, len(vec))) AS i, UNNEST(vec) AS v FROM f2)
+SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, {r6('COVAR_SAMP(a.v, b.v)')} AS cov
+FROM u a JOIN u b ON a.id = b.id GROUP BY a.i, b.i""", "f2"))
+def q_feature_covariance(spark, sf_dir):
+    f2 = fx.points(spark, sf_dir)
+    return tidy_frame(reduce.covariance_long(f2, "vec"))
+
+
+@register("pca_2d")
+def q_pca_2d(spark, sf_dir):
+    """M3 on the 64-d vectors (checked against NumPy in tests)."""
+    f2 = fx.points(spark, sf_dir)
+    model = reduce.fit_pca(f2, 2, "vec")
+    return tidy_frame(model.transform(f2.select("id", "vec"), "vec").select("id", "emb_x", "emb_y"))
+
+
+@register("kmeans_labels")
+def q_kmeans_labels(spark, sf_dir):
+    """M5: best of 10 MLlib k-means fits on the 2-D (x, y) points."""
+    f2 = fx.points(spark, sf_dir).select("id", F.col("x").alias("emb_x"), F.col("y").alias("emb_y"))
+    labelled, _, _ = kmeans_ops.kmeans_labels(f2, k=8, seed=42)
+    return labelled.select("id", "cluster")
+
+
+@register("noise_stats", fx.with_fixtures(f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) FILTER (WHERE cluster = -1) AS BIGINT) AS n_noise,
+       {r6('CASE WHEN COUNT(*) > 0 THEN COUNT(*) FILTER (WHERE cluster = -1) / COUNT(*) ELSE 0.0 END')} AS noise_ratio,
+       CAST(COUNT(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS BIGINT) AS n_clusters,
+       CAST(COUNT(DISTINCT cluster) AS BIGINT) AS n_labels
+FROM f2""", "f2"))
+def q_noise_stats(spark, sf_dir):
+    return tidy_frame(evaluate.noise_stats(fx.points(spark, sf_dir)))
+
+
+@register("davies_bouldin", fx.with_fixtures(f"""
+WITH c AS (SELECT cluster, AVG(x) AS cx, AVG(y) AS cy FROM f2 GROUP BY cluster),
+s AS (SELECT f.cluster, AVG(SQRT((f.x - c.cx) * (f.x - c.cx) + (f.y - c.cy) * (f.y - c.cy))) AS s
+      FROM f2 f JOIN c ON f.cluster = c.cluster GROUP BY f.cluster),
+pr AS (SELECT a.cluster, MAX((sa.s + sb.s) / SQRT((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))) AS r
+       FROM c a JOIN c b ON a.cluster <> b.cluster
+       JOIN s sa ON sa.cluster = a.cluster JOIN s sb ON sb.cluster = b.cluster GROUP BY a.cluster)
+SELECT {r6('AVG(r)')} AS davies_bouldin, CAST(COUNT(*) AS BIGINT) AS n_clusters FROM pr""", "f2"))
+def q_davies_bouldin(spark, sf_dir):
+    f2 = fx.points(spark, sf_dir)
+    db = evaluate.davies_bouldin(f2, ("x", "y"))
+    k = f2.select("cluster").distinct().count()
+    return tidy_frame(spark.createDataFrame([(db, k)], "davies_bouldin double, n_clusters long"))
+
+
+@register("silhouette", fx.with_fixtures(f"""
+WITH d AS (SELECT a.id, a.cluster AS ca, b.cluster AS cb,
+                  SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist
+           FROM f2 a JOIN f2 b ON a.id <> b.id),
+m AS (SELECT id, ca, cb, AVG(dist) AS md FROM d GROUP BY id, ca, cb),
+sz AS (SELECT cluster, COUNT(*) AS n FROM f2 GROUP BY cluster),
+ab AS (SELECT id, ca, MAX(CASE WHEN cb = ca THEN md END) AS a, MIN(CASE WHEN cb <> ca THEN md END) AS b
+       FROM m GROUP BY id, ca),
+s AS (SELECT CASE WHEN sz.n = 1 THEN 0.0 ELSE (b - a) / GREATEST(a, b) END AS s FROM ab JOIN sz ON sz.cluster = ab.ca)
+SELECT {r6('AVG(s)')} AS silhouette, CAST(COUNT(*) AS BIGINT) AS n_used FROM s""", "f2"))
+def q_silhouette(spark, sf_dir):
+    f2 = fx.points(spark, sf_dir)
+    s, n = evaluate.silhouette(f2, ("x", "y"))
+    return tidy_frame(spark.createDataFrame([(s, n)], "silhouette double, n_used long"))
+
+
+def _tree_edges(f2: DataFrame) -> DataFrame:
+    """A given spanning path: id -> id + 1, weighted by the (x, y) distance."""
+    a = f2.select(F.col("id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
+    b = f2.select(F.col("id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"))
+    return a.join(b, F.col("v") == F.col("u") + 1).select(
+        "u", "v", F.sqrt(sq_dist_cols(("ux", "uy"), ("vx", "vy"))).alias("w"))
+
+
+def sq_dist_cols(a, b):
+    from tessera.functions.numeric import sq_dist
+
+    return sq_dist([F.col(c) for c in a], [F.col(c) for c in b])
+
+
+@register("relative_validity_of_tree", fx.with_fixtures(f"""
+WITH e AS (SELECT a.cluster AS lu, b.cluster AS lv,
+                  SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS w
+           FROM f2 a JOIN f2 b ON b.id = a.id + 1),
+g AS (SELECT MAX(w) AS max_w, MIN(CASE WHEN (lu = -1) <> (lv = -1) THEN w END) AS min_out FROM e),
+sizes AS (SELECT cluster AS c, COUNT(*) AS size FROM f2 GROUP BY cluster),
+k AS (SELECT COUNT(*) AS nc FROM sizes WHERE c <> -1),
+corr AS (SELECT 2.0 * CASE WHEN k.nc > 1 THEN g.max_w ELSE COALESCE(g.min_out, g.max_w) END AS cval FROM g, k),
+inside AS (SELECT lu AS c, MAX(w) AS dsc FROM e WHERE lu = lv AND lu <> -1 GROUP BY lu),
+btw AS (SELECT lu AS c, w FROM e WHERE lu <> lv AND lu <> -1 AND lv <> -1
+        UNION ALL SELECT lv, w FROM e WHERE lu <> lv AND lu <> -1 AND lv <> -1),
+sep AS (SELECT c, MIN(w) AS dspc FROM btw GROUP BY c),
+per AS (SELECT s.size, COALESCE(i.dsc, 0.0) AS dsc, COALESCE(p.dspc, corr.cval) AS dspc
+        FROM sizes s CROSS JOIN corr LEFT JOIN inside i ON i.c = s.c LEFT JOIN sep p ON p.c = s.c WHERE s.c <> -1)
+SELECT {r6('SUM(size * (dspc - dsc) / GREATEST(dspc, dsc)) / (SELECT SUM(size) FROM sizes)')} AS relative_validity
+FROM per""", "f2"))
+def q_relative_validity_of_tree(spark, sf_dir):
+    f2 = fx.points(spark, sf_dir)
+    score = evaluate.relative_validity(_tree_edges(f2), f2.select("id", "cluster"))
+    return tidy_frame(spark.createDataFrame([(score,)], "relative_validity double"))
