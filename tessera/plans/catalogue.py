@@ -717,3 +717,36 @@ def q_relative_validity_of_tree(spark, sf_dir):
     f2 = fx.points(spark, sf_dir)
     score = evaluate.relative_validity(_tree_edges(f2), f2.select("id", "cluster"))
     return tidy_frame(spark.createDataFrame([(score,)], "relative_validity double"))
+
+
+# ------------------------------------------------------------------ density chain
+
+from tessera.operators import density  # noqa: E402
+
+MIN_SAMPLES = 3  # the modelled default
+
+
+def _f2_xy(spark, sf_dir):
+    return fx.points(spark, sf_dir).select("id", "cluster", F.col("x").alias("emb_x"), F.col("y").alias("emb_y"))
+
+
+def _knn2_sql() -> str:
+    # order by the squared distance like the grid join, ties by id
+    return """
+d AS (SELECT a.id AS u, b.id AS v, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
+      FROM f2 a JOIN f2 b ON a.id <> b.id),
+r AS (SELECT u, v, SQRT(d2) AS dist, ROW_NUMBER() OVER (PARTITION BY u ORDER BY d2, v) AS k FROM d)"""
+
+
+@register("core_distance", fx.with_fixtures(
+    f"WITH {_knn2_sql()} SELECT u AS id, {r6('dist')} AS core_dist FROM r WHERE k = {MIN_SAMPLES}", "f2"))
+def q_core_distance(spark, sf_dir):
+    return tidy_frame(density.core_distances(_f2_xy(spark, sf_dir), MIN_SAMPLES))
+
+
+@register("mutual_reachability", fx.with_fixtures(f"""
+WITH {_knn2_sql()}, core AS (SELECT u AS id, dist AS core FROM r WHERE k = {MIN_SAMPLES})
+SELECT r.u, r.v, {r6('r.dist')} AS dist, {r6('GREATEST(cu.core, cv.core, r.dist)')} AS mreach
+FROM r JOIN core cu ON cu.id = r.u JOIN core cv ON cv.id = r.v WHERE r.k <= {MIN_SAMPLES}""", "f2"))
+def q_mutual_reachability(spark, sf_dir):
+    return tidy_frame(density.mutual_reachability(_f2_xy(spark, sf_dir), MIN_SAMPLES))

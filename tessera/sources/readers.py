@@ -47,7 +47,7 @@ def read_csv(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
     """
     reader = spark.read.option("header", True).option("inferSchema", False)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     raw = reader.csv(path)
     cols = raw.columns
     cleaned = raw.select(*[
@@ -98,7 +98,8 @@ def discover_input(spark: SparkSession, data_dir: str) -> DataFrame:
     parts, not one file), so the choice is deterministic.
     """
     try:
-        df = spark.read.option("pathGlobFilter", "*.parquet").parquet(data_dir)
+        df = (spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+              .parquet(data_dir))
         df.schema  # noqa: B018
         return df
     except AnalysisException:
