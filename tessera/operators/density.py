@@ -61,3 +61,131 @@ def mutual_reachability(df: DataFrame, min_samples: int = 3, coords: Sequence[st
     j = (nb.join(core.withColumnRenamed("_id", "u").withColumnRenamed("_core", "core_u"), "u")
            .join(core.withColumnRenamed("_id", "v").withColumnRenamed("_core", "core_v"), "v"))
     return j.select("u", "v", "dist", F.greatest("core_u", "core_v", "dist").alias("mreach"))
+
+
+# --------------------------------------------------------------------------- spanning tree
+
+import math  # noqa: E402
+from dataclasses import dataclass  # noqa: E402
+
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
+
+from tessera.operators.graph import connected_components  # noqa: E402
+from tessera.operators.neighbors import _offsets, grid_scale  # noqa: E402
+
+
+def _edge_key(w, a, b):
+    """Total edge order (weight, smaller id, larger id): the tree is unique."""
+    return F.struct(w.alias("w"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+
+
+def _best_foreign_edges(pts: DataFrame, coords, h0: float, extent: float, metric: str) -> DataFrame:
+    """Per component: the lightest mutual-reachability edge leaving it.
+
+    ``pts(id, comp, core, coords...)``.  Certified grid search per point:
+    at cell side h a point's best foreign edge is final when its weight is
+    <= h (every point within distance h lies in the 3^d cells).  A point
+    starts at the first level with h >= its core distance (no edge of it
+    can weigh less).  After each level a component that already holds a
+    certified edge of weight <= h drops its uncertified points, whose best
+    edges are all heavier than h.
+    """
+    d = len(coords)
+    cand_all = pts.select(F.col("id").alias("c_id"), F.col("comp").alias("c_comp"), F.col("core").alias("c_core"),
+                          *[F.col(c).alias(f"c_{c}") for c in coords])
+    # first level whose certification limit reaches the point's core distance
+    need = F.sqrt(F.col("core") * F.lit(2.0)) if metric == "cosine" else F.col("core")
+    pending = pts.select("id", "comp", "core", *coords,
+                         F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(need, F.lit(h0 * 1e-12)) / F.lit(h0))))
+                         .cast("int").alias("start")).checkpoint(eager=True)
+    found: list[DataFrame] = []
+    best_so_far = None
+    level = 0
+    while True:
+        h = h0 * (2 ** level)
+        final = h >= extent * 1.000001
+        active = pending if final else pending.where(F.col("start") <= level)
+        pc = active.select("id", "comp", "core", *coords,
+                           *[F.floor(F.col(c) / F.lit(h)).cast("long").alias(f"h{i}") for i, c in enumerate(coords)])
+        pc = pc.withColumn("_off", F.explode(_offsets(d))).select(
+            "id", "comp", "core", *coords, *[(F.col(f"h{i}") + F.col("_off")[i]).alias(f"cell{i}") for i in range(d)])
+        cc = cand_all.select("*", *[F.floor(F.col(f"c_{c}") / F.lit(h)).cast("long").alias(f"cell{i}")
+                                    for i, c in enumerate(coords)])
+        j = pc.join(cc, [f"cell{i}" for i in range(d)]).where(F.col("c_comp") != F.col("comp"))
+        dist = _pair_dist([F.col(c) for c in coords], [F.col(f"c_{c}") for c in coords], metric)
+        w = F.greatest(F.col("core"), F.col("c_core"), dist)
+        best = (j.select("id", "comp", _edge_key(w, F.col("id"), F.col("c_id")).alias("e"))
+                 .groupBy("id", "comp").agg(F.min("e").alias("e")))
+        cert = best if final else best.where(F.col("e.w") <= F.lit(_limit(h, metric)))
+        cert = cert.checkpoint(eager=True)
+        found.append(cert)
+        if final:
+            break
+        per_comp = cert.groupBy("comp").agg(F.min("e.w").alias("cw"))
+        best_so_far = per_comp if best_so_far is None else (
+            best_so_far.unionByName(per_comp).groupBy("comp").agg(F.min("cw").alias("cw")))
+        best_so_far = best_so_far.checkpoint(eager=True)
+        done_comps = best_so_far.where(F.col("cw") <= F.lit(_limit(h, metric))).select("comp")
+        pending = (pending.join(cert.select("id"), "id", "left_anti")
+                          .join(done_comps, "comp", "left_anti")).checkpoint(eager=True)
+        if pending.isEmpty():
+            break
+        level += 1
+    allc = found[0]
+    for f in found[1:]:
+        allc = allc.unionByName(f)
+    return allc.groupBy("comp").agg(F.min("e").alias("e"))
+
+
+def _pair_dist(a, b, metric: str):
+    """Distance in reported units: L1, L2, or 1 - cos (= d^2 / 2 on unit vectors)."""
+    from tessera.functions.numeric import l1_dist, sq_dist
+
+    if metric in ("manhattan", "l1", "cityblock"):
+        return l1_dist(a, b)
+    if metric == "cosine":
+        return sq_dist(a, b) / F.lit(2.0)
+    return F.sqrt(sq_dist(a, b))
+
+
+def _limit(h: float, metric: str) -> float:
+    """Largest reported distance guaranteed to lie inside the 3^d cells of side h."""
+    return h * h / 2.0 if metric == "cosine" else h
+
+
+def mst_edges(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, id_col: str = "id",
+              metric: str = "euclidean", max_rounds: int = 64) -> DataFrame:
+    """Minimum spanning tree of the mutual-reachability graph (Borůvka).
+
+    ``(u, v, w)`` with u < v, n - 1 rows for n points.  Each round every
+    component takes its lightest leaving edge (certified grid search), the
+    chosen edges join components (connected components on the component
+    graph), and points take their new component label.  At most log2(n)
+    rounds.  Edge order (weight, min id, max id) makes the tree unique.
+    """
+    pts, cs, grid_metric = metric_space(df.select(id_col, *coords), coords, metric)
+    core = core_distances(df.select(id_col, *coords), min_samples, coords, id_col, metric)
+    base = pts.select(F.col(id_col).alias("id"), *[F.col(c) for c in cs]).join(
+        core.select(F.col(id_col).alias("id"), F.col("core_dist").alias("core")), "id")
+    h0, extent = grid_scale(base, base, cs)
+    cur = base.select("id", F.col("id").alias("comp"), "core", *cs).checkpoint(eager=True)
+    tree: list[DataFrame] = []
+    for _ in range(max_rounds):
+        if cur.select("comp").distinct().limit(2).count() <= 1:
+            break
+        best = _best_foreign_edges(cur, cs, h0, extent, metric)
+        edges = best.select(F.col("e.lo").alias("u"), F.col("e.hi").alias("v"), F.col("e.w").alias("w")).distinct()
+        edges = edges.checkpoint(eager=True)
+        tree.append(edges)
+        ends = (edges.join(cur.select(F.col("id").alias("u"), F.col("comp").alias("a")), "u")
+                     .join(cur.select(F.col("id").alias("v"), F.col("comp").alias("b")), "v")
+                     .select("a", "b"))
+        comps = cur.select(F.col("comp").alias("v")).distinct()
+        cc = connected_components(comps, ends)
+        cur = (cur.join(cc.select(F.col("v").alias("comp"), F.col("comp").alias("_new")), "comp")
+                  .select("id", F.col("_new").alias("comp"), "core", *cs)).checkpoint(eager=True)
+    out = tree[0] if tree else df.sparkSession.createDataFrame([], "u long, v long, w double")
+    for t in tree[1:]:
+        out = out.unionByName(t)
+    return out

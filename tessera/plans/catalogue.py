@@ -750,3 +750,60 @@ SELECT r.u, r.v, {r6('r.dist')} AS dist, {r6('GREATEST(cu.core, cv.core, r.dist)
 FROM r JOIN core cu ON cu.id = r.u JOIN core cv ON cv.id = r.v WHERE r.k <= {MIN_SAMPLES}""", "f2"))
 def q_mutual_reachability(spark, sf_dir):
     return tidy_frame(density.mutual_reachability(_f2_xy(spark, sf_dir), MIN_SAMPLES))
+
+
+# ------------------------------------------------------------------ neighbour graph (64-d)
+
+from tessera.operators import layout  # noqa: E402
+
+UMAP_NEIGHBORS = 15  # the modelled default; the neighbourhood counts the point itself
+
+
+def _knn64_cte() -> str:
+    return f"""
+d AS (SELECT a.id AS u, b.id AS v, list_distance(a.vec, b.vec) AS dist FROM f2 a JOIN f2 b ON a.id <> b.id),
+r AS (SELECT u, v, dist, ROW_NUMBER() OVER (PARTITION BY u ORDER BY dist, v) AS rank FROM d
+      QUALIFY rank <= {UMAP_NEIGHBORS - 1})"""
+
+
+@register("knn_graph", fx.with_fixtures(
+    f"WITH {_knn64_cte()} SELECT u, CAST(rank AS INTEGER) AS rank, v, {r6('dist')} AS dist FROM r", "f2"))
+def q_knn_graph(spark, sf_dir):
+    f2 = fx.points(spark, sf_dir)
+    return tidy_frame(layout.knn_graph(f2.select("id", "vec"), UMAP_NEIGHBORS - 1, "vec", "id"))
+
+
+@register("fuzzy_graph", fx.with_fixtures(f"""
+WITH RECURSIVE {_knn64_cte()},
+nb AS (SELECT u, list(dist ORDER BY rank) AS ds FROM r GROUP BY u),
+rr AS (SELECT u, ds, COALESCE(list_filter(ds, lambda x: x > 0)[1], 0.0) AS rho FROM nb),
+bis AS (
+  SELECT u, 0 AS it, CAST(0.0 AS DOUBLE) AS lo, CAST('inf' AS DOUBLE) AS hi, CAST(1.0 AS DOUBLE) AS mid, FALSE AS done
+  FROM rr
+  UNION ALL
+  SELECT u, it + 1,
+         CASE WHEN done OR abs(ps - tgt) < 1e-5 THEN lo WHEN ps > tgt THEN lo ELSE mid END,
+         CASE WHEN done OR abs(ps - tgt) < 1e-5 THEN hi WHEN ps > tgt THEN mid ELSE hi END,
+         CASE WHEN done OR abs(ps - tgt) < 1e-5 THEN mid
+              WHEN ps > tgt THEN (lo + mid) / 2
+              WHEN hi = CAST('inf' AS DOUBLE) THEN mid * 2 ELSE (mid + hi) / 2 END,
+         done OR abs(ps - tgt) < 1e-5
+  FROM (SELECT b.u, b.it, b.lo, b.hi, b.mid, b.done, log2({UMAP_NEIGHBORS}) AS tgt,
+               list_sum(list_transform(rr.ds, lambda x: CASE WHEN x - rr.rho > 0 THEN exp(-((x - rr.rho) / b.mid))
+                                                       ELSE 1.0 END)) AS ps
+        FROM bis b JOIN rr ON rr.u = b.u) s
+  WHERE it < 64
+),
+sig AS (SELECT b.u, rr.rho,
+               CASE WHEN rr.rho > 0 AND b.mid < 1e-3 * (list_sum(rr.ds) / {UMAP_NEIGHBORS})
+                    THEN 1e-3 * (list_sum(rr.ds) / {UMAP_NEIGHBORS}) ELSE b.mid END AS sigma
+        FROM bis b JOIN rr ON rr.u = b.u WHERE b.it = 64),
+dw AS (SELECT r.u, r.v, exp(-GREATEST(r.dist - s.rho, 0.0) / s.sigma) AS w FROM r JOIN sig s ON s.u = r.u),
+pr AS (SELECT LEAST(u, v) AS a, GREATEST(u, v) AS b, MAX(CASE WHEN u < v THEN w END) AS x,
+              MAX(CASE WHEN u > v THEN w END) AS y FROM dw GROUP BY 1, 2)
+SELECT a AS u, b AS v, {r6('COALESCE(x, 0.0) + COALESCE(y, 0.0) - COALESCE(x, 0.0) * COALESCE(y, 0.0)')} AS weight
+FROM pr""", "f2"))
+def q_fuzzy_graph(spark, sf_dir):
+    f2 = fx.points(spark, sf_dir)
+    g = layout.knn_graph(f2.select("id", "vec"), UMAP_NEIGHBORS - 1, "vec", "id")
+    return tidy_frame(layout.fuzzy_graph(g, UMAP_NEIGHBORS))
