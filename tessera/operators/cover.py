@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.persist import cut
+
 from tessera.operators.encode import dense_index
 from tessera.operators.neighbors import ball_pairs, knn
 
@@ -42,8 +44,8 @@ def epsilon_cover(
     order_cols = [order_col] if order_col and order_col != id_col else []
     pts = points.select(*part_cols, id_col, *coords, *order_cols)
     pairs = ball_pairs(pts, eps, coords, id_col, part_cols, order_cols).select(*part_cols, "id_a", "id_b")
-    pairs = pairs.checkpoint(eager=True)
-    und = pts.select(*part_cols, F.col(id_col).alias("v")).checkpoint(eager=True)
+    pairs = pairs.transform(cut)
+    und = pts.select(*part_cols, F.col(id_col).alias("v")).transform(cut)
     found = []
     keys = list(part_cols)
     for _ in range(max_rounds):
@@ -51,13 +53,13 @@ def epsilon_cover(
         # deep (nested plans make Catalyst's work grow with each round), and a
         # lost executor recomputes at most one round.
         live = (pairs.join(und.withColumnRenamed("v", "id_a"), keys + ["id_a"], "left_semi")
-                     .join(und.withColumnRenamed("v", "id_b"), keys + ["id_b"], "left_semi")).checkpoint(eager=True)
+                     .join(und.withColumnRenamed("v", "id_b"), keys + ["id_b"], "left_semi")).transform(cut)
         # v is blocked while some undecided neighbour comes earlier in the order
         blocked = live.select(*keys, F.col("id_b").alias("v")).distinct()
-        new_c = und.join(blocked, keys + ["v"], "left_anti").checkpoint(eager=True)
+        new_c = und.join(blocked, keys + ["v"], "left_anti").transform(cut)
         covered = (live.join(new_c.withColumnRenamed("v", "id_a"), keys + ["id_a"], "left_semi")
                        .select(*keys, F.col("id_b").alias("v")))
-        nxt = und.join(new_c.unionByName(covered), keys + ["v"], "left_anti").checkpoint(eager=True)
+        nxt = und.join(new_c.unionByName(covered), keys + ["v"], "left_anti").transform(cut)
         found.append(new_c)
         und, pairs = nxt, live
         if und.isEmpty():

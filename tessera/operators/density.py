@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.persist import cut
+
 from tessera.operators.neighbors import knn
 
 XY = ("emb_x", "emb_y")
@@ -71,7 +73,7 @@ from dataclasses import dataclass  # noqa: E402
 import numpy as np  # noqa: E402
 import pandas as pd  # noqa: E402
 
-from tessera.operators.graph import connected_components  # noqa: E402
+from tessera.operators.graph import connected_components  # noqa: E402,F401
 from tessera.operators.neighbors import _offsets, grid_scale  # noqa: E402
 
 
@@ -98,9 +100,8 @@ def _best_foreign_edges(pts: DataFrame, coords, h0: float, extent: float, metric
     need = F.sqrt(F.col("core") * F.lit(2.0)) if metric == "cosine" else F.col("core")
     pending = pts.select("id", "comp", "core", *coords,
                          F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(need, F.lit(h0 * 1e-12)) / F.lit(h0))))
-                         .cast("int").alias("start")).checkpoint(eager=True)
+                         .cast("int").alias("start")).transform(cut)
     found: list[DataFrame] = []
-    best_so_far = None
     level = 0
     while True:
         h = h0 * (2 ** level)
@@ -118,17 +119,17 @@ def _best_foreign_edges(pts: DataFrame, coords, h0: float, extent: float, metric
         best = (j.select("id", "comp", _edge_key(w, F.col("id"), F.col("c_id")).alias("e"))
                  .groupBy("id", "comp").agg(F.min("e").alias("e")))
         cert = best if final else best.where(F.col("e.w") <= F.lit(_limit(h, metric)))
-        cert = cert.checkpoint(eager=True)
+        cert = cert.transform(cut)
         found.append(cert)
         if final:
             break
-        per_comp = cert.groupBy("comp").agg(F.min("e.w").alias("cw"))
-        best_so_far = per_comp if best_so_far is None else (
-            best_so_far.unionByName(per_comp).groupBy("comp").agg(F.min("cw").alias("cw")))
-        best_so_far = best_so_far.checkpoint(eager=True)
-        done_comps = best_so_far.where(F.col("cw") <= F.lit(_limit(h, metric))).select("comp")
+        certs = found[0]
+        for f in found[1:]:
+            certs = certs.unionByName(f)
+        done_comps = (certs.groupBy("comp").agg(F.min("e.w").alias("cw"))
+                           .where(F.col("cw") <= F.lit(_limit(h, metric))).select("comp"))
         pending = (pending.join(cert.select("id"), "id", "left_anti")
-                          .join(done_comps, "comp", "left_anti")).checkpoint(eager=True)
+                          .join(done_comps, "comp", "left_anti")).transform(cut)
         if pending.isEmpty():
             break
         level += 1
@@ -154,6 +155,36 @@ def _limit(h: float, metric: str) -> float:
     return h * h / 2.0 if metric == "cosine" else h
 
 
+def _merge_components(cur: DataFrame, best: DataFrame, max_jumps: int = 64) -> DataFrame:
+    """Relabel points after a Borůvka round.
+
+    Each component hooks onto the component at the other end of its chosen
+    edge.  With a total edge order the hooks form trees plus 2-cycles (two
+    components choosing the same edge); the smaller id of a 2-cycle becomes
+    the root.  Pointer jumping (P = P o P) then finds every root in
+    log(depth) joins.
+    """
+    ends = best.select("comp", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"))
+    cl = cur.select(F.col("id").alias("lo"), F.col("comp").alias("c_lo"))
+    ch = cur.select(F.col("id").alias("hi"), F.col("comp").alias("c_hi"))
+    hook = (ends.join(cl, "lo").join(ch, "hi")
+                .select("comp", F.when(F.col("c_lo") == F.col("comp"), F.col("c_hi")).otherwise(F.col("c_lo")).alias("p")))
+    back = hook.select(F.col("comp").alias("p"), F.col("p").alias("pp"))
+    par = (hook.join(back, "p", "left")
+               .select("comp", F.when((F.col("pp") == F.col("comp")) & (F.col("comp") < F.col("p")), F.col("comp"))
+                       .otherwise(F.col("p")).alias("p"))).transform(cut)
+    for _ in range(max_jumps):
+        nxt = (par.alias("a").join(par.alias("b"), F.col("a.p") == F.col("b.comp"), "left")
+                  .select(F.col("a.comp").alias("comp"), F.coalesce(F.col("b.p"), F.col("a.p")).alias("p"),
+                          (F.coalesce(F.col("b.p"), F.col("a.p")) != F.col("a.p")).alias("moved")))
+        nxt = nxt.transform(cut)
+        par = nxt.select("comp", "p")
+        if nxt.where("moved").isEmpty():
+            break
+    return (cur.join(par, "comp", "left")
+               .select("id", F.coalesce("p", "comp").alias("comp"), *[c for c in cur.columns if c not in ("id", "comp")]))
+
+
 def mst_edges(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, id_col: str = "id",
               metric: str = "euclidean", max_rounds: int = 64) -> DataFrame:
     """Minimum spanning tree of the mutual-reachability graph (Borůvka).
@@ -169,22 +200,16 @@ def mst_edges(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, i
     base = pts.select(F.col(id_col).alias("id"), *[F.col(c) for c in cs]).join(
         core.select(F.col(id_col).alias("id"), F.col("core_dist").alias("core")), "id")
     h0, extent = grid_scale(base, base, cs)
-    cur = base.select("id", F.col("id").alias("comp"), "core", *cs).checkpoint(eager=True)
+    cur = base.select("id", F.col("id").alias("comp"), "core", *cs).transform(cut)
     tree: list[DataFrame] = []
     for _ in range(max_rounds):
         if cur.select("comp").distinct().limit(2).count() <= 1:
             break
         best = _best_foreign_edges(cur, cs, h0, extent, metric)
         edges = best.select(F.col("e.lo").alias("u"), F.col("e.hi").alias("v"), F.col("e.w").alias("w")).distinct()
-        edges = edges.checkpoint(eager=True)
+        edges = edges.transform(cut)
         tree.append(edges)
-        ends = (edges.join(cur.select(F.col("id").alias("u"), F.col("comp").alias("a")), "u")
-                     .join(cur.select(F.col("id").alias("v"), F.col("comp").alias("b")), "v")
-                     .select("a", "b"))
-        comps = cur.select(F.col("comp").alias("v")).distinct()
-        cc = connected_components(comps, ends)
-        cur = (cur.join(cc.select(F.col("v").alias("comp"), F.col("comp").alias("_new")), "comp")
-                  .select("id", F.col("_new").alias("comp"), "core", *cs)).checkpoint(eager=True)
+        cur = _merge_components(cur, best).transform(cut)
     out = tree[0] if tree else df.sparkSession.createDataFrame([], "u long, v long, w double")
     for t in tree[1:]:
         out = out.unionByName(t)

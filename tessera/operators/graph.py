@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.persist import cut
+
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``vertices(v)``, ``edges(a, b)`` -> ``(v, comp)``, comp = smallest id of the component."""
-    p = vertices.select("v", F.col("v").alias("p")).distinct().checkpoint(eager=True)
+    p = vertices.select("v", F.col("v").alias("p")).distinct().transform(cut)
     e = (edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-              .where(F.col("a") != F.col("b")).distinct().checkpoint(eager=True))
+              .where(F.col("a") != F.col("b")).distinct().transform(cut))
     if e.isEmpty():
         return p.select("v", F.col("p").alias("comp"))
     for _ in range(max_rounds):
@@ -32,7 +34,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         for _ in range(2):
             p2 = p2.alias("x").join(p2.alias("y"), F.col("x.p") == F.col("y.v"), "left") \
                    .select(F.col("x.v").alias("v"), F.coalesce(F.col("y.p"), F.col("x.p")).alias("p"))
-        p2 = p2.checkpoint(eager=True)
+        p2 = p2.transform(cut)
         changed = p2.join(p.withColumnRenamed("p", "p_old"), "v").where(F.col("p") != F.col("p_old")).limit(1).count()
         p = p2
         if changed == 0:

@@ -30,6 +30,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from tessera.functions.persist import cut
 from pyspark.sql import types as T
 
 MAX_PIVOTS = 1024
@@ -101,7 +103,7 @@ def knn_graph(df: DataFrame, k: int = 15, vec_col: str = "vec", id_col: str = "i
                                 "r": D[np.arange(len(X)), own], "dp": list(D)})
 
     cells = pts.mapInPandas(assign, "id long, vec array<double>, cell int, r double, dp array<double>")
-    cells = cells.checkpoint(eager=True)
+    cells = cells.transform(cut)
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         res = _local_knn(pdf["id"].to_numpy(), _stack(pdf["vec"]), pdf["id"].to_numpy(), _stack(pdf["vec"]), k)

@@ -30,6 +30,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.persist import cut
+
 from tessera.functions.numeric import l1_dist, sq_dist
 
 
@@ -163,7 +165,7 @@ def knn(
         # probes with no candidate in their cells at all are also pending
         pending = pending.join(top.where(F.col("_ok")).select(*part_cols, "p_id"), list(part_cols) + ["p_id"], "left_anti")
         # cut the lineage of the shrinking probe set (reliable checkpoint dir)
-        pending = pending.checkpoint(eager=True)
+        pending = pending.transform(cut)
         if pending.isEmpty():
             break
         level += 1

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.persist import cut
+
 from tessera.operators import cluster as kmeans_ops
 from tessera.operators import cover, encode, evaluate, profile, reduce, status, summarize
 from tessera.session import ensure_checkpoint_dir
@@ -79,7 +81,7 @@ def run_default_job(df: DataFrame, params: JobParams | None = None, id_map: Data
     roles = profile.resolve_roles(df, p.preferred_features or None, p.preferred_numeric, p.forced_categorical,
                                   p.nominal_unique_threshold, p.nominal_ratio_threshold)
     model = encode.fit_encoder(df, roles.numeric, roles.categorical)
-    feats = encode.transform_dense(df, model, p.id_column).checkpoint(eager=True)
+    feats = encode.transform_dense(df, model, p.id_column).transform(cut)
     emb = reduce.reduce_dimensions(feats, p.reducer, "features", p.random_state, p.umap_n_neighbors,
                                    p.umap_min_dist, "id").select("id", "emb_x", "emb_y")
     metrics: dict[str, float] = {}
@@ -94,7 +96,7 @@ def run_default_job(df: DataFrame, params: JobParams | None = None, id_map: Data
         metrics["DBCV"] = res.relative_validity
     else:
         raise ValueError("Unknown clusterer. Use 'kmeans' or 'hdbscan'.")
-    labelled = labelled.select("id", "emb_x", "emb_y", "cluster").checkpoint(eager=True)
+    labelled = labelled.select("id", "emb_x", "emb_y", "cluster").transform(cut)
     out = df.join(labelled.withColumnRenamed("id", p.id_column), p.id_column)
     out = status.status_coordinate(out, id_map, p.id_column, p.drug_z_default, p.z_jitter_sd, p.random_state)
     ns = evaluate.noise_stats(labelled).first()
