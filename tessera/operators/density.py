@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.persist import cut
 
@@ -214,3 +215,339 @@ def mst_edges(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, i
     for t in tree[1:]:
         out = out.unionByName(t)
     return out
+
+
+# --------------------------------------------------------------------------- condensed tree (M6d-M6g)
+
+def _find(par: np.ndarray, x: int) -> int:
+    root = x
+    while par[root] != root:
+        root = par[root]
+    while par[x] != root:
+        par[x], x = root, par[x]
+    return root
+
+
+def _single_linkage(n_leaves: int, leaf_size: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray):
+    """Dendrogram of leaves joined by edges already sorted by (w, lo, hi).
+
+    Returns (left, right, lam, size) for internal nodes n_leaves.. and the root id.
+    """
+    par = np.arange(n_leaves)
+    top = np.arange(n_leaves)
+    left, right, lam = [], [], []
+    size = list(leaf_size.astype(np.int64))
+    for x, y, wt in zip(a, b, w):
+        rx, ry = _find(par, int(x)), _find(par, int(y))
+        if rx == ry:
+            continue
+        k = n_leaves + len(left)
+        left.append(int(top[rx]))
+        right.append(int(top[ry]))
+        lam.append(1.0 / wt if wt > 0 else np.inf)
+        size.append(size[top[rx]] + size[top[ry]])
+        par[ry] = rx
+        top[rx] = k
+    root = n_leaves + len(left) - 1 if left else 0
+    return left, right, lam, size, root
+
+
+def _condense(n_leaves: int, left, right, lam, size, root: int, m: int, root_birth):
+    """Top-down condensation of a dendrogram with minimum cluster size m.
+
+    Returns clusters {cid: [parent, birth, size, sum_lambda_leave]} (cid 0 is
+    the path entering at ``root``), ``fall`` {leaf: (cid, lambda)} for leaves
+    that drop out, and ``enter`` {leaf: cid} for leaves a cluster path
+    continues into (whole fragments in the contracted tree).
+    """
+    clusters = {0: [None, root_birth, int(size[root]), 0.0]}
+    fall: dict[int, tuple[int, float]] = {}
+    enter: dict[int, int] = {}
+
+    def leaves_under(node):
+        st = [node]
+        while st:
+            x = st.pop()
+            if x < n_leaves:
+                yield x
+            else:
+                st.append(left[x - n_leaves])
+                st.append(right[x - n_leaves])
+
+    stack = [(root, 0)]
+    nxt = 1
+    while stack:
+        node, cid = stack.pop()
+        if node < n_leaves:
+            enter[node] = cid
+            continue
+        i = node - n_leaves
+        a, b, lm = left[i], right[i], lam[i]
+        sa, sb = size[a], size[b]
+        if sa >= m and sb >= m:
+            clusters[cid][3] += lm * size[node]
+            for ch in (a, b):
+                clusters[nxt] = [cid, lm, int(size[ch]), 0.0]
+                stack.append((ch, nxt))
+                nxt += 1
+        elif sa >= m or sb >= m:
+            big, small = (a, b) if sa >= m else (b, a)
+            clusters[cid][3] += lm * size[small]
+            for leaf in leaves_under(small):
+                fall[leaf] = (cid, lm)
+            stack.append((big, cid))
+        else:
+            clusters[cid][3] += lm * size[node]
+            for leaf in leaves_under(node):
+                fall[leaf] = (cid, lm)
+    return clusters, fall, enter
+
+
+def _fragment_condense(m: int):
+    """applyInPandas body: condense one fragment (its points and inner edges)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frag = int(pdf["frag"].iloc[0])
+        pts = np.sort(pdf.loc[pdf["kind"] == 0, "u"].to_numpy())
+        idx = {int(p): i for i, p in enumerate(pts)}
+        e = pdf[pdf["kind"] == 1].sort_values(["w", "u", "v"])
+        a = np.array([idx[int(x)] for x in e["u"]], dtype=np.int64)
+        b = np.array([idx[int(x)] for x in e["v"]], dtype=np.int64)
+        left, right, lam, size, root = _single_linkage(len(pts), np.ones(len(pts)), a, b, e["w"].to_numpy())
+        clusters, fall, _ = _condense(len(pts), left, right, lam, size, root, m, None)
+        rows = []
+        for cid, (parent, birth, sz, sl) in clusters.items():
+            rows.append((frag, 0, cid, -1 if parent is None else parent, birth if birth is not None else np.nan,
+                         sz, sl, -1))
+        for leaf, (cid, _lm) in fall.items():
+            rows.append((frag, 1, cid, -1, np.nan, 0, 0.0, int(pts[leaf])))
+        # points never dropped (a fragment smaller than 2) stay in the entry path
+        for leaf in range(len(pts)):
+            if leaf not in fall:
+                rows.append((frag, 1, 0, -1, np.nan, 0, 0.0, int(pts[leaf])))
+        return pd.DataFrame(rows, columns=["frag", "kind", "cid", "parent", "birth", "size", "sum_lambda", "id"])
+
+    return run
+
+
+@dataclass
+class DensityResult:
+    labels: DataFrame  # id, emb coords, cluster
+    tree: DataFrame  # u, v, w
+    clusters: pd.DataFrame  # condensed clusters: cid, parent, birth, size, stability, selected, label
+    relative_validity: float
+
+
+def _fragments(edges: DataFrame, ids: DataFrame, max_fragment: int, n: int):
+    """Cut the tree below a weight t so that every fragment has <= max_fragment points.
+
+    Returns (t, point -> fragment table).  With n <= max_fragment the whole
+    tree is one fragment (t = +inf).
+    """
+    if n <= max_fragment:
+        return float("inf"), ids.select(F.col("id"), F.lit(0).cast("long").alias("frag"))
+    qs = [0.999, 0.99, 0.9, 0.75, 0.5, 0.25, 0.1]
+    cand = edges.agg(F.percentile_approx("w", qs, 10000).alias("q")).first()["q"]
+    for t in cand:
+        cc = connected_components(ids.select(F.col("id").alias("v")),
+                                  edges.where(F.col("w") < t).select(F.col("u").alias("a"), F.col("v").alias("b")))
+        biggest = cc.groupBy("comp").count().agg(F.max("count")).first()[0]
+        if biggest <= max_fragment:
+            return float(t), cc.select(F.col("v").alias("id"), F.col("comp").alias("frag"))
+    raise ValueError("no cut keeps fragments under max_fragment; raise max_fragment")
+
+
+def condensed_tree(tree: DataFrame, points: DataFrame, min_cluster_size: int, max_fragment: int = 200_000,
+                   max_top: int = 2_000_000, max_clusters: int = 5_000_000):
+    """M6d over the spanning tree: (clusters pandas frame, point -> deepest cluster DataFrame).
+
+    Two levels (exact, since single linkage at level w depends only on edges
+    <= w): fragments = components of the edges lighter than t, condensed in
+    parallel (``applyInPandas`` per fragment, each <= max_fragment points);
+    then the contracted tree over fragments (<= max_top of them, checked)
+    decides how the fragments' entry paths attach, on the driver.  The
+    condensed-cluster table (<= 2n / min_cluster_size rows, checked) is what
+    reaches the driver.
+    """
+    m = int(min_cluster_size)
+    ids = points.select("id")
+    n = ids.count()
+    t, frag_of = _fragments(tree, ids, max_fragment, n)
+    frag_of = frag_of.transform(cut)
+    fsize = frag_of.groupBy("frag").agg(F.count(F.lit(1)).alias("fsize"))
+    if fsize.count() > max_top:
+        raise ValueError("too many fragments for the contracted tree; lower the cut")
+    ef = (tree.join(frag_of.select(F.col("id").alias("u"), F.col("frag").alias("fu")), "u")
+              .join(frag_of.select(F.col("id").alias("v"), F.col("frag").alias("fv")), "v"))
+    inner = ef.where(F.col("fu") == F.col("fv")).select(F.col("fu").alias("frag"), F.lit(1).alias("kind"), "u", "v", "w")
+    pts = frag_of.select("frag", F.lit(0).alias("kind"), F.col("id").alias("u"),
+                         F.lit(None).cast("long").alias("v"), F.lit(None).cast("double").alias("w"))
+    schema = "frag long, kind int, cid long, parent long, birth double, size long, sum_lambda double, id long"
+    local = (pts.unionByName(inner).groupBy("frag").applyInPandas(_fragment_condense(m), schema)).transform(cut)
+
+    # contracted tree over fragments (small: one row per fragment)
+    top_sizes = fsize.orderBy("frag").toPandas()
+    top_edges = ef.where(F.col("fu") != F.col("fv")).select("fu", "fv", "w", "u", "v").toPandas()
+    fr = top_sizes["frag"].to_numpy()
+    fidx = {int(f): i for i, f in enumerate(fr)}
+    top_edges = top_edges.assign(lo=np.minimum(top_edges.u, top_edges.v), hi=np.maximum(top_edges.u, top_edges.v)) \
+                         .sort_values(["w", "lo", "hi"])
+    a = np.array([fidx[int(x)] for x in top_edges["fu"]], dtype=np.int64)
+    b = np.array([fidx[int(x)] for x in top_edges["fv"]], dtype=np.int64)
+    left, right, lam, size, root = _single_linkage(len(fr), top_sizes["fsize"].to_numpy(), a, b, top_edges["w"].to_numpy())
+    tclusters, tfall, tenter = _condense(len(fr), left, right, lam, size, root, m, 0.0)
+
+    # stitch: top clusters keep their ids; fragment clusters get new ids
+    loc = local.where("kind = 0").toPandas()
+    if len(loc) > max_clusters:
+        raise ValueError("condensed tree too large for the selection step")
+    rows = {cid: list(v) for cid, v in tclusters.items()}
+    gid = {}
+    nxt = max(rows) + 1 if rows else 0
+    entered = {int(fr[leaf]): cid for leaf, cid in tenter.items()}
+    for r in loc.sort_values(["frag", "cid"]).itertuples(index=False):
+        f, c = int(r.frag), int(r.cid)
+        if c == 0:
+            if f in entered:
+                rows[entered[f]][3] += r.sum_lambda
+                gid[(f, 0)] = entered[f]
+            continue
+        gid[(f, c)] = nxt
+        rows[nxt] = [None, r.birth, int(r.size), r.sum_lambda, (f, int(r.parent))]
+        nxt += 1
+    for cid, v in rows.items():
+        if len(v) == 5:
+            f, p = v[4]
+            v[0] = gid.get((f, p))
+            del v[4]
+    cl = pd.DataFrame([(cid, -1 if v[0] is None else v[0], v[1], v[2], v[3]) for cid, v in rows.items()],
+                      columns=["cid", "parent", "birth", "size", "sum_lambda"])
+    cl["stability"] = cl["sum_lambda"] - cl["size"] * cl["birth"].fillna(0.0)
+
+    # point -> deepest cluster: fragment-local ids mapped to global ones
+    spark = points.sparkSession
+    fell_top = {int(fr[leaf]): cid for leaf, (cid, _lm) in tfall.items()}
+    gmap = [(f, c, g) for (f, c), g in gid.items()]
+    gmap_df = spark.createDataFrame(gmap or [(-1, -1, -1)], "frag long, cid long, gcid long")
+    fell_df = spark.createDataFrame(list(fell_top.items()) or [(-1, -1)], "frag long, fell long")
+    deep = (local.where("kind = 1").select("frag", "cid", "id")
+                 .join(F.broadcast(fell_df), "frag", "left")
+                 .join(F.broadcast(gmap_df), ["frag", "cid"], "left")
+                 .select("id", F.coalesce("fell", "gcid").alias("deepest")))
+    return cl, deep
+
+
+def select_clusters(cl: pd.DataFrame, method: str = "eom", epsilon: float = 0.0, allow_single_cluster: bool = False):
+    """M6e + M6f on the condensed-cluster table: the set of selected cluster ids."""
+    if cl.empty:
+        return set()
+    children: dict[int, list[int]] = {}
+    for r in cl.itertuples(index=False):
+        if r.parent >= 0:
+            children.setdefault(int(r.parent), []).append(int(r.cid))
+    root = int(cl.loc[cl["parent"] < 0, "cid"].min())
+    birth = {int(r.cid): r.birth for r in cl.itertuples(index=False)}
+    parent = {int(r.cid): int(r.parent) for r in cl.itertuples(index=False)}
+    stab = {int(r.cid): float(r.stability) for r in cl.itertuples(index=False)}
+
+    def descendants(c):
+        st, out = list(children.get(c, [])), []
+        while st:
+            x = st.pop()
+            out.append(x)
+            st.extend(children.get(x, []))
+        return out
+
+    # children before parents: reverse breadth-first order from the root
+    order, q = [], [root]
+    while q:
+        x = q.pop(0)
+        order.append(x)
+        q.extend(sorted(children.get(x, [])))
+    nodes = order[::-1]
+    if not allow_single_cluster:
+        nodes = [c for c in nodes if c != root]
+    if method == "eom":
+        is_cluster = {c: True for c in nodes}
+        for c in nodes:
+            sub = sum(stab[ch] for ch in children.get(c, []))
+            if sub > stab[c]:
+                is_cluster[c] = False
+                stab[c] = sub
+            else:
+                for d in descendants(c):
+                    is_cluster[d] = False
+        selected = {c for c, v in is_cluster.items() if v}
+    elif method == "leaf":
+        selected = {c for c in nodes if not children.get(c)}
+    else:
+        raise ValueError("cluster_selection_method must be 'eom' or 'leaf'")
+    if epsilon and selected:
+        if not (len(selected) == 1 and root in selected):
+            out, done = set(), set()
+            for leaf in sorted(selected):
+                b = birth[leaf]
+                eps_leaf = 1.0 / b if b else np.inf
+                if eps_leaf < epsilon:
+                    if leaf in done:
+                        continue
+                    node = leaf
+                    while True:
+                        p = parent[node]
+                        if p == root or p < 0:
+                            node = p if allow_single_cluster else node
+                            break
+                        pb = birth[p]
+                        if (1.0 / pb if pb else np.inf) > epsilon:
+                            node = p
+                            break
+                        node = p
+                    out.add(node)
+                    done.update(descendants(node))
+                else:
+                    out.add(leaf)
+            selected = out
+    return selected
+
+
+def label_points(cl: pd.DataFrame, deep: DataFrame, selected: set, pts: DataFrame) -> DataFrame:
+    """M6g: each point takes the selected cluster above its deepest cluster, else -1.
+
+    Labels are numbered 0.. by the smallest member id (partition-independent).
+    """
+    parent = {int(r.cid): int(r.parent) for r in cl.itertuples(index=False)}
+    owner = {}
+    for c in parent:
+        x = c
+        while x >= 0 and x not in selected:
+            x = parent.get(x, -1)
+        owner[c] = x if x in selected else -1
+    spark = pts.sparkSession
+    own_df = spark.createDataFrame([(c, o) for c, o in owner.items()] or [(-1, -1)], "deepest long, sel long")
+    lab = deep.join(F.broadcast(own_df), "deepest", "left").select("id", F.coalesce("sel", F.lit(-1)).alias("sel"))
+    first = lab.where(F.col("sel") >= 0).groupBy("sel").agg(F.min("id").alias("mid"))
+    # one row per selected cluster: numbering them needs no partitioning
+    num = first.select("sel", (F.row_number().over(Window.orderBy("mid")) - 1).cast("int").alias("cluster"))
+    return (lab.join(F.broadcast(num), "sel", "left")
+               .select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
+               .join(pts, "id")).transform(cut)
+
+
+def hdbscan(df: DataFrame, min_cluster_size: int = 500, min_samples: int = 3, method: str = "eom",
+            epsilon: float = 0.01, metric: str = "euclidean", coords: Sequence[str] = XY, id_col: str = "id",
+            max_fragment: int = 200_000) -> DensityResult:
+    """M6: labels 0.. (numbered by smallest member id), noise -1."""
+    pts = df.select(F.col(id_col).alias("id"), *coords).transform(cut)
+    tree = mst_edges(pts, min_samples, coords, "id", metric).transform(cut)
+    cl, deep = condensed_tree(tree, pts, min_cluster_size, max_fragment)
+    selected = select_clusters(cl, method, epsilon)
+    labels = label_points(cl, deep, selected, pts)
+    from tessera.operators.evaluate import relative_validity
+
+    rv = relative_validity(tree, labels.select("id", "cluster"))
+    cl = cl.assign(selected=cl["cid"].isin(selected))
+    return DensityResult(labels.withColumnRenamed("id", id_col), tree, cl, rv)
+
+
+def hdbscan_labels(df: DataFrame, **kw) -> DataFrame:
+    return hdbscan(df, **kw).labels

@@ -807,3 +807,73 @@ def q_fuzzy_graph(spark, sf_dir):
     f2 = fx.points(spark, sf_dir)
     g = layout.knn_graph(f2.select("id", "vec"), UMAP_NEIGHBORS - 1, "vec", "id")
     return tidy_frame(layout.fuzzy_graph(g, UMAP_NEIGHBORS))
+
+
+# ------------------------------------------------------------------ spanning tree and density clusters
+
+_TREES: dict[tuple, str] = {}
+
+
+def _f2_tree(spark, sf_dir, min_samples: int, metric: str) -> DataFrame:
+    """The spanning tree is the expensive shared step: computed once per
+    (input, min_samples, metric) and re-read from its written table."""
+    key = (sf_dir, min_samples, metric)
+    if key in _TREES:
+        try:
+            return spark.read.parquet(_TREES[key])
+        except Exception:  # noqa: BLE001 - the folder may be gone in a new session
+            _TREES.pop(key, None)
+    tree = density.mst_edges(_f2_xy(spark, sf_dir), min_samples, metric=metric)
+    from tessera.functions.persist import cut
+
+    tree = tree.transform(cut)
+    _TREES[key] = tree.inputFiles()[0].rsplit("/", 1)[0]
+    return tree
+
+
+@register("mst_edges")
+def q_mst_edges(spark, sf_dir):
+    """N - 1 edges; total weight checked against Prim's algorithm in tests."""
+    return tidy_frame(_f2_tree(spark, sf_dir, MIN_SAMPLES, "euclidean"))
+
+
+def _density(spark, sf_dir, mcs, ms, method, eps, metric):
+    from tessera.operators.density import condensed_tree, select_clusters
+
+    pts = _f2_xy(spark, sf_dir).select("id", "emb_x", "emb_y")
+    tree = _f2_tree(spark, sf_dir, ms, metric)
+    cl, deep = condensed_tree(tree, pts, mcs)
+    return density.label_points(cl, deep, select_clusters(cl, method, eps), pts), tree
+
+
+@register("density_clusters_eom")
+def q_density_eom(spark, sf_dir):
+    return _density(spark, sf_dir, 20, MIN_SAMPLES, "eom", 0.0, "euclidean")[0].select("id", "cluster")
+
+
+@register("density_clusters_leaf")
+def q_density_leaf(spark, sf_dir):
+    return _density(spark, sf_dir, 20, MIN_SAMPLES, "leaf", 0.0, "euclidean")[0].select("id", "cluster")
+
+
+@register("density_clusters_epsilon")
+def q_density_epsilon(spark, sf_dir):
+    """The modelled final configuration: min_cluster_size 60, min_samples 1, eom, epsilon 0.06."""
+    return _density(spark, sf_dir, 60, 1, "eom", 0.06, "euclidean")[0].select("id", "cluster")
+
+
+@register("density_clusters_manhattan")
+def q_density_manhattan(spark, sf_dir):
+    return _density(spark, sf_dir, 20, MIN_SAMPLES, "eom", 0.0, "manhattan")[0].select("id", "cluster")
+
+
+@register("density_clusters_cosine")
+def q_density_cosine(spark, sf_dir):
+    return _density(spark, sf_dir, 20, MIN_SAMPLES, "eom", 0.0, "cosine")[0].select("id", "cluster")
+
+
+@register("relative_validity")
+def q_relative_validity(spark, sf_dir):
+    labels, tree = _density(spark, sf_dir, 20, MIN_SAMPLES, "eom", 0.0, "euclidean")
+    score = evaluate.relative_validity(tree, labels.select("id", "cluster"))
+    return tidy_frame(spark.createDataFrame([(score,)], "relative_validity double"))
