@@ -877,3 +877,18 @@ def q_relative_validity(spark, sf_dir):
     labels, tree = _density(spark, sf_dir, 20, MIN_SAMPLES, "eom", 0.0, "euclidean")
     score = evaluate.relative_validity(tree, labels.select("id", "cluster"))
     return tidy_frame(spark.createDataFrame([(score,)], "relative_validity double"))
+
+
+# ------------------------------------------------------------------ run records
+
+@register("run_metrics")
+def q_run_metrics(spark, sf_dir):
+    """One run record (long form) for a density run over F2."""
+    from tessera.plans import sweep
+
+    labels, tree = _density(spark, sf_dir, 20, MIN_SAMPLES, "eom", 0.0, "euclidean")
+    params = {"clusterer": "hdbscan", "hdb_min_cluster_size": 20, "hdb_min_samples": MIN_SAMPLES,
+              "hdb_cluster_selection_method": "eom", "hdb_cluster_selection_epsilon": 0.0}
+    rec = sweep.run_record("fixture-f2", params, sweep.hdbscan_metrics(labels, tree), "f2-eom")
+    df = spark.createDataFrame([rec], sweep.RUN_SCHEMA)
+    return tidy_frame(df.select("experiment", "run_name", F.explode("metrics").alias("metric", "value")))

@@ -134,3 +134,51 @@ def test_kmeans_rows_sit_at_nearest_centre(spark):
     assert (d.argmin(axis=1) == pdf.cluster.to_numpy()).mean() > 0.99
     lab2, _, _ = kmeans_labels(f2, k=4, n_init=2)
     assert sorted(map(tuple, lab2.select("id", "cluster").collect())) == sorted(map(tuple, lab.select("id", "cluster").collect()))
+
+
+def _prim_total(X, ms):
+    n = len(X)
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(2))
+    core = np.sort(D + np.diag([np.inf] * n), axis=1)[:, ms - 1]
+    M = np.maximum(np.maximum(core[:, None], core[None]), D)
+    np.fill_diagonal(M, np.inf)
+    in_t = np.zeros(n, bool)
+    in_t[0] = True
+    best, tot = M[0].copy(), 0.0
+    for _ in range(n - 1):
+        b = np.where(in_t, np.inf, best)
+        j = int(np.argmin(b))
+        tot += b[j]
+        in_t[j] = True
+        best = np.minimum(best, M[j])
+    return tot
+
+
+def test_mst_and_two_level_condensed_tree(spark):
+    from tessera.operators import density
+
+    rng = np.random.default_rng(1)
+    X = np.vstack([rng.normal([0, 0], 0.3, (80, 2)), rng.normal([4, 0], 0.6, (70, 2)), rng.uniform(-3, 7, (20, 2))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(X)], "id long, emb_x double, emb_y double")
+    res = density.hdbscan(df, min_cluster_size=15, min_samples=3, method="eom", epsilon=0.0)
+    tree = res.tree.toPandas()
+    assert len(tree) == len(X) - 1
+    assert tree.w.sum() == pytest.approx(_prim_total(X, 3), rel=1e-9)
+    lab = res.labels.toPandas().sort_values("id").cluster.to_numpy()
+    sizes = np.bincount(lab[lab >= 0])
+    assert len(sizes) == 2 and sizes.min() >= 15
+    # blobs recovered: most of each blob shares one label
+    assert np.bincount(lab[:80] + 1).max() >= 70 and np.bincount(lab[80:150] + 1).max() >= 55
+    # cutting the tree into small fragments gives the same answer
+    cl, deep = density.condensed_tree(res.tree, df.select("id", "emb_x", "emb_y"), 15, max_fragment=30)
+    lab2 = density.label_points(cl, deep, density.select_clusters(cl, "eom", 0.0), df.select("id", "emb_x", "emb_y"))
+    assert (lab2.toPandas().sort_values("id").cluster.to_numpy() == lab).all()
+    leaf = density.select_clusters(cl, "leaf")
+    assert leaf and all(not (cl.parent == c).any() for c in leaf)
+
+
+def test_sweep_grid_has_162_rows(spark):
+    from tessera.plans import sweep
+
+    g = sweep.sweep_grid(spark)
+    assert g.count() == 162 and g.distinct().count() == 162
