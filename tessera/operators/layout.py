@@ -216,13 +216,95 @@ def fuzzy_graph(knn: DataFrame, k: int) -> DataFrame:
     return pair.select(F.col("a").alias("u"), F.col("b").alias("v"), (x + y - x * y).alias("weight"))
 
 
+def find_ab(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
+    """Curve 1 / (1 + a x^(2b)) closest (least squares) to the target membership
+    1 for x < min_dist, exp(-(x - min_dist) / spread) beyond; grid + refinement."""
+    x = np.linspace(0, spread * 3, 300)
+    y = np.where(x < min_dist, 1.0, np.exp(-(x - min_dist) / spread))
+    xs = np.maximum(x, 1e-12)
+
+    def err(a, b):
+        return float(((1.0 / (1.0 + a * xs ** (2 * b)) - y) ** 2).sum())
+
+    best = min(((err(a, b), a, b) for a in np.linspace(0.05, 5, 100) for b in np.linspace(0.2, 2.5, 100)))
+    _, a, b = best
+    step_a, step_b = 0.05, 0.023
+    for _ in range(60):
+        cands = [(err(a + da, b + db), a + da, b + db) for da in (-step_a, 0, step_a) for db in (-step_b, 0, step_b)
+                 if a + da > 0 and b + db > 0]
+        e, na, nb = min(cands)
+        if (na, nb) == (a, b):
+            step_a, step_b = step_a / 2, step_b / 2
+        a, b = na, nb
+    return float(a), float(b)
+
+
+def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features", id_col: str = "id",
+                  min_dist: float = 0.1, seed: int = 42, n_epochs: int = 200, negative: int = 5,
+                  cut_every: int = 5) -> DataFrame:
+    """M4d: 2-D layout by weighted gradient epochs on DataFrames.
+
+    Start: the centred PCA projection scaled to a [-10, 10] box.  Each epoch
+    joins the (symmetric) edge table with the positions of both ends:
+    attraction along every edge scaled by its weight; repulsion from
+    ``negative`` points per edge drawn by hashing (edge, epoch, i) to a dense
+    point index; gradients clipped to [-4, 4]; step size 1 - epoch/n_epochs.
+    A full-batch, deterministic variant of the sampled SGD of the original
+    method: results are judged by neighbourhood preservation, not equality.
+    Lineage is cut every ``cut_every`` epochs (written table).
+    """
+    from tessera.operators.encode import dense_index
+    from tessera.operators.reduce import fit_pca
+
+    a, b = find_ab(min_dist)
+    pca = fit_pca(df, 2, vec_col)
+    start = pca.transform(df.select(F.col(id_col).alias("id"), F.col(vec_col)), vec_col).select("id", "emb_x", "emb_y")
+    ext = start.agg(F.max(F.greatest(F.abs("emb_x"), F.abs("emb_y")))).first()[0] or 1.0
+    pos = start.select("id", (F.col("emb_x") * (10.0 / ext)).alias("px"), (F.col("emb_y") * (10.0 / ext)).alias("py"))
+    pos = dense_index(pos.withColumn("_all", F.lit(0)), "_all", ["id"], "idx").drop("_all").transform(cut)
+    n = pos.count()
+    e = weights.select("u", "v", F.col("weight").alias("w"))
+    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).transform(cut)
+
+    def clip(c):
+        return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
+
+    for ep in range(n_epochs):
+        alpha = 1.0 - ep / n_epochs
+        pu = pos.select(F.col("id").alias("u"), F.col("px").alias("ux"), F.col("py").alias("uy"))
+        pv = pos.select(F.col("id").alias("v"), F.col("px").alias("vx"), F.col("py").alias("vy"))
+        j = e.join(pu, "u").join(pv, "v")
+        dx, dy = F.col("ux") - F.col("vx"), F.col("uy") - F.col("vy")
+        d2 = dx * dx + dy * dy
+        att = F.when(d2 > 0, (-2.0 * a * b) * F.pow(d2, b - 1.0) / (1.0 + a * F.pow(d2, b))).otherwise(0.0)
+        pull = j.select(F.col("u").alias("id"),
+                        (alpha * F.col("w") * clip(att * dx)).alias("gx"),
+                        (alpha * F.col("w") * clip(att * dy)).alias("gy"))
+        neg = (j.select("u", "ux", "uy", "w", F.explode(F.sequence(F.lit(0), F.lit(negative - 1))).alias("i"))
+                .select("u", "ux", "uy", "w",
+                        F.pmod(F.xxhash64("u", "i", F.lit(ep), F.lit(seed)), F.lit(n)).alias("idx")))
+        pn = pos.select("idx", F.col("px").alias("nx"), F.col("py").alias("ny"))
+        jn = neg.join(pn, "idx")
+        ndx, ndy = F.col("ux") - F.col("nx"), F.col("uy") - F.col("ny")
+        nd2 = ndx * ndx + ndy * ndy
+        rep = F.when(nd2 > 0, (2.0 * b) / ((0.001 + nd2) * (1.0 + a * F.pow(nd2, b)))).otherwise(0.0)
+        push = jn.select(F.col("u").alias("id"),
+                         (alpha * F.col("w") * clip(rep * ndx) / negative).alias("gx"),
+                         (alpha * F.col("w") * clip(rep * ndy) / negative).alias("gy"))
+        step = pull.unionByName(push).groupBy("id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
+        pos = (pos.join(step, "id", "left")
+                  .select("id", "idx", (F.col("px") + F.coalesce("gx", F.lit(0.0))).alias("px"),
+                          (F.col("py") + F.coalesce("gy", F.lit(0.0))).alias("py")))
+        if (ep + 1) % cut_every == 0 or ep == n_epochs - 1:
+            pos = pos.transform(cut)
+    return (df.select(F.col(id_col).alias("id"), *[c for c in df.columns if c != id_col])
+              .join(pos.select("id", F.col("px").alias("emb_x"), F.col("py").alias("emb_y")), "id")
+              .withColumnRenamed("id", id_col))
+
+
 def umap_embed(df: DataFrame, vec_col: str = "features", id_col: str = "id", n_neighbors: int = 15,
                min_dist: float = 0.1, seed: int = 42, n_epochs: int = 200) -> DataFrame:
-    """M4: 2-D layout of the fuzzy graph (see ``layout_epochs``)."""
+    """M4: exact k-NN graph -> fuzzy graph -> layout epochs."""
     g = knn_graph(df, n_neighbors - 1, vec_col, id_col)
-    w = fuzzy_graph(g, n_neighbors)
+    w = fuzzy_graph(g, n_neighbors).transform(cut)
     return layout_epochs(df, w, vec_col, id_col, min_dist=min_dist, seed=seed, n_epochs=n_epochs)
-
-
-def layout_epochs(df, weights, vec_col, id_col, min_dist=0.1, seed=42, n_epochs=200):  # pragma: no cover - filled below
-    raise NotImplementedError("layout not available in this build")
