@@ -241,7 +241,7 @@ def find_ab(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
 
 def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features", id_col: str = "id",
                   min_dist: float = 0.1, seed: int = 42, n_epochs: int = 200, negative: int = 5,
-                  cut_every: int = 5) -> DataFrame:
+                  cut_every: int = 1) -> DataFrame:
     """M4d: 2-D layout by weighted gradient epochs on DataFrames.
 
     Start: the centred PCA projection scaled to a [-10, 10] box.  Each epoch

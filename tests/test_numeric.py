@@ -182,3 +182,22 @@ def test_sweep_grid_has_162_rows(spark):
 
     g = sweep.sweep_grid(spark)
     assert g.count() == 162 and g.distinct().count() == 162
+
+
+def test_layout_keeps_neighbours_better_than_random(spark):
+    from tessera.operators import layout
+
+    f2 = fx.points(spark, SF_SMALL).select("id", "vec")
+    out = layout.umap_embed(f2, "vec", "id", n_neighbors=15, n_epochs=10).toPandas().sort_values("id")
+    X = np.vstack(out.vec.to_numpy())
+    Y = out[["emb_x", "emb_y"]].to_numpy()
+    k = 10
+    D = ((X[:, None] - X[None]) ** 2).sum(2)
+    E = ((Y[:, None] - Y[None]) ** 2).sum(2)
+    np.fill_diagonal(D, np.inf)
+    np.fill_diagonal(E, np.inf)
+    a, b = np.argsort(D, 1)[:, :k], np.argsort(E, 1)[:, :k]
+    kept = np.mean([len(set(a[i]) & set(b[i])) / k for i in range(len(X))])
+    assert kept > 2 * k / len(X)  # random placement keeps about k / n
+    again = layout.umap_embed(f2, "vec", "id", n_neighbors=15, n_epochs=10).toPandas().sort_values("id")
+    assert np.allclose(again[["emb_x", "emb_y"]].to_numpy(), Y)  # same seed, same layout
