@@ -207,6 +207,12 @@ def transform_long(df: DataFrame, model: EncoderModel, id_col: str = "id") -> Da
     return out
 
 
+def _one_hot(ix_col: str, k: int):
+    """``array<double>`` of length k with 1.0 at the level index (all zeros if unseen)."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
+                       lambda i: F.when(i == F.col(ix_col), F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
 def transform_dense(df: DataFrame, model: EncoderModel, id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
     """M1 apply, dense form: ``(id, keep..., features array<double>)``.
 
@@ -232,8 +238,7 @@ def transform_dense(df: DataFrame, model: EncoderModel, id_col: str = "id", keep
         cur = cur.withColumn(f"_lk_{c}", lvl).join(voc, F.col(f"_lk_{c}") == F.col(f"_lv_{c}"), "left")
         k = model.vocab_sizes.get(c, 0)
         if k:
-            cat_arrays.append(F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                                          lambda i, c=c: F.when(i == F.col(f"_ix_{c}"), F.lit(1.0)).otherwise(F.lit(0.0))))
+            cat_arrays.append(_one_hot(f"_ix_{c}", k))
     arrays = ([F.array(*num_cols)] if num_cols else []) + cat_arrays
     feats = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
     return cur.select("id", *[k for k in keep if k != id_col], feats.alias("features"))
