@@ -40,8 +40,8 @@ def numbered(df: DataFrame, order: list[Column], out: str = "row_number") -> tup
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the salt lets a key of many equal rows spread over several ranges
-    salted = df.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id()))
+    # written first: the range exchange reads its input twice, and the salt, which spreads equal rows over ranges, is fixed
+    salted = cut(df.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id())))
     ranged = salted.repartitionByRange(parts, *order, "__salt").sortWithinPartitions(*order, "__salt").drop("__salt")
     placed = cut(ranged.withColumn("__place", F.monotonically_increasing_id()))
     place = F.col("__place")
