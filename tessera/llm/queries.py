@@ -44,3 +44,10 @@ def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack_documents
 
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import score_toxicity
+
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
