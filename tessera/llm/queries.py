@@ -51,3 +51,10 @@ def op10_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import score_toxicity
 
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import find_leaks
+
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
