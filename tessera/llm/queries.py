@@ -58,3 +58,10 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import find_leaks
 
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.secrets import scan_secrets
+
+    return scan_secrets(read_table(spark, sf_dir, "documents")).drop("value")
