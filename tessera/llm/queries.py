@@ -65,3 +65,11 @@ def op6_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.secrets import scan_secrets
 
     return scan_secrets(read_table(spark, sf_dir, "documents")).drop("value")
+
+
+@query
+def op3_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.hnsw import nearest_rows
+
+    rows = read_table(spark, sf_dir, "embeddings")
+    return nearest_rows(rows, rows.filter("vec_id % 100 = 0"))
