@@ -92,3 +92,57 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+_byte_codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_STEP = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse modulo 2^64
+_STEP_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(step: np.uint64, n: int) -> np.ndarray:
+    """step ** 0 .. step ** (n - 1) modulo 2^64, kept for later calls."""
+    have = _powers.get(int(step))
+    if have is None or len(have) < n:
+        have = np.full(max(n, BLOCK_BYTES + (1 << 16)), step, dtype=np.uint64)
+        have[0] = 1
+        have = np.multiply.accumulate(have)
+        if len(have) <= 2 * BLOCK_BYTES:
+            _powers[int(step)] = have
+    return have[:n]
+
+
+class Hashes:
+    """Hashes of any slice of a row of 64-bit codes: equal slices have equal hashes wherever they stand."""
+
+    def __init__(self, codes: np.ndarray):
+        self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum(codes * powers(_STEP, len(codes)), out=self.sums[1:])
+        self.back = powers(_STEP_BACK, len(codes) + 1)
+
+    def of(self, start: np.ndarray, stop: np.ndarray, salt: int = 0) -> np.ndarray:
+        """One hash per slice; the slice's length counts."""
+        raw = (self.sums[stop] - self.sums[start]) * self.back[start]
+        return mix64(raw + mix64((stop - start).astype(np.uint64) + np.uint64(salt * 0x100000001)))
+
+
+def byte_hashes(raw: np.ndarray) -> Hashes:
+    return Hashes(_byte_codes[raw])
+
+
+_space = np.zeros(256, dtype=bool)
+_space[list(WORD_BYTES)] = True
+
+
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word of the texts in ``raw``, and the n + 1 places where each text's words begin."""
+    word = ~_space[raw]
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    end = word.copy()
+    end[:-1] &= ~word[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(raw))]  # a word never crosses two texts
+    start[edges] = word[edges]
+    end[edges - 1] = word[edges - 1]
+    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+    return starts, ends, np.searchsorted(starts, offsets)

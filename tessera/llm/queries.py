@@ -73,3 +73,10 @@ def op3_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = read_table(spark, sf_dir, "embeddings")
     return nearest_rows(rows, rows.filter("vec_id % 100 = 0"))
+
+
+@query
+def op8_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, similarity=85)
