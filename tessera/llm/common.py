@@ -146,3 +146,29 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     end[edges - 1] = word[edges - 1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def keyed_documents(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Documents under a long key that orders as their ids do: (doc, text, copies) and (doc, doc_id) per input row.
+
+    Unique ids that are longs are the key themselves; then there is no second table.  Otherwise rows with the same id and text are one document
+    (``copies`` of them), and keys rank the documents by id (nulls first), then by hashes of the text.
+    """
+    texts = pick(docs, doc_id=id_col, text=text_col)
+    whole = texts.schema["doc_id"].dataType.typeName() == "long"
+    odd = texts.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if whole and odd.isEmpty():
+        return texts.select(F.col("doc_id").alias("doc"), "text", F.lit(1).cast("long").alias("copies")), None
+    marked = texts.select("doc_id", "text", F.xxhash64("text").alias("h"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("m"))
+    groups = marked.groupBy("doc_id", "h", "m").agg(F.count("*").alias("copies"))
+    ranked, _ = numbered(groups, [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("m")], out="doc")
+    same = marked["doc_id"].eqNullSafe(ranked["doc_id"]) & (marked["h"] == ranked["h"]) & (marked["m"] == ranked["m"])
+    joined = cut(marked.join(ranked, same).select("doc", marked["doc_id"], "text", "copies"))
+    return joined.groupBy("doc").agg(F.first("text").alias("text"), F.first("copies").alias("copies")), joined.select("doc", "doc_id")
+
+
+def by_id(done: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Results per ``doc`` as one row per input row, under ``doc_id``."""
+    if ids is None:
+        return done.withColumnRenamed("doc", "doc_id")
+    return ids.join(done, "doc").drop("doc")

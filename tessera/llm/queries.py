@@ -80,3 +80,10 @@ def op8_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.neardup import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=3, similarity=85)
+
+
+@query
+def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.recompression import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents"), width=20).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
