@@ -87,3 +87,11 @@ def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.recompression import remove_repeats
 
     return remove_repeats(read_table(spark, sf_dir, "documents"), width=20).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffixes import remove_repeated_bytes
+
+    done = remove_repeated_bytes(read_table(spark, sf_dir, "documents"), length=400)
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
