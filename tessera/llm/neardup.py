@@ -63,7 +63,9 @@ def digests(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, h1, h2 and the K smallest hashes (as sorted 64-bit values in bytes) of each row's set."""
+    """The columns of ``docs`` but the text, and n, h1, h2 and the K smallest hashes (in order) of each row's set."""
+
+    rest = [f for f in docs.schema.fields if f.name != "text"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -72,9 +74,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             h1, h2 = digests(values, at)
             ordered = signed(values)
             sketch = [ordered[a : min(a + K, b)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(sketch, pa.list_(pa.int64()))], names=[*(f.name for f in rest), "n", "h1", "h2", "sketch"])
 
-    return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, sketch array<long>")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rest]
+    return docs.mapInArrow(make, ", ".join([*kinds, "n long, h1 long, h2 long, sketch array<long>"]))
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -195,18 +198,19 @@ def across(members: DataFrame, similarity: int) -> DataFrame:
     return met.groupBy("centre", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     Words are runs without ASCII white space, A-Z in lower case.  A text of fewer words than ``words`` is one shingle;
     a null text or one without words has the empty set, is linked with nothing and is its own component.  Two sets are
     linked when 100 |x and y| >= ``similarity`` |x or y|.  Equal texts are linked.  Rows that repeat an id are told
-    apart; ``kept`` marks the rows whose id is the component's.  A null id counts as smaller than none: it never names
-    a component that holds another id.
+    apart; ``kept`` marks the rows whose id is the component's.  A null id never names a component that holds another
+    id.  With ``key_col``, that column follows as ``key``, and ``chosen`` marks one row of each component.
     """
     texts = pick(docs, doc_id=id_col, text=text_col)
-    rows = cut(sketches(texts, words).withColumn("rid", F.monotonically_increasing_id()))
-    groups = cut(rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id")))
+    wanted = texts if key_col is None else pick(docs, doc_id=id_col, text=text_col, key=key_col)
+    rows = cut(sketches(wanted, words).withColumn("rid", F.monotonically_increasing_id()))
+    groups = cut(rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("rid").alias("rid"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("rid").alias("row"))).alias("first")))
     classes = cut(rows.join(groups.select("rid"), "rid", "left_semi").select("rid", "n", "sketch"))
 
     # the smallest values of every class
@@ -240,11 +244,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
         inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
 
     labelled = groups.join(inside.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    smallest = labelled.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(smallest, "comp").select("h1", "h2", "n", "component_id")
-    out = rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    smallest = labelled.groupBy("comp").agg(F.min("first").alias("best"))
+    named = labelled.join(smallest, "comp").select("h1", "h2", "n", "best")
+    out = rows.drop("sketch").join(named, ["h1", "h2", "n"], "left")
+    empty = F.col("n") == 0
+    component = F.when(empty, F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    out = out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "kept"]
+    if key_col is not None:
+        columns += ["key", (empty | (F.col("rid") == F.col("best.row"))).alias("chosen")]
+    return out.select(*columns)
 
 
 def verified(probable: DataFrame, texts: DataFrame, rows: DataFrame, words: int, similarity: int, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:

@@ -95,3 +95,10 @@ def op7_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = remove_repeated_bytes(read_table(spark, sf_dir, "documents"), length=400)
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -20,6 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions.persist import cut
 from tessera.llm.common import blocks, pick
@@ -123,17 +124,18 @@ def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             rows = np.asarray([features.of(x or "") for x in batch.column("text").to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *(pa.array(rows[:, j]) for j in range(len(FEATURES)))], names=[*(f.name for f in rest), *FEATURES])
 
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rest] + [f"{x} double" for x in FEATURES]
-    return docs.mapInArrow(compute, ", ".join(kinds))
+    return docs.mapInArrow(compute, StructType([*rest, *(StructField(x, DoubleType()) for x in FEATURES)]))
 
 
 def sample_of(labels: DataFrame, folds: list[int], rows: int) -> DataFrame:
     return labels.filter(F.col("fold").isin(folds)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "toxic")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", whole_rows: bool = False) -> DataFrame:
     """One row per input row: doc_id, held_out, score in [0, 1], predicted (1 where score >= 0.5).
 
+    With ``whole_rows``, the input row follows as the struct ``row``.
+
     ``labels`` holds doc_id and toxic (0 or 1); rows with a null in either are ignored, of repeated ids the largest
     label counts, ids that ``docs`` lacks play no part.  Labels, language, source and id are no inputs of a score.  A
     null text counts as empty and is scored like any other.  Without labels of both kinds in the training folds, all
@@ -153,11 +155,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         lexicon = learn_lexicon(texts.join(F.broadcast(read_rows), "doc_id").select("text", "toxic"), counts[1], counts[0])
     rows = cut(with_features(texts.join(F.broadcast(fit), "doc_id"), lexicon))
     kinds = {(r["part"], r["toxic"]): r["count"] for r in rows.groupBy("part", "toxic").count().collect()}
-    everything = with_features(texts, lexicon)
+    wide = texts if not whole_rows else docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    everything = with_features(wide, lexicon)
+    row = ["row"] if whole_rows else []
     if not (kinds.get((0, 0)) and kinds.get((0, 1))):
         total = sum(counts.values()) + sum(kinds.values())
         share = (counts.get(1, 0) + sum(v for (_, y), v in kinds.items() if y)) / total if total else 0.0
-        return everything.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
+        return everything.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"), *row)
     # part 1 calibrates; should it lack a kind, part 0 does
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTClassifier(labelCol="toxic", featuresCol="features", maxDepth=3, maxIter=20, stepSize=0.2, seed=7).fit(assemble.transform(rows.filter("part = 0")))
@@ -167,4 +171,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     curve = IsotonicRegression(labelCol="toxic", featuresCol="p", predictionCol="score").fit(rated)
     scored = curve.transform(trees.transform(assemble.transform(everything)).withColumn("p", margin))
     score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *row)
