@@ -195,7 +195,7 @@ def nearest_rows(embeddings: DataFrame, queries: DataFrame, k: int = 10, shard_r
     graphs = build_shards(shape(embeddings), k, shard_rows)
     asked = cut(shape(queries).distinct())
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    where = graphs.select("shard", "dim")
+    where = graphs.select((F.col("shard") + 0).alias("to_shard"), (F.col("dim") + 0).alias("dim"))
     # a query block and a shard meet under one key; neither outgrows its bound
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("dim", F.size("vector")).join(where, "dim")
     copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -230,7 +230,7 @@ def nearest_rows(embeddings: DataFrame, queries: DataFrame, k: int = 10, shard_r
             out.append((asked_ids[row[top]], found[top], score[top]))
         return pa.table({"query_id": np.concatenate([x[0] for x in out]), "vec_id": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
 
-    found = asked.groupBy("shard", "dim", "block").cogroup(copies.groupBy("shard", "dim", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = asked.groupBy("to_shard", "dim", "block").cogroup(copies.groupBy("shard", "dim", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
