@@ -158,6 +158,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(decide, "a long, b long")
 
 
+def listed(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Inverted lists of the sketches of ``rows``: the values, where each one's list starts, its length, the members."""
+    size = at[rows + 1] - at[rows]
+    member = np.repeat(np.arange(len(rows)), size)
+    place = np.repeat(at[rows], size) + np.arange(len(member)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(values[place], kind="stable")
+    slots, first, counts = np.unique(values[place][order], return_index=True, return_counts=True)
+    return slots, first, counts, member[order]
+
+
+def overlaps(values: np.ndarray, at: np.ndarray, rows: np.ndarray, slots: np.ndarray, first: np.ndarray, counts: np.ndarray, member: np.ndarray, width: int) -> np.ndarray:
+    """How many values the sketch of each of ``rows`` shares with each of the ``width`` listed ones."""
+    if not len(slots) or not len(rows):
+        return np.zeros((len(rows), width), dtype=np.int64)
+    size = at[rows + 1] - at[rows]
+    owner = np.repeat(np.arange(len(rows)), size)
+    value = values[np.repeat(at[rows], size) + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)]
+    slot = np.minimum(np.searchsorted(slots, value), len(slots) - 1)
+    same = slots[slot] == value
+    owner, slot = owner[same], slot[same]
+    times = counts[slot]
+    met = member[np.repeat(first[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    return np.bincount(np.repeat(owner, times) * width + met, minlength=len(rows) * width).reshape(len(rows), width)
+
+
 def across(members: DataFrame, similarity: int) -> DataFrame:
     """Pairs of members of one centre, from different components, whose sketches allow the similarity.
 
@@ -179,19 +204,20 @@ def across(members: DataFrame, similarity: int) -> DataFrame:
         at, values = sketch.offsets.to_numpy(), sketch.values.to_numpy()
         found: list[tuple[int, int]] = []
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        for i in left.tolist():
-            x = values[at[i] : at[i + 1]]
-            fit = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * 100 >= similarity * np.maximum(n[right], n[i])) & ((low != high) | (rid[right] > rid[i]))]
-            if not fit.size:
-                continue
-            # of the other's values below this sketch's end, how many are shared: a quick bound before the estimate
-            for j in fit.tolist():
-                y = values[at[j] : at[j + 1]]
-                if np.isin(x[:FIRST], y, assume_unique=True).sum() * 2 < min(FIRST, len(x)):
-                    continue
-                both, k = union_estimate(x, y)
-                if both >= least * k:
-                    found.append((min(rid[i], rid[j]), max(rid[i], rid[j])))
+        size = np.diff(at)
+        slots, first, counts, rank = listed(values, at, right)
+        for a in range(0, len(left), 64):
+            some = left[a : a + 64]
+            both = overlaps(values, at, some, slots, first, counts, rank, len(right))
+            i, j = some[:, None], right[None]
+            fit = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= similarity * np.maximum(n[i], n[j])) & ((low != high) | (rid[i] < rid[j]))
+            whole = (size[i] < K) & (size[j] < K)
+            fit &= np.where(whole, 100 * both >= similarity * (size[i] + size[j] - both), both >= least * K)
+            for x, y in zip(*np.nonzero(fit), strict=True):
+                x, y = some[x], right[y]
+                shared, k = union_estimate(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]])
+                if shared >= least * k:
+                    found.append((min(rid[x], rid[y]), max(rid[x], rid[y])))
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
