@@ -35,7 +35,6 @@ def epsilon_cover(
     id_col: str = "id",
     part_cols: Sequence[str] = ("cluster",),
     order_col: str | None = None,
-    max_rounds: int = 100_000,
 ) -> DataFrame:
     """Centres per partition: ``(part..., center_rank, id)``.
 
@@ -48,7 +47,7 @@ def epsilon_cover(
     und = pts.select(*part_cols, F.col(id_col).alias("v")).transform(cut)
     found = []
     keys = list(part_cols)
-    for _ in range(max_rounds):
+    while True:  # every round decides the first undecided point of each partition at least
         # Every round reads only checkpointed inputs: the plan stays one round
         # deep (nested plans make Catalyst's work grow with each round), and a
         # lost executor recomputes at most one round.
@@ -111,7 +110,7 @@ def cover_and_match(
     """
     for c in [id_col, cluster_col, *coords]:
         if c not in df.columns:
-            raise ValueError("Missing required columns for selection")  # P15
+            raise ValueError(f"the selection needs column {c!r}")  # P15
     on = df.where(F.col("in_on") & (F.col(cluster_col) != -1))
     cand = df.where(F.col("in_not"))
     if use_cluster_scope:

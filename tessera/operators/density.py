@@ -31,7 +31,8 @@ def metric_space(df: DataFrame, coords: Sequence[str], metric: str) -> tuple[Dat
         return df, tuple(coords), "manhattan"
     if metric == "cosine":
         norm = F.sqrt(sum((F.col(c) * F.col(c) for c in coords[1:]), F.col(coords[0]) * F.col(coords[0])))
-        unit = {f"__u_{c}": F.col(c) / norm for c in coords}
+        # the origin has no direction: it stays at the origin, at distance 1/2 from every other point
+        unit = {f"__u_{c}": F.when(norm > 0, F.col(c) / norm).otherwise(F.lit(0.0)) for c in coords}
         return df.withColumns(unit), tuple(unit), "euclidean"
     raise ValueError(f"Unknown metric: {metric}")
 
@@ -156,7 +157,7 @@ def _limit(h: float, metric: str) -> float:
     return h * h / 2.0 if metric == "cosine" else h
 
 
-def _merge_components(cur: DataFrame, best: DataFrame, max_jumps: int = 64) -> DataFrame:
+def _merge_components(cur: DataFrame, best: DataFrame) -> DataFrame:
     """Relabel points after a Borůvka round.
 
     Each component hooks onto the component at the other end of its chosen
@@ -174,7 +175,7 @@ def _merge_components(cur: DataFrame, best: DataFrame, max_jumps: int = 64) -> D
     par = (hook.join(back, "p", "left")
                .select("comp", F.when((F.col("pp") == F.col("comp")) & (F.col("comp") < F.col("p")), F.col("comp"))
                        .otherwise(F.col("p")).alias("p"))).transform(cut)
-    for _ in range(max_jumps):
+    while True:  # pointers halve their distance to the root each time
         nxt = (par.alias("a").join(par.alias("b"), F.col("a.p") == F.col("b.comp"), "left")
                   .select(F.col("a.comp").alias("comp"), F.coalesce(F.col("b.p"), F.col("a.p")).alias("p"),
                           (F.coalesce(F.col("b.p"), F.col("a.p")) != F.col("a.p")).alias("moved")))
@@ -187,7 +188,7 @@ def _merge_components(cur: DataFrame, best: DataFrame, max_jumps: int = 64) -> D
 
 
 def mst_edges(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, id_col: str = "id",
-              metric: str = "euclidean", max_rounds: int = 64) -> DataFrame:
+              metric: str = "euclidean") -> DataFrame:
     """Minimum spanning tree of the mutual-reachability graph (Borůvka).
 
     ``(u, v, w)`` with u < v, n - 1 rows for n points.  Each round every
@@ -203,7 +204,7 @@ def mst_edges(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, i
     h0, extent = grid_scale(base, base, cs)
     cur = base.select("id", F.col("id").alias("comp"), "core", *cs).transform(cut)
     tree: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:  # every round at least halves the components
         if cur.select("comp").distinct().limit(2).count() <= 1:
             break
         best = _best_foreign_edges(cur, cs, h0, extent, metric)
@@ -537,7 +538,10 @@ def hdbscan(df: DataFrame, min_cluster_size: int = 500, min_samples: int = 3, me
             epsilon: float = 0.01, metric: str = "euclidean", coords: Sequence[str] = XY, id_col: str = "id",
             max_fragment: int = 200_000) -> DensityResult:
     """M6: labels 0.. (numbered by smallest member id), noise -1."""
-    pts = df.select(F.col(id_col).alias("id"), *coords).transform(cut)
+    whole = df.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
+    keyed = df.select(F.col(id_col).alias("__id"), *coords)
+    keyed = keyed.withColumn("id", F.col("__id") if whole else F.monotonically_increasing_id()).transform(cut)
+    pts = keyed.select("id", *coords)
     tree = mst_edges(pts, min_samples, coords, "id", metric).transform(cut)
     cl, deep = condensed_tree(tree, pts, min_cluster_size, max_fragment)
     selected = select_clusters(cl, method, epsilon)
@@ -546,6 +550,8 @@ def hdbscan(df: DataFrame, min_cluster_size: int = 500, min_samples: int = 3, me
 
     rv = relative_validity(tree, labels.select("id", "cluster"))
     cl = cl.assign(selected=cl["cid"].isin(selected))
+    if not whole:  # ids of any type: the search ran on a written long key
+        labels = labels.join(keyed.select("id", "__id"), "id").drop("id").withColumnRenamed("__id", "id")
     return DensityResult(labels.withColumnRenamed("id", id_col), tree, cl, rv)
 
 

@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.numeric import is_numeric_type, to_number
 from tessera.functions.quantiles import grouped_median
+from tessera.functions.ranks import numbered
 from tessera.operators.profile import value_counts, value_text
 
 BROADCAST_VOCAB_ROWS = 200_000
@@ -88,8 +88,8 @@ def vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, level_idx, level, level_num)``; all seen levels, sorted.
 
     Numeric levels sort as numbers, text as text.  The index is assigned by a
-    distributed sort + ``zipWithIndex`` (per-partition counting, no single
-    task holds a column's levels), re-based per column.
+    distributed sort and one count per partition (no single task holds a
+    column's levels), re-based per column.
     """
     vc = value_counts(df, cols).select("col_name", "value", "value_num")
     return dense_index(vc, "col_name", ["value_num", "value"], "level_idx").select(
@@ -98,12 +98,9 @@ def vocabulary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def dense_index(df: DataFrame, part: str, order: Sequence[str], out: str) -> DataFrame:
     """0-based rank of each row within ``part`` by ``order`` (rows distinct)."""
-    ordered = df.orderBy(part, *order)
-    schema = T.StructType(ordered.schema.fields + [T.StructField("_gidx", T.LongType(), False)])
-    spark = df.sparkSession
-    indexed = spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])), schema)
+    indexed, _ = numbered(df, [part, *order], "_gidx")
     base = indexed.groupBy(part).agg(F.min("_gidx").alias("_base"))
-    return indexed.join(base, part).select(*df.columns, (F.col("_gidx") - F.col("_base")).cast("int").alias(out))
+    return indexed.join(base, part).select(*df.columns, (F.col("_gidx") - F.col("_base")).alias(out))
 
 
 @dataclass
@@ -123,7 +120,7 @@ class EncoderModel:
 
     def feature_names(self) -> DataFrame:
         """M2: ``(feature_idx, feature)``: ``num__c`` then ``cat__c_level``."""
-        spark = self.vocab.sparkSession if self.vocab is not None else None
+        spark = SparkSession.active()
         rows = [(i, f"num__{c}") for i, c in enumerate(self.numeric)]
         num = spark.createDataFrame(rows, "feature_idx int, feature string") if rows else None
         offs = self.offsets()
@@ -222,8 +219,8 @@ def transform_dense(df: DataFrame, model: EncoderModel, id_col: str = "id", keep
     ``transform_long``.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    cur = df.select(F.col(id_col).alias("id"), *[F.col(k) for k in keep if k != id_col],
-                    *[F.col(c) for c in set(model.numeric) | set(model.categorical) if c != id_col])
+    cur = df.select(F.col(id_col).alias("__rid"), *[F.col(k) for k in keep if k != id_col],
+                    *[F.col(c) for c in sorted(set(model.numeric) | set(model.categorical)) if c not in keep])
     num_cols = []
     for c in model.numeric:
         med, mean, scale = model.stats[c]
@@ -241,4 +238,4 @@ def transform_dense(df: DataFrame, model: EncoderModel, id_col: str = "id", keep
             cat_arrays.append(_one_hot(f"_ix_{c}", k))
     arrays = ([F.array(*num_cols)] if num_cols else []) + cat_arrays
     feats = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return cur.select("id", *[k for k in keep if k != id_col], feats.alias("features"))
+    return cur.select(F.col("__rid").alias("id"), *[k for k in keep if k != id_col], feats.alias("features"))

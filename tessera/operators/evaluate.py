@@ -2,13 +2,9 @@
 
 * Davies-Bouldin: centroids and scatters are grouped aggregates; the k x k
   step runs on the k centroid rows on the driver (k = number of clusters).
-* Silhouette is all-pairs by definition.  It is computed exactly on at most
-  ``sample_size`` rows (default 60,000, the modelled row cap, under which the
-  modelled job is also exact); beyond that on an exact seeded sample of that
-  size, and ``n_used`` reports how many rows entered.  The sample's
-  coordinates are broadcast (size bound: sample_size x (d + 1) doubles) and
-  every partition of it computes its rows' per-cluster distance sums with
-  blocked NumPy: no pair table is ever materialised.
+* Silhouette is all-pairs by definition: blocks of rows meet in tasks that
+  give distance sums, and the sums are added up; no pair table exists and no
+  row reaches the driver.  A sample is taken only on request.
 * Relative validity: joins of the spanning-tree edges with the labels and
   grouped aggregates.
 """
@@ -18,11 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import sq_dist
+from tessera.functions.persist import cut
 
 
 def noise_stats(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
@@ -67,51 +64,81 @@ def silhouette(
     coords: Sequence[str] = ("emb_x", "emb_y"),
     cluster_col: str = "cluster",
     id_col: str = "id",
-    sample_size: int = 60_000,
+    sample_size: int | None = None,
     seed: int = 42,
     block: int = 2048,
 ) -> tuple[float, int]:
-    """M8: (mean silhouette, rows used), Euclidean."""
-    from tessera.operators.status import exact_sample
-
-    pts = exact_sample(df.select(id_col, cluster_col, *coords), sample_size, seed, id_col)
-    local = pts.toPandas()  # bounded by sample_size rows
-    n = len(local)
-    if n == 0 or local[cluster_col].nunique() < 2:
-        raise ValueError("Silhouette needs at least two labels")
-    xs = local[list(coords)].to_numpy(dtype=np.float64)
-    labels = local[cluster_col].to_numpy()
-    uniq, inv = np.unique(labels, return_inverse=True)
-    counts = np.bincount(inv)
-    sc = df.sparkSession.sparkContext
-    b_xs, b_inv, b_counts = sc.broadcast(xs), sc.broadcast(inv), sc.broadcast(counts)
-    spark = df.sparkSession
-    n_parts = max(1, min(spark.sparkContext.defaultParallelism * 4, (n + block - 1) // block))
-    idx = spark.range(0, n, numPartitions=n_parts)
-
-    def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        allx, allc, cnt = b_xs.value, b_inv.value, b_counts.value
-        k = len(cnt)
-        for pdf in it:
-            ids = pdf["id"].to_numpy()
-            for s0 in range(0, len(ids), block):
-                rows = ids[s0:s0 + block]
-                d = np.sqrt(((allx[rows][:, None, :] - allx[None, :, :]) ** 2).sum(axis=2))
-                sums = np.zeros((len(rows), k))
-                for c in range(k):
-                    sums[:, c] = d[:, allc == c].sum(axis=1)
-                own = allc[rows]
-                n_own = cnt[own]
-                a = np.where(n_own > 1, sums[np.arange(len(rows)), own] / np.maximum(n_own - 1, 1), 0.0)
-                mean_other = sums / cnt[None, :]
-                mean_other[np.arange(len(rows)), own] = np.inf
-                b = mean_other.min(axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = np.where(n_own > 1, (b - a) / np.maximum(a, b), 0.0)
-                yield pd.DataFrame({"s": np.nan_to_num(s)})
-
-    res = idx.mapInPandas(part, "s double").agg(F.avg("s").alias("m"), F.count(F.lit(1)).alias("n")).first()
-    return float(res["m"]), int(res["n"])
+    """M8: (mean silhouette, rows used), Euclidean; every row unless a sample is asked for.
+
+    Rows are dealt to blocks by a hash.  A task meets two blocks and gives the distance sums of one block's rows to
+    each cluster of the other; the sums are added up in groups of blocks.  A task holds one block against a slice of
+    the other, and one sum per row and cluster.
+    """
+    pts = df.select(F.xxhash64(id_col).alias("h"), F.col(cluster_col).cast("long").alias("c"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(coords)])
+    if sample_size is not None:
+        from tessera.operators.status import exact_sample
+
+        pts = exact_sample(df.select(id_col, cluster_col, *coords), sample_size, seed, id_col).select(
+            F.xxhash64(id_col).alias("h"), F.col(cluster_col).cast("long").alias("c"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(coords)])
+    pts = cut(pts)
+    sizes = {r["c"]: r["count"] for r in pts.groupBy("c").count().collect()}  # one row per cluster
+    n = sum(sizes.values())
+    if len(sizes) < 2:
+        raise ValueError("the silhouette needs two labels or more")
+    names = np.array(sorted(sizes))
+    counts = np.array([sizes[c] for c in names])
+    blocks = max(1, -(-n // block))
+    xs = [f"x{i}" for i in range(len(coords))]
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = np.column_stack([table.column(c).to_numpy() for c in xs])
+        c = np.searchsorted(names, table.column("c").to_numpy())
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "x": pa.array([x.tobytes()], pa.binary()), "c": pa.array([c.astype(np.int64).tobytes()], pa.binary())})
+
+    packed = cut(pts.withColumn("block", F.pmod("h", F.lit(blocks))).groupBy("block").applyInArrow(pack, "block long, x binary, c binary"))
+    left = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = packed.select(F.col("block").alias("other"), F.col("x").alias("y"), F.col("c").alias("d"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                x = np.frombuffer(batch.column("x")[r].as_buffer()).reshape(-1, len(xs))
+                y = np.frombuffer(batch.column("y")[r].as_buffer()).reshape(-1, len(xs))
+                member = np.zeros((len(y), len(names)))
+                member[np.arange(len(y)), np.frombuffer(batch.column("d")[r].as_buffer(), np.int64)] = 1.0
+                sums = np.zeros((len(x), len(names)))
+                for a in range(0, len(y), 256):
+                    apart = x[:, None, :] - y[None, a : a + 256, :]
+                    sums += np.sqrt(np.einsum("ijk,ijk->ij", apart, apart)) @ member[a : a + 256]
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), batch.column("other").slice(r, 1), pa.array([sums.tobytes()], pa.binary())], names=["block", "other", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v.as_buffer()) for v in table.column("sums"))
+        return pa.table({"block": table.column("block").slice(0, 1), "other": table.column("other").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "block long, other long, sums binary"
+    sums = left.join(right, "other").select("block", "other", "x", "y", "d").mapInArrow(meet, schema)
+    levels = 0
+    while blocks >> (5 * levels) > 1:  # 32 partial sums at a time
+        levels += 1
+        sums = sums.withColumn("other", F.shiftright("other", 5)).groupBy("block", "other").applyInArrow(add, schema)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = np.frombuffer(batch.column("c")[r].as_buffer(), np.int64)
+                total = np.frombuffer(batch.column("sums")[r].as_buffer()).reshape(len(own), -1)
+                row, mine = np.arange(len(own)), counts[own]
+                a = np.where(mine > 1, total[row, own] / np.maximum(mine - 1, 1), 0.0)
+                mean = total / counts
+                mean[row, own] = np.inf
+                b = mean.min(axis=1)
+                most = np.maximum(a, b)
+                s = np.where((mine > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1.0), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([float(s.sum())]), pa.array([len(s)], pa.int64())], names=["s", "n"])
+
+    total = sums.join(packed.select("block", "c"), "block").select("c", "sums").mapInArrow(score, "s double, n long").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return float(total["s"] / total["n"]), int(total["n"])
 
 
 def relative_validity(edges: DataFrame, labels: DataFrame, id_col: str = "id", cluster_col: str = "cluster") -> float:
@@ -147,7 +174,9 @@ def relative_validity(edges: DataFrame, labels: DataFrame, id_col: str = "id", c
         "size",
         F.coalesce("dsc", F.lit(0.0)).alias("dsc"),
         F.coalesce("dspc", F.lit(correction)).alias("dspc"))
-    v = (F.col("dspc") - F.col("dsc")) / F.greatest("dspc", "dsc")
+    # coincident points: no spread and no gap, so no evidence either way
+    widest = F.greatest("dspc", "dsc")
+    v = F.when(widest > 0, (F.col("dspc") - F.col("dsc")) / widest).otherwise(F.lit(0.0))
     score = per.agg(F.sum(F.col("size") * v)).first()[0]
     e.unpersist()
     return float(score / total) if total and score is not None else float("nan")

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from tessera.functions.persist import cut
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``vertices(v)``, ``edges(a, b)`` -> ``(v, comp)``, comp = smallest id of the component."""
     p = vertices.select("v", F.col("v").alias("p")).distinct().transform(cut)
     e = (edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
               .where(F.col("a") != F.col("b")).distinct().transform(cut))
     if e.isEmpty():
         return p.select("v", F.col("p").alias("comp"))
-    for _ in range(max_rounds):
+    while True:  # every round with a change lowers some pointer
         nb = e.join(p.withColumnRenamed("v", "b").withColumnRenamed("p", "pb"), "b") \
               .groupBy("a").agg(F.min("pb").alias("m"))
         cand = p.join(nb.withColumnRenamed("a", "v"), "v", "left") \

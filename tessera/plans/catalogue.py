@@ -811,24 +811,11 @@ def q_fuzzy_graph(spark, sf_dir):
 
 # ------------------------------------------------------------------ spanning tree and density clusters
 
-_TREES: dict[tuple, str] = {}
-
-
 def _f2_tree(spark, sf_dir, min_samples: int, metric: str) -> DataFrame:
-    """The spanning tree is the expensive shared step: computed once per
-    (input, min_samples, metric) and re-read from its written table."""
-    key = (sf_dir, min_samples, metric)
-    if key in _TREES:
-        try:
-            return spark.read.parquet(_TREES[key])
-        except Exception:  # noqa: BLE001 - the folder may be gone in a new session
-            _TREES.pop(key, None)
-    tree = density.mst_edges(_f2_xy(spark, sf_dir), min_samples, metric=metric)
+    """The spanning tree over F2, built anew for every query."""
     from tessera.functions.persist import cut
 
-    tree = tree.transform(cut)
-    _TREES[key] = tree.inputFiles()[0].rsplit("/", 1)[0]
-    return tree
+    return cut(density.mst_edges(_f2_xy(spark, sf_dir), min_samples, metric=metric))
 
 
 @register("mst_edges")

@@ -9,16 +9,17 @@ the same row, never glued back by position.
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.persist import cut
 
 from tessera.operators import cluster as kmeans_ops
 from tessera.operators import cover, encode, evaluate, profile, reduce, status, summarize
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import prepare
+from tessera.sources import readers, sinks
 
 
 @dataclass
@@ -45,10 +46,11 @@ class JobParams:
     epsilon: float = 0.2
     epsilon_use_cluster_scope: bool = False
     sample_rows: int | None = None  # O1 is off by default: no row cap
+    silhouette_sample: int | None = None  # all rows unless a sample is asked for
     preferred_features: list[str] = field(default_factory=list)
     preferred_numeric: list[str] = field(default_factory=list)
     forced_categorical: list[str] = field(default_factory=lambda: list(profile.FORCED_CATEGORICAL))
-    experiment: str = "BinClust"
+    experiment: str = "tessera"
     run_name: str | None = None
 
 
@@ -60,34 +62,45 @@ class JobResult:
     metrics: dict[str, float]
     selection: DataFrame | None = None
     feature_names: DataFrame | None = None
+    features: DataFrame | None = None
+
+
+ROW = "__row"
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``df`` with a unique long per row, written so that every later read sees the same key."""
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def ensure_id(df: DataFrame, id_col: str) -> DataFrame:
-    """A surrogate key only when the input has none (rows are never matched by position)."""
+    """The row key as id where the input has no id column."""
     if id_col in df.columns:
         return df
-    warnings.warn(f"ID column '{id_col}' absent; adding a surrogate key", stacklevel=2)
-    return df.withColumn(id_col, F.monotonically_increasing_id())
+    warnings.warn(f"no column '{id_col}': the row key serves as id", stacklevel=2)
+    return df.withColumn(id_col, F.col(ROW))
 
 
 def run_default_job(df: DataFrame, params: JobParams | None = None, id_map: DataFrame | None = None) -> JobResult:
-    """Table -> roles -> encode -> 2-D -> clusters -> status coordinate (+ selection)."""
+    """Table -> roles -> encode -> 2-D -> clusters -> status coordinate (+ selection).
+
+    The labelled table has exactly the input's rows (or the sample's, if one is asked for).
+    """
     p = params or JobParams()
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    df = ensure_id(df, p.id_column)
+    prepare(spark)
+    df = ensure_id(with_row_key(df), p.id_column)
     if p.sample_rows:
-        df = status.exact_sample(df, p.sample_rows, p.random_state, p.id_column)
-    roles = profile.resolve_roles(df, p.preferred_features or None, p.preferred_numeric, p.forced_categorical,
+        df = cut(status.exact_sample(df, p.sample_rows, p.random_state, ROW))
+    table = df.drop(ROW)
+    roles = profile.resolve_roles(table, p.preferred_features or None, p.preferred_numeric, p.forced_categorical,
                                   p.nominal_unique_threshold, p.nominal_ratio_threshold)
-    model = encode.fit_encoder(df, roles.numeric, roles.categorical)
-    feats = encode.transform_dense(df, model, p.id_column).transform(cut)
+    model = encode.fit_encoder(table, roles.numeric, roles.categorical)
+    feats = encode.transform_dense(df, model, ROW).transform(cut)
     emb = reduce.reduce_dimensions(feats, p.reducer, "features", p.random_state, p.umap_n_neighbors,
-                                   p.umap_min_dist, "id").select("id", "emb_x", "emb_y")
-    metrics: dict[str, float] = {}
-    if p.clusterer == "kmeans":
-        labelled, _, _ = kmeans_ops.kmeans_labels(emb, k=p.n_clusters, seed=p.random_state)
-    elif p.clusterer == "hdbscan":
+                                   p.umap_min_dist, "id").select("id", "emb_x", "emb_y").transform(cut)
+    metrics: dict[str, float] = {"n_rows": float(feats.count()), "n_features": float(model.width)}
+    if p.clusterer == "hdbscan":
         from tessera.operators.density import hdbscan
 
         res = hdbscan(emb, p.hdb_min_cluster_size, p.hdb_min_samples, p.hdb_cluster_selection_method,
@@ -95,14 +108,15 @@ def run_default_job(df: DataFrame, params: JobParams | None = None, id_map: Data
         labelled = res.labels
         metrics["DBCV"] = res.relative_validity
     else:
-        raise ValueError("Unknown clusterer. Use 'kmeans' or 'hdbscan'.")
+        labelled = kmeans_ops.cluster_data(emb, p.clusterer, k=p.n_clusters, seed=p.random_state)
     labelled = labelled.select("id", "emb_x", "emb_y", "cluster").transform(cut)
-    out = df.join(labelled.withColumnRenamed("id", p.id_column), p.id_column)
-    out = status.status_coordinate(out, id_map, p.id_column, p.drug_z_default, p.z_jitter_sd, p.random_state)
+    out = df.join(labelled.withColumnRenamed("id", ROW), ROW)
+    out = status.status_coordinate(out, id_map, p.id_column, p.drug_z_default, p.z_jitter_sd, p.random_state).drop(ROW)
     ns = evaluate.noise_stats(labelled).first()
     if ns["n_labels"] > 1:
         if p.clusterer == "kmeans":
-            metrics["silhouette_2d"], _ = evaluate.silhouette(labelled)
+            metrics["silhouette_2d"], used = evaluate.silhouette(labelled, sample_size=p.silhouette_sample)
+            metrics["silhouette_rows"] = float(used)
         metrics["davies_bouldin_2d"] = evaluate.davies_bouldin(labelled)
     if p.clusterer == "hdbscan":
         metrics.update({"hdbscan_noise_count": ns["n_noise"], "hdbscan_noise_ratio": ns["noise_ratio"],
@@ -114,7 +128,38 @@ def run_default_job(df: DataFrame, params: JobParams | None = None, id_map: Data
         _, matches = cover.cover_and_match(flagged, p.epsilon, cover.XYZ, p.id_column, "cluster",
                                            p.epsilon_use_cluster_scope)
         selection = cover.selection(matches, out.select("cluster").distinct())
-    return JobResult(out, roles.numeric, roles.categorical, metrics, selection, model.feature_names())
+    return JobResult(out, roles.numeric, roles.categorical, metrics, selection, model.feature_names(), feats)
+
+
+def run_folder(spark: SparkSession, data_dir: str, out_dir: str | None = None, params: JobParams | None = None,
+               spec_json: str | None = None, id_map_path: str | None = None, fmt: str = "parquet",
+               segment_col: str | None = None) -> tuple[JobResult, str]:
+    """The whole job from a folder to its outputs: read, check, cluster, explain, and write every table.
+
+    Discovery (S1), the empty guard (S5), the column spec (S6), the id map (S7), the sinks (S8-S12), the run record
+    (S13, A17) and the output location (S14).  Returns the result and where its tables were written.
+    """
+    p = params or JobParams()
+    df = readers.require_rows(readers.discover_input(spark, data_dir))
+    if spec_json is not None:
+        spec = readers.ColumnSpec.from_json(spec_json)
+        p = replace(p, preferred_features=spec.preferred_features, preferred_numeric=spec.preferred_numeric)
+    res = run_default_job(df, p, readers.read_id_map(spark, id_map_path, id_col=p.id_column))
+    where = sinks.output_location(data_dir, out_dir, p.run_name)
+    sinks.write_labelled(res.labelled, where, fmt)
+    sinks.write_features(res.features, res.feature_names, where)
+    if segment_col is not None and segment_col in res.labelled.columns:
+        sinks.write_explanations(*explain(res.labelled, segment_col), where)
+    else:
+        overall = summarize.cluster_summary(res.labelled, levels="overall") if segment_col is None else None
+        sinks.write_explanations(None, overall, None, where)
+    if res.selection is not None:
+        sinks.write_selection(res.selection, where, fmt)
+    from tessera.plans import sweep
+
+    params_text = {k: str(v) for k, v in asdict(p).items()}
+    sweep.write_runs(spark, [sweep.run_record(p.experiment, params_text, res.metrics, p.run_name)], f"{where}/runs")
+    return res, where
 
 
 def explain(labelled: DataFrame, segment_col: str = "sexo") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -69,7 +69,7 @@ def hdbscan_metrics(labels: DataFrame, tree: DataFrame) -> dict:
     return out
 
 
-def run_sweep(embed: Callable[[int], DataFrame], grid: list[dict], experiment: str = "BinClust",
+def run_sweep(embed: Callable[[int], DataFrame], grid: list[dict], experiment: str = "tessera",
               metric: str = "euclidean") -> list[tuple]:
     """Run every grid point, sharing embeddings, trees and condensed trees.
 

@@ -12,6 +12,7 @@ S7  read_id_map        two id sets as one keyed table (id, in_on, in_not)
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,23 +98,24 @@ def discover_input(spark: SparkSession, data_dir: str) -> DataFrame:
     All matching files form one table (at scale the input is a folder of
     parts, not one file), so the choice is deterministic.
     """
-    try:
-        df = (spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-              .parquet(data_dir))
-        df.schema  # noqa: B018
-        return df
-    except AnalysisException:
-        pass
+    # files and partition folders (which become columns) of the folder itself, else tables that are folders in it
+    for path, options in ((data_dir, {"pathGlobFilter": "*.parquet"}), (f"{data_dir.rstrip('/')}/*.parquet", {})):
+        try:
+            df = spark.read.options(**options).parquet(path)
+            if df.columns:
+                return df
+        except AnalysisException:
+            continue
     try:
         return read_csv(spark, data_dir, glob="*.csv")
     except AnalysisException as exc:
-        raise FileNotFoundError(f"No Parquet or CSV files found in {data_dir}") from exc
+        raise FileNotFoundError(f"{data_dir} holds neither Parquet nor CSV") from exc
 
 
 def require_rows(df: DataFrame) -> DataFrame:
     """An empty input is fatal."""
     if df.isEmpty():
-        raise ValueError("The input dataset is empty.")
+        raise ValueError("the input has no rows")
     return df
 
 
@@ -162,7 +164,10 @@ def read_id_map(spark: SparkSession, path: str | None, set_col: str = "set_name"
         return None
     try:
         raw = read_any(spark, path)
-    except Exception:  # noqa: BLE001 - a missing map only warns, as in the modelled job
+    except (AnalysisException, FileNotFoundError) as exc:
+        if "PATH_NOT_FOUND" not in str(exc) and not isinstance(exc, FileNotFoundError):
+            raise  # a map that is there but unreadable must not turn into "no map"
+        warnings.warn(f"no id map at {path}: all rows get the default status", stacklevel=2)
         return None
     return (raw.where(F.col(id_col).isNotNull())
             .groupBy(F.col(id_col).alias("id"))

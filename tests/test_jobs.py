@@ -38,3 +38,70 @@ def test_default_job_end_to_end(spark):
     assert sel.count() > 0
     by_seg, overall, report = explain(lab, segment_col="seg")
     assert overall.count() == 4 and report.count() > 6
+
+
+def _table(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+def _six_inputs(spark):
+    import math
+
+    plain = [(i, float(i % 7), math.sin(i), "ab"[i % 2]) for i in range(60)]
+    schema = "id long, a double, b double, c string"
+    return {
+        "all_numeric": _table(spark, [r[:3] for r in plain], "id long, a double, b double"),
+        "string_id": _table(spark, [(f"p{r[0]}", *r[1:]) for r in plain], schema.replace("id long", "id string")),
+        "null_id": _table(spark, [(None if r[0] < 5 else r[0], *r[1:]) for r in plain], schema),
+        "repeated_id": _table(spark, [(r[0] // 2, *r[1:]) for r in plain], schema),
+        "zero_vector": _table(spark, [(r[0], 0.0, 0.0, "a") if r[0] < 3 else r for r in plain], schema),
+        "coincident": _table(spark, [(r[0], float(r[0] % 3), 1.0 + r[0] % 3, "a") for r in plain], schema),
+    }
+
+
+def test_rows_in_equal_rows_out(spark):
+    for name, df in _six_inputs(spark).items():
+        res = run_default_job(df, JobParams(n_clusters=3))
+        assert res.labelled.count() == 60, name
+        assert res.labelled.select(*df.columns).exceptAll(df).count() == 0, name
+        assert res.metrics["n_rows"] == 60 and res.metrics["n_features"] == res.feature_names.count(), name
+
+
+def test_density_on_string_ids_origin_and_coincident_points(spark):
+    from tessera.operators.density import hdbscan
+
+    pts = [(f"p{i}", float(i % 2) * 10, float(i % 2)) for i in range(24)] + [("zero", 0.0, 0.0)]
+    df = spark.createDataFrame(pts, "id string, emb_x double, emb_y double")
+    for metric in ("euclidean", "cosine"):
+        res = hdbscan(df, min_cluster_size=4, min_samples=2, metric=metric)
+        labels = {r["id"]: r["cluster"] for r in res.labels.collect()}
+        assert set(labels) == {p[0] for p in pts}
+        assert np.isfinite(res.relative_validity)
+
+
+def test_folder_to_outputs(spark, tmp_path):
+    from tessera.plans.jobs import run_folder
+
+    src = tmp_path / "in"
+    fx.mixed_table(spark, SF_SMALL).drop("cluster").write.partitionBy("region").parquet(str(src))
+    spec = '{"preferred_features": ["num_a", "num_b", "seg", "region"], "preferred_numeric": ["num_b"]}'
+    res, where = run_folder(spark, str(src), str(tmp_path / "out"), JobParams(n_clusters=3, run_name="one"), spec, segment_col="seg")
+    assert where.endswith("/out/one")
+    back = spark.read.parquet(f"{where}/labelled")
+    assert back.count() == res.labelled.count() and set(back.columns) == set(res.labelled.columns)
+    assert spark.read.parquet(f"{where}/features").count() == back.count()
+    assert spark.read.parquet(f"{where}/feature_names").count() == res.metrics["n_features"]
+    assert spark.read.option("header", "true").csv(f"{where}/summary_overall").count() == 3
+    assert spark.read.parquet(f"{where}/runs").filter("experiment = 'tessera'").count() == 1
+
+
+def test_missing_and_broken_id_maps(spark, tmp_path):
+    import pytest
+
+    from tessera.sources.readers import read_id_map
+
+    with pytest.warns(UserWarning):
+        assert read_id_map(spark, str(tmp_path / "none.parquet")) is None
+    (tmp_path / "bad.csv").write_text("x\n1\n")
+    with pytest.raises(Exception):
+        read_id_map(spark, str(tmp_path / "bad.csv"))

@@ -201,3 +201,34 @@ def test_layout_keeps_neighbours_better_than_random(spark):
     assert kept > 2 * k / len(X)  # random placement keeps about k / n
     again = layout.umap_embed(f2, "vec", "id", n_neighbors=15, n_epochs=10).toPandas().sort_values("id")
     assert np.allclose(again[["emb_x", "emb_y"]].to_numpy(), Y)  # same seed, same layout
+
+
+def test_median_of_tied_values_is_quick_and_exact(spark):
+    import time
+
+    rows = [("a", 5.0)] * 1800 + [("a", float(i)) for i in range(200)] + [("b", float(i * i % 977)) for i in range(2001)] + [(None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    start = time.time()
+    got = {r["g"]: r["m"] for r in grouped_median(df, ["g"], "v", "m", window_limit=100, grid=20).collect()}
+    for g in ("a", "b", None):
+        assert got[g] == float(np.median([v for k, v in rows if k == g]))
+    assert time.time() - start < 60
+
+
+def test_silhouette_of_all_rows_in_blocks(spark):
+    from tessera.operators import evaluate
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (80, 2)), rng.normal(5, 1, (60, 2)), [[50.0, 50.0]]])
+    c = np.array([0] * 80 + [1] * 60 + [2])
+    df = spark.createDataFrame([(i, int(c[i]), float(x[i, 0]), float(x[i, 1])) for i in range(len(x))], "id long, cluster int, emb_x double, emb_y double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = []
+    for i in range(len(x)):
+        own = (c == c[i]).sum()
+        a = d[i, c == c[i]].sum() / max(1, own - 1)
+        b = min(d[i, c == k].mean() for k in set(c.tolist()) - {int(c[i])})
+        want.append((b - a) / max(a, b) if own > 1 else 0.0)
+    for block in (16, 2048):
+        score, used = evaluate.silhouette(df, block=block)
+        assert used == len(x) and abs(score - np.mean(want)) < 1e-9
