@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks, mix64, pick
 
-Q = 10
+Q = 9
 #: Edits allowed for each character of an item.
-RATE = 0.06
+RATE = 0.08
 #: Characters of benchmark text that one pass over the documents holds (8 bytes a character and more in each task).
 PASS_CHARS = 4 << 20
 #: Bits of the table that most q-grams of a document fail.

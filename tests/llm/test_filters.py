@@ -54,7 +54,7 @@ def test_leaks(spark, corpus):
 
 def test_leaks_equal_brute_force(spark, corpus, corpus_rows):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
-    items = [x for x in (make_item(r["item_id"], r["text"], 0.06) for r in bench.limit(6).collect())]
+    items = [x for x in (make_item(r["item_id"], r["text"], 0.08) for r in bench.limit(6).collect())]
     rows = [(d, t) for d, t in corpus_rows if t and len(t) < 900][:40]
     rows += [(9 * 10**6 + i, "lead in " + "".join(map(chr, x.codes)) + " tail") for i, x in enumerate(items)]
     want = {(d, x.item_id) for d, t in rows for x in items if distance_inside(x.codes.tolist(), normal_codes(t)[0].tolist()) <= x.budget}
