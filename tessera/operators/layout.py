@@ -1,18 +1,11 @@
 """Neighbour graph and layout (J5, M4a-M4d).
 
-k-NN graph in many dimensions (J5, M4a) — exact, pivot-partitioned
-(metric-space partitioning as in kNN joins on MapReduce, Lu et al. 2012):
-
-1. m pivots (smallest hash of the id; m ~ sqrt(n), capped, so the pivot
-   table broadcast has a fixed size bound) split the points into Voronoi
-   cells; a NumPy pass per Arrow batch finds each point's nearest pivot.
-2. Every cell solves its own k-NN (``applyInPandas`` per cell) and reports
-   theta = the largest k-th distance among its members, an upper bound of
-   their true k-th distance, and its radius R.
-3. A point s is copied to cell i when its lower bound to any member of i,
-   max(d(s, p_i) - R_i, (d(s, p_i)^2 - d(s, p_own)^2) / (2 d(p_i, p_own))),
-   is <= theta_i; any true neighbour of a member of i passes this test.
-4. Every cell solves k-NN for its members over members + copies: exact.
+k-NN graph in many dimensions (J5, M4a) — exact, by block pairs: rows are
+dealt to blocks of a bounded size by a hash of the id, every pair of blocks
+meets in one task, and the packed k-lists of a block are merged a few at a
+time.  Pruning by distances to pivots does not help in dozens of dimensions
+(every cell then needs every point); blocks keep the work even and each
+task's memory at two blocks and one distance tile.
 
 Fuzzy graph (M4b, M4c): per point, rho = nearest positive distance and
 sigma from a bisection of sum(exp(-(d - rho)+ / sigma)) = log2(k) (an
@@ -28,128 +21,111 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.persist import cut
 from pyspark.sql import types as T
 
-MAX_PIVOTS = 1024
+#: Rows of a block, queries and rows of a distance tile, k-lists merged at once.
+BLOCK_ROWS, TILE, FAN = 4096, 1024, 8
 
 
 def _stack(series: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
-def _local_knn(ids: np.ndarray, xs: np.ndarray, qids: np.ndarray, qx: np.ndarray, k: int, block: int = 1024):
-    """Exact k-NN of queries among points (self excluded), ties by id: (qid, rank, nid, dist)."""
-    out_q, out_r, out_n, out_d = [], [], [], []
-    order = np.argsort(ids, kind="stable")
-    ids, xs = ids[order], xs[order]
-    sq = (xs * xs).sum(axis=1)
-    for s in range(0, len(qids), block):
-        q = qx[s:s + block]
-        qi = qids[s:s + block]
-        d2 = np.maximum((q * q).sum(axis=1)[:, None] + sq[None, :] - 2.0 * q @ xs.T, 0.0)
-        # exact re-computation for the candidates kept below
-        d2[qi[:, None] == ids[None, :]] = np.inf
-        kk = min(k, len(ids) - 1) if len(ids) > 1 else 0
-        if kk <= 0:
-            continue
-        part = np.argpartition(d2, kth=min(kk + 2, d2.shape[1] - 1), axis=1)[:, :min(kk + 3, d2.shape[1])]
-        for r in range(len(qi)):
-            cand = part[r]
-            cand = cand[np.isfinite(d2[r, cand])]
-            exact = np.sqrt(((xs[cand] - q[r]) ** 2).sum(axis=1))
-            # the dot-product form carries a rounding error of about
-            # eps * (|q|^2 + |x|^2): widen the candidate set by that margin
-            if len(cand) and len(cand) < len(ids) - 1:
-                bound = exact.max() if len(exact) else np.inf
-                tol2 = 1e-12 * (float((q[r] * q[r]).sum()) + float(sq.max())) + 1e-300
-                extra = np.where(d2[r] <= bound * bound + tol2)[0]
-                extra = extra[np.isfinite(d2[r, extra])]
-                cand = np.union1d(cand, extra)
-                exact = np.sqrt(((xs[cand] - q[r]) ** 2).sum(axis=1))
-            o = np.lexsort((ids[cand], exact))[:kk]
-            out_q.append(np.full(len(o), qi[r]))
-            out_r.append(np.arange(1, len(o) + 1))
-            out_n.append(ids[cand][o])
-            out_d.append(exact[o])
-    if not out_q:
-        return pd.DataFrame({"u": [], "rank": [], "v": [], "dist": []})
-    return pd.DataFrame({"u": np.concatenate(out_q).astype(np.int64), "rank": np.concatenate(out_r).astype(np.int32),
-                         "v": np.concatenate(out_n).astype(np.int64), "dist": np.concatenate(out_d)})
-
-
-def knn_graph(df: DataFrame, k: int = 15, vec_col: str = "vec", id_col: str = "id", n_pivots: int | None = None) -> DataFrame:
-    """Exact k nearest other points in Euclidean space: ``(u, rank, v, dist)``."""
-    spark = df.sparkSession
-    pts = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    n = pts.count()
-    m = n_pivots or max(1, min(MAX_PIVOTS, int(math.sqrt(max(n, 1)) / 2)))
-    piv = (pts.orderBy(F.xxhash64("id"), "id").limit(m).toPandas())  # m rows: fixed size bound
-    pv = _stack(piv["vec"]) if len(piv) else np.zeros((0, 0))
-    b_piv = spark.sparkContext.broadcast(pv)
-
-    def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        P = b_piv.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            X = _stack(pdf["vec"])
-            D = np.sqrt(np.maximum(((X[:, None, :] - P[None, :, :]) ** 2).sum(axis=2), 0.0))
-            own = D.argmin(axis=1)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "vec": pdf["vec"], "cell": own.astype(np.int32),
-                                "r": D[np.arange(len(X)), own], "dp": list(D)})
-
-    cells = pts.mapInPandas(assign, "id long, vec array<double>, cell int, r double, dp array<double>")
-    cells = cells.transform(cut)
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        res = _local_knn(pdf["id"].to_numpy(), _stack(pdf["vec"]), pdf["id"].to_numpy(), _stack(pdf["vec"]), k)
-        theta = np.inf if len(pdf) <= k or res.empty else res.groupby("u")["dist"].max().max()
-        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "theta": [float(theta)],
-                             "radius": [float(pdf["r"].max())]})
-
-    stats = cells.groupBy("cell").applyInPandas(local, "cell int, theta double, radius double").toPandas()  # m rows
-    theta = np.full(len(pv), np.inf)
-    radius = np.zeros(len(pv))
-    for r in stats.itertuples(index=False):
-        theta[r.cell], radius[r.cell] = r.theta, r.radius
-    pp = np.sqrt(((pv[:, None, :] - pv[None, :, :]) ** 2).sum(axis=2)) if len(pv) else np.zeros((0, 0))
-    b_stats = spark.sparkContext.broadcast((theta, radius, pp))
-
-    def replicate(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        th, rad, PP = b_stats.value
-        for pdf in it:
-            if pdf.empty:
-                continue
-            DP = np.vstack([np.asarray(v) for v in pdf["dp"].to_numpy()])
-            own = pdf["cell"].to_numpy()
-            d_own = DP[np.arange(len(DP)), own]
-            lb1 = DP - rad[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                lb2 = (DP ** 2 - d_own[:, None] ** 2) / (2.0 * PP[own, :])
-            lb2 = np.where(np.isfinite(lb2), lb2, 0.0)
-            lb = np.maximum(lb1, lb2)
-            send = lb <= th[None, :]
-            send[np.arange(len(DP)), own] = False
-            rows, tgt = np.nonzero(send)
-            if len(rows):
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "vec": pdf["vec"].to_numpy()[rows],
-                                    "cell": tgt.astype(np.int32), "member": False})
-
-    copies = cells.mapInPandas(replicate, "id long, vec array<double>, cell int, member boolean")
-    members = cells.select("id", "vec", "cell", F.lit(True).alias("member"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        mem = pdf[pdf["member"]]
-        if mem.empty:
-            return pd.DataFrame({"u": [], "rank": [], "v": [], "dist": []})
-        allp = pdf.drop_duplicates("id")
-        return _local_knn(allp["id"].to_numpy(), _stack(allp["vec"]), mem["id"].to_numpy(), _stack(mem["vec"]), k)
-
-    return members.unionByName(copies).groupBy("cell").applyInPandas(solve, "u long, rank int, v long, dist double")
+def _smallest(row: np.ndarray, dist: np.ndarray, ids: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row 0..n-1 the k smallest (dist, id) in order, as (n, k) tables padded with inf and -1."""
+    order = np.lexsort((ids, dist, row))
+    row, dist, ids = row[order], dist[order], ids[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = rank < k
+    out_d, out_i = np.full((n, k), np.inf), np.full((n, k), -1, dtype=np.int64)
+    out_d[row[keep], rank[keep]] = dist[keep]
+    out_i[row[keep], rank[keep]] = ids[keep]
+    return out_d, out_i
+
+
+def _tile_knn(qi: np.ndarray, q: np.ndarray, ids: np.ndarray, xs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact k nearest of ``xs`` for each query (rows with the query's id excluded), ties by id."""
+    best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), -1, dtype=np.int64)
+    sq = np.einsum("ij,ij->i", xs, xs)
+    for a in range(0, len(q), TILE):
+        part, part_id = q[a : a + TILE], qi[a : a + TILE]
+        norm = np.einsum("ij,ij->i", part, part)
+        for b in range(0, len(xs), TILE):
+            # the dot-product form only selects; its rounding error is the margin, and what it selects is measured anew
+            near = norm[:, None] + sq[None, b : b + TILE] - 2.0 * part @ xs[b : b + TILE].T
+            near[part_id[:, None] == ids[None, b : b + TILE]] = np.inf
+            kth = min(k, near.shape[1]) - 1
+            limit = np.partition(near, kth, axis=1)[:, kth] + 1e-12 * (norm + sq[b : b + TILE].max()) + 1e-300
+            row, col = np.nonzero((near <= limit[:, None]) & np.isfinite(near))
+            apart = part[row] - xs[b + col]
+            dist = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+            old_row, old = np.nonzero(best_i[a : a + TILE] >= 0)
+            row, dist = np.concatenate([row, old_row]), np.concatenate([dist, best_d[a : a + TILE][old_row, old]])
+            found = np.concatenate([ids[b + col], best_i[a : a + TILE][old_row, old]])
+            best_d[a : a + TILE], best_i[a : a + TILE] = _smallest(row, dist, found, len(part), k)
+    return best_d, best_i
+
+
+def knn_graph(df: DataFrame, k: int = 15, vec_col: str = "vec", id_col: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact k nearest other points in Euclidean space: ``(u, rank, v, dist)``; ids are unique longs."""
+    pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    blocks = max(1, -(-pts.count() // block_rows))
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        xs = np.asarray(table.column("vec").combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "xs": pa.array([xs[order].tobytes()], pa.binary())})
+
+    dealt = pts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    packed = cut(dealt.groupBy("block").applyInArrow(pack, "block long, ids binary, xs binary"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = packed.withColumn("other", every)
+    right = packed.select((F.col("block") + 0).alias("other"), F.col("ids").alias("ids"), F.col("xs").alias("xs")).withColumn("block", every)
+
+    def read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(table.column("ids")[0].as_py(), np.int64)
+        return ids, np.frombuffer(table.column("xs")[0].as_py()).reshape(len(ids), -1)
+
+    def lists(block: int, other: int, ids: np.ndarray, dist: np.ndarray, near: np.ndarray) -> pa.Table:
+        return pa.table({"block": pa.array([block], pa.int64()), "other": pa.array([other], pa.int64()), "u": pa.array([ids.tobytes()], pa.binary()), "v": pa.array([near.tobytes()], pa.binary()), "dist": pa.array([dist.tobytes()], pa.binary())})
+
+    schema = "block long, other long, u binary, v binary, dist binary"
+
+    def meet(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in zip(["block", "other", "u", "v", "dist"], [pa.int64(), pa.int64(), *[pa.binary()] * 3], strict=True)})
+        ids, xs = read(mine)
+        return lists(key[0].as_py(), key[1].as_py(), ids, *_tile_knn(ids, xs, *read(theirs), k))
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        ids = np.frombuffer(table.column("u")[0].as_py(), np.int64)
+        near = np.hstack([np.frombuffer(x.as_py(), np.int64).reshape(len(ids), k) for x in table.column("v")])
+        dist = np.hstack([np.frombuffer(x.as_py()).reshape(len(ids), k) for x in table.column("dist")])
+        row, col = np.nonzero(near >= 0)
+        return lists(key[0].as_py(), key[1].as_py(), ids, *_smallest(row, dist[row, col], near[row, col], len(ids), k))
+
+    found = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInArrow(meet, schema)
+    width = blocks
+    while width > 1:
+        width = -(-width // FAN)
+        found = found.withColumn("other", F.floor(F.col("other") / FAN).cast("long")).groupBy("block", "other").applyInArrow(merge, schema)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("u")[r].as_py(), np.int64)
+                near = np.frombuffer(batch.column("v")[r].as_py(), np.int64).reshape(len(ids), k)
+                dist = np.frombuffer(batch.column("dist")[r].as_py()).reshape(len(ids), k)
+                row, rank = np.nonzero(near >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array((rank + 1).astype(np.int32)), pa.array(near[row, rank]), pa.array(dist[row, rank])], names=["u", "rank", "v", "dist"])
+
+    return found.select("u", "v", "dist").mapInArrow(spread, "u long, rank int, v long, dist double")
 
 
 def _sigma_bisect(dists: np.ndarray, rho: float, k: int, n_iter: int = 64, tol: float = 1e-5) -> float:

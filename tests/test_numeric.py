@@ -232,3 +232,18 @@ def test_silhouette_of_all_rows_in_blocks(spark):
     for block in (16, 2048):
         score, used = evaluate.silhouette(df, block=block)
         assert used == len(x) and abs(score - np.mean(want)) < 1e-9
+
+
+def test_knn_graph_in_blocks_equals_brute_force(spark):
+    from tessera.operators.layout import knn_graph
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 6))
+    x[100:120] = x[0]  # ties go to the smaller id
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(200)], "id long, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, r + 1): int(j) for i in range(200) for r, j in enumerate(np.lexsort((np.arange(200), d[i]))[:5])}
+    for rows in (4096, 20):
+        assert {(r["u"], r["rank"]): r["v"] for r in knn_graph(df, 5, block_rows=rows).collect()} == want
+    assert knn_graph(df.limit(3), 5).count() == 6
