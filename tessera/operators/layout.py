@@ -128,23 +128,24 @@ def knn_graph(df: DataFrame, k: int = 15, vec_col: str = "vec", id_col: str = "i
     return found.select("u", "v", "dist").mapInArrow(spread, "u long, rank int, v long, dist double")
 
 
-def _sigma_bisect(dists: np.ndarray, rho: float, k: int, n_iter: int = 64, tol: float = 1e-5) -> float:
-    """sigma with sum_j exp(-(d_j - rho)+ / sigma) = log2(k) over the k - 1 non-self neighbours."""
+def _sigmas(dist: np.ndarray, rho: np.ndarray, k: int, n_iter: int = 64, tol: float = 1e-5) -> np.ndarray:
+    """Per row the sigma with sum_j exp(-(d_j - rho)+ / sigma) = log2(k) over the k - 1 others (nan: none), all rows at once."""
     target = math.log2(k)
-    lo, hi, mid = 0.0, np.inf, 1.0
+    apart = dist - rho[:, None]
+    lo, hi, mid = np.zeros(len(dist)), np.full(len(dist), np.inf), np.ones(len(dist))
+    open_ = np.arange(len(dist))
     for _ in range(n_iter):
-        psum = 0.0
-        for dj in dists:
-            dd = dj - rho
-            psum += math.exp(-(dd / mid)) if dd > 0 else 1.0
-        if abs(psum - target) < tol:
+        x = apart[open_]
+        with np.errstate(over="ignore", invalid="ignore"):
+            total = np.nansum(np.where(x > 0, np.exp(-x / mid[open_, None]), np.where(np.isnan(x), np.nan, 1.0)), axis=1)
+        far = np.abs(total - target) >= tol
+        open_, total = open_[far], total[far]
+        if not len(open_):
             break
-        if psum > target:
-            hi = mid
-            mid = (lo + hi) / 2.0
-        else:
-            lo = mid
-            mid = mid * 2 if hi == np.inf else (lo + hi) / 2.0
+        much = total > target
+        hi[open_[much]] = mid[open_[much]]
+        lo[open_[~much]] = mid[open_[~much]]
+        mid[open_] = np.where(np.isinf(hi[open_]), mid[open_] * 2, (lo[open_] + hi[open_]) / 2)
     return mid
 
 
@@ -164,21 +165,22 @@ def fuzzy_graph(knn: DataFrame, k: int) -> DataFrame:
     per = nb.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("rank", "dist"))).alias("nb"))  # <= k items
     per = per.select("u", F.col("nb.dist").alias("ds"))
 
+    # the floor of a point that coincides with all its neighbours: the mean distance of the whole graph, self included
+    whole = per.agg(F.sum(F.aggregate("ds", F.lit(0.0), lambda a, x: a + x)).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    mean_all = float(whole["s"]) / (whole["n"] * k) if whole["n"] else 0.0
+
     @F.pandas_udf("struct<rho double, sigma double>")
     def smooth(ds: pd.Series) -> pd.DataFrame:
-        rhos, sigmas = [], []
-        for arr in ds:
-            d = np.asarray(arr, dtype=np.float64)
-            pos = d[d > 0]
-            rho = float(pos[0]) if len(pos) else 0.0
-            sig = _sigma_bisect(d, rho, k, tol=SMOOTH_K_TOLERANCE)
-            mean_d = float(np.mean(np.concatenate([[0.0], d])))  # the self distance is in the mean
-            if rho > 0.0:
-                if sig < MIN_K_DIST_SCALE * mean_d:
-                    sig = MIN_K_DIST_SCALE * mean_d
-            rhos.append(rho)
-            sigmas.append(sig)
-        return pd.DataFrame({"rho": rhos, "sigma": sigmas})
+        width = max((len(x) for x in ds), default=0)
+        dist = np.full((len(ds), width), np.nan)
+        for i, x in enumerate(ds):
+            dist[i, : len(x)] = x
+        positive = np.where(dist > 0, dist, np.inf)
+        least = positive.min(axis=1, initial=np.inf)  # distances are in order: the nearest that is not 0
+        rho = np.where(np.isfinite(least), least, 0.0)
+        mean = np.nansum(dist, axis=1) / (1 + (~np.isnan(dist)).sum(axis=1))  # the self distance is in the mean
+        floor = MIN_K_DIST_SCALE * np.where(rho > 0, mean, mean_all)
+        return pd.DataFrame({"rho": rho, "sigma": np.maximum(_sigmas(dist, rho, k, tol=SMOOTH_K_TOLERANCE), floor)})
 
     rs = per.select("u", smooth("ds").alias("s")).select("u", "s.rho", "s.sigma")
     directed = nb.join(rs, "u").select(

@@ -795,8 +795,8 @@ bis AS (
   WHERE it < 64
 ),
 sig AS (SELECT b.u, rr.rho,
-               CASE WHEN rr.rho > 0 AND b.mid < 1e-3 * (list_sum(rr.ds) / {UMAP_NEIGHBORS})
-                    THEN 1e-3 * (list_sum(rr.ds) / {UMAP_NEIGHBORS}) ELSE b.mid END AS sigma
+               GREATEST(b.mid, 1e-3 * CASE WHEN rr.rho > 0 THEN list_sum(rr.ds) / {UMAP_NEIGHBORS}
+                    ELSE (SELECT SUM(list_sum(ds)) / (COUNT(*) * {UMAP_NEIGHBORS}) FROM rr) END) AS sigma
         FROM bis b JOIN rr ON rr.u = b.u WHERE b.it = 64),
 dw AS (SELECT r.u, r.v, exp(-GREATEST(r.dist - s.rho, 0.0) / s.sigma) AS w FROM r JOIN sig s ON s.u = r.u),
 pr AS (SELECT LEAST(u, v) AS a, GREATEST(u, v) AS b, MAX(CASE WHEN u < v THEN w END) AS x,
