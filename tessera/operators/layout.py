@@ -218,7 +218,7 @@ def find_ab(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
 
 
 def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features", id_col: str = "id",
-                  min_dist: float = 0.1, seed: int = 42, n_epochs: int = 200, negative: int = 5,
+                  min_dist: float = 0.1, seed: int = 42, n_epochs: int = 50, negative: int = 5,
                   cut_every: int = 1) -> DataFrame:
     """M4d: 2-D layout by weighted gradient epochs on DataFrames.
 
@@ -227,8 +227,11 @@ def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features",
     attraction along every edge scaled by its weight; repulsion from
     ``negative`` points per edge drawn by hashing (edge, epoch, i) to a dense
     point index; gradients clipped to [-4, 4]; step size 1 - epoch/n_epochs.
-    A full-batch, deterministic variant of the sampled SGD of the original
-    method: results are judged by neighbourhood preservation, not equality.
+    Forces keep the published proportion, two pulls (each edge moves both its
+    ends, in both directions) to ``negative`` full pushes, and a point moves by
+    the mean over its edges' weights, which keeps a full-batch step stable.
+    A deterministic variant of the sampled SGD of the original method: results
+    are judged by neighbourhood preservation, not equality.
     Lineage is cut every ``cut_every`` epochs (written table).
     """
     from tessera.operators.encode import dense_index
@@ -242,7 +245,8 @@ def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features",
     pos = dense_index(pos.withColumn("_all", F.lit(0)), "_all", ["id"], "idx").drop("_all").transform(cut)
     n = pos.count()
     e = weights.select("u", "v", F.col("weight").alias("w"))
-    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).transform(cut)
+    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    e = e.join(e.groupBy("u").agg(F.sum("w").alias("all")), "u").select("u", "v", (F.col("w") / F.col("all")).alias("w")).transform(cut)
 
     def clip(c):
         return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
@@ -256,19 +260,19 @@ def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features",
         d2 = dx * dx + dy * dy
         att = F.when(d2 > 0, (-2.0 * a * b) * F.pow(d2, b - 1.0) / (1.0 + a * F.pow(d2, b))).otherwise(0.0)
         pull = j.select(F.col("u").alias("id"),
-                        (alpha * F.col("w") * clip(att * dx)).alias("gx"),
-                        (alpha * F.col("w") * clip(att * dy)).alias("gy"))
-        neg = (j.select("u", "ux", "uy", "w", F.explode(F.sequence(F.lit(0), F.lit(negative - 1))).alias("i"))
+                        (2.0 * alpha * F.col("w") * clip(att * dx)).alias("gx"),
+                        (2.0 * alpha * F.col("w") * clip(att * dy)).alias("gy"))
+        neg = (j.select("u", "v", "ux", "uy", "w", F.explode(F.sequence(F.lit(0), F.lit(negative - 1))).alias("i"))
                 .select("u", "ux", "uy", "w",
-                        F.pmod(F.xxhash64("u", "i", F.lit(ep), F.lit(seed)), F.lit(n)).alias("idx")))
+                        F.pmod(F.xxhash64("u", "v", "i", F.lit(ep), F.lit(seed)), F.lit(n)).alias("idx")))
         pn = pos.select("idx", F.col("px").alias("nx"), F.col("py").alias("ny"))
         jn = neg.join(pn, "idx")
         ndx, ndy = F.col("ux") - F.col("nx"), F.col("uy") - F.col("ny")
         nd2 = ndx * ndx + ndy * ndy
         rep = F.when(nd2 > 0, (2.0 * b) / ((0.001 + nd2) * (1.0 + a * F.pow(nd2, b)))).otherwise(0.0)
         push = jn.select(F.col("u").alias("id"),
-                         (alpha * F.col("w") * clip(rep * ndx) / negative).alias("gx"),
-                         (alpha * F.col("w") * clip(rep * ndy) / negative).alias("gy"))
+                         (alpha * F.col("w") * clip(rep * ndx)).alias("gx"),
+                         (alpha * F.col("w") * clip(rep * ndy)).alias("gy"))
         step = pull.unionByName(push).groupBy("id").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy"))
         pos = (pos.join(step, "id", "left")
                   .select("id", "idx", (F.col("px") + F.coalesce("gx", F.lit(0.0))).alias("px"),
@@ -281,7 +285,7 @@ def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features",
 
 
 def umap_embed(df: DataFrame, vec_col: str = "features", id_col: str = "id", n_neighbors: int = 15,
-               min_dist: float = 0.1, seed: int = 42, n_epochs: int = 200) -> DataFrame:
+               min_dist: float = 0.1, seed: int = 42, n_epochs: int = 50) -> DataFrame:
     """M4: exact k-NN graph -> fuzzy graph -> layout epochs."""
     g = knn_graph(df, n_neighbors - 1, vec_col, id_col)
     w = fuzzy_graph(g, n_neighbors).transform(cut)

@@ -883,7 +883,7 @@ def q_run_metrics(spark, sf_dir):
 
 @register("umap_2d")
 def q_umap_2d(spark, sf_dir):
-    """M4: exact k-NN graph -> fuzzy graph -> 50 layout epochs over the 64-d vectors (rows-only)."""
+    """M4: exact k-NN graph -> fuzzy graph -> layout epochs (the default number) over the 64-d vectors (rows-only)."""
     f2 = fx.points(spark, sf_dir).select("id", "vec")
-    emb = layout.umap_embed(f2, "vec", "id", n_neighbors=UMAP_NEIGHBORS, min_dist=0.1, seed=42, n_epochs=50)
+    emb = layout.umap_embed(f2, "vec", "id", n_neighbors=UMAP_NEIGHBORS, min_dist=0.1, seed=42)
     return tidy_frame(emb.select("id", "emb_x", "emb_y"))
