@@ -55,8 +55,20 @@ def exact_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> D
 
     Rows are ranked by ``md5(id || '-' || seed)`` (ties by id); the first n
     are kept.  The choice depends only on the keys, not on partitioning.
-    Spark plans this as a per-partition top-n plus a merge of n x partitions
-    rows; n is the requested sample size, not a function of the input.
+    Counts by the first four digits of the key (65,537 rows at most) give the
+    digits at which the sample ends: rows below them are kept by a filter,
+    and only the rows that share them are ordered.
     """
-    key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit("-"), F.lit(str(seed))))
-    return df.orderBy(key, F.col(id_col)).limit(n)
+    key = F.coalesce(F.md5(F.concat(F.col(id_col).cast("string"), F.lit("-"), F.lit(str(seed)))), F.lit(""))
+    digits = F.substring(key, 1, 4)
+    counts = df.groupBy(digits.alias("d")).count().collect()  # bounded by the number of four-digit heads
+    if sum(r["count"] for r in counts) <= n:
+        return df
+    below, border = 0, None
+    for r in sorted(counts, key=lambda r: r["d"]):
+        if below + r["count"] > n:
+            border = r["d"]
+            break
+        below += r["count"]
+    edge = df.where(digits == border).orderBy(key, F.col(id_col)).limit(n - below)
+    return df.where(digits < border).unionByName(edge)

@@ -599,16 +599,13 @@ def q_plot_layer_segments(spark, sf_dir):
                                  "mx", "my", "mz", "dist"))
 
 
-MAX_SPHERES_PER_CLUSTER = 200  # the modelled cap on drawn ball markers
-
-
-@register("plot_layer_halos", _cover_sql(f"""
-SELECT cluster, center_rank, id, x, y, z FROM cen
-WHERE cluster IN (SELECT cluster FROM cen GROUP BY cluster HAVING COUNT(*) <= {MAX_SPHERES_PER_CLUSTER})"""))
+@register("plot_layer_halos", _cover_sql("""
+SELECT cluster, center_rank, id, x, y, z, COUNT(*) OVER (PARTITION BY cluster) AS n_centers FROM cen"""))
 def q_plot_layer_halos(spark, sf_dir):
+    """Every centre with its cluster's number of centres; what to draw is the reader's choice."""
     _, centres, _ = _f2_cover(spark, sf_dir)
-    small = centres.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_SPHERES_PER_CLUSTER)
-    return centres.join(small.select("cluster"), "cluster", "left_semi").select("cluster", "center_rank", "id", *XYZ3)
+    sizes = centres.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_centers"))
+    return centres.join(sizes, "cluster").select("cluster", "center_rank", "id", *XYZ3, "n_centers")
 
 
 # ------------------------------------------------------------------ reduction, k-means, metrics
