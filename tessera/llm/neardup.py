@@ -186,8 +186,8 @@ def overlaps(values: np.ndarray, at: np.ndarray, rows: np.ndarray, slots: np.nda
 def across(members: DataFrame, similarity: int) -> DataFrame:
     """Pairs of members of one centre, from different components, whose sketches allow the similarity.
 
-    ``members``: centre, rid, n, comp, sketch.  Blocks of BLOCK members meet pairwise in tasks; only pairs that pass
-    are emitted, and blocks whose sizes or components rule out a link return at once.
+    ``members``: centre, rid, n, comp, sketch.  Blocks of BLOCK members meet pairwise in tasks, where inverted lists
+    count what two sketches share; only pairs that share enough for a link are emitted.
     """
     t = similarity / 100
     least = t - SLACK * (t * (1 - t) / K) ** 0.5
@@ -202,7 +202,7 @@ def across(members: DataFrame, similarity: int) -> DataFrame:
         low, high = key[1].as_py(), key[2].as_py()
         sketch = table.column("sketch").combine_chunks()
         at, values = sketch.offsets.to_numpy(), sketch.values.to_numpy()
-        found: list[tuple[int, int]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
         size = np.diff(at)
         slots, first, counts, rank = listed(values, at, right)
@@ -213,13 +213,12 @@ def across(members: DataFrame, similarity: int) -> DataFrame:
             fit = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= similarity * np.maximum(n[i], n[j])) & ((low != high) | (rid[i] < rid[j]))
             whole = (size[i] < K) & (size[j] < K)
             fit &= np.where(whole, 100 * both >= similarity * (size[i] + size[j] - both), both >= least * K)
-            for x, y in zip(*np.nonzero(fit), strict=True):
-                x, y = some[x], right[y]
-                shared, k = union_estimate(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]])
-                if shared >= least * k:
-                    found.append((min(rid[x], rid[y]), max(rid[x], rid[y])))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            x, y = np.nonzero(fit)
+            x, y = rid[some[x]], rid[right[y]]
+            found.append((np.minimum(x, y), np.maximum(x, y)))
+        if not found:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return pa.table({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
 
     return met.groupBy("centre", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
