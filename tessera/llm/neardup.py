@@ -6,7 +6,7 @@ the union estimates the similarity of those that overlap enough, and the full se
 
 Lists longer than LIST are never paired off.  A class whose smallest values are mostly in such lists looks up all its
 retained values: short lists pair, and each long one links its members to one centre.  Members of one centre's lists
-that are then still in different components are compared by sketch, block by block, inside tasks.
+that are then still in different components are compared by their sets, block by block, inside tasks.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from tessera.operators.graph import connected_components
 K, FIRST, LIST, ENOUGH = 128, 16, 32, 7
 #: Standard deviations of the union sketch's estimate below the threshold that still go to the full sets.
 SLACK = 4.5
-BLOCK = 512
+#: Sets of a block that meets another in one task, and values of its sets.
+BLOCK, BLOCK_VALUES = 512, 1 << 20
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -184,41 +185,47 @@ def overlaps(values: np.ndarray, at: np.ndarray, rows: np.ndarray, slots: np.nda
 
 
 def across(members: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of members of one centre, from different components, whose sketches allow the similarity.
+    """Links (a, b) between members of one centre that are in different components, enough of them to join the components.
 
-    ``members``: centre, rid, n, comp, sketch.  Blocks of BLOCK members meet pairwise in tasks, where inverted lists
-    count what two sketches share; only pairs that share enough for a link are emitted.
+    ``members``: centre, rid, n, comp, members (the whole set).  Blocks of at most about BLOCK sets, or BLOCK_VALUES
+    values, meet pairwise in tasks, where inverted lists count exactly what two sets share.  A task emits only links
+    that join components it has not joined yet: fewer than its sets.
     """
-    t = similarity / 100
-    least = t - SLACK * (t * (1 - t) / K) ** 0.5
-    totals = members.groupBy("centre").agg(F.count("*").alias("total"), F.countDistinct("comp").alias("comps")).filter("comps > 1")
-    ranked = members.join(totals, "centre").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    totals = members.groupBy("centre").agg(F.count("*").alias("total"), F.sum("n").alias("values"), F.countDistinct("comp").alias("comps")).filter("comps > 1")
+    ranked = members.join(totals, "centre").withColumn("blocks", F.ceil(F.greatest(F.col("total") / BLOCK, F.col("values") / BLOCK_VALUES)).cast("int"))
     dealt = ranked.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("centre", "rid", "n", "comp", "sketch", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    met = met.select("centre", "rid", "n", "comp", "members", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         rid, n, comp, own = (table.column(c).to_numpy() for c in ("rid", "n", "comp", "own"))
         low, high = key[1].as_py(), key[2].as_py()
-        sketch = table.column("sketch").combine_chunks()
-        at, values = sketch.offsets.to_numpy(), sketch.values.to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("members")]
+        at, values = np.concatenate([[0], np.cumsum(n)]), np.concatenate(sets)
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                joined[x] = joined.get(joined[x], joined[x])
+                x = joined[x]
+            return x
+
+        found: list[tuple[int, int]] = []
         left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        size = np.diff(at)
         slots, first, counts, rank = listed(values, at, right)
-        for a in range(0, len(left), 64):
-            some = left[a : a + 64]
+        for a in range(0, len(left), 32):
+            some = left[a : a + 32]
             both = overlaps(values, at, some, slots, first, counts, rank, len(right))
             i, j = some[:, None], right[None]
-            fit = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= similarity * np.maximum(n[i], n[j])) & ((low != high) | (rid[i] < rid[j]))
-            whole = (size[i] < K) & (size[j] < K)
-            fit &= np.where(whole, 100 * both >= similarity * (size[i] + size[j] - both), both >= least * K)
-            x, y = np.nonzero(fit)
-            x, y = rid[some[x]], rid[right[y]]
-            found.append((np.minimum(x, y), np.maximum(x, y)))
-        if not found:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        return pa.table({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+            fit = (comp[i] != comp[j]) & (100 * both >= similarity * (n[i] + n[j] - both)) & ((low != high) | (rid[i] < rid[j]))
+            for x, y in zip(*(z.tolist() for z in np.nonzero(fit)), strict=True):
+                x, y = int(some[x]), int(right[y])
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
+                    joined[max(p, q)] = min(p, q)
+                    found.append((min(rid[x], rid[y]), max(rid[x], rid[y])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return met.groupBy("centre", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
@@ -257,15 +264,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     candidates = cut(pairs.unionByName(paired(more, similarity)).unionByName(star_pairs).distinct())
 
     probable = cut(likely(candidates, classes, similarity))
-    links, sets = verified(probable, texts, rows, words, similarity, None)
-    links = cut(links)
+    open_pairs = probable.filter("not sure").select("a", "b")
+    sets = read_sets(open_pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), texts, rows, words)
+    links = cut(probable.filter("sure").select("a", "b").unionByName(confirmed(open_pairs, sets, similarity)))
     inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
-    members = stars.join(inside.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")).select("centre", "rid", "comp").join(classes, "rid")
-    late = cut(across(members, similarity))
+    members = cut(stars.join(inside.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")).select("centre", "rid", "comp"))
+    torn = members.groupBy("centre").agg(F.countDistinct("comp").alias("comps")).filter("comps > 1").select("centre")
+    members = members.join(torn, "centre", "left_semi")
+    sets = read_sets(members.select("rid").distinct(), texts, rows, words, sets)
+    late = cut(across(members.join(rows.select("rid", "n"), "rid").join(sets, "rid"), similarity))
     if not late.isEmpty():
-        late = cut(likely(late, classes, similarity))
-        found, _ = verified(late, texts, rows, words, similarity, sets)
-        links = cut(links.unionByName(found))
+        links = cut(links.unionByName(late))
         inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
 
     labelled = groups.join(inside.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
@@ -281,15 +290,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     return out.select(*columns)
 
 
-def verified(probable: DataFrame, texts: DataFrame, rows: DataFrame, words: int, similarity: int, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The links among probable pairs, and the full sets read for it (those given are used again)."""
-    open_pairs = probable.filter("not sure").select("a", "b")
-    wanted = open_pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    if sets is not None:
-        wanted = wanted.join(sets.select("rid"), "rid", "left_anti")
-    wanted = cut(rows.select("rid", "doc_id", "n", "h1", "h2").join(wanted, "rid", "left_semi"))
-    some = texts.join(wanted.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    fresh = full_sets(some, words).join(wanted.drop("doc_id"), ["n", "h1", "h2"]).groupBy("rid").agg(F.first("members").alias("members"))
+def read_sets(wanted: DataFrame, texts: DataFrame, rows: DataFrame, words: int, have: DataFrame | None = None) -> DataFrame:
+    """(rid, members): the full sets of the wanted classes, those in ``have`` included as they are."""
+    if have is not None:
+        wanted = wanted.join(have.select("rid"), "rid", "left_anti")
+    named = cut(rows.select("rid", "doc_id", "n", "h1", "h2").join(wanted, "rid", "left_semi"))
+    some = texts.join(named.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
+    fresh = full_sets(some, words).join(named.drop("doc_id"), ["n", "h1", "h2"]).groupBy("rid").agg(F.first("members").alias("members"))
     fresh = cut(fresh)
-    sets = fresh if sets is None else sets.unionByName(fresh)
-    return probable.filter("sure").select("a", "b").unionByName(confirmed(open_pairs, sets, similarity)), sets
+    return fresh if have is None else have.unionByName(fresh)
