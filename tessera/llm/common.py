@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions.persist import cut
 from tessera.functions.ranks import numbered
 
-#: A word: any run without ASCII white space.
-WORD_BYTES = bytes([9, 10, 11, 12, 13, 32])
-WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
+#: White space: a word is any run without these bytes.
+SPACE_BYTES = bytes([9, 10, 11, 12, 13, 32])
 
 #: Bytes of text that a task turns into NumPy arrays at once.
 BLOCK_BYTES = 2 << 20
@@ -106,7 +104,7 @@ def byte_hashes(raw: np.ndarray) -> Hashes:
 
 
 _space = np.zeros(256, dtype=bool)
-_space[list(WORD_BYTES)] = True
+_space[list(SPACE_BYTES)] = True
 
 
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
