@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     poor = cut(poor)
     more, longer = value_lists(poor.select("rid", "n", F.explode("sketch").alias("value")).withColumn("rare", F.lit(0)))
     degree = longer.groupBy("rid").agg(F.count("*").alias("degree"))
-    graded = longer.join(degree, "rid")
+    graded = cut(longer.join(degree, "rid"))  # read twice: for the centres and for the stars
     centre = graded.groupBy("value").agg(F.max(F.struct("degree", (-F.col("rid")).alias("minus"))).alias("top")).select("value", (-F.col("top.minus")).alias("centre"))
     stars = cut(graded.join(centre, "value").groupBy("centre", "rid").agg(F.count("*").alias("lists"), F.first("degree").alias("degree")).filter(F.col("lists") * 4 >= F.col("degree")))
     star_pairs = stars.filter("centre <> rid").select(F.least("centre", "rid").alias("a"), F.greatest("centre", "rid").alias("b"))
