@@ -5,8 +5,9 @@ are one class.  Inverted lists of the classes' smallest retained values give pai
 the union estimates the similarity of those that overlap enough, and the full sets decide.
 
 Lists longer than LIST are never paired off.  A class whose smallest values are mostly in such lists looks up all its
-retained values: short lists pair, and each long one links its members to one centre.  Members of one centre's lists
-that are then still in different components are compared by their sets, block by block, inside tasks.
+retained values: short lists pair, and each long one links its members to one centre.  Classes with popular retained
+values then meet exactly: every two of different components that share one of the rarest values of their full sets, as
+many as two linked sets must share one of, are candidates too.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from tessera.operators.graph import connected_components
 K, FIRST, LIST, ENOUGH = 128, 16, 32, 7
 #: Standard deviations of the union sketch's estimate below the threshold that still go to the full sets.
 SLACK = 4.5
-#: Sets of a block that meets another in one task, and values of its sets.
-BLOCK, BLOCK_VALUES = 512, 1 << 20
+#: Classes that meet over their whole sets: those with half or more of their retained values in long lists.
+POPULAR = f"degree * 2 >= least(n, {K})"
+#: Rows of a list of popular values that one task joins with the whole list.
+BLOCK = 1024
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -159,75 +162,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(decide, "a long, b long")
 
 
-def listed(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Inverted lists of the sketches of ``rows``: the values, where each one's list starts, its length, the members."""
-    size = at[rows + 1] - at[rows]
-    member = np.repeat(np.arange(len(rows)), size)
-    place = np.repeat(at[rows], size) + np.arange(len(member)) - np.repeat(np.cumsum(size) - size, size)
-    order = np.argsort(values[place], kind="stable")
-    slots, first, counts = np.unique(values[place][order], return_index=True, return_counts=True)
-    return slots, first, counts, member[order]
-
-
-def overlaps(values: np.ndarray, at: np.ndarray, rows: np.ndarray, slots: np.ndarray, first: np.ndarray, counts: np.ndarray, member: np.ndarray, width: int) -> np.ndarray:
-    """How many values the sketch of each of ``rows`` shares with each of the ``width`` listed ones."""
-    if not len(slots) or not len(rows):
-        return np.zeros((len(rows), width), dtype=np.int64)
-    size = at[rows + 1] - at[rows]
-    owner = np.repeat(np.arange(len(rows)), size)
-    value = values[np.repeat(at[rows], size) + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)]
-    slot = np.minimum(np.searchsorted(slots, value), len(slots) - 1)
-    same = slots[slot] == value
-    owner, slot = owner[same], slot[same]
-    times = counts[slot]
-    met = member[np.repeat(first[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    return np.bincount(np.repeat(owner, times) * width + met, minlength=len(rows) * width).reshape(len(rows), width)
-
-
-def across(members: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) between members of one centre that are in different components, enough of them to join the components.
-
-    ``members``: centre, rid, n, comp, members (the whole set).  Blocks of at most about BLOCK sets, or BLOCK_VALUES
-    values, meet pairwise in tasks, where inverted lists count exactly what two sets share.  A task emits only links
-    that join components it has not joined yet: fewer than its sets.
+def rare_first(sets: DataFrame, similarity: int) -> DataFrame:
+    """(value, rid, n, comp, place): of each set (rid, n, comp, members) the values that others hold too, if they are
+    among the first n - ceil(similarity n) + 1 in the order of rarity.  Two linked sets share one of these values."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                whole = [np.frombuffer(x.as_buffer(), np.int64) for x in some.column("members")]
+                rid = np.repeat(some.column("rid").to_numpy(), [len(x) for x in whole])
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate(whole))], names=["rid", "value"])
+
+    values = cut(sets.select("rid", "members").mapInArrow(explode, "rid long, value long"))
+    times = values.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
+    ordered = values.join(times, "value").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("common"))
+    # values that no other set holds come first
+    alone = F.col("n") - F.size("common")
+    prefix = F.expr(f"n - (n * {similarity} + 99) div 100 + 1")
+    known = ordered.join(sets.select("rid", "n", "comp"), "rid").withColumn("alone", alone).withColumn("part", (prefix - alone).cast("int")).filter("part > 0")
+    return known.select("rid", "n", "comp", "alone", F.posexplode(F.slice("common", F.lit(1), F.col("part"))).alias("i", "x")).select("x.value", "rid", "n", "comp", (F.col("alone") + F.col("i")).alias("place"))
+
+
+def across(sets: DataFrame, similarity: int) -> DataFrame:
+    """Every pair a < b of the sets (rid, n, comp, members) of different components that can have the similarity.
+
+    No list is too long: one of more than BLOCK rows is dealt over several tasks.
     """
-    totals = members.groupBy("centre").agg(F.count("*").alias("total"), F.sum("n").alias("values"), F.countDistinct("comp").alias("comps")).filter("comps > 1")
-    ranked = members.join(totals, "centre").withColumn("blocks", F.ceil(F.greatest(F.col("total") / BLOCK, F.col("values") / BLOCK_VALUES)).cast("int"))
-    dealt = ranked.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("centre", "rid", "n", "comp", "members", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        rid, n, comp, own = (table.column(c).to_numpy() for c in ("rid", "n", "comp", "own"))
-        low, high = key[1].as_py(), key[2].as_py()
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("members")]
-        at, values = np.concatenate([[0], np.cumsum(n)]), np.concatenate(sets)
-        joined: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while joined.get(x, x) != x:
-                joined[x] = joined.get(joined[x], joined[x])
-                x = joined[x]
-            return x
-
-        found: list[tuple[int, int]] = []
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        slots, first, counts, rank = listed(values, at, right)
-        for a in range(0, len(left), 32):
-            some = left[a : a + 32]
-            both = overlaps(values, at, some, slots, first, counts, rank, len(right))
-            i, j = some[:, None], right[None]
-            fit = (comp[i] != comp[j]) & (100 * both >= similarity * (n[i] + n[j] - both)) & ((low != high) | (rid[i] < rid[j]))
-            for x, y in zip(*(z.tolist() for z in np.nonzero(fit)), strict=True):
-                x, y = int(some[x]), int(right[y])
-                p, q = root(int(comp[x])), root(int(comp[y]))
-                if p != q:
-                    joined[max(p, q)] = min(p, q)
-                    found.append((min(rid[x], rid[y]), max(rid[x], rid[y])))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return met.groupBy("centre", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    prefix = cut(rare_first(sets, similarity))
+    lists = prefix.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
+    dealt = cut(prefix.join(lists.select("value", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "value"))
+    x = dealt.select("value", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("rid", "n", "comp", "place")])
+    y = dealt.select("value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_y") for c in ("rid", "n", "comp", "place")])
+    # at the first value that two linked sets share, enough are left of both
+    fit = F.least(F.expr("n_x - place_x"), F.expr("n_y - place_y")) * (100 + similarity) >= F.expr("n_x + n_y") * similarity
+    met = x.join(y, ["value", "part"]).filter("rid_x < rid_y and comp_x <> comp_y").filter(fit)
+    return met.select(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
@@ -259,20 +229,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     degree = longer.groupBy("rid").agg(F.count("*").alias("degree"))
     graded = cut(longer.join(degree, "rid"))  # read twice: for the centres and for the stars
     centre = graded.groupBy("value").agg(F.max(F.struct("degree", (-F.col("rid")).alias("minus"))).alias("top")).select("value", (-F.col("top.minus")).alias("centre"))
-    stars = cut(graded.join(centre, "value").groupBy("centre", "rid").agg(F.count("*").alias("lists"), F.first("degree").alias("degree")).filter(F.col("lists") * 4 >= F.col("degree")))
+    stars = graded.join(centre, "value").groupBy("centre", "rid").agg(F.count("*").alias("lists"), F.first("degree").alias("degree")).filter(F.col("lists") * 4 >= F.col("degree"))
     star_pairs = stars.filter("centre <> rid").select(F.least("centre", "rid").alias("a"), F.greatest("centre", "rid").alias("b"))
     candidates = cut(pairs.unionByName(paired(more, similarity)).unionByName(star_pairs).distinct())
-
-    probable = cut(likely(candidates, classes, similarity))
-    open_pairs = probable.filter("not sure").select("a", "b")
-    sets = read_sets(open_pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), texts, rows, words)
-    links = cut(probable.filter("sure").select("a", "b").unionByName(confirmed(open_pairs, sets, similarity)))
+    links = linked(candidates, classes, texts, rows, words, similarity)
     inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
-    members = cut(stars.join(inside.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")).select("centre", "rid", "comp"))
-    torn = members.groupBy("centre").agg(F.countDistinct("comp").alias("comps")).filter("comps > 1").select("centre")
-    members = members.join(torn, "centre", "left_semi")
-    sets = read_sets(members.select("rid").distinct(), texts, rows, words, sets)
-    late = cut(across(members.join(rows.select("rid", "n"), "rid").join(sets, "rid"), similarity))
+
+    # stars only join most of a group at small cost: classes that share popular values meet over their whole sets
+    popular = cut(poor.join(degree, "rid").filter(POPULAR).join(inside.withColumnRenamed("v", "rid"), "rid", "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp")))
+    sets = popular.join(read_sets(popular.select("rid"), texts, rows, words), "rid")
+    late = linked(cut(across(sets, similarity)), classes, texts, rows, words, similarity)
     if not late.isEmpty():
         links = cut(links.unionByName(late))
         inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
@@ -290,12 +256,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     return out.select(*columns)
 
 
-def read_sets(wanted: DataFrame, texts: DataFrame, rows: DataFrame, words: int, have: DataFrame | None = None) -> DataFrame:
-    """(rid, members): the full sets of the wanted classes, those in ``have`` included as they are."""
-    if have is not None:
-        wanted = wanted.join(have.select("rid"), "rid", "left_anti")
+def linked(candidates: DataFrame, classes: DataFrame, texts: DataFrame, rows: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The candidate pairs (a, b) that have the similarity: by their sketches where these are whole, else by full sets."""
+    probable = cut(likely(candidates, classes, similarity))
+    open_pairs = probable.filter("not sure").select("a", "b")
+    sets = read_sets(open_pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), texts, rows, words)
+    return cut(probable.filter("sure").select("a", "b").unionByName(confirmed(open_pairs, sets, similarity)))
+
+
+def read_sets(wanted: DataFrame, texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(rid, members): the full sets of the wanted classes."""
     named = cut(rows.select("rid", "doc_id", "n", "h1", "h2").join(wanted, "rid", "left_semi"))
     some = texts.join(named.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
-    fresh = full_sets(some, words).join(named.drop("doc_id"), ["n", "h1", "h2"]).groupBy("rid").agg(F.first("members").alias("members"))
-    fresh = cut(fresh)
-    return fresh if have is None else have.unionByName(fresh)
+    return cut(full_sets(some, words).join(named.drop("doc_id"), ["n", "h1", "h2"]).groupBy("rid").agg(F.first("members").alias("members")))

@@ -71,6 +71,29 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     assert labels(near_duplicates(docs, 3, 85)) == components(rows, 3, 85)
 
 
+def templates(count, seed):
+    """Documents of eight slots with five variants each, and for every tenth a copy with one word changed."""
+    rng = np.random.default_rng(seed)
+    slots = [[[f"s{i}v{j}w{k}" for k in range(30)] for j in range(5)] for i in range(8)]
+    rows = []
+    for i in range(count):
+        words = [w for slot in slots for w in slot[rng.integers(5)]]
+        rows.append((2 * i, " ".join(words)))
+        if i % 10 == 0:
+            words[rng.integers(len(words))] = f"e{i}"
+            rows.append((2 * i + 1, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_copies_among_popular_parts(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "LIST", 8)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = templates(400, 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert labels(near_duplicates(docs, 3, 85)) == components(rows, 3, 85)
+
+
 def test_repeated_empty_and_null_rows(spark, empty_docs):
     docs = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (3, "A  b\nc"), (1, ""), (2, None), (None, "a b c"), (9, "a b")], "doc_id long, text string")
     rows = near_duplicates(docs.withColumn("k", F.lit("x")), 3, 85, key_col="k").collect()
