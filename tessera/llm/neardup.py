@@ -4,7 +4,7 @@ A document's set holds the hashes of its distinct word shingles; its sketch is t
 are one class.  Inverted lists of the classes' smallest retained values give pairs and their overlaps; the sketch of
 the union estimates the similarity of those that overlap enough, and the full sets decide.
 
-Lists longer than LIST are never paired off.  A class whose smallest values are mostly in such lists looks up all its
+Lists longer than LIST are never paired off.  A class with one of its smallest values in such a list looks up all its
 retained values: short lists pair, and each long one links its members to one centre.  Classes with popular retained
 values then meet exactly: every two of different components that share one of the rarest values of their full sets, as
 many as two linked sets must share one of, are candidates too.
@@ -12,6 +12,7 @@ many as two linked sets must share one of, are candidates too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,12 @@ from tessera.functions.persist import cut
 from tessera.llm.common import Hashes, blocks, byte_hashes, mix64, pick, text_bytes, word_bounds
 from tessera.operators.graph import connected_components
 
-#: Retained values, those looked up at first, the longest list that is paired off, and the rare values that suffice.
-K, FIRST, LIST, ENOUGH = 128, 16, 32, 7
-#: Standard deviations of the union sketch's estimate below the threshold that still go to the full sets.
-SLACK = 4.5
+#: Retained values, those looked up at first, and the longest list that is paired off.
+K, FIRST, LIST = 128, 16, 32
+#: Values that a pair shares in short lists, at least: of the first ones, of all retained ones.
+SHARED, SHARED_ALL = 2, 4
+#: Probability that the union sketch of a pair at the threshold falls below the least count that goes to the full sets.
+MISS = 1e-12
 #: Classes that meet over their whole sets: those with half or more of their retained values in long lists.
 POPULAR = f"degree * 2 >= least(n, {K})"
 #: Rows of a list of popular values that one task joins with the whole list.
@@ -104,16 +107,26 @@ def value_lists(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     return listed.filter(F.col("listed") <= LIST), listed.filter(F.col("listed") > LIST)
 
 
-def paired(short: DataFrame, similarity: int) -> DataFrame:
-    """Pairs a < b of each short list whose sizes allow the similarity, with the number of lists they share."""
-    groups = short.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("rid", "n", "rare"))).alias("m"))
+def paired(short: DataFrame, similarity: int, least: int, looked: int) -> DataFrame:
+    """Pairs a < b that share ``least`` short lists (sets of less than twice the ``looked`` up values: one) and whose
+    sizes allow the similarity."""
+    groups = short.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("rid", "n"))).alias("m"))
     left = groups.select("m", F.posexplode("m").alias("i", "x"))
     pairs = left.select("x", F.explode(F.slice("m", F.col("i") + 2, F.lit(LIST))).alias("y"))
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     allowed = pairs.filter((small * 100 >= large * similarity) & (F.col("x.rid") != F.col("y.rid")))
-    counted = allowed.groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.rare").alias("ra"), F.col("y.rare").alias("rb")).agg(F.count("*").alias("shared"))
-    # linked sets share most of their smallest rare values
-    return counted.filter(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.least("ra", "rb") * 0.4))).select("a", "b")
+    counted = allowed.groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).agg(F.count("*").alias("shared"), F.min(small).alias("small"))
+    return counted.filter(F.col("shared") >= F.when(F.col("small") < 2 * looked, 1).otherwise(least)).select("a", "b")
+
+
+def least_shared(k: int, t: float) -> int:
+    """The largest m for which fewer than m of k values of the union are in both sets with probability MISS at most."""
+    tail = 0.0
+    for m in range(k + 1):
+        tail += math.comb(k, m) * t**m * (1 - t) ** (k - m)
+        if tail > MISS:
+            return m
+    return k
 
 
 def union_estimate(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -125,8 +138,7 @@ def union_estimate(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
 
 def likely(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """Pairs whose union sketch allows the similarity, with ``sure`` where the sketches are whole sets that have it."""
-    t = similarity / 100
-    least = t - SLACK * (t * (1 - t) / K) ** 0.5
+    least = [least_shared(k, similarity / 100) for k in range(K + 1)]
     side = lambda i: classes.select(F.col("rid").alias(i), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +152,7 @@ def likely(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
                 both, k = union_estimate(x, y)
                 whole = len(x) < K and len(y) < K
                 sure.append(whole and 100 * both >= similarity * k)
-                keep.append(sure[-1] if whole else both >= least * k)
+                keep.append(sure[-1] if whole else both >= least[k])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sure, pa.bool_())], names=["a", "b", "sure"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(rate, "a long, b long, sure boolean")
@@ -217,21 +229,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
 
     # the smallest values of every class
     few = classes.select("rid", "n", F.explode(F.slice("sketch", 1, FIRST)).alias("value"))
-    short, long = value_lists(few.withColumn("rare", F.lit(0)))
-    hot = long.groupBy("rid").agg(F.count("*").alias("hot"))
-    known = short.drop("rare").join(hot, "rid", "left").withColumn("rare", (F.least(F.col("n"), F.lit(FIRST)) - F.coalesce("hot", F.lit(0))).cast("int"))
-    pairs = paired(known, similarity)
-
-    # classes with too few rare values among those: all their values
-    poor = hot.join(classes, "rid").filter(F.least(F.col("n"), F.lit(FIRST)) - F.col("hot") < ENOUGH).select("rid", "n", "sketch")
-    poor = cut(poor)
-    more, longer = value_lists(poor.select("rid", "n", F.explode("sketch").alias("value")).withColumn("rare", F.lit(0)))
+    short, long = value_lists(few)
+    pairs = paired(short, similarity, SHARED, FIRST)
+
+    # classes with a popular one among those: all their values
+    poor = cut(long.select("rid").distinct().join(classes, "rid").select("rid", "n", "sketch"))
+    more, longer = value_lists(poor.select("rid", "n", F.explode("sketch").alias("value")))
     degree = longer.groupBy("rid").agg(F.count("*").alias("degree"))
     graded = cut(longer.join(degree, "rid"))  # read twice: for the centres and for the stars
     centre = graded.groupBy("value").agg(F.max(F.struct("degree", (-F.col("rid")).alias("minus"))).alias("top")).select("value", (-F.col("top.minus")).alias("centre"))
     stars = graded.join(centre, "value").groupBy("centre", "rid").agg(F.count("*").alias("lists"), F.first("degree").alias("degree")).filter(F.col("lists") * 4 >= F.col("degree"))
     star_pairs = stars.filter("centre <> rid").select(F.least("centre", "rid").alias("a"), F.greatest("centre", "rid").alias("b"))
-    candidates = cut(pairs.unionByName(paired(more, similarity)).unionByName(star_pairs).distinct())
+    candidates = cut(pairs.unionByName(paired(more, similarity, SHARED_ALL, K)).unionByName(star_pairs).distinct())
     links = linked(candidates, classes, texts, rows, words, similarity)
     inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
 

@@ -1,4 +1,5 @@
 import itertools
+import math
 import re
 
 import numpy as np
@@ -94,6 +95,26 @@ def test_copies_among_popular_parts(spark, monkeypatch, block):
     assert labels(near_duplicates(docs, 3, 85)) == components(rows, 3, 85)
 
 
+def test_edits_of_the_smallest_values(spark):
+    words = [f"w{i}" for i in range(1000)]
+    raw = " ".join(words).encode()
+    values = [neardup.shingle_sets(np.frombuffer(" ".join(words[i : i + 3]).encode(), np.uint8), np.array([0, len(" ".join(words[i : i + 3]))]), 3)[0][0] for i in range(998)]
+    assert set(values) == set(neardup.shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 3)[0])
+    edited = list(words)
+    for at in np.argsort(values)[:12]:
+        edited[at + 1] = f"e{at}"
+    rows = [(1, " ".join(words)), (2, " ".join(edited))]
+    assert set(components(rows, 3, 85).values()) == {(998, 1)}
+    assert labels(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)) == components(rows, 3, 85)
+
+
+def test_least_shared_is_seldom_missed():
+    for k, t in ((16, 0.8), (128, 0.8), (128, 0.85), (40, 0.85)):
+        tails = np.cumsum([math.comb(k, m) * t**m * (1 - t) ** (k - m) for m in range(k + 1)])
+        least = neardup.least_shared(k, t)
+        assert (least == 0 or tails[least - 1] <= 1e-12) and tails[least] > 1e-12
+
+
 def test_repeated_empty_and_null_rows(spark, empty_docs):
     docs = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (3, "A  b\nc"), (1, ""), (2, None), (None, "a b c"), (9, "a b")], "doc_id long, text string")
     rows = near_duplicates(docs.withColumn("k", F.lit("x")), 3, 85, key_col="k").collect()
