@@ -302,11 +302,12 @@ def shared(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(first, most)
 
 
-def sorted_neighbours(open_texts: DataFrame, length: int, backward: bool, ranges: int, sample: list[bytes]) -> DataFrame:
+def sorted_neighbours(open_texts: DataFrame, length: int, backward: bool, ranges: int, sample: list[tuple[bytes, int, int]]) -> DataFrame:
     """Reach, least and most (see ``neighbours``) of every open place in the order of its suffix, or of its prefix.
 
-    ``open_texts``: doc, text, places.  Runs are sorted in tasks, cut at splitters from ``sample``, front-coded, and
-    merged range by range; the ends of neighbouring ranges are compared afterwards.
+    ``open_texts``: doc, text, places.  Runs are sorted in tasks, cut at splitters from ``sample`` (whole strings with
+    document and place, so that strings of one long common part are cut too), front-coded, and merged range by range;
+    the ends of neighbouring ranges are compared afterwards.
     """
     core = length - length // 2 + 1
     string = back_string if backward else ahead_string
@@ -320,7 +321,7 @@ def sorted_neighbours(open_texts: DataFrame, length: int, backward: bool, ranges
             held.sort()
             strings = [x[0] for x in held]
             doc, place = (np.array([x[i] for x in held], dtype=np.int64) for i in (1, 2))
-            cuts = [0, *(bisect.bisect_left(strings, x) for x in splitters), len(strings)]
+            cuts = [0, *(bisect.bisect_left(held, x) for x in splitters), len(strings)]
             rows = [front_coded(i, strings[a:b], doc[a:b], place[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["part", "prefix", "size", "rest", "doc", "place"])
@@ -438,12 +439,13 @@ def open_stretches(long: DataFrame, open_: DataFrame, total: int, length: int) -
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            rows = [(ahead_string(a, b, core)[:core + 64], back_string(a, b, core)[:core + 64]) for _, _, a, b in contexts(batch, length)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.binary()) for i in (0, 1)], names=["ahead", "back"])
+            rows = [(ahead_string(a, b, core), back_string(a, b, core), doc, place) for doc, place, a, b in contexts(batch, length)]
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["ahead", "back", "doc", "place"])
 
-    sample = open_texts.select("doc", "text").join(few, "doc").withColumnRenamed("few", "places").mapInArrow(strings, "ahead binary, back binary").collect() if ranges > 1 else []
-    right = sorted_neighbours(open_texts, length, False, ranges, [bytes(r["ahead"]) for r in sample]).withColumnRenamed("reach", "r").withColumn("v", F.lit(0))
-    left = sorted_neighbours(open_texts, length, True, ranges, [bytes(r["back"]) for r in sample]).withColumnRenamed("reach", "v").withColumn("r", F.lit(0))
+    sample = open_texts.select("doc", "text").join(few, "doc").withColumnRenamed("few", "places").mapInArrow(strings, "ahead binary, back binary, doc long, place long").collect() if ranges > 1 else []
+    right = sorted_neighbours(open_texts, length, False, ranges, [(bytes(r["ahead"]), r["doc"], r["place"]) for r in sample]).withColumnRenamed("reach", "r").withColumn("v", F.lit(0))
+    left = sorted_neighbours(open_texts, length, True, ranges, [(bytes(r["back"]), r["doc"], r["place"]) for r in sample]).withColumnRenamed("reach", "v").withColumn("r", F.lit(0))
     best = right.unionByName(left).groupBy("doc", "place").agg(F.max("r").alias("r"), F.max("v").alias("v"), F.min("low").alias("low"), F.max("high").alias("high"))
     rated = cut(best.filter(F.col("r") + F.col("v") >= length).join(open_.select("core", "doc", "place", "twice"), ["doc", "place"]))
     seen = rated.filter("high >= low").select("doc", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))

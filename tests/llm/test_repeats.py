@@ -102,6 +102,26 @@ def test_repeated_bytes(spark, corpus, corpus_rows, monkeypatch, run, size, near
     assert got == repeated_bytes(corpus_rows + more, 400)
 
 
+def test_one_passage_in_most_documents_is_cut_into_ranges(spark, monkeypatch):
+    used = []
+
+    def spy(df, cut=suffixes.cut):
+        done = cut(df)
+        if {"reach", "part"} <= set(df.columns):
+            used.append(done.select("part").filter("part is not null").distinct().count())
+        return done
+
+    monkeypatch.setattr(suffixes, "RANGE", 25)
+    monkeypatch.setattr(suffixes, "cut", spy)
+    rnd = random.Random(9)
+    noise = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage = noise(700)
+    rows = [(i, noise(450) + passage + noise(450)) for i in range(150)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == repeated_bytes(rows, 400)
+    assert len(used) == 2 and min(used) >= 12
+
+
 def test_repeated_rows_are_repeats_of_each_other(spark, empty_docs):
     text = "".join(random.Random(1).choice("abcdefgh") for _ in range(500))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text[:300]), (None, None)], "doc_id long, text string")
