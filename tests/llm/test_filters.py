@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -96,6 +97,24 @@ def test_secrets_are_masked(secret_docs):
     assert "4000000000000000" in masked[100]
 
 
+def test_private_keys_are_masked_whole(spark, secret_docs):
+    rnd = random.Random(6)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    line = lambda n: "".join(rnd.choice(signs) for _ in range(n))
+    rows, bodies = [], {}
+    for i, (kind, sep, end) in enumerate([("RSA ", "\n", True), ("", "\r\n", True), ("EC ", "\\n", True), ("ENCRYPTED ", "\n", False), ("RSA ", "\\n", False)]):
+        body = [line(64) for _ in range(20)] + ["".join(rnd.choice(signs[:52]) for _ in range(64)), line(38) + "=="]
+        info = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""] if kind == "RSA " else []
+        text = sep.join([f"-----BEGIN {kind}PRIVATE KEY-----", *info, *body, *([f"-----END {kind}PRIVATE KEY-----"] if end else [])])
+        rows.append((900 + i, [f"before {text} after it", f'private_key = "{text}" after it', f"before\n{text}\n after it"][i % 3]))
+        bodies[900 + i] = body
+    docs = secret_docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    masked = {r["doc_id"]: r["text"] for r in redact_secrets(docs, scan_secrets(docs)).collect()}
+    for doc, body in bodies.items():
+        assert "after it" in masked[doc] and "[SECRET]" in masked[doc] and len(masked[doc]) < 80
+        assert not any(x in masked[doc] for x in body)
+
+
 def test_secrets_without_both_kinds(spark, empty_docs):
     assert scan_secrets(empty_docs).count() == 0
     one = spark.createDataFrame([(1, "secret: abcd1234efgh5678ijkl")], "doc_id long, text string")
