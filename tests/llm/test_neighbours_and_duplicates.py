@@ -95,6 +95,16 @@ def test_copies_among_popular_parts(spark, monkeypatch, block):
     assert labels(near_duplicates(docs, 3, 85)) == components(rows, 3, 85)
 
 
+def test_a_popular_passage_alone_makes_no_pairs(spark):
+    rng = np.random.default_rng(2)
+    passage = rng.integers(-(2**62), 2**62, 840)
+    sets = [np.unique(np.concatenate([passage, rng.integers(-(2**62), 2**62, 160)])) for _ in range(100)]
+    sets.append(np.unique(np.concatenate([sets[7][5:], [1, 2]])))
+    rows = [(i, len(x), i, x.astype(np.int64).tobytes()) for i, x in enumerate(sets)]
+    pairs = neardup.across(spark.createDataFrame(rows, "rid long, n long, comp long, members binary"), 85)
+    assert [(r["a"], r["b"]) for r in pairs.collect()] == [(7, 100)]
+
+
 def test_edits_of_the_smallest_values(spark):
     words = [f"w{i}" for i in range(1000)]
     raw = " ".join(words).encode()
