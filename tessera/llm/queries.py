@@ -97,6 +97,44 @@ def op7_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_vantage_point_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.centroids import centroid_clusters, with_inertia
+
+    return with_inertia(*centroid_clusters(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64, scale=64))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Rounds of integer k-means as a chain of tables: a<i> assigns by the centroids c<i>, c<i + 1> are its means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} as (select p.rid, p.vec_id, min(struct_pack(distance := list_sum(list_transform(list_zip(p.point, c.point), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT,
+                                               cluster := c.cluster)) as best
+       from points p cross join c{i} c group by p.rid, p.vec_id)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} as (select best.cluster as cluster, i, sum(p.point[i])::HUGEINT as s, count(*)::HUGEINT as n
+       from a{i} join points p using (rid) cross join range(1, 65) t(i) group by 1, 2),
+m{i} as (select cluster, list(((s - (((s % n) + n) % n)) // n)::BIGINT order by i) as point from s{i} group by 1),
+c{i + 1} as (select c.cluster, coalesce(m.point, c.point) as point from c{i} c left join m{i} m using (cluster))""")
+    return ",".join(steps)
+
+
+ORACLE["op11_vantage_point_clusters"] = f"""
+with kept as (select vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) as point from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, x -> x is not null and isfinite(x))) = 64),
+points as (select row_number() over () as rid, * from kept),
+c0 as (select (row_number() over (order by name, point) - 1)::INTEGER as cluster, point
+       from (select sha256('1:' || coalesce(vec_id::VARCHAR, '')) as name, point from points order by 1, 2 limit 16)),
+{_rounds_sql(3)}
+select vec_id, best.cluster as cluster, best.distance as distance,
+       (sum(best.distance) over (partition by best.cluster))::BIGINT as cluster_inertia, (sum(best.distance) over ())::BIGINT as inertia,
+       sha256(array_to_string(c.point, ',')) as centroid_sha256
+from a3 join c3 c on c.cluster = best.cluster
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
