@@ -109,7 +109,7 @@ def _rounds_sql(rounds: int) -> str:
     steps = []
     for i in range(rounds + 1):
         steps.append(f"""
-a{i} as (select p.rid, p.vec_id, min(struct_pack(distance := list_sum(list_transform(list_zip(p.point, c.point), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT,
+a{i} as (select p.rid, p.vec_id, min(struct_pack(distance := list_sum(list_transform(list_zip(p.point, c.point), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT,
                                                cluster := c.cluster)) as best
        from points p cross join c{i} c group by p.rid, p.vec_id)""")
         if i < rounds:
@@ -122,8 +122,8 @@ c{i + 1} as (select c.cluster, coalesce(m.point, c.point) as point from c{i} c l
 
 
 ORACLE["op11_vantage_point_clusters"] = f"""
-with kept as (select vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) as point from embeddings
-  where len(embedding) = 64 and len(list_filter(embedding, x -> x is not null and isfinite(x))) = 64),
+with kept as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) as point from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
 points as (select row_number() over () as rid, * from kept),
 c0 as (select (row_number() over (order by name, point) - 1)::INTEGER as cluster, point
        from (select sha256('1:' || coalesce(vec_id::VARCHAR, '')) as name, point from points order by 1, 2 limit 16)),
