@@ -135,6 +135,39 @@ from a3 join c3 c on c.cluster = best.cluster
 """
 
 
+@query
+def op12_stripe_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.divergence import source_divergence
+
+    return source_divergence(read_table(spark, sf_dir, "documents"), least=10, top=10)
+
+
+ORACLE["op12_stripe_divergence"] = r"""
+with docs as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+words as (select rid, lang, source,
+            unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term from words group by 1, 2 having count(distinct rid) >= 10),
+counts as (select lang, source, term, count(*)::HUGEINT as n from words join kept using (lang, term) group by 1, 2, 3),
+v as (select lang, count(*)::HUGEINT as v from kept group by 1),
+groups as (select lang, source, coalesce(sum(n), 0)::HUGEINT as total from (select distinct lang, source from docs) left join counts using (lang, source) group by 1, 2),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.total + 2 * v.v) as p
+      from groups g join v using (lang) join kept k using (lang) left join counts c using (lang, source, term)),
+q as (select lang, term, 1 + (1000000000 * (sum(n) + 2)::HUGEINT) // (any_value(total) + 2 * any_value(v)) as q
+      from counts join v using (lang) join (select lang, sum(total)::HUGEINT as total from groups group by 1) using (lang) group by 1, 2),
+pairs as (select a.lang, a.source, b.source as item, coalesce(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)), 0)::BIGINT as value
+          from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+ranked as (
+  select g.lang, g.source, 'pair' as part, h.source as item, coalesce(x.value, 0)::BIGINT as value
+  from groups g join groups h on g.lang = h.lang and g.source <> h.source
+  left join pairs x on x.lang = g.lang and x.source = g.source and x.item = h.source
+  union all
+  select p.lang, p.source, 'term', p.term, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT
+  from p join q using (lang, term) where p.n > 0 and p.p > q.q)
+select * from (select *, (row_number() over (partition by lang, source, part order by value desc, item))::INTEGER as rank from ranked)
+where part = 'pair' or rank <= 10
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
