@@ -168,6 +168,17 @@ where part = 'pair' or rank <= 10
 """
 
 
+@query
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bpe import decode_ids, encode_texts
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    done = decode_ids(encode_texts(read_table(spark, sf_dir, "documents"), path), path)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
