@@ -25,4 +25,22 @@ def cut(df: DataFrame) -> DataFrame:
     base = spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    written = spark.read.parquet(path)
+    written._cut_path = path
+    return written
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote, once everything that reads them has been written itself.
+
+    Plans built on a released table can no longer run, so only a step's own intermediate tables are released, after
+    its result was cut.  Other DataFrames are left alone.
+    """
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path is None:
+            continue
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        df._cut_path = None
