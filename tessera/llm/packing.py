@@ -74,10 +74,14 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if self.fast is None or any(x in text for x in self.added):
+            ids = None
+            if self.fast is not None and not any(x in text for x in self.added):
+                try:
+                    ids = self.fast.encode_to_numpy(text, disallowed_special=())
+                except ValueError:  # its pattern gives up on very long runs of blanks
+                    ids = None
+            if ids is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            else:
-                ids = self.fast.encode_to_numpy(text, disallowed_special=())
             yield np.asarray(ids, dtype="<u4").tobytes()
 
 

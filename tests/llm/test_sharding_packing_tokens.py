@@ -81,6 +81,16 @@ def test_encoder_on_special_strings():
         assert token_ids(ids).tolist() == direct.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_encoder_on_a_million_blanks(blank):
+    import public_tokenizers
+
+    own = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = blank * 1_000_000 + "x"
+    (got,) = own.encode_all([text])
+    assert token_ids(got).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_nothing(empty_docs):
     assert pack_documents(empty_docs, BPE).count() == 0
 
