@@ -68,35 +68,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _byte_codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_STEP = np.uint64(0xD1342543DE82EF95)  # odd, so that it has an inverse modulo 2^64
-_STEP_BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+#: Two primes below 2^31, so that products of residues fit 64 bits, and for each a base; together about 62 bits.
+_FIELDS = ((2147483647, 1103515245), (2147483629, 1812433253))
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(step: np.uint64, n: int) -> np.ndarray:
-    """step ** 0 .. step ** (n - 1) modulo 2^64, kept for later calls."""
-    have = _powers.get(int(step))
+def powers(prime: int, base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo the prime, kept for later calls."""
+    have = _powers.get((prime, base))
     if have is None or len(have) < n:
-        have = np.full(max(n, BLOCK_BYTES + (1 << 16)), step, dtype=np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if len(have) <= 2 * BLOCK_BYTES:
-            _powers[int(step)] = have
+        have = np.ones(1, dtype=np.uint64)
+        while len(have) < max(n, BLOCK_BYTES + (1 << 16)):
+            have = np.concatenate([have, have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)])
+        if len(have) <= 4 * BLOCK_BYTES:
+            _powers[prime, base] = have
     return have[:n]
 
 
 class Hashes:
-    """Hashes of any slice of a row of 64-bit codes: equal slices have equal hashes wherever they stand."""
+    """Hashes of any slice of a row of 64-bit codes: equal slices have equal hashes wherever they stand.
+
+    Polynomials modulo two primes: unlike modulo 2^64, no sequence of words makes them equal whatever the base.
+    """
 
     def __init__(self, codes: np.ndarray):
-        self.sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(codes * powers(_STEP, len(codes)), out=self.sums[1:])
-        self.back = powers(_STEP_BACK, len(codes) + 1)
+        self.fields = []
+        for prime, base in _FIELDS:
+            p = np.uint64(prime)
+            sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+            # residues below 2^31: a sum of up to 2^33 of them fits 64 bits
+            np.cumsum(codes % p * powers(prime, base, len(codes)) % p, out=sums[1:])
+            self.fields.append((p, sums, powers(prime, pow(base, -1, prime), len(codes) + 1)))
 
     def of(self, start: np.ndarray, stop: np.ndarray, salt: int = 0) -> np.ndarray:
         """One hash per slice; the slice's length counts."""
-        raw = (self.sums[stop] - self.sums[start]) * self.back[start]
-        return mix64(raw + mix64((stop - start).astype(np.uint64) + np.uint64(salt * 0x100000001)))
+        first, second = ((sums[stop] - sums[start]) % p * back[start] % p for p, sums, back in self.fields)
+        return mix64(((first << np.uint64(32)) | second) + mix64((stop - start).astype(np.uint64) + np.uint64(salt * 0x100000001)))
 
 
 def byte_hashes(raw: np.ndarray) -> Hashes:

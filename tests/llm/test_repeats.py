@@ -143,3 +143,21 @@ def test_merge_of_front_coded_runs():
     texts = [x for _, x, _ in merged]
     for (known, x, _), y in zip(merged[1:], texts, strict=False):
         assert x[:known] == y[:known]
+
+
+def doubling_words(length=2048):
+    """Two words of two letters that every polynomial hash modulo 2^64 takes for equal."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_different_words_of_a_doubling_sequence_are_not_repeats(spark):
+    x, y = doubling_words()
+    rows = [(1, " ".join([x] * 20)), (2, " ".join([y] * 20)), (3, " ".join([x, y] * 15))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=20).collect()}
+    assert got == repeated_words(rows, 20)
+    done = remove_repeated_bytes(spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string"), length=400)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in done.collect()}
+    assert got == {k: v[:2] for k, v in repeated_bytes([(1, x), (2, y)], 400).items()}
