@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.persist import cut
+from tessera.functions.persist import cut, release
 from tessera.llm.common import Hashes, blocks, byte_hashes, mix64, pick, text_bytes, word_bounds
 from tessera.operators.graph import connected_components
 
@@ -104,7 +104,9 @@ def value_lists(values: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``values`` (value and more) of lists that two or more share: those of at most LIST rows, and the longer ones."""
     sizes = values.groupBy("value").agg(F.count("*").alias("listed")).filter("listed > 1")
     listed = cut(values.join(sizes, "value"))
-    return listed.filter(F.col("listed") <= LIST), listed.filter(F.col("listed") > LIST)
+    short, long = listed.filter(F.col("listed") <= LIST), listed.filter(F.col("listed") > LIST)
+    short._cut_path = listed._cut_path  # released with the short lists
+    return short, long
 
 
 def paired(short: DataFrame, similarity: int, least: int, looked: int) -> DataFrame:
@@ -174,9 +176,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(decide, "a long, b long")
 
 
-def rare_first(sets: DataFrame, similarity: int) -> DataFrame:
-    """(value, rid, n, comp, place): of each set (rid, n, comp, members) the values that others hold too, if they are
-    among the first n - ceil(similarity n) + 1 in the order of rarity.  Two linked sets share one of these values."""
+def set_values(sets: DataFrame) -> DataFrame:
+    """(rid, value): the members of each set (rid, members), written."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +187,12 @@ def rare_first(sets: DataFrame, similarity: int) -> DataFrame:
                 rid = np.repeat(some.column("rid").to_numpy(), [len(x) for x in whole])
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate(whole))], names=["rid", "value"])
 
-    values = cut(sets.select("rid", "members").mapInArrow(explode, "rid long, value long"))
+    return cut(sets.select("rid", "members").mapInArrow(explode, "rid long, value long"))
+
+
+def rare_first(sets: DataFrame, values: DataFrame, similarity: int) -> DataFrame:
+    """(value, rid, n, comp, place): of each set (rid, n, comp) the ``values`` that others hold too, if they are
+    among the first n - ceil(similarity n) + 1 in the order of rarity.  Two linked sets share one of these values."""
     times = values.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
     ordered = values.join(times, "value").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("common"))
     # values that no other set holds come first
@@ -201,7 +207,9 @@ def across(sets: DataFrame, similarity: int) -> DataFrame:
 
     No list is too long: one of more than BLOCK rows is dealt over several tasks.
     """
-    prefix = cut(rare_first(sets, similarity))
+    values = set_values(sets)
+    prefix = cut(rare_first(sets, values, similarity))
+    release(values)
     lists = prefix.groupBy("value").agg(F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
     dealt = cut(prefix.join(lists.select("value", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "value"))
     x = dealt.select("value", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_x") for c in ("rid", "n", "comp", "place")])
@@ -209,7 +217,9 @@ def across(sets: DataFrame, similarity: int) -> DataFrame:
     # at the first value that two linked sets share, enough are left of both
     fit = F.least(F.expr("n_x - place_x"), F.expr("n_y - place_y")) * (100 + similarity) >= F.expr("n_x + n_y") * similarity
     met = x.join(y, ["value", "part"]).filter("rid_x < rid_y and comp_x <> comp_y").filter(fit)
-    return met.select(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).distinct()
+    pairs = cut(met.select(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).distinct())
+    release(prefix, dealt)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
@@ -235,22 +245,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     # classes with a popular one among those: all their values
     poor = cut(long.select("rid").distinct().join(classes, "rid").select("rid", "n", "sketch"))
     more, longer = value_lists(poor.select("rid", "n", F.explode("sketch").alias("value")))
-    degree = longer.groupBy("rid").agg(F.count("*").alias("degree"))
-    graded = cut(longer.join(degree, "rid"))  # read twice: for the centres and for the stars
-    centre = graded.groupBy("value").agg(F.max(F.struct("degree", (-F.col("rid")).alias("minus"))).alias("top")).select("value", (-F.col("top.minus")).alias("centre"))
-    stars = graded.join(centre, "value").groupBy("centre", "rid").agg(F.count("*").alias("lists"), F.first("degree").alias("degree")).filter(F.col("lists") * 4 >= F.col("degree"))
-    star_pairs = stars.filter("centre <> rid").select(F.least("centre", "rid").alias("a"), F.greatest("centre", "rid").alias("b"))
+    # at most K values a class; three of them, the rarest, the median and the most frequent, find the class a centre
+    listing = F.sort_array(F.collect_list(F.struct("listed", "value")))
+    graded = cut(longer.groupBy("rid").agg(listing.alias("held")).withColumn("degree", F.size("held")))
+    places = F.array_distinct(F.array(F.lit(0), F.floor((F.col("degree") - 1) / 2).cast("int"), F.col("degree") - 1))
+    chosen = cut(graded.select("rid", "degree", F.explode(F.transform(places, lambda i: F.col("held")[i]["value"])).alias("value")))
+    centre = chosen.groupBy("value").agg(F.max(F.struct("degree", (-F.col("rid")).alias("minus"))).alias("top")).select("value", (-F.col("top.minus")).alias("centre"))
+    star_pairs = chosen.join(centre, "value").filter("centre <> rid").select(F.least("centre", "rid").alias("a"), F.greatest("centre", "rid").alias("b"))
     candidates = cut(pairs.unionByName(paired(more, similarity, SHARED_ALL, K)).unionByName(star_pairs).distinct())
+    release(short, more, chosen)
     links = linked(candidates, classes, texts, rows, words, similarity)
+    release(candidates)
     inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
 
     # stars only join most of a group at small cost: classes that share popular values meet over their whole sets
-    popular = cut(poor.join(degree, "rid").filter(POPULAR).join(inside.withColumnRenamed("v", "rid"), "rid", "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp")))
-    sets = popular.join(read_sets(popular.select("rid"), texts, rows, words), "rid")
-    late = linked(cut(across(sets, similarity)), classes, texts, rows, words, similarity)
+    popular = cut(poor.join(graded.select("rid", "degree"), "rid").filter(POPULAR).join(inside.withColumnRenamed("v", "rid"), "rid", "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp")))
+    release(poor, graded)
+    whole = read_sets(popular.select("rid"), texts, rows, words)
+    met = across(popular.join(whole, "rid"), similarity)
+    release(whole)
+    late = linked(met, classes, texts, rows, words, similarity)
+    release(met, popular)
     if not late.isEmpty():
         links = cut(links.unionByName(late))
         inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
+    release(classes)
 
     labelled = groups.join(inside.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     smallest = labelled.groupBy("comp").agg(F.min("first").alias("best"))
@@ -270,11 +289,15 @@ def linked(candidates: DataFrame, classes: DataFrame, texts: DataFrame, rows: Da
     probable = cut(likely(candidates, classes, similarity))
     open_pairs = probable.filter("not sure").select("a", "b")
     sets = read_sets(open_pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), texts, rows, words)
-    return cut(probable.filter("sure").select("a", "b").unionByName(confirmed(open_pairs, sets, similarity)))
+    links = cut(probable.filter("sure").select("a", "b").unionByName(confirmed(open_pairs, sets, similarity)))
+    release(probable, sets)
+    return links
 
 
 def read_sets(wanted: DataFrame, texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(rid, members): the full sets of the wanted classes."""
     named = cut(rows.select("rid", "doc_id", "n", "h1", "h2").join(wanted, "rid", "left_semi"))
     some = texts.join(named.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
-    return cut(full_sets(some, words).join(named.drop("doc_id"), ["n", "h1", "h2"]).groupBy("rid").agg(F.first("members").alias("members")))
+    sets = cut(full_sets(some, words).join(named.drop("doc_id"), ["n", "h1", "h2"]).groupBy("rid").agg(F.first("members").alias("members")))
+    release(named)
+    return sets

@@ -177,3 +177,12 @@ def test_graph_is_reproducible():
     assert all((a == b).all() for a, b in zip(one.layers, two.layers, strict=True))
     ids, far = one.search(points[:50])
     assert (ids[:, 0] == np.arange(50)).mean() > 0.95 and (np.diff(far, axis=1)[:, :10] >= 0).all()
+
+
+def test_different_words_of_a_doubling_sequence_are_not_linked(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word)]
+    assert labels(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)) == components(rows, 3, 85)
