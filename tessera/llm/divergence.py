@@ -14,15 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.persist import cut
 from tessera.llm.common import pick
 
-#: A task spills its stripes when they hold so many (term, source) counts, or so many bytes of terms.
-SPILL_COUNTS = 400_000
-SPILL_BYTES = 32 << 20
+#: A task spills its stripes when they hold so many (term, source) counts, or come from so many bytes of text.
+SPILL_COUNTS = 600_000
+SPILL_BYTES = 64 << 20
+#: Stripes of one term that are merged at once.
+HELD = 4096
 #: Text folded at once, cut where no term is.
 SLICE = 1 << 20
 #: (term, source) counts in a group of merged stripes, and cells (terms x sources) that it holds as a table at once.
@@ -38,119 +41,139 @@ _SCHEMA = pa.schema([("lang", pa.string()), ("term", pa.string()), ("df", pa.int
 _DDL = "lang string, term string, df long, stripe array<struct<source:string,n:long>>"
 
 
-def term_counts(raw: bytes) -> Counter:
-    """How often each term stands in a text (UTF-8)."""
-    if len(raw) <= SLICE:
-        return Counter(raw.translate(_FOLD).split())
-    counts: Counter = Counter()
+def terms_of(raw: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text (UTF-8) in order, a long text in slices."""
     start = 0
     while start < len(raw):
         piece = raw[start : start + SLICE].translate(_FOLD)
         stop = start + len(piece)
         if stop < len(raw):
             last = piece.rfind(b" ")
-            while last < 0:  # one term longer than the slice
+            while last < 0 and stop < len(raw):  # one term longer than the slice
                 more = raw[stop : stop + SLICE].translate(_FOLD)
+                last = more.find(b" ")
+                last += len(piece) if last >= 0 else 0
                 piece, stop = piece + more, stop + len(more)
-                last = piece.find(b" ", len(piece) - len(more)) if more else len(piece)
-            stop = start + last
-        counts.update(piece[: stop - start].split())
-        start = stop + 1
-    return counts
-
-
-def _stripe_batches(stripes: dict[str, dict[bytes, list]], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Stripes {lang: {term: [df, {source: n}]}} as rows."""
-    for lang, terms in stripes.items():
-        names = list(terms)
-        for start in range(0, len(names), rows):
-            part = names[start : start + rows]
-            df = [terms[t][0] for t in part]
-            sizes = np.array([len(terms[t][1]) for t in part])
-            flat = pa.StructArray.from_arrays(
-                [pa.array([s for t in part for s in terms[t][1]], pa.string()),
-                 pa.array([n for t in part for n in terms[t][1].values()], pa.int64())], ["source", "n"])
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array(df, pa.int64()),
-                 pa.ListArray.from_arrays(ends, flat)], schema=_SCHEMA)
+            if last >= 0:
+                piece = piece[:last]
+                stop = start + last + 1
+        yield piece.split()
+        start = stop
+
+
+class Stripes:
+    """A hash table of the stripes of one language: document frequencies, and counts by source."""
+
+    def __init__(self):
+        self.df: Counter = Counter()
+        self.counts: dict[str, Counter] = {}
+
+    def add(self, source: str, raw: bytes) -> int:
+        """Folds one document in; returns by how many counts the table has grown."""
+        counts = self.counts.setdefault(source, Counter())
+        before = len(counts)
+        slices = terms_of(raw)
+        first = next(slices, [])
+        counts.update(first)
+        seen = set(first)
+        for more in slices:
+            counts.update(more)
+            seen.update(more)
+        self.df.update(seen)
+        return len(counts) - before
+
+    def batches(self, lang: str, rows: int = 8192) -> Iterator[pa.RecordBatch]:
+        """The stripes as rows."""
+        place = dict(zip(self.df, range(len(self.df))))
+        sources = list(self.counts)
+        at = [np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in self.counts.values()]
+        n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in self.counts.values()])
+        source = np.repeat(np.arange(len(sources)), [len(x) for x in at]).astype(np.int32)
+        at = np.concatenate(at)
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(len(place) + 1)).astype(np.int32)
+        names = pa.DictionaryArray.from_arrays(pa.array(source[order]), pa.array(sources, pa.string())).dictionary_decode()
+        stripe = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([names, pa.array(n[order])], ["source", "n"]))
+        terms = pa.array(list(self.df), pa.binary()).cast(pa.string())
+        df = pa.array(np.fromiter(self.df.values(), np.int64, len(self.df)))
+        for start in range(0, len(place), rows):
+            part = slice(start, start + rows)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(terms[part]), pa.string()), terms[part], df[part], stripe[part]], schema=_SCHEMA)
 
 
 def _fold_documents(spill: int):
-    """Folds whole documents into stripes; the table is handed on whenever it holds ``spill`` counts."""
+    """Folds whole documents into stripes; the tables are handed on whenever they hold ``spill`` counts."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stripes: dict[str, dict[bytes, list]] = {}
+        tables: dict[str, Stripes] = {}
         held = size = 0
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-            texts = batch.column("text")
-            for i in range(batch.num_rows):
-                text = texts[i].as_buffer()
-                if text is None or not text.size:
-                    continue
-                terms, source = stripes.setdefault(langs[i], {}), sources[i]
-                for term, n in term_counts(text.to_pybytes()).items():
-                    stripe = terms.get(term)
-                    if stripe is None:
-                        terms[term] = [1, {source: n}]
-                        held += 1
-                        size += len(term)
-                    else:
-                        stripe[0] += 1
-                        counts = stripe[1]
-                        if source in counts:
-                            counts[source] += n
-                        else:
-                            counts[source] = n
-                            held += 1
+            for lang, source, text in zip(langs, sources, batch.column("text")):
+                raw = text.as_buffer().to_pybytes()
+                held += tables.setdefault(lang, Stripes()).add(source, raw)
+                size += len(raw)
                 if held >= spill or size >= SPILL_BYTES:
-                    yield from _stripe_batches(stripes)
-                    stripes, held, size = {}, 0, 0
-        yield from _stripe_batches(stripes)
+                    for name, table in tables.items():
+                        yield from table.batches(name)
+                    tables, held, size = {}, 0, 0
+        for name, table in tables.items():
+            yield from table.batches(name)
 
     return fold
 
 
-def _merge_sorted(least: int, spill: int):
+def _group_starts(table: pa.Table) -> np.ndarray:
+    """Rows that begin a run of equal (lang, term)."""
+    lang, term = (table.column(c).combine_chunks() for c in ("lang", "term"))
+    new = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1]))
+    return np.flatnonzero(np.concatenate([[True], new.to_numpy(zero_copy_only=False)]))
+
+
+def _merged(table: pa.Table, starts: np.ndarray, least: int) -> pa.Table:
+    """One stripe for each run of rows from ``starts``; runs in fewer than ``least`` documents go first."""
+    df = np.add.reduceat(table.column("df").to_numpy(), starts)
+    kept = df >= least
+    sizes = np.diff(np.append(starts, table.num_rows))
+    run = np.repeat(np.cumsum(kept) - 1, sizes)
+    rows = np.flatnonzero(np.repeat(kept, sizes))
+    stripe = table.column("stripe").combine_chunks().take(pa.array(rows))
+    entries = stripe.flatten()
+    of = np.repeat(run[rows], np.diff(stripe.offsets.to_numpy()))
+    summed = pa.table({"run": of, "source": entries.field(0), "n": entries.field(1)}).group_by(["run", "source"]).aggregate([("n", "sum")]).sort_by("run")
+    ends = np.searchsorted(summed.column("run").to_numpy(), np.arange(int(kept.sum()) + 1)).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([summed.column("source").combine_chunks(), summed.column("n_sum").combine_chunks()], ["source", "n"])
+    heads = pa.array(starts[kept])
+    return pa.table([table.column("lang").combine_chunks().take(heads), table.column("term").combine_chunks().take(heads),
+                     pa.array(df[kept]), pa.ListArray.from_arrays(pa.array(ends), pairs)], schema=_SCHEMA)
+
+
+def _merge_sorted(least: int, held: int):
     """Merges the stripes of equal (lang, term), which follow each other; terms in fewer than ``least`` documents go."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[str, dict[bytes, list]] = {}
-        held = 0
-        here, df, counts = None, 0, {}
-
-        def close() -> int:
-            if here is None or df < least:
-                return 0
-            done.setdefault(here[0], {})[here[1].encode()] = [df, counts]
-            return len(counts)
-
+        open_rows: pa.Table | None = None  # from the start of the last term, whose stripes may go on
         for batch in batches:
-            langs, terms, dfs = (batch.column(c).to_pylist() for c in ("lang", "term", "df"))
-            stripe = batch.column("stripe")
-            ends = stripe.offsets.to_numpy()
-            sources, ns = (stripe.values.field(k).to_pylist() for k in (0, 1))
-            for i, key in enumerate(zip(langs, terms)):
-                if key != here:
-                    held += close()
-                    here, df, counts = key, 0, {}
-                    if held >= spill:
-                        yield from _stripe_batches(done)
-                        done, held = {}, 0
-                df += dfs[i]
-                for j in range(ends[i], ends[i + 1]):
-                    counts[sources[j]] = counts.get(sources[j], 0) + ns[j]
-        close()
-        yield from _stripe_batches(done)
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]).cast(_SCHEMA)
+            table = table if open_rows is None else pa.concat_tables([open_rows, table])
+            starts = _group_starts(table)
+            if len(starts) > 1:
+                yield from _merged(table.slice(0, starts[-1]), starts[:-1], least).to_batches()
+            open_rows = table.slice(starts[-1])
+            if open_rows.num_rows >= held:
+                open_rows = _merged(open_rows, np.zeros(1, dtype=np.int64), 0)
+        if open_rows is not None:
+            yield from _merged(open_rows, np.zeros(1, dtype=np.int64), least).to_batches()
 
     return merge
 
 
-def merged_stripes(docs: DataFrame, least: int, spill: int = SPILL_COUNTS) -> DataFrame:
+def merged_stripes(docs: DataFrame, least: int, spill: int = SPILL_COUNTS, held: int = HELD) -> DataFrame:
     """(lang, term, df, stripe) of the terms that stand in at least ``least`` documents of their language."""
     folded = docs.select("lang", "source", "text").mapInArrow(_fold_documents(spill), _DDL)
-    return folded.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge_sorted(least, spill), _DDL)
+    return folded.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(_merge_sorted(least, held), _DDL)
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -248,7 +271,7 @@ def source_divergence(docs: DataFrame, least: int = 10, top: int = 10, lang_col:
     """
     empty = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "source", "text")}
     rows = pick(docs, lang=lang_col, source=source_col, text=text_col).withColumns(empty)
-    kept = cut(merged_stripes(rows, least, spill))
+    kept = cut(merged_stripes(rows, least, spill, min(spill, HELD)))
     counts = kept.select("lang", F.explode("stripe").alias("s")).groupBy("lang", F.col("s.source").alias("source")).agg(F.sum("s.n").alias("n"))
     groups = rows.groupBy("lang", "source").agg(F.lit(0).cast("long").alias("none")).drop("none").join(counts, ["lang", "source"], "left")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum(F.size("stripe")).alias("counts"))
