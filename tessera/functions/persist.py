@@ -34,8 +34,10 @@ def release(*tables: DataFrame | None) -> None:
     """Delete tables that ``cut`` wrote, once everything that reads them has been written itself.
 
     Plans built on a released table can no longer run, so only a step's own intermediate tables are released, after
-    its result was cut.  Other DataFrames are left alone.
+    its result was cut.  Other DataFrames are left alone.  Shuffle files of plans that nothing refers to any more go
+    when the driver collects its garbage, so it does that here instead of half an hour later.
     """
+    jvm = None
     for df in tables:
         path = getattr(df, "_cut_path", None)
         if path is None:
@@ -44,3 +46,5 @@ def release(*tables: DataFrame | None) -> None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
         df._cut_path = None
+    if jvm is not None:
+        jvm.System.gc()
