@@ -71,16 +71,21 @@ _byte_codes = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4
 #: Two primes below 2^31, so that products of residues fit 64 bits, and for each a base; together about 62 bits.
 _FIELDS = ((2147483647, 1103515245), (2147483629, 1812433253))
 _powers: dict[tuple[int, int], np.ndarray] = {}
+#: Codes that are multiplied at once; between these, only 32-bit residues are held.
+_CHUNK = 1 << 17
 
 
 def powers(prime: int, base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo the prime, kept for later calls."""
+    """base ** 0 .. base ** (n - 1) modulo the prime, kept for later calls unless very many."""
     have = _powers.get((prime, base))
     if have is None or len(have) < n:
-        have = np.ones(1, dtype=np.uint64)
-        while len(have) < max(n, BLOCK_BYTES + (1 << 16)):
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)])
-        if len(have) <= 4 * BLOCK_BYTES:
+        have = np.ones(max(n, BLOCK_BYTES + (1 << 16)), dtype=np.uint32)
+        done = 1
+        while done < len(have):
+            more = min(done, len(have) - done, _CHUNK)
+            have[done : done + more] = have[:more].astype(np.uint64) * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+            done += more
+        if len(have) <= 2 * BLOCK_BYTES:
             _powers[prime, base] = have
     return have[:n]
 
@@ -94,15 +99,21 @@ class Hashes:
     def __init__(self, codes: np.ndarray):
         self.fields = []
         for prime, base in _FIELDS:
-            p = np.uint64(prime)
-            sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-            # residues below 2^31: a sum of up to 2^33 of them fits 64 bits
-            np.cumsum(codes % p * powers(prime, base, len(codes)) % p, out=sums[1:])
+            p, step = np.uint64(prime), powers(prime, base, len(codes))
+            sums = np.zeros(len(codes) + 1, dtype=np.uint32)
+            last = np.uint64(0)
+            for start in range(0, len(codes), _CHUNK):
+                part = slice(start, start + _CHUNK)
+                terms = codes[part] % p * step[part] % p  # below 2^31: 2^17 of them fit 64 bits
+                terms[0] += last
+                total = np.cumsum(terms) % p
+                sums[start + 1 : start + 1 + len(total)] = total
+                last = total[-1]
             self.fields.append((p, sums, powers(prime, pow(base, -1, prime), len(codes) + 1)))
 
     def of(self, start: np.ndarray, stop: np.ndarray, salt: int = 0) -> np.ndarray:
         """One hash per slice; the slice's length counts."""
-        first, second = ((sums[stop] - sums[start]) % p * back[start] % p for p, sums, back in self.fields)
+        first, second = ((sums[stop].astype(np.uint64) + p - sums[start]) * back[start] % p for p, sums, back in self.fields)
         return mix64(((first << np.uint64(32)) | second) + mix64((stop - start).astype(np.uint64) + np.uint64(salt * 0x100000001)))
 
 
