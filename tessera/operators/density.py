@@ -1,7 +1,7 @@
 """Density clustering on the 2-D embedding (M6a-M6h).
 
 core distance (M6a)     distance to the ``min_samples``-th other point: the
-                        certified grid k-NN join of ``neighbors.knn``.
+                        counted-tree k-NN join of ``neighbors.knn``.
 mutual reachability     max(core_u, core_v, d(u, v)) on neighbour pairs (M6b).
 metric (M6h)            euclidean and manhattan directly; cosine as
                         Euclidean on unit vectors (same order), reported as
@@ -11,20 +11,24 @@ metric (M6h)            euclidean and manhattan directly; cosine as
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from tessera.functions.persist import cut
 
+from tessera.functions.persist import cut, release
+from tessera.operators import tree
+from tessera.operators.condense import LIMIT, condensed_tree, label_points, select_clusters
 from tessera.operators.neighbors import knn
 
 XY = ("emb_x", "emb_y")
+L1 = ("manhattan", "l1", "cityblock")
 
 
 def metric_space(df: DataFrame, coords: Sequence[str], metric: str) -> tuple[DataFrame, tuple[str, ...], str]:
-    """Coordinates in which the grid search runs, and the grid metric."""
+    """Coordinates in which the tree search runs, and its metric."""
     if metric in ("euclidean", "l2"):
         return df, tuple(coords), "euclidean"
     if metric in ("manhattan", "l1", "cityblock"):
@@ -69,92 +73,103 @@ def mutual_reachability(df: DataFrame, min_samples: int = 3, coords: Sequence[st
 
 # --------------------------------------------------------------------------- spanning tree
 
-import math  # noqa: E402
-from dataclasses import dataclass  # noqa: E402
-
-import numpy as np  # noqa: E402
-import pandas as pd  # noqa: E402
+def _reported(gap, metric: str):
+    """Grid distance in reported units: 1 - cos = d^2 / 2 on unit vectors."""
+    return gap * gap / F.lit(2.0) if metric == "cosine" else gap
 
-from tessera.operators.graph import connected_components  # noqa: E402,F401
-from tessera.operators.neighbors import _offsets, grid_scale  # noqa: E402
 
+def _leaving_edges(metric: str, coords: Sequence[str]):
+    """The lightest edge from each component of the left points to a right point of another component."""
 
-def _edge_key(w, a, b):
-    """Total edge order (weight, smaller id, larger id): the tree is unique."""
-    return F.struct(w.alias("w"), F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+    def lightest(p: pa.Table, c: pa.Table) -> pa.Table:
+        pid, cid, pcomp, ccomp = (t.column(x).to_numpy() for x in ("id", "comp") for t in (p, c))
+        weight = tree.distances(tree.matrix(p, coords), tree.matrix(c, coords), "manhattan" if metric in L1 else "euclidean")
+        if metric == "cosine":
+            weight = weight / 2.0
+        elif metric not in L1:
+            weight = np.sqrt(weight)
+        weight = np.maximum(weight, p.column("core").to_numpy()[:, None])
+        weight = np.maximum(weight, c.column("core").to_numpy()[None, :])
+        weight[pcomp[:, None] == ccomp[None, :]] = np.inf
+        least = weight.min(axis=1, initial=np.inf)
+        row, col = np.nonzero((weight == least[:, None]) & np.isfinite(weight))
+        lo, hi = np.minimum(pid[row], cid[col]), np.maximum(pid[row], cid[col])
+        order = np.lexsort((hi, lo, weight[row, col], pcomp[row]))
+        comp = pcomp[row][order]
+        first = order[np.concatenate([[True], comp[1:] != comp[:-1]])] if len(order) else order
+        return pa.table({"comp": pcomp[row[first]], "w": weight[row[first], col[first]], "lo": lo[first], "hi": hi[first]})
 
+    return lightest
 
-def _best_foreign_edges(pts: DataFrame, coords, h0: float, extent: float, metric: str) -> DataFrame:
-    """Per component: the lightest mutual-reachability edge leaving it.
 
-    ``pts(id, comp, core, coords...)``.  Certified grid search per point:
-    at cell side h a point's best foreign edge is final when its weight is
-    <= h (every point within distance h lies in the 3^d cells).  A point
-    starts at the first level with h >= its core distance (no edge of it
-    can weigh less).  After each level a component that already holds a
-    certified edge of weight <= h drops its uncertified points, whose best
-    edges are all heavier than h.
-    """
-    d = len(coords)
-    cand_all = pts.select(F.col("id").alias("c_id"), F.col("comp").alias("c_comp"), F.col("core").alias("c_core"),
-                          *[F.col(c).alias(f"c_{c}") for c in coords])
-    # first level whose certification limit reaches the point's core distance
-    need = F.sqrt(F.col("core") * F.lit(2.0)) if metric == "cosine" else F.col("core")
-    pending = pts.select("id", "comp", "core", *coords,
-                         F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(need, F.lit(h0 * 1e-12)) / F.lit(h0))))
-                         .cast("int").alias("start")).transform(cut)
-    found: list[DataFrame] = []
-    level = 0
-    while True:
-        h = h0 * (2 ** level)
-        final = h >= extent * 1.000001
-        active = pending if final else pending.where(F.col("start") <= level)
-        pc = active.select("id", "comp", "core", *coords,
-                           *[F.floor(F.col(c) / F.lit(h)).cast("long").alias(f"h{i}") for i, c in enumerate(coords)])
-        pc = pc.withColumn("_off", F.explode(_offsets(d))).select(
-            "id", "comp", "core", *coords, *[(F.col(f"h{i}") + F.col("_off")[i]).alias(f"cell{i}") for i in range(d)])
-        cc = cand_all.select("*", *[F.floor(F.col(f"c_{c}") / F.lit(h)).cast("long").alias(f"cell{i}")
-                                    for i, c in enumerate(coords)])
-        j = pc.join(cc, [f"cell{i}" for i in range(d)]).where(F.col("c_comp") != F.col("comp"))
-        dist = _pair_dist([F.col(c) for c in coords], [F.col(f"c_{c}") for c in coords], metric)
-        w = F.greatest(F.col("core"), F.col("c_core"), dist)
-        best = (j.select("id", "comp", _edge_key(w, F.col("id"), F.col("c_id")).alias("e"))
-                 .groupBy("id", "comp").agg(F.min("e").alias("e")))
-        cert = best if final else best.where(F.col("e.w") <= F.lit(_limit(h, metric)))
-        cert = cert.transform(cut)
-        found.append(cert)
-        if final:
-            break
-        certs = found[0]
-        for f in found[1:]:
-            certs = certs.unionByName(f)
-        done_comps = (certs.groupBy("comp").agg(F.min("e.w").alias("cw"))
-                           .where(F.col("cw") <= F.lit(_limit(h, metric))).select("comp"))
-        pending = (pending.join(cert.select("id"), "id", "left_anti")
-                          .join(done_comps, "comp", "left_anti")).transform(cut)
-        if pending.isEmpty():
-            break
-        level += 1
-    allc = found[0]
-    for f in found[1:]:
-        allc = allc.unionByName(f)
-    return allc.groupBy("comp").agg(F.min("e").alias("e"))
+_EDGES = "comp long, w double, lo long, hi long"
 
 
-def _pair_dist(a, b, metric: str):
-    """Distance in reported units: L1, L2, or 1 - cos (= d^2 / 2 on unit vectors)."""
-    from tessera.functions.numeric import l1_dist, sq_dist
+def _best_foreign_edges(cur: DataFrame, coords: Sequence[str], level: int, metric: str) -> DataFrame:
+    """Per component: the lightest mutual-reachability edge leaving it, first in the order (w, smaller id, larger id).
 
-    if metric in ("manhattan", "l1", "cityblock"):
-        return l1_dist(a, b)
-    if metric == "cosine":
-        return sq_dist(a, b) / F.lit(2.0)
-    return F.sqrt(sq_dist(a, b))
+    ``cur(id, comp, core, leaf, coords...)``.  Edges inside the leaves bound every component that shares a leaf with
+    another one; then the rows of a leaf descend the tree together.  A pair of nodes is left out when both hold one
+    and the same component, or when their gap or least core distance is above the component's bound; a node that
+    holds another component lowers the bound of a component still without one.
+    """
+    grid = "manhattan" if metric in L1 else "euclidean"
+    coords = list(coords)
+    lightest = _leaving_edges(metric, coords)
+
+    def inside(key: tuple, rows: pa.Table) -> pa.Table:
+        comps = rows.column("comp").to_numpy()
+        return lightest(rows, rows if (comps != comps[0]).any() else rows.slice(0, 0))
+
+    own = cut(cur.groupBy("leaf").applyInArrow(inside, _EDGES))
+    bound = own.groupBy("comp").agg(F.min("w").alias("reach"))
+    state = cut(cur.join(bound, "comp", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+                .withColumn("scale", tree.scale_of(F.col("reach"))))
+    again = cut if level else (lambda df: df)
+    summary = lambda prefix: [F.min("core").alias(f"{prefix}core"), F.max("core").alias(f"{prefix}most"),
+                              F.min("comp").alias(f"{prefix}first"), F.max("comp").alias(f"{prefix}last")]
+    groups = again(state.groupBy("leaf", "scale").agg(F.max("reach").alias("reach"), *tree.box("g_", coords), *summary("g_")))
+    leaves = again(state.groupBy(F.col("leaf").alias("b")).agg(F.count(F.lit(1)).alias("n"), *tree.box("n_", coords), *summary("n_")))
+    kept = ["leaf", "scale", "reach", "g_core", "g_most", "g_first", "g_last", *[f"g_{e}_{c}" for c in coords for e in ("lo", "hi")]]
+    single = F.col("g_first") == F.col("g_last")
+    pairs = None
+    for at in range(level, -1, -1):
+        nodes = leaves if not at else leaves.groupBy(F.floor(F.col("b") / tree.FANOUT**at).alias("b")).agg(
+            F.sum("n").alias("n"), *tree.merged_box("n_", coords), F.min("n_core").alias("n_core"), F.max("n_most").alias("n_most"),
+            F.min("n_first").alias("n_first"), F.max("n_last").alias("n_last"))
+        if pairs is None:  # at most TOP nodes
+            met = groups.withColumn("one", F.lit(1)).join(nodes.withColumn("one", F.lit(1)), "one")
+        else:
+            children = pairs.drop("n", "low").withColumn("b", F.explode(F.sequence(F.col("b") * tree.FANOUT, F.col("b") * tree.FANOUT + tree.FANOUT - 1)))
+            met = children.join(nodes, "b")
+        same = single & (F.col("n_first") == F.col("n_last")) & (F.col("g_first") == F.col("n_first"))
+        low = F.greatest(_reported(tree.nearest_gap("g_", "n_", coords, grid), metric), "g_core", "n_core")
+        met = met.where(~same).withColumn("low", low).where(F.col("low") <= F.col("reach") * tree.MARGIN)
+        # a single component without a bound yet: some pair of points of these two nodes is an edge of at most this weight
+        top = F.greatest(_reported(tree.farthest_gap("g_", "n_", coords, grid), metric), "g_most", "n_most")
+        met = again(met.withColumn("top", F.when(single, top).otherwise(F.lit(float("inf")))))
+        tight = met.where(F.isnan("reach") | (F.col("reach") == float("inf"))).groupBy("g_first").agg(F.min("top").alias("tight"))
+        pairs = (met.join(tight, "g_first", "left").withColumn("reach", F.least("reach", F.coalesce("tight", F.lit(float("inf")))))
+                 .where(F.col("low") <= F.col("reach") * tree.MARGIN).select(*kept, "b", "n", "low"))
+    key = ["leaf", "scale"]
+    open_pairs = cut(tree.dealt(pairs.where(F.col("b") != F.col("leaf")), key, "n", "low"))
+    others = state.select(F.col("leaf").alias("b"), F.col("id").alias("c_id"), F.col("comp").alias("c_comp"), F.col("core").alias("c_core"),
+                          *[F.col(c).alias(f"c_{c}") for c in coords])
+    gap = _reported(tree.point_gap("c_", "g_", coords, grid), metric)
+    halo = (open_pairs.drop("n", "low").join(others, "b")
+            .where(F.greatest(gap, "c_core", "g_core") <= F.col("reach") * tree.MARGIN)
+            .where(~(single & (F.col("c_comp") == F.col("g_first"))))
+            .select(*[F.col(c).alias(f"h_{c}") for c in [*key, "batch"]],
+                    *[F.col(f"c_{c}").alias(c) for c in ("id", "comp", "core", *coords)]))
+    asked = state.select(*key, "id", "comp", "core", *coords).join(open_pairs.select(*key, "batch").distinct(), key)
 
+    def across(key: tuple, p: pa.Table, c: pa.Table) -> pa.Table:
+        return lightest(p, c)
 
-def _limit(h: float, metric: str) -> float:
-    """Largest reported distance guaranteed to lie inside the 3^d cells of side h."""
-    return h * h / 2.0 if metric == "cosine" else h
+    met = asked.groupBy(*key, "batch").cogroup(halo.groupBy(*[f"h_{c}" for c in [*key, "batch"]])).applyInArrow(across, _EDGES)
+    best = cut(own.unionByName(met).groupBy("comp").agg(F.min(F.struct("w", "lo", "hi")).alias("e")))
+    release(own, state, groups, leaves, open_pairs)
+    return best
 
 
 def _merge_components(cur: DataFrame, best: DataFrame) -> DataFrame:
@@ -164,7 +179,7 @@ def _merge_components(cur: DataFrame, best: DataFrame) -> DataFrame:
     edge.  With a total edge order the hooks form trees plus 2-cycles (two
     components choosing the same edge); the smaller id of a 2-cycle becomes
     the root.  Pointer jumping (P = P o P) then finds every root in
-    log(depth) joins.
+    few joins.
     """
     ends = best.select("comp", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"))
     cl = cur.select(F.col("id").alias("lo"), F.col("comp").alias("c_lo"))
@@ -175,384 +190,86 @@ def _merge_components(cur: DataFrame, best: DataFrame) -> DataFrame:
     par = (hook.join(back, "p", "left")
                .select("comp", F.when((F.col("pp") == F.col("comp")) & (F.col("comp") < F.col("p")), F.col("comp"))
                        .otherwise(F.col("p")).alias("p"))).transform(cut)
-    while True:  # pointers halve their distance to the root each time
-        nxt = (par.alias("a").join(par.alias("b"), F.col("a.p") == F.col("b.comp"), "left")
-                  .select(F.col("a.comp").alias("comp"), F.coalesce(F.col("b.p"), F.col("a.p")).alias("p"),
-                          (F.coalesce(F.col("b.p"), F.col("a.p")) != F.col("a.p")).alias("moved")))
+    while True:  # pointers halve their distance to the root each time, three times a pass
+        nxt = par
+        for _ in range(3):
+            nxt = (nxt.alias("a").join(par.alias("b"), F.col("a.p") == F.col("b.comp"), "left")
+                      .select(F.col("a.comp").alias("comp"), F.coalesce(F.col("b.p"), F.col("a.p")).alias("p"),
+                              (F.coalesce(F.col("b.p"), F.col("a.p")) != F.col("a.p")).alias("moved")))
         nxt = nxt.transform(cut)
+        moved = not nxt.where("moved").isEmpty()
         par = nxt.select("comp", "p")
-        if nxt.where("moved").isEmpty():
+        if not moved:
             break
     return (cur.join(par, "comp", "left")
                .select("id", F.coalesce("p", "comp").alias("comp"), *[c for c in cur.columns if c not in ("id", "comp")]))
 
 
 def mst_edges(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, id_col: str = "id",
-              metric: str = "euclidean") -> DataFrame:
+              metric: str = "euclidean", capacity: int = tree.CAPACITY) -> DataFrame:
     """Minimum spanning tree of the mutual-reachability graph (Borůvka).
 
-    ``(u, v, w)`` with u < v, n - 1 rows for n points.  Each round every
-    component takes its lightest leaving edge (certified grid search), the
-    chosen edges join components (connected components on the component
-    graph), and points take their new component label.  At most log2(n)
+    ``(u, v, w)`` with u < v, n - 1 rows for n points with unique long ids.
+    Each round every component takes its lightest leaving edge (descent of
+    the counted tree with component summaries), the chosen edges join
+    components, and points take their new component label.  At most log2(n)
     rounds.  Edge order (weight, min id, max id) makes the tree unique.
+    ``capacity`` bounds the rows of a leaf and changes no result.
     """
-    pts, cs, grid_metric = metric_space(df.select(id_col, *coords), coords, metric)
+    pts, cs, _ = metric_space(df.select(id_col, *coords), coords, metric)
     core = core_distances(df.select(id_col, *coords), min_samples, coords, id_col, metric)
-    base = pts.select(F.col(id_col).alias("id"), *[F.col(c) for c in cs]).join(
-        core.select(F.col(id_col).alias("id"), F.col("core_dist").alias("core")), "id")
-    h0, extent = grid_scale(base, base, cs)
-    cur = base.select("id", F.col("id").alias("comp"), "core", *cs).transform(cut)
-    tree: list[DataFrame] = []
-    while True:  # every round at least halves the components
-        if cur.select("comp").distinct().limit(2).count() <= 1:
+    base = pts.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in cs]).join(
+        core.select(F.col(id_col).cast("long").alias("id"), F.col("core_dist").alias("core")), "id")
+    placed, n = tree.with_leaves(base.withColumn("part", F.lit(0)), cs, "part", ["id"], capacity)
+    level = tree.top_level(-(-n // capacity))
+    cur = cut(placed.select("id", F.col("id").alias("comp"), "core", "leaf", *cs))
+    found: list[DataFrame] = []
+    left = n
+    while left > 1:  # every round at least halves the components
+        best = _best_foreign_edges(cur, cs, level, metric)
+        edges = cut(best.select(F.col("e.lo").alias("u"), F.col("e.hi").alias("v"), F.col("e.w").alias("w")).distinct())
+        joined = edges.count()
+        if not joined:
             break
-        best = _best_foreign_edges(cur, cs, h0, extent, metric)
-        edges = best.select(F.col("e.lo").alias("u"), F.col("e.hi").alias("v"), F.col("e.w").alias("w")).distinct()
-        edges = edges.transform(cut)
-        tree.append(edges)
-        cur = _merge_components(cur, best).transform(cut)
-    out = tree[0] if tree else df.sparkSession.createDataFrame([], "u long, v long, w double")
-    for t in tree[1:]:
+        found.append(edges)
+        left -= joined
+        nxt = cut(_merge_components(cur, best)) if left > 1 else None
+        release(cur, best)
+        cur = nxt
+    out = found[0] if found else df.sparkSession.createDataFrame([], "u long, v long, w double")
+    for t in found[1:]:
         out = out.unionByName(t)
     return out
 
 
-# --------------------------------------------------------------------------- condensed tree (M6d-M6g)
-
-def _find(par: np.ndarray, x: int) -> int:
-    root = x
-    while par[root] != root:
-        root = par[root]
-    while par[x] != root:
-        par[x], x = root, par[x]
-    return root
-
-
-def _single_linkage(n_leaves: int, leaf_size: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray):
-    """Dendrogram of leaves joined by edges already sorted by (w, lo, hi).
-
-    Returns (left, right, lam, size) for internal nodes n_leaves.. and the root id.
-    """
-    par = np.arange(n_leaves)
-    top = np.arange(n_leaves)
-    left, right, lam = [], [], []
-    size = list(leaf_size.astype(np.int64))
-    for x, y, wt in zip(a, b, w):
-        rx, ry = _find(par, int(x)), _find(par, int(y))
-        if rx == ry:
-            continue
-        k = n_leaves + len(left)
-        left.append(int(top[rx]))
-        right.append(int(top[ry]))
-        lam.append(1.0 / wt if wt > 0 else np.inf)
-        size.append(size[top[rx]] + size[top[ry]])
-        par[ry] = rx
-        top[rx] = k
-    root = n_leaves + len(left) - 1 if left else 0
-    return left, right, lam, size, root
-
-
-def _condense(n_leaves: int, left, right, lam, size, root: int, m: int, root_birth):
-    """Top-down condensation of a dendrogram with minimum cluster size m.
-
-    Returns clusters {cid: [parent, birth, size, sum_lambda_leave]} (cid 0 is
-    the path entering at ``root``), ``fall`` {leaf: (cid, lambda)} for leaves
-    that drop out, and ``enter`` {leaf: cid} for leaves a cluster path
-    continues into (whole fragments in the contracted tree).
-    """
-    clusters = {0: [None, root_birth, int(size[root]), 0.0]}
-    fall: dict[int, tuple[int, float]] = {}
-    enter: dict[int, int] = {}
-
-    def leaves_under(node):
-        st = [node]
-        while st:
-            x = st.pop()
-            if x < n_leaves:
-                yield x
-            else:
-                st.append(left[x - n_leaves])
-                st.append(right[x - n_leaves])
-
-    stack = [(root, 0)]
-    nxt = 1
-    while stack:
-        node, cid = stack.pop()
-        if node < n_leaves:
-            enter[node] = cid
-            continue
-        i = node - n_leaves
-        a, b, lm = left[i], right[i], lam[i]
-        sa, sb = size[a], size[b]
-        if sa >= m and sb >= m:
-            clusters[cid][3] += lm * size[node]
-            for ch in (a, b):
-                clusters[nxt] = [cid, lm, int(size[ch]), 0.0]
-                stack.append((ch, nxt))
-                nxt += 1
-        elif sa >= m or sb >= m:
-            big, small = (a, b) if sa >= m else (b, a)
-            clusters[cid][3] += lm * size[small]
-            for leaf in leaves_under(small):
-                fall[leaf] = (cid, lm)
-            stack.append((big, cid))
-        else:
-            clusters[cid][3] += lm * size[node]
-            for leaf in leaves_under(node):
-                fall[leaf] = (cid, lm)
-    return clusters, fall, enter
-
-
-def _fragment_condense(m: int):
-    """applyInPandas body: condense one fragment (its points and inner edges)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        frag = int(pdf["frag"].iloc[0])
-        pts = np.sort(pdf.loc[pdf["kind"] == 0, "u"].to_numpy())
-        idx = {int(p): i for i, p in enumerate(pts)}
-        e = pdf[pdf["kind"] == 1].sort_values(["w", "u", "v"])
-        a = np.array([idx[int(x)] for x in e["u"]], dtype=np.int64)
-        b = np.array([idx[int(x)] for x in e["v"]], dtype=np.int64)
-        left, right, lam, size, root = _single_linkage(len(pts), np.ones(len(pts)), a, b, e["w"].to_numpy())
-        clusters, fall, _ = _condense(len(pts), left, right, lam, size, root, m, None)
-        rows = []
-        for cid, (parent, birth, sz, sl) in clusters.items():
-            rows.append((frag, 0, cid, -1 if parent is None else parent, birth if birth is not None else np.nan,
-                         sz, sl, -1))
-        for leaf, (cid, _lm) in fall.items():
-            rows.append((frag, 1, cid, -1, np.nan, 0, 0.0, int(pts[leaf])))
-        # points never dropped (a fragment smaller than 2) stay in the entry path
-        for leaf in range(len(pts)):
-            if leaf not in fall:
-                rows.append((frag, 1, 0, -1, np.nan, 0, 0.0, int(pts[leaf])))
-        return pd.DataFrame(rows, columns=["frag", "kind", "cid", "parent", "birth", "size", "sum_lambda", "id"])
-
-    return run
-
+# --------------------------------------------------------------------------- clusters (M6)
 
 @dataclass
 class DensityResult:
     labels: DataFrame  # id, emb coords, cluster
     tree: DataFrame  # u, v, w
-    clusters: pd.DataFrame  # condensed clusters: cid, parent, birth, size, stability, selected, label
+    clusters: DataFrame  # condensed clusters, see condense.Condensed, with the selected cluster that holds each (owner)
     relative_validity: float
 
 
-def _fragments(edges: DataFrame, ids: DataFrame, max_fragment: int, n: int):
-    """Cut the tree below a weight t so that every fragment has <= max_fragment points.
-
-    Returns (t, point -> fragment table).  With n <= max_fragment the whole
-    tree is one fragment (t = +inf).
-    """
-    if n <= max_fragment:
-        return float("inf"), ids.select(F.col("id"), F.lit(0).cast("long").alias("frag"))
-    qs = [0.999, 0.99, 0.9, 0.75, 0.5, 0.25, 0.1]
-    cand = edges.agg(F.percentile_approx("w", qs, 10000).alias("q")).first()["q"]
-    for t in cand:
-        cc = connected_components(ids.select(F.col("id").alias("v")),
-                                  edges.where(F.col("w") < t).select(F.col("u").alias("a"), F.col("v").alias("b")))
-        biggest = cc.groupBy("comp").count().agg(F.max("count")).first()[0]
-        if biggest <= max_fragment:
-            return float(t), cc.select(F.col("v").alias("id"), F.col("comp").alias("frag"))
-    raise ValueError("no cut keeps fragments under max_fragment; raise max_fragment")
-
-
-def condensed_tree(tree: DataFrame, points: DataFrame, min_cluster_size: int, max_fragment: int = 200_000,
-                   max_top: int = 2_000_000, max_clusters: int = 5_000_000):
-    """M6d over the spanning tree: (clusters pandas frame, point -> deepest cluster DataFrame).
-
-    Two levels (exact, since single linkage at level w depends only on edges
-    <= w): fragments = components of the edges lighter than t, condensed in
-    parallel (``applyInPandas`` per fragment, each <= max_fragment points);
-    then the contracted tree over fragments (<= max_top of them, checked)
-    decides how the fragments' entry paths attach, on the driver.  The
-    condensed-cluster table (<= 2n / min_cluster_size rows, checked) is what
-    reaches the driver.
-    """
-    m = int(min_cluster_size)
-    ids = points.select("id")
-    n = ids.count()
-    t, frag_of = _fragments(tree, ids, max_fragment, n)
-    frag_of = frag_of.transform(cut)
-    fsize = frag_of.groupBy("frag").agg(F.count(F.lit(1)).alias("fsize"))
-    if fsize.count() > max_top:
-        raise ValueError("too many fragments for the contracted tree; lower the cut")
-    ef = (tree.join(frag_of.select(F.col("id").alias("u"), F.col("frag").alias("fu")), "u")
-              .join(frag_of.select(F.col("id").alias("v"), F.col("frag").alias("fv")), "v"))
-    inner = ef.where(F.col("fu") == F.col("fv")).select(F.col("fu").alias("frag"), F.lit(1).alias("kind"), "u", "v", "w")
-    pts = frag_of.select("frag", F.lit(0).alias("kind"), F.col("id").alias("u"),
-                         F.lit(None).cast("long").alias("v"), F.lit(None).cast("double").alias("w"))
-    schema = "frag long, kind int, cid long, parent long, birth double, size long, sum_lambda double, id long"
-    local = (pts.unionByName(inner).groupBy("frag").applyInPandas(_fragment_condense(m), schema)).transform(cut)
-
-    # contracted tree over fragments (small: one row per fragment)
-    top_sizes = fsize.orderBy("frag").toPandas()
-    top_edges = ef.where(F.col("fu") != F.col("fv")).select("fu", "fv", "w", "u", "v").toPandas()
-    fr = top_sizes["frag"].to_numpy()
-    fidx = {int(f): i for i, f in enumerate(fr)}
-    top_edges = top_edges.assign(lo=np.minimum(top_edges.u, top_edges.v), hi=np.maximum(top_edges.u, top_edges.v)) \
-                         .sort_values(["w", "lo", "hi"])
-    a = np.array([fidx[int(x)] for x in top_edges["fu"]], dtype=np.int64)
-    b = np.array([fidx[int(x)] for x in top_edges["fv"]], dtype=np.int64)
-    left, right, lam, size, root = _single_linkage(len(fr), top_sizes["fsize"].to_numpy(), a, b, top_edges["w"].to_numpy())
-    tclusters, tfall, tenter = _condense(len(fr), left, right, lam, size, root, m, 0.0)
-
-    # stitch: top clusters keep their ids; fragment clusters get new ids
-    loc = local.where("kind = 0").toPandas()
-    if len(loc) > max_clusters:
-        raise ValueError("condensed tree too large for the selection step")
-    rows = {cid: list(v) for cid, v in tclusters.items()}
-    gid = {}
-    nxt = max(rows) + 1 if rows else 0
-    entered = {int(fr[leaf]): cid for leaf, cid in tenter.items()}
-    for r in loc.sort_values(["frag", "cid"]).itertuples(index=False):
-        f, c = int(r.frag), int(r.cid)
-        if c == 0:
-            if f in entered:
-                rows[entered[f]][3] += r.sum_lambda
-                gid[(f, 0)] = entered[f]
-            continue
-        gid[(f, c)] = nxt
-        rows[nxt] = [None, r.birth, int(r.size), r.sum_lambda, (f, int(r.parent))]
-        nxt += 1
-    for cid, v in rows.items():
-        if len(v) == 5:
-            f, p = v[4]
-            v[0] = gid.get((f, p))
-            del v[4]
-    cl = pd.DataFrame([(cid, -1 if v[0] is None else v[0], v[1], v[2], v[3]) for cid, v in rows.items()],
-                      columns=["cid", "parent", "birth", "size", "sum_lambda"])
-    cl["stability"] = cl["sum_lambda"] - cl["size"] * cl["birth"].fillna(0.0)
-
-    # point -> deepest cluster: fragment-local ids mapped to global ones
-    spark = points.sparkSession
-    fell_top = {int(fr[leaf]): cid for leaf, (cid, _lm) in tfall.items()}
-    gmap = [(f, c, g) for (f, c), g in gid.items()]
-    gmap_df = spark.createDataFrame(gmap or [(-1, -1, -1)], "frag long, cid long, gcid long")
-    fell_df = spark.createDataFrame(list(fell_top.items()) or [(-1, -1)], "frag long, fell long")
-    deep = (local.where("kind = 1").select("frag", "cid", "id")
-                 .join(F.broadcast(fell_df), "frag", "left")
-                 .join(F.broadcast(gmap_df), ["frag", "cid"], "left")
-                 .select("id", F.coalesce("fell", "gcid").alias("deepest")))
-    return cl, deep
-
-
-def select_clusters(cl: pd.DataFrame, method: str = "eom", epsilon: float = 0.0, allow_single_cluster: bool = False):
-    """M6e + M6f on the condensed-cluster table: the set of selected cluster ids."""
-    if cl.empty:
-        return set()
-    children: dict[int, list[int]] = {}
-    for r in cl.itertuples(index=False):
-        if r.parent >= 0:
-            children.setdefault(int(r.parent), []).append(int(r.cid))
-    root = int(cl.loc[cl["parent"] < 0, "cid"].min())
-    birth = {int(r.cid): r.birth for r in cl.itertuples(index=False)}
-    parent = {int(r.cid): int(r.parent) for r in cl.itertuples(index=False)}
-    stab = {int(r.cid): float(r.stability) for r in cl.itertuples(index=False)}
-
-    def descendants(c):
-        st, out = list(children.get(c, [])), []
-        while st:
-            x = st.pop()
-            out.append(x)
-            st.extend(children.get(x, []))
-        return out
-
-    # children before parents: reverse breadth-first order from the root
-    order, q = [], [root]
-    while q:
-        x = q.pop(0)
-        order.append(x)
-        q.extend(sorted(children.get(x, [])))
-    nodes = order[::-1]
-    if not allow_single_cluster:
-        nodes = [c for c in nodes if c != root]
-    if method == "eom":
-        is_cluster = {c: True for c in nodes}
-        for c in nodes:
-            sub = sum(stab[ch] for ch in children.get(c, []))
-            if sub > stab[c]:
-                is_cluster[c] = False
-                stab[c] = sub
-            else:
-                for d in descendants(c):
-                    is_cluster[d] = False
-        selected = {c for c, v in is_cluster.items() if v}
-    elif method == "leaf":
-        selected = {c for c in nodes if not children.get(c)}
-    else:
-        raise ValueError("cluster_selection_method must be 'eom' or 'leaf'")
-    if epsilon and selected:
-        if not (len(selected) == 1 and root in selected):
-            out, done = set(), set()
-            for leaf in sorted(selected):
-                b = birth[leaf]
-                eps_leaf = 1.0 / b if b else np.inf
-                if eps_leaf < epsilon:
-                    if leaf in done:
-                        continue
-                    node = leaf
-                    while True:
-                        p = parent[node]
-                        if p == root or p < 0:
-                            node = p if allow_single_cluster else node
-                            break
-                        pb = birth[p]
-                        if (1.0 / pb if pb else np.inf) > epsilon:
-                            node = p
-                            break
-                        node = p
-                    out.add(node)
-                    done.update(descendants(node))
-                else:
-                    out.add(leaf)
-            selected = out
-    return selected
-
-
-def label_points(cl: pd.DataFrame, deep: DataFrame, selected: set, pts: DataFrame) -> DataFrame:
-    """M6g: each point takes the selected cluster above its deepest cluster, else -1.
-
-    Labels are numbered 0.. by the smallest member id (partition-independent).
-    """
-    parent = {int(r.cid): int(r.parent) for r in cl.itertuples(index=False)}
-    owner = {}
-    for c in parent:
-        x = c
-        while x >= 0 and x not in selected:
-            x = parent.get(x, -1)
-        owner[c] = x if x in selected else -1
-    spark = pts.sparkSession
-    own_df = spark.createDataFrame([(c, o) for c, o in owner.items()] or [(-1, -1)], "deepest long, sel long")
-    lab = deep.join(F.broadcast(own_df), "deepest", "left").select("id", F.coalesce("sel", F.lit(-1)).alias("sel"))
-    first = lab.where(F.col("sel") >= 0).groupBy("sel").agg(F.min("id").alias("mid"))
-    # one row per selected cluster: numbering them needs no partitioning
-    num = first.select("sel", (F.row_number().over(Window.orderBy("mid")) - 1).cast("int").alias("cluster"))
-    return (lab.join(F.broadcast(num), "sel", "left")
-               .select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
-               .join(pts, "id")).transform(cut)
-
-
 def hdbscan(df: DataFrame, min_cluster_size: int = 500, min_samples: int = 3, method: str = "eom",
             epsilon: float = 0.01, metric: str = "euclidean", coords: Sequence[str] = XY, id_col: str = "id",
-            max_fragment: int = 200_000) -> DensityResult:
+            limit: int = LIMIT) -> DensityResult:
     """M6: labels 0.. (numbered by smallest member id), noise -1."""
     whole = df.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte")
     keyed = df.select(F.col(id_col).alias("__id"), *coords)
     keyed = keyed.withColumn("id", F.col("__id") if whole else F.monotonically_increasing_id()).transform(cut)
     pts = keyed.select("id", *coords)
-    tree = mst_edges(pts, min_samples, coords, "id", metric).transform(cut)
-    cl, deep = condensed_tree(tree, pts, min_cluster_size, max_fragment)
-    selected = select_clusters(cl, method, epsilon)
-    labels = label_points(cl, deep, selected, pts)
+    edges = cut(mst_edges(pts, min_samples, coords, "id", metric))
+    condensed = condensed_tree(edges, pts, min_cluster_size, limit)
+    owners = select_clusters(condensed, method, epsilon)
+    labels = label_points(condensed, owners, pts)
     from tessera.operators.evaluate import relative_validity
 
-    rv = relative_validity(tree, labels.select("id", "cluster"))
-    cl = cl.assign(selected=cl["cid"].isin(selected))
+    rv = relative_validity(edges, labels.select("id", "cluster"))
     if not whole:  # ids of any type: the search ran on a written long key
         labels = labels.join(keyed.select("id", "__id"), "id").drop("id").withColumnRenamed("__id", "id")
-    return DensityResult(labels.withColumnRenamed("id", id_col), tree, cl, rv)
+    return DensityResult(labels.withColumnRenamed("id", id_col), edges, condensed.nodes.join(owners, "node"), rv)
 
 
 def hdbscan_labels(df: DataFrame, **kw) -> DataFrame:

@@ -1,24 +1,19 @@
 """Geometric joins on low-dimensional points.
 
-All of them are equi-joins on grid cells, never a cross join:
+All of them are equi-joins on grid cells or tree nodes, never a cross join:
 
 * ``ball_pairs``: cell side = ε.  A point within ε of another lies in one of
   the 3^d cells around it, so the probe side explodes those cells and joins
   the build side on (partition, cell); a distance filter keeps the exact
   closed-ball pairs.
-* ``knn``: certified multi-level grid.  At level i the cell side is
-  h_i = h_0·2^i and a pending probe looks at its 3^d cells; its k best
-  candidates there are final once the k-th distance is ≤ h_i (every point
-  within h_i is inside those cells, under L2 and L1 alike).  Uncertified
-  probes move to the next level; once h_i covers the data extent the cells
-  hold every candidate and the answer is final as well.  Dense regions are
-  answered at fine levels with few pairs; only sparse probes reach coarse
-  levels.  Candidates sharing a location are reduced to the smallest id
-  first when k = 1 (ties go to the smallest id, so the others can never win).
-
-Skewed cells are split by AQE's skew-join handling (sort-merge joins on the
-cell key); the per-probe top-k is an aggregate over that probe's
-neighbourhood only.
+* ``knn``: on the counted tree of ``tree.py``.  Every probe first meets the
+  candidates of its own leaf; that list bounds how far better ones can be.
+  Probes of a leaf with about the same reach descend the tree together, down
+  to the leaves whose boxes the reach touches, meet the candidates there that
+  lie within it, and the short lists are merged by a ranked window.  How much
+  a probe meets depends on the counts around it, not on the extent of the
+  data or on one far point.  Of candidates at one location only the k + 1
+  smallest ids take part, as no other can be in a list.
 """
 
 from __future__ import annotations
@@ -27,12 +22,14 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.persist import cut
-
 from tessera.functions.numeric import l1_dist, sq_dist
+from tessera.functions.persist import cut, release
+from tessera.operators import tree
 
 
 def _offsets(d: int) -> Column:
@@ -105,6 +102,42 @@ def grid_scale(probes: DataFrame, candidates: DataFrame, coords: Sequence[str])
     return max(min(h0, extent), extent * 1e-9), extent
 
 
+def _best(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least finite values of each row, in order; ties by column."""
+    kept = np.isfinite(near)
+    if near.shape[1] > k:
+        kept &= near <= np.partition(near, k - 1, axis=1)[:, k - 1][:, None]
+    row, col = np.nonzero(kept)
+    order = np.lexsort((col, near[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def _meet(k: int, metric: str, coords: Sequence[str], exclude_self: bool):
+    """The k best candidates of every probe of a group, and how far a better one could be."""
+
+    def lists(probes: pa.Table, cands: pa.Table, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p_code, c_code = tree.codes(probes.column("id"), cands.column("id"))
+        by_id = np.argsort(c_code, kind="stable")
+        p, c = tree.matrix(probes, coords), tree.matrix(cands, coords)[by_id]
+        rows, cols, far = [], [], []
+        step = max(1, (1 << 21) // max(len(c), 1))
+        for start in range(0, len(p), step):
+            near = tree.distances(p[start : start + step], c, metric)
+            if exclude_self:
+                near[p_code[start : start + step][:, None] == c_code[by_id][None, :]] = np.inf
+            if reach is not None:
+                near[near > reach[start : start + step][:, None]] = np.inf
+            row, col = _best(near, k)
+            rows.append(row + start)
+            cols.append(by_id[col])
+            far.append(near[row, col])
+        return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(cols or [np.zeros(0, int)]), np.concatenate(far or [np.zeros(0)])
+
+    return lists
+
+
 def knn(
     probes: DataFrame,
     candidates: DataFrame,
@@ -114,69 +147,90 @@ def knn(
     part_cols: Sequence[str] = (),
     metric: str = "euclidean",
     exclude_self: bool = False,
-    h0: float | None = None,
+    capacity: int = tree.CAPACITY,
 ) -> DataFrame:
     """The k nearest candidates of every probe (same partition).
 
     Returns ``(probe_id, part..., rank, match_id, dist)`` with rank 1..k,
-    ordered by (distance, id); probes without any candidate are absent.
-    ``exclude_self`` drops the candidate with the probe's own id.
+    ordered by (distance, id); probes without any candidate are absent, and
+    so are rows with a null or NaN coordinate.  ``exclude_self`` drops the
+    candidates with the probe's own id.  Probes that repeat an id each have
+    their own rows.  ``capacity`` bounds the rows of a leaf and changes no
+    result.
     """
-    d = len(coords)
-    if h0 is None:
-        h0, extent = grid_scale(probes, candidates, coords)
-    else:
-        _, extent = grid_scale(probes, candidates, coords)
-    cand = candidates.select(*part_cols, F.col(id_col).alias("c_id"), *[F.col(c).alias(f"c_{c}") for c in coords])
-    if k == 1 and not exclude_self:
-        cand = cand.groupBy(*part_cols, *[f"c_{c}" for c in coords]).agg(F.min("c_id").alias("c_id"))
-    pending = probes.select(*part_cols, F.col(id_col).alias("p_id"), *[F.col(c).alias(f"p_{c}") for c in coords])
-
-    results = []
-    level, h = 0, h0
-    spark = probes.sparkSession
-    while True:
-        final_level = h >= extent * 1.000001
-        pc = pending.select("*", *[F.floor(F.col(f"p_{c}") / F.lit(h)).cast("long").alias(f"h{i}")
-                                   for i, c in enumerate(coords)])
-        pc = pc.withColumn("_off", F.explode(_offsets(d))).select(
-            *part_cols, "p_id", *[f"p_{c}" for c in coords],
-            *[(F.col(f"h{i}") + F.col("_off")[i]).alias(f"cell{i}") for i in range(d)])
-        cc = cand.select("*", *[F.floor(F.col(f"c_{c}") / F.lit(h)).cast("long").alias(f"cell{i}")
-                                for i, c in enumerate(coords)])
-        j = pc.join(cc, list(part_cols) + [f"cell{i}" for i in range(d)])
-        if exclude_self:
-            j = j.where(F.col("c_id") != F.col("p_id"))
-        dist = _dist_expr([F.col(f"p_{c}") for c in coords], [F.col(f"c_{c}") for c in coords], metric)
-        top = (j.select(*part_cols, "p_id", F.struct(dist.alias("d"), F.col("c_id").alias("id")).alias("m"))
-                .groupBy(*part_cols, "p_id")
-                .agg(F.slice(F.array_sort(F.collect_list("m")), 1, k).alias("best")))
-        # the neighbourhood radius in the compared unit (squared for L2)
-        lim = h if metric == "manhattan" else h * h
-        if final_level:
-            done = top
+    part_cols = list(part_cols)
+    part = F.struct(*part_cols) if part_cols else F.lit(0)
+    usable = ~F.exists(F.array(*[F.col(c).cast("double") for c in coords]), lambda x: x.isNull() | F.isnan(x))
+    # -0.0 and 0.0 are one location
+    shape = [part.alias("part"), F.col(id_col).alias("id"), *[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in coords]]
+    asking = probes.where(usable).select(*shape, F.lit(0).alias("kind"))
+    place = Window.partitionBy("part", *coords).orderBy("id")
+    offered = (candidates.where(usable).select(*shape, F.lit(1).alias("kind")).withColumn("_at", F.row_number().over(place))
+               .where(F.col("_at") <= k + 1).drop("_at"))
+    placed, n = tree.with_leaves(asking.unionByName(offered), list(coords), "part", ["kind", "id"], capacity)
+    level = tree.top_level(-(-n // capacity))
+    again = cut if level else (lambda df: df)  # read once for each level
+    need = k + 1 if exclude_self else k
+    coords = list(coords)
+    part_type = placed.schema["part"].dataType.simpleString()
+    id_type = placed.schema["id"].dataType.simpleString()
+    lists = _meet(k, metric, coords, exclude_self)
+
+    def own_leaf(key: tuple, rows: pa.Table) -> pa.Table:
+        kind = rows.column("kind").to_numpy()
+        p, c = rows.filter(pa.array(kind == 0)), rows.filter(pa.array(kind == 1))
+        row, col, far = lists(p, c, None)
+        count = np.bincount(row, minlength=p.num_rows)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        last = np.full(p.num_rows, np.inf)
+        full = count == k
+        last[full] = far[ends[1:][full] - 1]
+        found = pa.StructArray.from_arrays([pa.array(far), c.column("id").combine_chunks().take(pa.array(col))], ["d", "id"])
+        best = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found)
+        return pa.table([*(p.column(x) for x in ("part", "leaf", "row", "id", *coords)), pa.array(last), best],
+                        names=["part", "leaf", "row", "id", *coords, "last", "best"])
+
+    point = ", ".join(f"{c} double" for c in coords)
+    local = cut(placed.groupBy("part", "leaf").applyInArrow(
+        own_leaf, f"part {part_type}, leaf long, row long, id {id_type}, {point}, last double, best array<struct<d:double,id:{id_type}>>"))
+    reach = F.col("last") if metric == "manhattan" else F.sqrt("last")
+    local_groups = local.withColumn("scale", tree.scale_of(reach))
+    key = ["part", "leaf", "scale"]
+    groups = again(local_groups.groupBy(*key).agg(F.max(reach).alias("reach"), *tree.box("g_", coords)))
+    leaves = again(placed.where("kind = 1").groupBy("part", F.col("leaf").alias("b")).agg(F.count(F.lit(1)).alias("n"), *tree.box("n_", coords)))
+    bounded = Window.partitionBy(*key)
+    pairs = None
+    for at in range(level, -1, -1):
+        up = F.floor(F.col("b") / tree.FANOUT**at) if at else F.col("b")
+        nodes = leaves.groupBy("part", up.alias("b")).agg(F.sum("n").alias("n"), *tree.merged_box("n_", coords)) if at else leaves
+        if pairs is None:  # at most TOP nodes
+            met = groups.join(nodes, "part")
         else:
-            ok = (F.size("best") == k) & (F.element_at("best", k)["d"] <= F.lit(lim))
-            top = top.withColumn("_ok", ok).cache()
-            done = top.where("_ok").drop("_ok")
-        results.append(done)
-        if final_level:
-            break
-        # probes with no candidate in their cells at all are also pending
-        pending = pending.join(top.where(F.col("_ok")).select(*part_cols, "p_id"), list(part_cols) + ["p_id"], "left_anti")
-        # cut the lineage of the shrinking probe set (reliable checkpoint dir)
-        pending = pending.transform(cut)
-        if pending.isEmpty():
-            break
-        level += 1
-        h = h0 * (2 ** level)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    out = out.select(*part_cols, "p_id", F.posexplode("best").alias("pos", "m"))
-    return out.select(
-        F.col("p_id").alias("probe_id"), *part_cols,
-        (F.col("pos") + 1).cast("int").alias("rank"),
-        F.col("m.id").alias("match_id"),
-        _true_dist(F.col("m.d"), metric).alias("dist"),
-    )
+            children = pairs.drop("n", "gap").withColumn("b", F.explode(F.sequence(F.col("b") * tree.FANOUT, F.col("b") * tree.FANOUT + tree.FANOUT - 1)))
+            met = children.join(nodes, ["part", "b"])
+        enough = F.when(F.col("n") >= need, tree.farthest_gap("g_", "n_", coords, metric)).otherwise(F.lit(float("inf")))
+        met = (met.withColumn("gap", tree.nearest_gap("g_", "n_", coords, metric))
+                  .withColumn("reach", F.least("reach", F.min(enough).over(bounded)))
+                  .where(F.col("gap") <= F.col("reach") * tree.MARGIN))
+        pairs = met.select(*key, "reach", "gap", "b", "n", *[f"g_{e}_{c}" for c in coords for e in ("lo", "hi")])
+    open_pairs = cut(tree.dealt(pairs.where(F.col("b") != F.col("leaf")), key, "n", "gap"))
+    # candidates of those leaves that lie within reach of the group's box
+    cands = placed.where("kind = 1").select("part", F.col("leaf").alias("b"), F.col("id").alias("c_id"), *[F.col(c).alias(f"c_{c}") for c in coords])
+    halo = (open_pairs.drop("n", "gap").join(cands, ["part", "b"])
+            .where(tree.point_gap("c_", "g_", coords, metric) <= F.col("reach") * tree.MARGIN)
+            .select(*[F.col(c).alias(f"h_{c}") for c in [*key, "batch"]], F.col("c_id").alias("id"), *[F.col(f"c_{c}").alias(c) for c in coords]))
+    asked = local_groups.select(*key, "row", "id", "last", *coords).join(open_pairs.select(*key, "batch").distinct(), key)
+
+    def meet_halo(key: tuple, p: pa.Table, c: pa.Table) -> pa.Table:
+        row, col, far = lists(p, c, p.column("last").to_numpy()) if p.num_rows and c.num_rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table([p.column("row").combine_chunks().take(pa.array(row, pa.int64())), pa.array(far, pa.float64()),
+                         c.column("id").combine_chunks().take(pa.array(col, pa.int64()))], names=["row", "d", "match_id"])
+
+    hits = cut(asked.groupBy(*key, "batch").cogroup(halo.groupBy(*[f"h_{c}" for c in [*key, "batch"]])).applyInArrow(meet_halo, f"row long, d double, match_id {id_type}"))
+    own = local.select("row", F.explode("best").alias("m")).select("row", "m.d", F.col("m.id").alias("match_id"))
+    ranks = Window.partitionBy("row").orderBy("d", "match_id")
+    ranked = own.unionByName(hits).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
+    out = ranked.join(local.select("row", "part", F.col("id").alias("probe_id")), "row")
+    release(groups, leaves, open_pairs)
+    return out.select("probe_id", *[F.col(f"part.{c}").alias(c) for c in part_cols], F.col("rank").cast("int").alias("rank"), "match_id",
+                      _true_dist(F.col("d"), metric).alias("dist"))

@@ -821,13 +821,11 @@ def q_mst_edges(spark, sf_dir):
     return tidy_frame(_f2_tree(spark, sf_dir, MIN_SAMPLES, "euclidean"))
 
 
-def _density(spark, sf_dir, mcs, ms, method, eps, metric):
-    from tessera.operators.density import condensed_tree, select_clusters
-
+def _density(spark, sf_dir, mcs, ms, method, eps, metric, limit=density.LIMIT):
     pts = _f2_xy(spark, sf_dir).select("id", "emb_x", "emb_y")
     tree = _f2_tree(spark, sf_dir, ms, metric)
-    cl, deep = condensed_tree(tree, pts, mcs)
-    return density.label_points(cl, deep, select_clusters(cl, method, eps), pts), tree
+    condensed = density.condensed_tree(tree, pts, mcs, limit)
+    return density.label_points(condensed, density.select_clusters(condensed, method, eps), pts), tree
 
 
 @register("density_clusters_eom")

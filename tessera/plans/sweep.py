@@ -7,7 +7,7 @@ grouped by the step each parameter affects:
     n_neighbors      -> embedding                 (3 distinct)
     min_samples      -> spanning tree              (3 per embedding: 9)
     min_cluster_size -> condensed tree             (3 per tree: 27)
-    method, epsilon  -> selection on the driver-sized cluster table (162)
+    method, epsilon  -> selection down the cluster tree (162)
 
 so the expensive distributed steps run once per distinct input.  Every run
 yields one record ``(experiment, run_id, run_name, params, metrics)``
@@ -83,11 +83,10 @@ def run_sweep(embed: Callable[[int], DataFrame], grid: list[dict], experiment: s
             tree = density.mst_edges(emb, ms, metric=metric).transform(cut)
             sub2 = [g for g in sub if g["min_samples"] == ms]
             for mcs in sorted({g["min_cluster_size"] for g in sub2}):
-                cl, deep = density.condensed_tree(tree, emb, mcs)
-                deep = deep.transform(cut)
+                condensed = density.condensed_tree(tree, emb, mcs)
                 for g in (x for x in sub2 if x["min_cluster_size"] == mcs):
-                    sel = density.select_clusters(cl, g["method"], g["epsilon"])
-                    labels = density.label_points(cl, deep, sel, emb)
+                    owners = density.select_clusters(condensed, g["method"], g["epsilon"])
+                    labels = density.label_points(condensed, owners, emb)
                     params = {"reducer": "umap", "clusterer": "hdbscan", "hdb_min_cluster_size": mcs,
                               "hdb_min_samples": ms, "hdb_cluster_selection_method": g["method"],
                               "hdb_cluster_selection_epsilon": g["epsilon"], "hdb_metric": metric,

