@@ -560,16 +560,16 @@ def q_epsilon_selection_in_cluster(spark, sf_dir):
     "SELECT f.id, f.sel_order, p.cluster, p.x, p.y, p.z FROM flat f JOIN f2 p ON p.id = f.id"))
 def q_selected_rows(spark, sf_dir):
     f2, _, matches = _f2_cover(spark, sf_dir)
-    flat = cover.flatten_selection(cover.selection(matches, f2.select("cluster").distinct()))
-    return flat.join(f2.select("id", "cluster", *XYZ3), "id").select("id", "sel_order", "cluster", *XYZ3)
+    sel = cover.selection(matches, f2.select("cluster").distinct())
+    return cover.selected_rows(f2, sel, ["cluster", *XYZ3])
 
 
 @register("selected_rows_original", _cover_sql(
     f"SELECT f.id, f.sel_order, {r6('p.orig_a')} AS orig_a, {r6('p.orig_b')} AS orig_b FROM flat f JOIN f2 p ON p.id = f.id"))
 def q_selected_rows_original(spark, sf_dir):
     f2, _, matches = _f2_cover(spark, sf_dir)
-    flat = cover.flatten_selection(cover.selection(matches, f2.select("cluster").distinct()))
-    return tidy_frame(flat.join(f2.select("id", "orig_a", "orig_b"), "id").select("id", "sel_order", "orig_a", "orig_b"))
+    sel = cover.selection(matches, f2.select("cluster").distinct())
+    return tidy_frame(cover.selected_rows(f2, sel, ["orig_a", "orig_b"]))
 
 
 @register("plot_layer_points", fx.with_fixtures("SELECT id, cluster, x, y, z FROM f2 WHERE cluster <> -1", "f2"))
@@ -582,8 +582,7 @@ def q_plot_layer_points(spark, sf_dir):
 
 @register("plot_layer_centers", _cover_sql("SELECT cluster, center_rank, id, x, y, z FROM cen"))
 def q_plot_layer_centers(spark, sf_dir):
-    _, centres, _ = _f2_cover(spark, sf_dir)
-    return centres.select("cluster", "center_rank", "id", *XYZ3)
+    return cover.plot_layers(*_f2_cover(spark, sf_dir), XYZ3)["centers"]
 
 
 @register("plot_layer_segments", _cover_sql(f"""
@@ -591,21 +590,14 @@ SELECT m.cluster, m.center_rank, m.center_id, m.match_id, c.x AS cx, c.y AS cy,
        m.mx, m.my, m.mz, {r6('m.dist')} AS dist
 FROM matched m JOIN cen c ON c.cluster = m.cluster AND c.center_rank = m.center_rank"""))
 def q_plot_layer_segments(spark, sf_dir):
-    f2, centres, matches = _f2_cover(spark, sf_dir)
-    c = centres.select("cluster", "center_rank", *[F.col(a).alias(f"c{a}") for a in XYZ3])
-    q = f2.select(F.col("id").alias("match_id"), *[F.col(a).alias(f"m{a}") for a in XYZ3])
-    seg = matches.join(c, ["cluster", "center_rank"]).join(q, "match_id")
-    return tidy_frame(seg.select("cluster", "center_rank", "center_id", "match_id", "cx", "cy", "cz",
-                                 "mx", "my", "mz", "dist"))
+    return tidy_frame(cover.plot_layers(*_f2_cover(spark, sf_dir), XYZ3)["segments"])
 
 
 @register("plot_layer_halos", _cover_sql("""
 SELECT cluster, center_rank, id, x, y, z, COUNT(*) OVER (PARTITION BY cluster) AS n_centers FROM cen"""))
 def q_plot_layer_halos(spark, sf_dir):
     """Every centre with its cluster's number of centres; what to draw is the reader's choice."""
-    _, centres, _ = _f2_cover(spark, sf_dir)
-    sizes = centres.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_centers"))
-    return centres.join(sizes, "cluster").select("cluster", "center_rank", "id", *XYZ3, "n_centers")
+    return cover.plot_layers(*_f2_cover(spark, sf_dir), XYZ3)["halos"]
 
 
 # ------------------------------------------------------------------ reduction, k-means, metrics

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import density, tree
 from tessera.operators.neighbors import knn
-from tests import plain_density as plain
+import plain_density as plain
 
 
 def cloud(seed, far=True):

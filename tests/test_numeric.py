@@ -99,6 +99,42 @@ def test_cover_exact_epsilon_and_duplicates(spark):
     assert got == [(1, 1), (2, 3)]
 
 
+@pytest.mark.parametrize(("tile", "held"), [(4096, 4), (3, 1)])
+def test_cover_does_not_depend_on_tiles(spark, tile, held):
+    rng = np.random.default_rng(9)
+    pts = np.round(rng.normal(size=(120, 3)), 2)
+    df = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(pts)], "cluster int, id long, x double, y double, z double")
+    got = cover.epsilon_cover(df, 0.6, ("x", "y", "z"), tile=tile, held=held).orderBy("center_rank").collect()
+    assert [r["id"] for r in got] == _greedy_cover(pts, 0.6)
+
+
+@pytest.mark.parametrize("shape", ["line", "ball"])
+def test_cover_of_a_sorted_line_and_a_dense_ball_in_few_rounds(spark, monkeypatch, shape):
+    rng = np.random.default_rng(1)
+    n = 5000
+    pts = np.zeros((n, 3))
+    if shape == "line":
+        pts[:, 0] = np.arange(n) * 0.4
+    else:
+        pts = rng.uniform(0, 0.3, (n, 3))
+    rounds = []
+    monkeypatch.setattr(cover, "release", lambda *tables: rounds.append(len(tables)))
+    df = spark.createDataFrame(pd.DataFrame({"cluster": 0, "id": np.arange(n), "x": pts[:, 0], "y": pts[:, 1], "z": pts[:, 2]}))
+    got = cover.epsilon_cover(df, 1.0, ("x", "y", "z")).orderBy("center_rank").collect()
+    assert [r["id"] for r in got] == _greedy_cover(pts, 1.0)
+    assert rounds.count(1) <= 4
+
+
+def test_repeated_ids_are_points_of_their_own(spark):
+    rows = [(0, 1, 0.0, True, False), (0, 1, 10.0, True, False), (0, 2, 20.0, True, False), (0, 7, 0.5, False, True), (0, 8, 11.0, False, True), (0, 7, 21.0, False, True)]
+    df = spark.createDataFrame(rows, "cluster int, id long, x double, in_on boolean, in_not boolean").withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    centres, matches = cover.cover_and_match(df, 1.0, ("x", "y", "z"), "id", "cluster")
+    assert sorted((r["center_rank"], r["id"]) for r in centres.collect()) == [(1, 1), (2, 1), (3, 2)]
+    assert sorted((r["center_rank"], r["match_id"], r["dist"]) for r in matches.collect())[2] == (3, 7, 1.0) and matches.count() == 3
+    sel = cover.selection(matches, df.select("cluster").distinct())
+    assert sorted((r["rank"], r["id"]) for r in sel.collect()) == [(1, 7), (2, 8)]
+
+
 def test_cover_sizes_golden(spark):
     # golden counts from the fixture notes (sf0.01, eps 0.2), by cluster 1..9
     f2 = fx.points(spark, "/root/testdata/sf0.01")
