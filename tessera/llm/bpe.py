@@ -31,7 +31,15 @@ SLICE = 1 << 16
 #: Ids decoded at once, by array look-ups and one join.
 IDS = 1 << 16
 
+#: Pairs of tokens of which a task remembers whether they can stand side by side.
+REMEMBERED_PAIRS = 1 << 18
+#: Words of so many bytes keep their prefixes' tokens in a flat array.
+LONG = 1 << 16
+
 _NEVER = 1 << 60
+#: A token's length lies in its lowest bits in the automaton.
+_SHIFT = 10
+_LENGTH = (1 << _SHIFT) - 1
 
 
 class Merges:
@@ -56,6 +64,7 @@ class Merges:
         self.left: dict[int, tuple[int, ...]] = {}  # id -> its first symbol's growth: the symbol and the tokens it became
         self.right: dict[int, tuple[int, ...]] = {}
         self.born: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
 
         def symbols(token: str) -> str:
@@ -71,8 +80,7 @@ class Merges:
                 i = vocab[token]
                 self.left[i] = self.right[i] = (i,)
                 self.born[i] = -1
-                automaton.add_word(symbols(token), i)
-        self.length = {vocab[t]: len(symbols(t)) for t in vocab if t not in parts and vocab[t] in self.left}
+                automaton.add_word(symbols(token), i << _SHIFT | 1)
         for token in sorted(parts, key=rank.get):  # a merge's parts are older than the merge
             i, a, b = vocab[token], vocab[parts[token][0]], vocab[parts[token][1]]
             self.born[i] = rank[token]
@@ -80,8 +88,10 @@ class Merges:
                 raise ValueError("merges are not in the order in which their parts arise")
             self.left[i] = self.left[a] + (i,)
             self.right[i] = self.right[b] + (i,)
-            automaton.add_word(symbols(token), i)
-            self.length[i] = self.length[a] + self.length[b]
+            whole = symbols(token)
+            if len(whole) > _LENGTH:
+                raise ValueError(f"a token is longer than {_LENGTH} bytes")
+            automaton.add_word(whole, i << _SHIFT | len(whole))
         automaton.make_automaton()
         self.ending = automaton.iter
 
@@ -111,21 +121,36 @@ class Merges:
             text = word[:-1].decode("latin-1") + chr(word[-1] + 256)
         else:
             text = word.decode("latin-1")
-        last = array("q", bytes(8 * (len(text) + 1)))  # id of the last token of each prefix, plus one; 0: none found yet
-        length, compatible = self.length, self.compatible
+        n = len(text)
+        # the last token of each prefix with its length below it, as the automaton holds them; 0: none found yet
+        last = [0] * (n + 1) if n < LONG else array("q", bytes(8 * (n + 1)))
+        known = self.pairs
         for end, token in self.ending(text):
-            if last[end + 1]:
+            stop = end + 1
+            if last[stop]:
                 continue
-            before = end + 1 - length[token]
-            if before == 0 or (last[before] and compatible(last[before] - 1, token)):
-                last[end + 1] = token + 1
+            before = stop - (token & _LENGTH)
+            if before:
+                left = last[before]
+                if not left:
+                    continue
+                pair = (left >> _SHIFT << 32) | (token >> _SHIFT)
+                fits = known.get(pair)
+                if fits is None:
+                    if len(known) >= REMEMBERED_PAIRS:
+                        known.clear()
+                    fits = known[pair] = self.compatible(left >> _SHIFT, token >> _SHIFT)
+                if not fits:
+                    continue
+            last[stop] = token
         ids = array("I")
-        at = len(text)
+        at = n
         while at:
-            if not last[at]:
+            token = last[at]
+            if not token:
                 raise ValueError("the vocabulary lacks a byte of the text")
-            ids.append(last[at] - 1)
-            at -= length[last[at] - 1]
+            ids.append(token >> _SHIFT)
+            at -= token & _LENGTH
         ids.reverse()
         return ids
 
