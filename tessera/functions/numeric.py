@@ -86,14 +86,37 @@ def tidy(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
-def fmt2(c: Column) -> Column:
-    """Two-decimal text (D3).  Callers round first where a tie could occur."""
-    return F.format_string("%.2f", c)
+def two_decimals(c: Column) -> Column:
+    """Two-decimal text of a double's exact binary value, ties to even (D3): 0.125 is 0.12 and 2.675 is 2.67.
 
-
-def safe_ratio(num: Column, den: Column, default: float) -> Column:
-    """``num / den`` with a default for an empty denominator."""
-    return F.when(den > 0, num.cast("double") / den).otherwise(F.lit(default))
+    The fraction is taken apart into 80 exact binary digits (fewer than that can only be below half a hundredth) and
+    rounded as a whole number of hundredths.  NaN and infinities are ``nan``, ``inf`` and ``-inf``.
+    """
+    x = c.cast("double")
+    size = F.abs(x)
+    whole = F.floor(size).cast("long")
+    high = (size - whole.cast("double")) * F.lit(float(1 << 26))
+    mid = (high - F.floor(high).cast("double")) * F.lit(float(1 << 27))
+    low = (mid - F.floor(mid).cast("double")) * F.lit(float(1 << 27))
+
+    def big(v: Column | int) -> Column:
+        return (F.lit(str(v)) if isinstance(v, int) else F.floor(v).cast("long")).cast("decimal(38,0)")
+
+    def times(v: Column, n: int, digits: int) -> Column:
+        return (v * F.lit(str(n)).cast(f"decimal({digits},0)")).cast("decimal(38,0)")
+
+    digits = times(big(high).cast("decimal(9,0)"), 1 << 54, 17) + times(big(mid).cast("decimal(9,0)"), 1 << 27, 9) + big(low)
+    scaled = times(digits.cast("decimal(25,0)"), 100, 3)
+    unit, half = big(1 << 80), big(1 << 79)
+    rest = scaled % unit
+    down = F.floor((scaled - rest).cast("decimal(38,0)") / unit).cast("long")
+    up = (rest > half) | ((rest == half) & (down % 2 == 1))
+    hundredths = down + up.cast("long")
+    text = F.concat(F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit("")),
+                    (whole + F.when(hundredths >= 100, F.lit(1)).otherwise(F.lit(0))).cast("string"), F.lit("."),
+                    F.lpad((hundredths % 100).cast("string"), 2, "0"))
+    return (F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")).when(x == float("-inf"), F.lit("-inf"))
+            .otherwise(text))
 
 
 def gaussian_from_key(key: Column, seed: int) -> Column:

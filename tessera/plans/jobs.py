@@ -63,6 +63,8 @@ class JobResult:
     selection: DataFrame | None = None
     feature_names: DataFrame | None = None
     features: DataFrame | None = None
+    selected_rows: DataFrame | None = None
+    layers: dict[str, DataFrame] | None = None
 
 
 ROW = "__row"
@@ -122,39 +124,42 @@ def run_default_job(df: DataFrame, params: JobParams | None = None, id_map: Data
         metrics.update({"hdbscan_noise_count": ns["n_noise"], "hdbscan_noise_ratio": ns["noise_ratio"],
                         "hdbscan_n_clusters": ns["n_clusters"], "NOISE": ns["noise_ratio"],
                         "COUNT": ns["n_clusters"]})
-    selection = None
+    selection = rows = layers = None
     if p.epsilon_cover_enabled:
         flagged = cover.status_sets(out, id_map, p.id_column)
-        _, matches = cover.cover_and_match(flagged, p.epsilon, cover.XYZ, p.id_column, "cluster",
+        centres, matches = cover.cover_and_match(flagged, p.epsilon, cover.XYZ, p.id_column, "cluster",
                                            p.epsilon_use_cluster_scope)
-        selection = cover.selection(matches, out.select("cluster").distinct())
-    return JobResult(out, roles.numeric, roles.categorical, metrics, selection, model.feature_names(), feats)
+        selection = cut(cover.selection(matches, out.select("cluster").distinct()))
+        rows = cover.selected_rows(out, selection, out.columns, p.id_column)
+        layers = cover.plot_layers(out, centres, matches, cover.XYZ, p.id_column)
+    return JobResult(out, roles.numeric, roles.categorical, metrics, selection, model.feature_names(), feats, rows, layers)
 
 
 def run_folder(spark: SparkSession, data_dir: str, out_dir: str | None = None, params: JobParams | None = None,
                spec_json: str | None = None, id_map_path: str | None = None, fmt: str = "parquet",
-               segment_col: str | None = None) -> tuple[JobResult, str]:
+               segment_col: str | None = "sexo") -> tuple[JobResult, str]:
     """The whole job from a folder to its outputs: read, check, cluster, explain, and write every table.
 
     Discovery (S1), the empty guard (S5), the column spec (S6), the id map (S7), the sinks (S8-S12), the run record
     (S13, A17) and the output location (S14).  Returns the result and where its tables were written.
     """
     p = params or JobParams()
+    where = sinks.output_location(data_dir, out_dir, p.run_name, p.reducer, p.clusterer)
     df = readers.require_rows(readers.discover_input(spark, data_dir))
     if spec_json is not None:
         spec = readers.ColumnSpec.from_json(spec_json)
         p = replace(p, preferred_features=spec.preferred_features, preferred_numeric=spec.preferred_numeric)
     res = run_default_job(df, p, readers.read_id_map(spark, id_map_path, id_col=p.id_column))
-    where = sinks.output_location(data_dir, out_dir, p.run_name)
     sinks.write_labelled(res.labelled, where, fmt)
     sinks.write_features(res.features, res.feature_names, where)
-    if segment_col is not None and segment_col in res.labelled.columns:
+    if summarize.has_summary(res.labelled):  # without a segment column both tables are by cluster
         sinks.write_explanations(*explain(res.labelled, segment_col), where)
     else:
-        overall = summarize.cluster_summary(res.labelled, levels="overall") if segment_col is None else None
-        sinks.write_explanations(None, overall, None, where)
+        warnings.warn("no column to summarise: the clusters are not explained", stacklevel=2)
     if res.selection is not None:
         sinks.write_selection(res.selection, where, fmt)
+        sinks.write_table(res.selected_rows, where, "selected_rows", fmt, ["sel_order"])
+        sinks.write_layers(res.layers, where, fmt)
     from tessera.plans import sweep
 
     params_text = {k: str(v) for k, v in asdict(p).items()}
@@ -162,7 +167,7 @@ def run_folder(spark: SparkSession, data_dir: str, out_dir: str | None = None, p
     return res, where
 
 
-def explain(labelled: DataFrame, segment_col: str = "sexo") -> tuple[DataFrame, DataFrame, DataFrame]:
+def explain(labelled: DataFrame, segment_col: str | None = "sexo") -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three explanation outputs: by (cluster, segment), by cluster, report lines."""
     return (summarize.cluster_summary(labelled, segment_col=segment_col, levels="segment"),
             summarize.cluster_summary(labelled, segment_col=segment_col, levels="overall"),

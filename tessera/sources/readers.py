@@ -2,7 +2,7 @@
 
 S1  discover_input     every *.parquet under a folder (else every *.csv), read as one table
 S2  read_parquet       columnar scan; projection and filters are pushed down by Catalyst
-S3  read_csv           header row, NA tokens to NULL, types inferred in one aggregate pass
+S3  read_csv           header row, quoted cells with quotes and line breaks, NA tokens to NULL, types in one aggregate pass
 S4  read_any           Parquet first, then CSV, for an unknown suffix
 S5  require_rows       fatal on an empty input
 S6  ColumnSpec         requested features and always-numeric features (JSON or arguments)
@@ -42,13 +42,17 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """CSV with header; NA tokens become NULL; numeric columns are typed.
 
-    The file is read as text once; one aggregate then decides, per column,
+    Quotes inside quoted cells are doubled, and a quoted cell may hold line
+    breaks, so a record can span lines and a file is read by one task (a
+    large input is a folder of files).  Partition folders become columns.
+    Files with different columns are an error when they are read.  The files are read as text once; one aggregate then decides, per column,
     whether every non-missing cell is an integer or a number, and the
     projection casts accordingly (no second ``inferSchema`` scan).
     """
-    reader = spark.read.option("header", True).option("inferSchema", False)
+    # enforceSchema off: every file's header is held against the table's
+    reader = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=True, enforceSchema=False)
     if glob:
-        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+        reader = reader.option("pathGlobFilter", glob)
     raw = reader.csv(path)
     cols = raw.columns
     cleaned = raw.select(*[
@@ -78,17 +82,20 @@ def read_csv(spark: SparkSession, path: str, glob: str | None = None) -> DataFra
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """By suffix; an unknown suffix tries Parquet first, then CSV."""
+    """By suffix; an unknown suffix tries Parquet first, then CSV.
+
+    Only what is not Parquet is read as CSV; a missing path or a broken Parquet file is an error.
+    """
     low = path.lower()
     if low.endswith(".parquet"):
         return read_parquet(spark, path)
     if low.endswith(".csv"):
         return read_csv(spark, path)
     try:
-        df = read_parquet(spark, path)
-        df.schema  # noqa: B018 - forces the footer read
-        return df
-    except Exception:  # noqa: BLE001 - any parquet failure falls back to CSV
+        return read_parquet(spark, path)
+    except Exception as exc:  # noqa: BLE001 - the footer error has no class of its own
+        if "is not a Parquet file" not in str(exc):
+            raise
         return read_csv(spark, path)
 
 
@@ -101,11 +108,12 @@ def discover_input(spark: SparkSession, data_dir: str) -> DataFrame:
     # files and partition folders (which become columns) of the folder itself, else tables that are folders in it
     for path, options in ((data_dir, {"pathGlobFilter": "*.parquet"}), (f"{data_dir.rstrip('/')}/*.parquet", {})):
         try:
-            df = spark.read.options(**options).parquet(path)
-            if df.columns:
-                return df
+            # all files' columns; a column that has two types is an error
+            df = spark.read.options(mergeSchema=True, **options).parquet(path)
         except AnalysisException:
             continue
+        if df.columns:
+            return df
     try:
         return read_csv(spark, data_dir, glob="*.csv")
     except AnalysisException as exc:

@@ -14,12 +14,32 @@ from pyspark.sql import functions as F
 FORMATS = ("parquet", "csv")
 
 
-def output_location(data_dir: str, out_dir: str | None = None, run_name: str | None = None) -> str:
-    """The given location, else ``results`` beside the input; a run name adds a folder of its own."""
-    base = (out_dir or f"{data_dir.rstrip('/').rsplit('/', 1)[0]}/results").rstrip("/")
+def output_location(data_dir: str, out_dir: str | None = None, run_name: str | None = None, reducer: str = "umap",
+                    clusterer: str = "kmeans") -> str:
+    """The given location, else ``outputs/outputs-{reducer}-{clusterer}`` beside the input folder.
+
+    A run name adds a folder of its own.  A location inside the input is refused: the next run would read it.
+    """
+    source = data_dir.rstrip("/") or "/"
+    parent = source.rpartition("/")[0] if "/" in source else "."
+    base = (out_dir or f"{parent}/outputs/outputs-{reducer}-{clusterer}").rstrip("/")
+    plain = base.removeprefix("./")
+    if plain == source.removeprefix("./") or plain.startswith(f"{source.removeprefix('./')}/"):
+        raise ValueError(f"the output location {base} lies inside the input {data_dir}")
     return f"{base}/{run_name}" if run_name else base
 
 
+def write_lines(lines: DataFrame, location: str, name: str, order_by: list[str], line_col: str = "line") -> str:
+    """A text whose lines are rows: the files in the order of their names, end to end, are the text in order.
+
+    Ranges of ``order_by`` (nulls first) go to files of their own, sorted inside.
+    """
+    path = f"{location.rstrip('/')}/{name}"
+    ordered = lines.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    ordered.select(F.coalesce(F.col(line_col), F.lit("")).alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
 def write_table(df: DataFrame, location: str, name: str, fmt: str = "parquet", order_by: list[str] | None = None) -> str:
     """Write ``df`` as ``location/name``; ``order_by`` range-partitions and sorts, so that files follow the order (O2)."""
     if fmt not in FORMATS:
@@ -48,11 +68,13 @@ def write_features(features: DataFrame, names: DataFrame | None, location: str)
 
 
 def write_explanations(by_segment: DataFrame | None, overall: DataFrame | None, report: DataFrame | None, location: str, fmt: str = "csv") -> list[str]:
-    """The summary tables that exist and the report lines; a missing one is skipped with a warning."""
+    """The summary tables that exist and the report as text; a missing one is skipped with a warning."""
     out = []
-    for name, df in (("summary_by_segment", by_segment), ("summary_overall", overall), ("report", report)):
+    for name, df in (("summary_by_segment", by_segment), ("summary_overall", overall), ("report.md", report)):
         if df is None:
             warnings.warn(f"nothing to write for {name}", stacklevel=2)
+        elif df is report:
+            out.append(write_lines(df, location, name, ["cluster", "line_no"]))
         else:
             out.append(write_table(df, location, name, fmt))
     return out
@@ -61,3 +83,8 @@ def write_explanations(by_segment: DataFrame | None, overall: DataFrame | None,
 def write_selection(selection: DataFrame, location: str, fmt: str = "parquet") -> str:
     """The selected rows."""
     return write_table(selection, location, "selection", fmt)
+
+
+def write_layers(layers: dict[str, DataFrame], location: str, fmt: str = "parquet") -> list[str]:
+    """The tables a plot of the cover is drawn from, one folder each."""
+    return [write_table(df, location, f"plot_{name}", fmt) for name, df in layers.items()]
