@@ -631,6 +631,20 @@ def q_kmeans_labels(spark, sf_dir):
     return labelled.select("id", "cluster")
 
 
+@register("kmeans_fixed_point", fx.with_fixtures("""
+SELECT COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS n_not_nearest, CAST(0 AS BIGINT) AS n_off_mean FROM f2""", "f2"))
+def q_kmeans_fixed_point(spark, sf_dir):
+    """M5: rows that are not at their nearest centre, and centres away from the mean of their rows (both none)."""
+    f2 = fx.points(spark, sf_dir).select("id", F.col("x").alias("emb_x"), F.col("y").alias("emb_y"))
+    labelled, centres, _ = kmeans_ops.kmeans_labels(f2, k=8, seed=42, tol=0.0)
+    away = kmeans_ops.distances_to(centres, ("emb_x", "emb_y"))
+    table = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centres])
+    means = labelled.groupBy("cluster").agg(F.avg("emb_x").alias("x"), F.avg("emb_y").alias("y")).withColumn("c", F.element_at(table, F.col("cluster") + 1))
+    off = means.where((F.abs(F.col("x") - F.col("c")[0]) > 1e-9) | (F.abs(F.col("y") - F.col("c")[1]) > 1e-9)).count()
+    return labelled.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.element_at(away, F.col("cluster") + 1) > F.array_min(away)).alias("n_not_nearest"),
+                        F.lit(off).cast("long").alias("n_off_mean"))
+
+
 @register("noise_stats", fx.with_fixtures(f"""
 SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(COUNT(*) FILTER (WHERE cluster = -1) AS BIGINT) AS n_noise,
        {r6('CASE WHEN COUNT(*) > 0 THEN COUNT(*) FILTER (WHERE cluster = -1) / COUNT(*) ELSE 0.0 END')} AS noise_ratio,

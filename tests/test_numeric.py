@@ -168,7 +168,15 @@ def test_kmeans_rows_sit_at_nearest_centre(spark):
     c = np.array(centres)
     d = ((pdf[["emb_x", "emb_y"]].to_numpy()[:, None, :] - c[None]) ** 2).sum(axis=2)
     assert (d.argmin(axis=1) == pdf.cluster.to_numpy()).mean() > 0.99
-    lab2, _, _ = kmeans_labels(f2, k=4, n_init=2)
+    blobs = spark.createDataFrame([(i, float(10 * (i % 3) + 0.01 * i), float(i % 3)) for i in range(60)], "id long, emb_x double, emb_y double")
+    found, middle, cost = kmeans_labels(blobs, k=3)
+    assert {tuple(sorted(r["ids"])) for r in found.groupBy("cluster").agg(F.collect_list("id").alias("ids")).collect()} == {tuple(range(j, 60, 3)) for j in range(3)}
+    assert cost == pytest.approx(sum(((0.01 * (np.arange(j, 60, 3) - np.arange(j, 60, 3).mean())) ** 2).sum() for j in range(3)))
+    odd = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 1.0, 1.0), (4, None, 1.0)], "id long, emb_x double, emb_y double")
+    few, places, cost = kmeans_labels(odd, k=8)
+    assert len(places) == 2 and cost == 0.0 and [r["cluster"] is None for r in few.orderBy("id").collect()] == [False, False, False, True]
+    assert kmeans_labels(odd.limit(0), k=2)[0].count() == 0
+    lab2, _, _ = kmeans_labels(f2.repartition(5), k=4, n_init=2)
     assert sorted(map(tuple, lab2.select("id", "cluster").collect())) == sorted(map(tuple, lab.select("id", "cluster").collect()))
 
 
