@@ -12,6 +12,7 @@ are also broadcast automatically.  The files survive executor loss.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -19,13 +20,16 @@ from pyspark.sql import DataFrame
 from tessera.session import ensure_checkpoint_dir
 
 
+_collected = [0.0]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and return a fresh scan of it."""
     spark = df.sparkSession
     base = spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    written = spark.read.parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)  # no job to find the schema
     written._cut_path = path
     return written
 
@@ -35,7 +39,7 @@ def release(*tables: DataFrame | None) -> None:
 
     Plans built on a released table can no longer run, so only a step's own intermediate tables are released, after
     its result was cut.  Other DataFrames are left alone.  Shuffle files of plans that nothing refers to any more go
-    when the driver collects its garbage, so it does that here instead of half an hour later.
+    when the driver collects its garbage, so it does that here, every ten seconds at most, instead of half an hour later.
     """
     jvm = None
     for df in tables:
@@ -46,5 +50,6 @@ def release(*tables: DataFrame | None) -> None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
         df._cut_path = None
-    if jvm is not None:
+    if jvm is not None and time.monotonic() - _collected[0] > 10:
         jvm.System.gc()
+        _collected[0] = time.monotonic()

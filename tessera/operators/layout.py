@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.persist import cut
+from tessera.functions.persist import cut, release
 from pyspark.sql import types as T
 
 #: Rows of a block, queries and rows of a distance tile, k-lists merged at once.
@@ -218,7 +218,7 @@ def find_ab(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
 
 
 def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features", id_col: str = "id",
-                  min_dist: float = 0.1, seed: int = 42, n_epochs: int = 50, negative: int = 5,
+                  min_dist: float = 0.1, seed: int = 42, n_epochs: int = 200, negative: int = 5,
                   cut_every: int = 1) -> DataFrame:
     """M4d: 2-D layout by weighted gradient epochs on DataFrames.
 
@@ -251,6 +251,7 @@ def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features",
     def clip(c):
         return F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
 
+    last = pos
     for ep in range(n_epochs):
         alpha = 1.0 - ep / n_epochs
         pu = pos.select(F.col("id").alias("u"), F.col("px").alias("ux"), F.col("py").alias("uy"))
@@ -278,14 +279,16 @@ def layout_epochs(df: DataFrame, weights: DataFrame, vec_col: str = "features",
                   .select("id", "idx", (F.col("px") + F.coalesce("gx", F.lit(0.0))).alias("px"),
                           (F.col("py") + F.coalesce("gy", F.lit(0.0))).alias("py")))
         if (ep + 1) % cut_every == 0 or ep == n_epochs - 1:
-            pos = pos.transform(cut)
+            written = pos.transform(cut)
+            release(last)
+            pos = last = written
     return (df.select(F.col(id_col).alias("id"), *[c for c in df.columns if c != id_col])
               .join(pos.select("id", F.col("px").alias("emb_x"), F.col("py").alias("emb_y")), "id")
               .withColumnRenamed("id", id_col))
 
 
 def umap_embed(df: DataFrame, vec_col: str = "features", id_col: str = "id", n_neighbors: int = 15,
-               min_dist: float = 0.1, seed: int = 42, n_epochs: int = 50) -> DataFrame:
+               min_dist: float = 0.1, seed: int = 42, n_epochs: int = 200) -> DataFrame:
     """M4: exact k-NN graph -> fuzzy graph -> layout epochs."""
     g = knn_graph(df, n_neighbors - 1, vec_col, id_col)
     w = fuzzy_graph(g, n_neighbors).transform(cut)
