@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tessera.functions.numeric import sq_dist
 from tessera.functions.persist import cut, release
@@ -267,6 +269,21 @@ def selected_rows(df: DataFrame, sel: DataFrame, columns: Sequence[str], id_col:
     return flat.join(df.select(id_col, *[c for c in columns if c != id_col]), id_col)
 
 
+def scatter_table(df: DataFrame, dims: Sequence[str], id_col: str = "id", cluster_col: str = "cluster") -> DataFrame | None:
+    """The numeric ones of ``dims`` that the table has, with the cluster and the id as text (``label``).
+
+    A scatter matrix needs two dimensions: with fewer there is a warning and no table.  No id column is an error.
+    """
+    if id_col not in df.columns:
+        raise ValueError(f"a scatter table needs the id column {id_col!r}")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    kept = [c for c in dims if c in types and (isinstance(types[c], NumericType))]
+    if len(kept) < 2:
+        warnings.warn(f"a scatter matrix needs two numeric columns, there are {kept}", stacklevel=2)
+        return None
+    return drop_noise(df, cluster_col).select(F.col(id_col).cast("string").alias("label"), cluster_col, *kept)
+
+
 def plot_layers(df: DataFrame, centres: DataFrame, matches: DataFrame, coords: Sequence[str] = XYZ, id_col: str = "id",
                 cluster_col: str = "cluster") -> dict[str, DataFrame]:
     """What a plot of the cover draws, as tables.

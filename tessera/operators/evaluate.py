@@ -41,7 +41,7 @@ def noise_stats(df: DataFrame, cluster_col: str = "cluster") -> DataFrame:
 def davies_bouldin(df: DataFrame, coords: Sequence[str] = ("emb_x", "emb_y"), cluster_col: str = "cluster") -> float:
     """M9: noise (-1) counts as a cluster, as in the modelled metric call."""
     cents = df.groupBy(cluster_col).agg(*[F.avg(c).alias(f"c_{c}") for c in coords])
-    scat = (df.join(F.broadcast(cents), cluster_col)  # one row per cluster
+    scat = (df.join(cents, cluster_col)  # one row per cluster: broadcast at run time if small
               .groupBy(cluster_col)
               .agg(F.avg(F.sqrt(sq_dist([F.col(c) for c in coords], [F.col(f"c_{c}") for c in coords]))).alias("s")))
     rows = cents.join(scat, cluster_col).orderBy(cluster_col).collect()  # k rows

@@ -580,6 +580,13 @@ def q_plot_layer_points(spark, sf_dir):
     return drop_noise(f2).select("id", "cluster", *XYZ3)
 
 
+@register("scatter_original", fx.with_fixtures(
+    f"SELECT CAST(id AS VARCHAR) AS label, cluster, {r6('orig_a')} AS orig_a, {r6('orig_b')} AS orig_b FROM f2 WHERE cluster <> -1", "f2"))
+def q_scatter_original(spark, sf_dir):
+    """The original numeric dimensions with the id as text (a missing and an array column are left out)."""
+    return tidy_frame(cover.scatter_table(fx.points(spark, sf_dir), ["orig_a", "vec", "nowhere", "orig_b"]))
+
+
 @register("plot_layer_centers", _cover_sql("SELECT cluster, center_rank, id, x, y, z FROM cen"))
 def q_plot_layer_centers(spark, sf_dir):
     return cover.plot_layers(*_f2_cover(spark, sf_dir), XYZ3)["centers"]

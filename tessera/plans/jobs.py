@@ -132,6 +132,9 @@ def run_default_job(df: DataFrame, params: JobParams | None = None, id_map: Data
         selection = cut(cover.selection(matches, out.select("cluster").distinct()))
         rows = cover.selected_rows(out, selection, out.columns, p.id_column)
         layers = cover.plot_layers(out, centres, matches, cover.XYZ, p.id_column)
+        scatter = {"scatter_embedding": cover.scatter_table(out, cover.XYZ, p.id_column),
+                   "scatter_original": cover.scatter_table(out, roles.numeric, p.id_column)}
+        layers |= {name: table for name, table in scatter.items() if table is not None}
     return JobResult(out, roles.numeric, roles.categorical, metrics, selection, model.feature_names(), feats, rows, layers)
 
 
@@ -152,7 +155,7 @@ def run_folder(spark: SparkSession, data_dir: str, out_dir: str | None = None, p
     res = run_default_job(df, p, readers.read_id_map(spark, id_map_path, id_col=p.id_column))
     sinks.write_labelled(res.labelled, where, fmt)
     sinks.write_features(res.features, res.feature_names, where)
-    if summarize.has_summary(res.labelled):  # without a segment column both tables are by cluster
+    if summarize.has_summary(res.labelled, segment_col=segment_col):  # without a segment column both tables are by cluster
         sinks.write_explanations(*explain(res.labelled, segment_col), where)
     else:
         warnings.warn("no column to summarise: the clusters are not explained", stacklevel=2)

@@ -105,3 +105,33 @@ def test_missing_and_broken_id_maps(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("x\n1\n")
     with pytest.raises(Exception):
         read_id_map(spark, str(tmp_path / "bad.csv"))
+
+
+def test_scatter_table_needs_two_numeric_columns(spark):
+    import pytest
+
+    from tessera.operators.cover import scatter_table
+
+    df = spark.createDataFrame([(1, 0, 1.0, "a"), (2, -1, 2.0, "b")], "id long, cluster int, v double, t string")
+    with pytest.warns(UserWarning):
+        assert scatter_table(df, ["v", "t", "nowhere"]) is None
+    with pytest.raises(ValueError):
+        scatter_table(df.drop("id"), ["v", "v"])
+    assert [tuple(r) for r in scatter_table(df.withColumn("w", F.lit(3)), ["v", "t", "w"]).collect()] == [("1", 0, 1.0, 3)]
+
+
+def test_sweep_runs_the_grid_and_writes_records(spark, tmp_path):
+    from tessera.plans import sweep
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(25, 2)), rng.normal(size=(25, 2)) + 9])
+    emb = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id long, emb_x double, emb_y double")
+    grid = [{"n_neighbors": 5, "min_samples": 2, "min_cluster_size": 8, "method": m, "epsilon": 0.0} for m in ("eom", "leaf")]
+    asked = []
+    records = sweep.run_sweep(lambda n: asked.append(n) or emb, grid, "try")
+    assert asked == [5] and len(records) == 2
+    path = str(tmp_path / "runs")
+    sweep.write_runs(spark, records, path)
+    back = spark.read.parquet(path).collect()
+    assert {r["params"]["hdb_cluster_selection_method"] for r in back} == {"eom", "leaf"} and {r["experiment"] for r in back} == {"try"}
+    assert all(r["metrics"]["hdbscan_n_clusters"] >= 2 for r in back)
