@@ -34,7 +34,7 @@ def status_coordinate(
     """
     if id_col not in df.columns or id_map is None:
         if id_col not in df.columns:
-            warnings.warn(f"ID column '{id_col}' not found; {out} uses default {default} for all rows.", stacklevel=2)
+            warnings.warn(f"without a column {id_col!r} no row can be looked up: {out} is {default} everywhere", stacklevel=2)
         z = F.lit(float(default))
         res = df
     else:
