@@ -7,6 +7,11 @@ sums, which a grouped sum combines (map-side combine, d^2 rows per task).
 The d x d eigen-decomposition runs on the driver; d is the feature width,
 independent of the row count.  The projection is a JVM expression
 (``aggregate`` over ``zip_with``), no Python per row.
+
+Wide one-hot matrices stay (row, feature, value) tables: ``pca_long`` finds
+the axes by randomised subspace rounds, each two joins.  Its tables have one
+row per feature with a few columns; only small square matrices of that few
+columns reach the driver, no d x d sums and no literal per feature.
 """
 
 from __future__ import annotations
@@ -16,9 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.persist import cut, release
+
 
 def _stack(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
@@ -117,6 +124,87 @@ def fit_pca(df: DataFrame, k: int = 2, vec_col: str = "features") -> PCAModel:
     return PCAModel(mean, comps, vals[order])
 
 
+def _gram(table: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+    """The sums of products of two lists of columns."""
+    row = table.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in left for b in right]).first()
+    return np.array([[row[f"{a}_{b}"] or 0.0 for b in right] for a in left])
+
+
+def _times(columns: list[str], matrix: np.ndarray, out: str) -> list[Column]:
+    """The columns times a small matrix."""
+    return [sum((F.col(c) * F.lit(float(w)) for c, w in zip(columns[1:], col[1:])), F.col(columns[0]) * F.lit(float(col[0]))).alias(f"{out}{j}")
+            for j, col in enumerate(matrix.T)]
+
+
+def pca_long(long: DataFrame, ids: DataFrame, k: int = 2, oversample: int = 24, tol: float = 1e-9, max_rounds: int = 200,
+             seed: int = 42, out: tuple[str, ...] = ("emb_x", "emb_y")) -> tuple[DataFrame, DataFrame]:
+    """M3 over ``long(id, feature_idx, value)``: (ids with the k centred scores, (feature_idx, v0 .. v k-1) axes).
+
+    ``ids`` holds every row's id, also of rows without an entry (missing entries are zero).  Rounds multiply a basis of
+    k + ``oversample`` columns by the covariance until the k leading axes change by less than ``tol`` of their variance.
+    Signs as in ``fit_pca``: the largest loading of an axis is positive (ties: the smallest feature).
+    """
+    n = ids.count()
+    entries = cut(long.select("id", "feature_idx", F.col("value").cast("double").alias("value")))
+    means = cut(entries.groupBy("feature_idx").agg((F.sum("value") / F.lit(float(n))).alias("mean")))
+    d = means.count()
+    width = min(d, k + oversample)
+    if not width:
+        raise ValueError("the matrix has no entry")
+    q, z, y = ([f"{x}{j}" for j in range(width)] for x in "qzy")
+
+    def gaussian(j: int) -> Column:
+        u = [(F.pmod(F.xxhash64("feature_idx", F.lit(seed), F.lit(2 * j + i)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52)) for i in range(2)]
+        return F.sqrt(-2.0 * F.log(u[0])) * F.cos(F.lit(2.0 * np.pi) * u[1])
+
+    def orthonormal(table: DataFrame, columns: list[str]) -> DataFrame:
+        values, vectors = np.linalg.eigh(_gram(table, columns, columns))
+        kept = values > max(values.max(), 0.0) * 1e-13
+        return table.select("feature_idx", "mean", *_times(columns, vectors[:, kept] / np.sqrt(values[kept]), "q"))
+
+    def multiplied(basis: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+        """The basis and, as ``names``, the covariance (times n) by the basis."""
+        shift = basis.agg(*[F.sum(F.col("mean") * F.col(c)).alias(c) for c in columns]).first()
+        rows = (entries.join(basis, "feature_idx").groupBy("id")
+                .agg(*[(F.sum(F.col("value") * F.col(c)) - F.lit(float(shift[c]))).alias(w) for c, w in zip(columns, y)]))
+        back = entries.join(rows, "id").groupBy("feature_idx").agg(*[F.sum(F.col("value") * F.col(w)).alias(m) for w, m in zip(y, names)])
+        # rows without an entry have the score -shift, and count only here: centred scores sum to zero over all rows
+        return cut(basis.join(back, "feature_idx"))
+
+    basis = cut(orthonormal(cut(means.select("feature_idx", "mean", *[gaussian(j).alias(c) for j, c in enumerate(q)])), q))
+    for _ in range(max_rounds):
+        here = [c for c in basis.columns if c.startswith("q")]
+        names = z[: len(here)]
+        step = multiplied(basis, here, names)
+        small = _gram(step, here, names)
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        lead = vectors[:, ::-1][:, :k]
+        top = values[::-1][:k]
+        pairs = step.select(*_times(here, lead * top, "a"), *_times(names, lead, "b"))
+        wide = range(lead.shape[1])
+        off = pairs.agg(*[F.sum((F.col(f"a{j}") - F.col(f"b{j}")) ** 2).alias(f"r{j}") for j in wide]).first()
+        done = all((off[f"r{j}"] or 0.0) ** 0.5 <= tol * max(top[j], 1e-300) for j in wide)
+        if done:
+            release(basis)
+            basis = step
+            break
+        nxt = cut(orthonormal(step.select("feature_idx", "mean", *names), names))
+        release(basis, step)
+        basis = nxt
+        here = [c for c in basis.columns if c.startswith("q")]
+        lead = np.eye(len(here))[:, :k]
+    v = [f"v{j}" for j in range(min(k, lead.shape[1]))]
+    axes = basis.select("feature_idx", "mean", *_times([c for c in basis.columns if c.startswith("q")], lead, "v"))
+    signs = axes.agg(*[F.max(F.struct(F.abs(c).alias("size"), (-F.col("feature_idx")).alias("first"), F.col(c).alias("value"))).alias(c) for c in v]).first()
+    axes = cut(axes.select("feature_idx", "mean", *[(F.col(c) * F.lit(-1.0 if signs[c]["value"] < 0 else 1.0)).alias(c) for c in v]))
+    shift = axes.agg(*[F.sum(F.col("mean") * F.col(c)).alias(c) for c in v]).first()
+    scores = entries.join(axes, "feature_idx").groupBy("id").agg(*[F.sum(F.col("value") * F.col(c)).alias(c) for c in v])
+    placed = ids.select("id").join(scores, "id", "left").select(
+        "id", *[(F.coalesce(c, F.lit(0.0)) - F.lit(float(shift[c]))).alias(o) for c, o in zip(v, out)],
+        *[F.lit(0.0).alias(o) for o in out[len(v):]])
+    return placed, axes.drop("mean")
+
+
 def reduce_dimensions(df: DataFrame, method: str = "pca", vec_col: str = "features", seed: int = 42,
                       n_neighbors: int = 15, min_dist: float = 0.1, id_col: str = "id") -> DataFrame:
     """Add ``emb_x, emb_y`` by PCA or the neighbour-graph layout."""

@@ -68,6 +68,8 @@ class JobResult:
 
 
 ROW = "__row"
+#: Features from which the matrix stays a (row, feature, value) table.
+WIDE = 2048
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
@@ -98,10 +100,14 @@ def run_default_job(df: DataFrame, params: JobParams | None = None, id_map: Data
     roles = profile.resolve_roles(table, p.preferred_features or None, p.preferred_numeric, p.forced_categorical,
                                   p.nominal_unique_threshold, p.nominal_ratio_threshold)
     model = encode.fit_encoder(table, roles.numeric, roles.categorical)
-    feats = encode.transform_dense(df, model, ROW).transform(cut)
-    emb = reduce.reduce_dimensions(feats, p.reducer, "features", p.random_state, p.umap_n_neighbors,
-                                   p.umap_min_dist, "id").select("id", "emb_x", "emb_y").transform(cut)
-    metrics: dict[str, float] = {"n_rows": float(feats.count()), "n_features": float(model.width)}
+    if p.reducer == "pca" and model.width > WIDE:  # arrays of that length for every row would be mostly zeros
+        feats = encode.transform_long(df, model, ROW).transform(cut)
+        emb = reduce.pca_long(feats, df.select(F.col(ROW).alias("id")), seed=p.random_state)[0].transform(cut)
+    else:
+        feats = encode.transform_dense(df, model, ROW).transform(cut)
+        emb = reduce.reduce_dimensions(feats, p.reducer, "features", p.random_state, p.umap_n_neighbors,
+                                       p.umap_min_dist, "id").select("id", "emb_x", "emb_y").transform(cut)
+    metrics: dict[str, float] = {"n_rows": float(emb.count()), "n_features": float(model.width)}
     if p.clusterer == "hdbscan":
         from tessera.operators.density import hdbscan
 

@@ -135,3 +135,17 @@ def test_sweep_runs_the_grid_and_writes_records(spark, tmp_path):
     back = spark.read.parquet(path).collect()
     assert {r["params"]["hdb_cluster_selection_method"] for r in back} == {"eom", "leaf"} and {r["experiment"] for r in back} == {"try"}
     assert all(r["metrics"]["hdbscan_n_clusters"] >= 2 for r in back)
+
+
+def test_wide_tables_stay_long(spark, monkeypatch):
+    from tessera.plans import jobs
+
+    rows = [(i, float(i % 5), "ab"[i % 2], f"level {i % 9}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, c string, t string")
+    params = JobParams(n_clusters=3, preferred_features=["a", "c", "t"], nominal_unique_threshold=2)
+    dense = run_default_job(df, params).labelled.select("id", "emb_x", "emb_y").orderBy("id").toPandas()
+    monkeypatch.setattr(jobs, "WIDE", 3)
+    res = run_default_job(df, params)
+    assert {"feature_idx", "value"} <= set(res.features.columns)
+    long = res.labelled.select("id", "emb_x", "emb_y").orderBy("id").toPandas()
+    assert np.allclose(dense.to_numpy(), long.to_numpy(), atol=1e-6)

@@ -159,6 +159,22 @@ def test_pca_matches_numpy(spark):
     assert np.allclose(got[["emb_x", "emb_y"]].to_numpy(), want, atol=1e-9)
 
 
+def test_long_pca_equals_dense_pca(spark):
+    rng = np.random.default_rng(4)
+    n, levels = 150, 40
+    x = np.zeros((n, levels + 2))
+    x[:, 0], x[:, 1] = rng.normal(size=n) * 3, rng.normal(size=n)
+    x[np.arange(n), 2 + np.minimum(rng.geometric(0.15, n), levels) - 1] = 1.0
+    x[5] = 0.0  # a row without an entry
+    dense = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, vec array<double>")
+    long = spark.createDataFrame([(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x))], "id long, feature_idx int, value double")
+    got, axes = reduce.pca_long(long, dense, oversample=6)
+    want = reduce.fit_pca(dense, 2, "vec").transform(dense, "vec")
+    a, b = (t.select("id", "emb_x", "emb_y").toPandas().sort_values("id")[["emb_x", "emb_y"]].to_numpy() for t in (got, want))
+    assert np.allclose(a, b, atol=1e-6)
+    assert axes.count() == (x != 0).any(axis=0).sum()
+
+
 def test_kmeans_rows_sit_at_nearest_centre(spark):
     from tessera.operators.cluster import kmeans_labels
 
