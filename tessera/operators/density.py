@@ -64,7 +64,7 @@ def core_distances(df: DataFrame, min_samples: int = 3, coords: Sequence[str] =
 def mutual_reachability(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, id_col: str = "id",
                         metric: str = "euclidean") -> DataFrame:
     """M6b on the neighbour pairs: ``(u, v, dist, mreach)``."""
-    nb = neighbour_pairs(df, min_samples, coords, id_col, metric).cache()
+    nb = cut(neighbour_pairs(df, min_samples, coords, id_col, metric))
     core = nb.where(F.col("rank") == min_samples).select(F.col("u").alias("_id"), F.col("dist").alias("_core"))
     j = (nb.join(core.withColumnRenamed("_id", "u").withColumnRenamed("_core", "core_u"), "u")
            .join(core.withColumnRenamed("_id", "v").withColumnRenamed("_core", "core_v"), "v"))

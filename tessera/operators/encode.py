@@ -18,12 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import is_numeric_type, to_number
+from tessera.functions.persist import cut
 from tessera.functions.quantiles import grouped_median
 from tessera.functions.ranks import numbered
 from tessera.operators.profile import value_counts, value_text
 
-BROADCAST_VOCAB_ROWS = 200_000
-
 
 def numeric_long(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """``(keys..., column, value)`` with every numeric column parsed."""
@@ -152,7 +151,7 @@ def fit_encoder(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     if categorical:
         for r in column_modes(df, categorical).collect():  # one row per categorical column
             model.modes[r["col_name"]] = (r["mode_text"], r["mode_num"])
-        model.vocab = vocabulary(df, categorical).cache()
+        model.vocab = cut(vocabulary(df, categorical))  # a written table: joins see its size
         model.vocab_sizes = {r["col_name"]: r["k"] for r in
                              model.vocab.groupBy("col_name").agg(F.count(F.lit(1)).alias("k")).collect()}
     elif numeric:
@@ -192,8 +191,6 @@ def transform_long(df: DataFrame, model: EncoderModel, id_col: str = "id") -> Da
             items.append(F.struct(F.lit(c).alias("col_name"), lvl.alias("level")))
         long = df.select(F.col(id_col).alias("id"), F.explode(F.array(*items)).alias("kv")).select("id", "kv.col_name", "kv.level")
         voc = model.vocab.select("col_name", "level", "level_idx")
-        if sum(model.vocab_sizes.values()) <= BROADCAST_VOCAB_ROWS:
-            voc = F.broadcast(voc)
         off_df = df.sparkSession.createDataFrame(list(offs.items()), "col_name string, _off int")
         parts.append(long.join(voc, ["col_name", "level"]).join(F.broadcast(off_df), "col_name")
                      .select("id", (F.col("_off") + F.col("level_idx")).cast("int").alias("feature_idx"),
@@ -230,8 +227,6 @@ def transform_dense(df: DataFrame, model: EncoderModel, id_col: str = "id", keep
         lvl = _imputed_level(df, model, c)
         voc = model.vocab.where(F.col("col_name") == c).select(F.col("level").alias(f"_lv_{c}"),
                                                            F.col("level_idx").alias(f"_ix_{c}"))
-        if model.vocab_sizes.get(c, 0) <= BROADCAST_VOCAB_ROWS:
-            voc = F.broadcast(voc)
         cur = cur.withColumn(f"_lk_{c}", lvl).join(voc, F.col(f"_lk_{c}") == F.col(f"_lv_{c}"), "left")
         k = model.vocab_sizes.get(c, 0)
         if k:
