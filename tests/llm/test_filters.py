@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import Q, best_alignment, find_leaks, make_item, normal_codes
-from tessera.llm.secrets import redact_secrets, scan_secrets
+from tessera.llm.secrets import FEATURES, redact_secrets, scan_secrets
 from tessera.llm.toxicity import score_toxicity
 from tests.llm.conftest import SMALL
 
@@ -121,6 +122,26 @@ def test_secrets_without_both_kinds(spark, empty_docs):
     assert [r["is_secret"] for r in scan_secrets(one).collect()] == [True]
 
 
+def test_secret_dictionary_is_the_whole_corpus(spark):
+    rows = [(i, f'some words here token = "{hashlib.sha1(str(i).encode()).hexdigest()}" and more') for i in range(1, 40)]
+    made = [f"{a}{i}{b}{i}{c}" for i, (a, b, c) in enumerate([("harvest", "lantern", "meadow"), ("meadow", "orchard", "lantern"), ("orchard", "harvest", "meadow")])]
+    rows += [(100 + 3 * j + i, f'password = "{m}" and more') for j in range(10) for i, m in enumerate(made)]
+    # the words stand in texts without candidates, or far from one
+    rows += [(200 + i, "harvest of the meadow " + "and so on " * 30 + "lantern in an orchard") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["is_secret"] for r in scan_secrets(docs).collect()}
+    assert all(found[i] for i in range(1, 40)) and not any(found[100 + i] for i in range(30))
+
+
+def test_secret_forest_learns_from_every_finding(spark):
+    # the few secrets come last by the hash of their value
+    order = Window.orderBy(F.xxhash64("value"), "value")
+    ranked = spark.range(20_200).select(F.col("id").cast("string").alias("value")).withColumn("label", (F.row_number().over(order) > 20_000).cast("int"))
+    labelled = ranked.select("value", "label", *[(F.col("label") * 50.0 if c == "length" else F.lit(0.0)).alias(c) for c in FEATURES])
+    docs = spark.createDataFrame([(1, 'token = "0123456789abcdef0123456789abcdef0123456789abcdef"')], "doc_id long, text string")
+    assert scan_secrets(docs, labelled).first()["score"] > 0
+
+
 def auc(rows):
     toxic, clean = [s for s, y in rows if y], [s for s, y in rows if not y]
     return np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
