@@ -3,7 +3,9 @@
 k-NN graph in many dimensions (J5, M4a) — exact, by block pairs: rows are
 dealt to blocks of a bounded size by a hash of the id, every pair of blocks
 meets in one task, and the packed k-lists of a block are merged a few at a
-time.  Pruning by distances to pivots does not help in dozens of dimensions
+time.  Every block is sent to every other, so blocks are few and large: BLOCKS
+of them while these hold BLOCK_ROWS rows at most, which keeps the shuffle in
+proportion to the rows.  Pruning by distances to pivots does not help in dozens of dimensions
 (every cell then needs every point); blocks keep the work even and each
 task's memory at two blocks and one distance tile.
 
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from tessera.functions.persist import cut, release
 from pyspark.sql import types as T
 
-#: Rows of a block, queries and rows of a distance tile, k-lists merged at once.
-BLOCK_ROWS, TILE, FAN = 4096, 1024, 8
+#: Most rows of a block, blocks of a smaller table and their least rows, queries and rows of a distance tile, k-lists
+#: merged at once, pairs measured at once.
+BLOCK_ROWS, BLOCKS, LEAST_ROWS, TILE, FAN, PAIRS = 65536, 8, 512, 1024, 8, 1 << 16
 
 
 def _stack(series: pd.Series) -> np.ndarray:
@@ -60,10 +63,17 @@ def _tile_knn(qi: np.ndarray, q: np.ndarray, ids: np.ndarray, xs: np.ndarray, k:
             near = norm[:, None] + sq[None, b : b + TILE] - 2.0 * part @ xs[b : b + TILE].T
             near[part_id[:, None] == ids[None, b : b + TILE]] = np.inf
             kth = min(k, near.shape[1]) - 1
-            limit = np.partition(near, kth, axis=1)[:, kth] + 1e-12 * (norm + sq[b : b + TILE].max()) + 1e-300
+            last = best_d[a : a + TILE, k - 1] ** 2
+            if not np.isfinite(last).all():  # some list is not full yet
+                last = np.minimum(last, np.partition(near, kth, axis=1)[:, kth])
+            limit = last + 1e-12 * (norm + sq[b : b + TILE].max()) + 1e-300
             row, col = np.nonzero((near <= limit[:, None]) & np.isfinite(near))
-            apart = part[row] - xs[b + col]
-            dist = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+            if not len(row):
+                continue
+            dist = np.empty(len(row))
+            for c in range(0, len(row), PAIRS):
+                apart = part[row[c : c + PAIRS]] - xs[b + col[c : c + PAIRS]]
+                dist[c : c + PAIRS] = np.sqrt(np.einsum("ij,ij->i", apart, apart))
             old_row, old = np.nonzero(best_i[a : a + TILE] >= 0)
             row, dist = np.concatenate([row, old_row]), np.concatenate([dist, best_d[a : a + TILE][old_row, old]])
             found = np.concatenate([ids[b + col], best_i[a : a + TILE][old_row, old]])
@@ -71,10 +81,15 @@ def _tile_knn(qi: np.ndarray, q: np.ndarray, ids: np.ndarray, xs: np.ndarray, k:
     return best_d, best_i
 
 
+def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Blocks of so many rows: BLOCKS (fewer for few rows) until these hold ``block_rows`` each, then more."""
+    return max(1, -(-rows // block_rows), min(BLOCKS, -(-rows // LEAST_ROWS)))
+
+
 def knn_graph(df: DataFrame, k: int = 15, vec_col: str = "vec", id_col: str = "id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest other points in Euclidean space: ``(u, rank, v, dist)``; ids are unique longs."""
     pts = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    blocks = max(1, -(-pts.count() // block_rows))
+    blocks = block_count(pts.count(), block_rows)
 
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -161,7 +176,7 @@ def fuzzy_graph(knn: DataFrame, k: int) -> DataFrame:
     its k - 1 nearest others.  Output: ``(u, v, weight)`` of the symmetric
     fuzzy union, u < v.
     """
-    nb = knn.where(F.col("rank") <= k - 1)
+    nb = cut(knn.where(F.col("rank") <= k - 1))  # read three times
     per = nb.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("rank", "dist"))).alias("nb"))  # <= k items
     per = per.select("u", F.col("nb.dist").alias("ds"))
 

@@ -310,3 +310,32 @@ def test_knn_graph_in_blocks_equals_brute_force(spark):
     for rows in (4096, 20):
         assert {(r["u"], r["rank"]): r["v"] for r in knn_graph(df, 5, block_rows=rows).collect()} == want
     assert knn_graph(df.limit(3), 5).count() == 6
+
+
+def test_knn_graph_blocks_keep_the_shuffle_in_proportion(spark):
+    from tessera.operators.layout import block_count, knn_graph
+
+    # every block is sent to all others: their number may not grow with the rows
+    assert block_count(10_000) == block_count(100_000) == 8 and block_count(600_000) == 10
+    assert block_count(0) == block_count(1) == 1 and block_count(100, 7) == 15
+    # copies at distance 0 in many tiles, ties by id
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 3)), 60, axis=0)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = {(r["u"], r["rank"]): r["v"] for r in knn_graph(df, 3).collect()}
+    assert all([got[i, r] for r in (1, 2, 3)] == [j for j in range(i // 60 * 60, i // 60 * 60 + 4) if j != i][:3] for i in range(len(x)))
+
+
+def test_fuzzy_graph_computes_the_neighbours_once(spark):
+    from tessera.operators.layout import fuzzy_graph
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(u, r, (u + r) % 9, 0.5 * r) for u in range(9) for r in (1, 2, 3)]
+    knn = spark.createDataFrame(rows, "u long, rank int, v long, dist double").mapInArrow(count, "u long, rank int, v long, dist double")
+    assert fuzzy_graph(knn, 4).count() == 27 and seen.value == 27
