@@ -39,7 +39,7 @@ def release(*tables: DataFrame | None) -> None:
 
     Plans built on a released table can no longer run, so only a step's own intermediate tables are released, after
     its result was cut.  Other DataFrames are left alone.  Shuffle files of plans that nothing refers to any more go
-    when the driver collects its garbage, so it does that here, every ten seconds at most, instead of half an hour later.
+    when the driver collects its garbage, so it does that here, once a second at most, instead of half an hour later.
     """
     jvm = None
     for df in tables:
@@ -50,6 +50,6 @@ def release(*tables: DataFrame | None) -> None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
         df._cut_path = None
-    if jvm is not None and time.monotonic() - _collected[0] > 10:
+    if jvm is not None and time.monotonic() - _collected[0] > 1:
         jvm.System.gc()
         _collected[0] = time.monotonic()

@@ -236,6 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     rows = cut(sketches(wanted, words).withColumn("rid", F.monotonically_increasing_id()))
     groups = cut(rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("rid").alias("rid"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("rid").alias("row"))).alias("first")))
     classes = cut(rows.join(groups.select("rid"), "rid", "left_semi").select("rid", "n", "sketch"))
+    sketched, rows = rows, cut(rows.drop("sketch"))  # from here on only the classes' sketches are read
+    release(sketched)
 
     # the smallest values of every class
     few = classes.select("rid", "n", F.explode(F.slice("sketch", 1, FIRST)).alias("value"))
@@ -274,7 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     labelled = groups.join(inside.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     smallest = labelled.groupBy("comp").agg(F.min("first").alias("best"))
     named = labelled.join(smallest, "comp").select("h1", "h2", "n", "best")
-    out = rows.drop("sketch").join(named, ["h1", "h2", "n"], "left")
+    out = rows.join(named, ["h1", "h2", "n"], "left")
     empty = F.col("n") == 0
     component = F.when(empty, F.col("doc_id")).otherwise(F.col("best.doc_id"))
     out = out.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -298,6 +300,7 @@ def read_sets(wanted: DataFrame, texts: DataFrame, rows: DataFrame, words: int)
     """(rid, members): the full sets of the wanted classes."""
     named = cut(rows.select("rid", "doc_id", "n", "h1", "h2").join(wanted, "rid", "left_semi"))
     some = texts.join(named.select("doc_id").distinct(), texts["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
-    sets = cut(full_sets(some, words).join(named.drop("doc_id"), ["n", "h1", "h2"]).groupBy("rid").agg(F.first("members").alias("members")))
+    # a class has one (n, h1, h2): grouped by these too, the sets stay where the join has put them
+    sets = cut(full_sets(some, words).join(named.drop("doc_id"), ["n", "h1", "h2"]).groupBy("n", "h1", "h2", "rid").agg(F.first("members").alias("members")).select("rid", "members"))
     release(named)
     return sets

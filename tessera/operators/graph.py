@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.persist import cut
+from tessera.functions.persist import cut, release
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
                    .select(F.col("x.v").alias("v"), F.coalesce(F.col("y.p"), F.col("x.p")).alias("p"))
         p2 = p2.transform(cut)
         changed = p2.join(p.withColumnRenamed("p", "p_old"), "v").where(F.col("p") != F.col("p_old")).limit(1).count()
+        release(p)
         p = p2
         if changed == 0:
             # stable pointers: check that every edge is inside one star
@@ -44,4 +45,5 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
                     .where(F.col("pa") != F.col("pb")).limit(1).count())
             if bad == 0:
                 break
+    release(e)
     return p.select("v", F.col("p").alias("comp"))
