@@ -17,7 +17,7 @@ from tessera.functions.ranks import numbered
 SPACE_BYTES = bytes([9, 10, 11, 12, 13, 32])
 
 #: Bytes of text that a task turns into NumPy arrays at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -83,7 +83,7 @@ class Features:
     def weight(self, word: str) -> float:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             found = self.known[word] = max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0)
         return found
@@ -114,12 +114,18 @@ class Features:
         return [len(hits), len(hits) / n, sum(weights) / n, top, len({words[i] for i in hits}), near / n, len(second) / n, capitals / chars, float(capitals > 0.5 * chars), signs / chars, shouted / chars, len(masked) / n, float(opened), digits / chars, math.log1p(len(words))]
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """The columns of ``docs`` but the text, and one column per feature."""
+def with_features(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` but the text, and one column per feature.
+
+    Without a column ``text``, the text is the field ``text_col`` of the struct ``row``: whole rows reach a task once.
+    """
     rest = [f for f in docs.schema.fields if f.name != "text"]
+    inside = "text" not in docs.columns
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lexicon)
+        if inside:
+            batches = (pa.RecordBatch.from_arrays([*b.columns, b.column("row").field(text_col)], names=[*b.schema.names, "text"]) for b in batches)
         for batch in blocks(batches):
             rows = np.asarray([features.of(x or "") for x in batch.column("text").to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *(pa.array(rows[:, j]) for j in range(len(FEATURES)))], names=[*(f.name for f in rest), *FEATURES])
@@ -155,8 +161,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         lexicon = learn_lexicon(texts.join(F.broadcast(read_rows), "doc_id").select("text", "toxic"), counts[1], counts[0])
     rows = cut(with_features(texts.join(F.broadcast(fit), "doc_id"), lexicon))
     kinds = {(r["part"], r["toxic"]): r["count"] for r in rows.groupBy("part", "toxic").count().collect()}
-    wide = texts if not whole_rows else docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    everything = with_features(wide, lexicon)
+    wide = texts if not whole_rows else docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    everything = with_features(wide, lexicon, text_col)
     row = ["row"] if whole_rows else []
     if not (kinds.get((0, 0)) and kinds.get((0, 1))):
         total = sum(counts.values()) + sum(kinds.values())
