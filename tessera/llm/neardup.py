@@ -258,22 +258,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     release(short, more, chosen)
     links = linked(candidates, classes, texts, rows, words, similarity)
     release(candidates)
-    inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
+    inside = connected_components(None, links)
 
     # stars only join most of a group at small cost: classes that share popular values meet over their whole sets
     popular = cut(poor.join(graded.select("rid", "degree"), "rid").filter(POPULAR).join(inside.withColumnRenamed("v", "rid"), "rid", "left").select("rid", "n", F.coalesce("comp", "rid").alias("comp")))
     release(poor, graded)
     whole = read_sets(popular.select("rid"), texts, rows, words)
     met = across(popular.join(whole, "rid"), similarity)
-    release(whole)
-    late = linked(met, classes, texts, rows, words, similarity)
-    release(met, popular)
-    if not late.isEmpty():
-        links = cut(links.unionByName(late))
-        inside = connected_components(links.select(F.explode(F.array("a", "b")).alias("v")).distinct(), links)
-    release(classes)
+    late = linked(met, classes, texts, rows, words, similarity, whole)
+    release(met, whole, classes)
+    # a late link joins two components: only these are put together, not the members of all components again
+    name = lambda i: popular.select(F.col("rid").alias(i), F.col("comp").alias(f"c{i}"))
+    over = connected_components(None, late.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    release(late, popular)
 
     labelled = groups.join(inside.withColumnRenamed("v", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    labelled = labelled.join(over.select(F.col("v").alias("comp"), F.col("comp").alias("joined")), "comp", "left").withColumn("comp", F.coalesce("joined", "comp"))
     smallest = labelled.groupBy("comp").agg(F.min("first").alias("best"))
     named = labelled.join(smallest, "comp").select("h1", "h2", "n", "best")
     out = rows.join(named, ["h1", "h2", "n"], "left")
@@ -286,13 +286,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, id_co
     return out.select(*columns)
 
 
-def linked(candidates: DataFrame, classes: DataFrame, texts: DataFrame, rows: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The candidate pairs (a, b) that have the similarity: by their sketches where these are whole, else by full sets."""
+def linked(candidates: DataFrame, classes: DataFrame, texts: DataFrame, rows: DataFrame, words: int, similarity: int, whole: DataFrame | None = None) -> DataFrame:
+    """The candidate pairs (a, b) that have the similarity: by their sketches where these are whole, else by full sets
+    (``whole``, if these are at hand)."""
     probable = cut(likely(candidates, classes, similarity))
     open_pairs = probable.filter("not sure").select("a", "b")
-    sets = read_sets(open_pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), texts, rows, words)
+    sets = whole
+    if whole is None:
+        sets = read_sets(open_pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), texts, rows, words)
     links = cut(probable.filter("sure").select("a", "b").unionByName(confirmed(open_pairs, sets, similarity)))
-    release(probable, sets)
+    release(probable)
+    if whole is None:
+        release(sets)
     return links
 
 

@@ -1,11 +1,14 @@
 """Graph steps on DataFrames: connected components (used by the spanning
 tree and the dendrogram cut).
 
-Min-label hooking with pointer jumping: every vertex points to a smaller or
-equal id, roots hook onto the smallest parent seen across their edges, and
-two shortcut jumps per round flatten the trees.  Each round reads only
-checkpointed inputs, so the plan stays one round deep and a lost executor
-costs at most one round.  Rounds grow with log(n) on typical inputs.
+Large stars and small stars in turn: every edge runs from a vertex to a
+smaller one; a large star passes an edge on from its lower end to the least
+neighbour of that end, a small star joins all lower neighbours of a vertex to
+the least of them.  Both keep the components and the number of edges, and the
+edges end as one star around each component's smallest id.  Each round reads
+only written inputs, so the plan stays one round deep and a lost executor
+costs at most one round.  Cliques and stars take one round; a path whose ids
+rise along it takes log2(n).
 """
 
 from __future__ import annotations
@@ -16,34 +19,27 @@ from pyspark.sql import functions as F
 from tessera.functions.persist import cut, release
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """``vertices(v)``, ``edges(a, b)`` -> ``(v, comp)``, comp = smallest id of the component."""
-    p = vertices.select("v", F.col("v").alias("p")).distinct().transform(cut)
-    e = (edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-              .where(F.col("a") != F.col("b")).distinct().transform(cut))
-    if e.isEmpty():
-        return p.select("v", F.col("p").alias("comp"))
-    while True:  # every round with a change lowers some pointer
-        nb = e.join(p.withColumnRenamed("v", "b").withColumnRenamed("p", "pb"), "b") \
-              .groupBy("a").agg(F.min("pb").alias("m"))
-        cand = p.join(nb.withColumnRenamed("a", "v"), "v", "left") \
-                .select("v", "p", F.least("p", F.coalesce("m", "p")).alias("m"))
-        hook = cand.groupBy(F.col("p").alias("r")).agg(F.min("m").alias("hm"))
-        p2 = p.join(hook.withColumnRenamed("r", "v"), "v", "left") \
-              .select("v", F.least("p", F.coalesce("hm", "p")).alias("p"))
-        for _ in range(2):
-            p2 = p2.alias("x").join(p2.alias("y"), F.col("x.p") == F.col("y.v"), "left") \
-                   .select(F.col("x.v").alias("v"), F.coalesce(F.col("y.p"), F.col("x.p")).alias("p"))
-        p2 = p2.transform(cut)
-        changed = p2.join(p.withColumnRenamed("p", "p_old"), "v").where(F.col("p") != F.col("p_old")).limit(1).count()
-        release(p)
-        p = p2
-        if changed == 0:
-            # stable pointers: check that every edge is inside one star
-            bad = (e.join(p.withColumnRenamed("v", "a").withColumnRenamed("p", "pa"), "a")
-                    .join(p.withColumnRenamed("v", "b").withColumnRenamed("p", "pb"), "b")
-                    .where(F.col("pa") != F.col("pb")).limit(1).count())
-            if bad == 0:
-                break
+def connected_components(vertices: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``vertices(v)``, ``edges(a, b)`` -> ``(v, comp)``, comp = smallest id of the component.
+
+    Without ``vertices`` the ends of edges between two ids are the vertices.
+    """
+    e = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    while True:
+        # each vertex and its least lower neighbour; a lower end counts itself
+        ends = e.select("v", "u").unionByName(e.select(F.col("u").alias("v"), "u"))
+        label = cut(ends.groupBy("v").agg(F.min("u").alias("comp"), F.max("u").alias("most")))
+        if label.where("comp < most").isEmpty():  # one edge a vertex, and none from the lower end of another: stars
+            break
+        least = label.select(F.col("v").alias("u"), "comp")
+        large = e.join(least, "u").select("v", F.col("comp").alias("u"))
+        down = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(down, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
+        nxt = cut(small.select("x.v", "x.u").where("v <> u").distinct())
+        release(e, label)
+        e = nxt
     release(e)
-    return p.select("v", F.col("p").alias("comp"))
+    label = label.select("v", "comp")
+    if vertices is None:
+        return label
+    return vertices.select("v").distinct().join(label, "v", "left").select("v", F.coalesce("comp", "v").alias("comp"))

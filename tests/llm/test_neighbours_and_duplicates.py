@@ -118,6 +118,35 @@ def test_edits_of_the_smallest_values(spark):
     assert labels(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)) == components(rows, 3, 85)
 
 
+def test_components_by_stars(spark, monkeypatch):
+    from tessera.operators import graph
+
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: written.append(1) or cut(df))
+    rng = np.random.default_rng(3)
+    clique = [(a, b) for a in range(8) for b in range(a)]
+    for edges, most in ((clique, 2), ([(20, i) for i in range(40)], 4), ([(i, i + 1) for i in range(33)], 14), (rng.integers(0, 60, (40, 2)).tolist(), 14), ([(5, 5)], 2)):
+        written.clear()
+        found = graph.connected_components(spark.range(70).selectExpr("id v"), spark.createDataFrame(edges, "a long, b long"))
+        true = list(range(70))
+        for a, b in edges:
+            low, high = sorted((true[a], true[b]))
+            true = [low if c == high else c for c in true]
+        assert sorted((r["v"], r["comp"]) for r in found.collect()) == list(enumerate(true))
+        assert len(written) <= most
+
+
+def test_late_links_use_the_sets_that_were_read(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(400)]
+    rows = [(i, " ".join([*passage, *(f"w{x}" for x in rng.integers(0, 10**9, 80))])) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + f" z{i}") for i in range(5)]
+    read = []
+    monkeypatch.setattr(neardup, "read_sets", lambda *args, old=neardup.read_sets: read.append(1) or old(*args))
+    assert labels(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)) == components(rows, 3, 85)
+    assert len(read) == 2
+
+
 def test_least_shared_is_seldom_missed():
     for k, t in ((16, 0.8), (128, 0.8), (128, 0.85), (40, 0.85)):
         tails = np.cumsum([math.comb(k, m) * t**m * (1 - t) ** (k - m) for m in range(k + 1)])
