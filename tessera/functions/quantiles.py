@@ -86,5 +86,6 @@ def grouped_median(
     final = rows.groupBy(*inner, "_r1", "_r2").agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_w"))
     pick = lambda r: F.aggregate("_w", F.struct(F.lit(0).cast("long").alias("b"), F.lit(None).cast("double").alias("v")), lambda a, x: F.struct((a["b"] + x["_c"]).alias("b"), F.when(a["v"].isNull() & (a["b"] + x["_c"] > F.col(r)), x["_v"]).otherwise(a["v"]).alias("v")))["v"]
     done = final.withColumn("_lo", pick("_r1")).withColumn("_hi", pick("_r2"))
-    median = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(0.5)
+    # halves are exact, so this is (lo + hi) / 2 rounded once, without its overflow
+    median = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") * F.lit(0.5) + F.col("_hi") * F.lit(0.5))
     return done.select(*[F.col(i).alias(k) for k, i in zip(keys, inner, strict=True)], median.alias(out))

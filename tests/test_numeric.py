@@ -33,6 +33,15 @@ def test_grouped_median_null_keys_and_even(spark):
     assert got == {None: 3.0, "a": 5.0}
 
 
+def test_grouped_median_of_two_is_rounded_once(spark):
+    from tessera.functions.quantiles import grouped_median
+
+    big, inf = 1.7e308, float("inf")
+    rows = [("a", 361.3), ("a", 2815.57), ("b", big), ("b", big / 2), ("c", 5e-324), ("d", inf)]
+    got = {r["k"]: r["median"] for r in grouped_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    assert got == {"a": (361.3 + 2815.57) / 2, "b": big * 0.75, "c": 5e-324, "d": inf}
+
+
 def _brute_knn(p, c, k, metric="euclidean", exclude=None):
     out = {}
     for i, (pid, x) in enumerate(p):
