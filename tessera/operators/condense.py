@@ -34,7 +34,7 @@ from tessera.operators.graph import connected_components
 
 #: Edges that one group replays.
 LIMIT = 200_000
-_SHARES = (0.75, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001, 1e-4, 1e-5, 1e-6)
+_SHARES = (0.5, 0.25, 0.1, 0.03, 0.01, 0.001, 1e-4, 1e-5, 1e-6)
 
 
 @dataclass

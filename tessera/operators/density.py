@@ -10,6 +10,7 @@ metric (M6h)            euclidean and manhattan directly; cosine as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from tessera.operators.condense import LIMIT, condensed_tree, label_points, sele
 from tessera.operators.neighbors import knn
 
 XY = ("emb_x", "emb_y")
+#: Leaves' worth of points in one cell of the first step of the spanning tree.
+CELL = 8
 L1 = ("manhattan", "l1", "cityblock")
 
 
@@ -172,6 +175,113 @@ def _best_foreign_edges(cur: DataFrame, coords: Sequence[str], level: int, metri
     return best
 
 
+def _cell_tree(ids: np.ndarray, x: np.ndarray, core: np.ndarray, metric: str) -> list[tuple[float, int, int]]:
+    """(w, row, row) of the spanning tree of one cell (Prim, one row of distances at a time), not sorted."""
+    n = len(ids)
+    least, via, outside = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    at, edges = 0, []
+    while True:
+        outside[at] = False
+        weight = tree.distances(x[at : at + 1], x, "manhattan" if metric in L1 else "euclidean")[0]
+        weight = weight / 2.0 if metric == "cosine" else weight if metric in L1 else np.sqrt(weight)
+        weight = np.maximum(np.maximum(weight, core[at]), core)
+        # of two equal edges to the same point the one from the smaller id comes first
+        better = outside & ((weight < least) | ((weight == least) & np.isfinite(weight) & (ids[at] < ids[via])))
+        least[better], via[better] = weight[better], at
+        least[at] = np.inf
+        low = least.min()
+        if np.isfinite(low):
+            tied = np.nonzero(least == low)[0]
+            if len(tied) > 1:
+                ends = ids[tied], ids[via[tied]]
+                tied = tied[np.lexsort((np.maximum(*ends), np.minimum(*ends)))]
+            at = tied[0]
+            edges.append((float(low), int(via[at]), int(at)))
+        elif outside.any():  # at no finite distance from the others
+            at = np.argmax(outside)
+        else:
+            return edges
+
+
+def _sure_edges(coords: Sequence[str], metric: str):
+    """Edges of a cell's spanning tree that belong to the whole one, and the component of each point under them.
+
+    Edges of the cell are taken in order.  One that joins A and B is the lightest edge inside the cell that leaves A,
+    and B; if it is lighter than any edge from A, or from B, to the outside can be, it is in the whole tree.
+    Out: (u, v, w) of an edge, or a point u with its component (``comp``, the smallest id).
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, core, gap = (table.column(c).to_numpy() for c in ("id", "core", "gap"))
+        beyond = gap / tree.MARGIN
+        beyond = np.maximum(beyond * beyond / 2.0 / tree.MARGIN if metric == "cosine" else beyond, core)
+        order = []
+        for w, a, b in _cell_tree(ids, tree.matrix(table, coords), core, metric):
+            lo, hi = sorted((int(ids[a]), int(ids[b])))
+            order.append((w, lo, hi, a, b))
+        order.sort()
+        whole, sure, bound = list(range(len(ids))), list(range(len(ids))), beyond.tolist()
+        out = []
+
+        def root(parent: list[int], i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for w, lo, hi, a, b in order:
+            x, y = root(whole, a), root(whole, b)
+            if w < bound[x] or w < bound[y]:
+                out.append((lo, hi, w))
+                p, q = root(sure, a), root(sure, b)
+                p, q = (p, q) if ids[p] < ids[q] else (q, p)
+                sure[q] = p  # the smallest id is the root
+            whole[y] = x
+            bound[x] = min(bound[x], bound[y])
+        u, v, weight = list(zip(*out)) or [[]] * 3
+        comp = [int(ids[root(sure, i)]) for i in range(len(ids))]
+        none = [None] * len(ids)
+        return pa.table([pa.array([*u, *ids.tolist()], pa.int64()), pa.array([*v, *none], pa.int64()),
+                         pa.array([*weight, *none], pa.float64()), pa.array([None] * len(out) + comp, pa.int64())], names=["u", "v", "w", "comp"])
+
+    return run
+
+
+def _edges_in_cells(base: DataFrame, coords: Sequence[str], metric: str, n: int, rows: int) -> DataFrame:
+    """Spanning-tree edges found inside boxes that tile the plane, of about ``rows`` points: see ``_sure_edges``.
+
+    Strips between quantiles of the first coordinate are cut at quantiles of the second within each strip.  What lies
+    outside a box is at least as far from a point as the nearest side (``gap``).  A box that holds far more points
+    than meant, as copies cannot be cut apart, is left to the rounds.
+    """
+    x, *more = coords[:2]
+    parts = max(1, -(-n // rows))
+    strips = max(1, math.isqrt(parts)) if more else parts
+    shares = lambda k: [i / k for i in range(1, k)]
+    dealt = base.withColumn("strip", F.lit(0)).withColumn("gap", F.lit(float("inf")))
+    below = lambda marks, c: F.size(F.filter(marks, lambda m: m <= F.col(c)))
+
+    def cut_at(df: DataFrame, marks, c: str, place: str) -> DataFrame:
+        """``place`` of each row between ``marks``, and its distance to the sides."""
+        df = df.withColumn(place, below(marks, c))
+        left = F.when(F.col(place) > 0, F.col(c) - F.get(marks, F.col(place) - 1))
+        return df.withColumn("gap", F.least("gap", left, F.get(marks, F.col(place)) - F.col(c)))
+
+    if strips > 1:
+        marks = base.agg(F.percentile_approx(x, shares(strips), 2000)).first()[0]
+        dealt = cut_at(dealt, F.array(*[F.lit(float(m)) for m in marks]), x, "strip")
+    key = ["strip"]
+    pieces = -(-parts // strips)
+    if more and pieces > 1:
+        sides = dealt.groupBy("strip").agg(F.percentile_approx(more[0], shares(pieces), 2000).alias("sides"))
+        dealt = cut_at(dealt.join(F.broadcast(sides), "strip"), F.col("sides"), more[0], "piece").drop("sides")
+        key.append("piece")
+    dealt = cut(dealt)
+    fit = dealt.groupBy(*key).count().where(F.col("count") <= 4 * rows).drop("count")
+    return dealt.join(fit, key).select(*key, "id", "core", "gap", *coords).groupBy(*key).applyInArrow(
+        _sure_edges(coords, metric), "u long, v long, w double, comp long")
+
+
 def _merge_components(cur: DataFrame, best: DataFrame) -> DataFrame:
     """Relabel points after a Borůvka round.
 
@@ -210,21 +320,34 @@ def mst_edges(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, i
     """Minimum spanning tree of the mutual-reachability graph (Borůvka).
 
     ``(u, v, w)`` with u < v, n - 1 rows for n points with unique long ids.
-    Each round every component takes its lightest leaving edge (descent of
-    the counted tree with component summaries), the chosen edges join
-    components, and points take their new component label.  At most log2(n)
-    rounds.  Edge order (weight, min id, max id) makes the tree unique.
+    Edges that one cell of the plane can vouch for come first
+    (``_edges_in_cells``).  Then each round every component takes its
+    lightest leaving edge (descent of the counted tree with component
+    summaries), the chosen edges join components, and points take their new
+    component label.  At most log2(n) rounds.  Edge order (weight, min id,
+    max id) makes the tree unique.
     ``capacity`` bounds the rows of a leaf and changes no result.
     """
-    pts, cs, _ = metric_space(df.select(id_col, *coords), coords, metric)
-    core = core_distances(df.select(id_col, *coords), min_samples, coords, id_col, metric)
-    base = pts.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in cs]).join(
-        core.select(F.col(id_col).cast("long").alias("id"), F.col("core_dist").alias("core")), "id")
-    placed, n = tree.with_leaves(base.withColumn("part", F.lit(0)), cs, "part", ["id"], capacity)
-    level = tree.top_level(-(-n // capacity))
-    cur = cut(placed.select("id", F.col("id").alias("comp"), "core", "leaf", *cs))
+    df = cut(df.select(id_col, *coords))
+    pts, cs, _ = metric_space(df, coords, metric)
+    core = cut(core_distances(df, min_samples, coords, id_col, metric).where(F.col(id_col).isNotNull())
+               .select(F.col(id_col).cast("long").alias("id"), F.col("core_dist").alias("core")))
+    base = cut(pts.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in cs]).join(core, "id"))
+    n = base.count()
     found: list[DataFrame] = []
     left = n
+    labelled = base.withColumn("comp", F.col("id"))
+    if n and n == core.count():  # an id that repeats meets itself in the join; then the rounds do everything
+        cells = cut(_edges_in_cells(base, cs, metric, n, CELL * capacity))
+        edges = cells.where("comp is null").select("u", "v", "w")
+        found.append(edges)
+        left -= edges.count()
+        labelled = cut(base.join(cells.where("comp is not null").select(F.col("u").alias("id"), "comp"), "id", "left")
+                       .withColumn("comp", F.coalesce("comp", "id"))) if left > 1 else base
+    if left > 1:
+        placed, _ = tree.with_leaves(labelled.withColumn("part", F.lit(0)), cs, "part", ["id"], capacity)
+        level = tree.top_level(-(-n // capacity))
+        cur = cut(placed.select("id", "comp", "core", "leaf", *cs))
     while left > 1:  # every round at least halves the components
         best = _best_foreign_edges(cur, cs, level, metric)
         edges = cut(best.select(F.col("e.lo").alias("u"), F.col("e.hi").alias("v"), F.col("e.w").alias("w")).distinct())

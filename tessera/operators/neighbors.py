@@ -167,7 +167,9 @@ def knn(
     place = Window.partitionBy("part", *coords).orderBy("id")
     offered = (candidates.where(usable).select(*shape, F.lit(1).alias("kind")).withColumn("_at", F.row_number().over(place))
                .where(F.col("_at") <= k + 1).drop("_at"))
-    placed, n = tree.with_leaves(asking.unionByName(offered), list(coords), "part", ["kind", "id"], capacity)
+    both = cut(asking.unionByName(offered))  # read twice there
+    placed, n = tree.with_leaves(both, list(coords), "part", ["kind", "id"], capacity)
+    release(both)
     level = tree.top_level(-(-n // capacity))
     again = cut if level else (lambda df: df)  # read once for each level
     need = k + 1 if exclude_self else k

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import density, tree
+from tessera.operators import condense, density, tree
 from tessera.operators.neighbors import knn
 import plain_density as plain
 
@@ -121,3 +121,48 @@ def test_whole_clustering(spark):
     assert sorted((r["u"], r["v"]) for r in res.tree.collect()) == sorted(e[:2] for e in plain.spanning_tree(plain.weights(x, 3, "euclidean")))
     assert [r["cluster"] for r in res.labels.orderBy("id").collect()] == plain.labels(x, 8, 3, "eom", 0.0, "euclidean")
     assert -1.0 <= res.relative_validity <= 1.0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_cells_give_most_of_the_spanning_tree(spark, monkeypatch, metric):
+    """Points with ties and copies: the cells' edges belong to the tree, and few rounds remain."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(500, 2)), rng.integers(-6, 6, size=(250, 2)) / 4, np.tile([[0.3, 0.7]], (80, 1))])
+    left = []
+    real = density._best_foreign_edges
+
+    def counted(cur, *args):
+        left.append(cur.select("comp").distinct().count())
+        return real(cur, *args)
+
+    monkeypatch.setattr(density, "_best_foreign_edges", counted)
+    got = sorted((r["u"], r["v"]) for r in density.mst_edges(frame(spark, x), 3, metric=metric, capacity=16).collect())
+    assert got == sorted(e[:2] for e in plain.spanning_tree(plain.weights(x, 3, metric)))
+    assert left[0] < len(x) / 2  # the rest are copies on the side of a cell, and what lies near one
+
+
+def test_repeated_ids_take_the_rounds_only(spark, monkeypatch):
+    x = cloud(5)[:60]
+    once = frame(spark, x)
+    want = sorted(e[:2] for e in plain.spanning_tree(plain.weights(x, 1, "euclidean")))
+    monkeypatch.setattr(density, "_edges_in_cells", None)
+    got = density.mst_edges(once.unionByName(once.where("id = 0")), 1, capacity=16)
+    assert len(got.collect()) == len(want)
+
+
+def test_a_band_tries_no_groups_twice(spark, monkeypatch):
+    """The first band of a long chain is found with one search of components."""
+    tried = []
+    real = condense.connected_components
+    monkeypatch.setattr(condense, "connected_components", lambda *a: tried.append(1) or real(*a))
+    n = 400
+    order = np.random.default_rng(1).permutation(n - 1)
+    edges = spark.createDataFrame([(i, i + 1, 1.0 + float(order[i])) for i in range(n - 1)], "u long, v long, w double")
+    ranked = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("w").cast("long").alias("rank"))
+
+    def grouped(band):
+        return band.join(condense._components(band.selectExpr("explode(array(a, b)) v").distinct(), band.select("a", "b")).withColumnRenamed("v", "a"), "a")
+
+    dealt = condense._band(ranked, 40, grouped)
+    assert dealt.groupBy("grp").count().agg({"count": "max"}).first()[0] <= 40
+    assert len(tried) == 1
