@@ -334,10 +334,15 @@ def mst_edges(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, i
                .select(F.col(id_col).cast("long").alias("id"), F.col("core_dist").alias("core")))
     base = cut(pts.select(F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in cs]).join(core, "id"))
     n = base.count()
+    unique = n == core.count()  # an id that repeats meets itself in the join
+    if not unique:  # copies are one point; an id at several places is left to the rounds
+        base = cut(base.distinct())
+        n = base.count()
+        unique = n == base.select("id").distinct().count()
     found: list[DataFrame] = []
     left = n
     labelled = base.withColumn("comp", F.col("id"))
-    if n and n == core.count():  # an id that repeats meets itself in the join; then the rounds do everything
+    if n and unique:
         cells = cut(_edges_in_cells(base, cs, metric, n, CELL * capacity))
         edges = cells.where("comp is null").select("u", "v", "w")
         found.append(edges)
