@@ -296,7 +296,7 @@ def condensed_tree(tree: DataFrame, points: DataFrame, min_cluster_size: int, li
     m = int(min_cluster_size)
     ranked, _ = numbered(tree.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w"), ["w", "u", "v"], out="rank")
     edges = cut(ranked)
-    ids = points.select(F.col("id").cast("long").alias("id"))
+    ids = points.select(F.col("id").cast("long").alias("id")).distinct()
     if edges.isEmpty():
         none = ids.select("id", F.lit(None).cast("long").alias("node"))
         empty = edges.limit(0).selectExpr("rank node", "rank parent", "true leaf", "w", "w birth_w", "rank size", "w stability", "w best", "true chosen", "0 band", "rank grp")

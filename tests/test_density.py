@@ -145,8 +145,11 @@ def test_repeated_rows_end(spark):
     """Rows that come twice: the tree is that of the points with their copies as neighbours, and the search ends."""
     x = cloud(5)[:60]
     once = frame(spark, x)
-    got = density.mst_edges(once.unionByName(once.where("id < 20")), 1, capacity=16)
-    assert len(got.collect()) == len(x) - 1
+    twice = once.unionByName(once.where("id < 20"))
+    edges = density.mst_edges(twice, 1, capacity=16)
+    assert len(edges.collect()) == len(x) - 1
+    condensed = density.condensed_tree(edges, twice, 5)
+    assert density.label_points(condensed, density.select_clusters(condensed), twice).count() == len(x) + 20
 
 
 def test_a_band_tries_no_groups_twice(spark, monkeypatch):
