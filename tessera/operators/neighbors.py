@@ -3,9 +3,9 @@
 All of them are equi-joins on grid cells or tree nodes, never a cross join:
 
 * ``ball_pairs``: cell side = ε.  A point within ε of another lies in one of
-  the 3^d cells around it, so the probe side explodes those cells and joins
-  the build side on (partition, cell); a distance filter keeps the exact
-  closed-ball pairs.
+  the 3^d cells around it.  Every two such cells meet once, a bounded chunk of
+  the one with a bounded batch of the other's points; the exact closed-ball
+  pairs leave in runs ordered by distance, which columnar files pack well.
 * ``knn``: on the counted tree of ``tree.py``.  Every probe first meets the
   candidates of its own leaf; that list bounds how far better ones can be.
   Probes of a leaf with about the same reach descend the tree together, down
@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +33,9 @@ from tessera.functions.persist import cut, release
 from tessera.operators import tree
 
 
-def _offsets(d: int) -> Column:
-    offs = list(itertools.product((-1, 0, 1), repeat=d))
-    return F.array(*[F.array(*[F.lit(o) for o in t]) for t in offs])
-
-
-def _cell(coords: Sequence[str], h: float, prefix: str = "") -> list[Column]:
-    return [F.floor(F.col(f"{prefix}{c}") / F.lit(h)).cast("long") for c in coords]
+#: Points of a cell that meet others at once, others that they meet in one group, distances measured at once, pairs
+#: ordered at once, rows handed on at once, distances measured in one partition.
+CHUNK, MET, TILE, PAIRS, ROWS, WORK = 4096, 1 << 16, 1 << 18, 1 << 20, 1 << 16, 1 << 27
 
 
 def _dist_expr(a: Sequence[Column], b: Sequence[Column], metric: str) -> Column:
@@ -52,6 +49,38 @@ def _true_dist(c: Column, metric: str) -> Column:
     return c if metric == "manhattan" else F.sqrt(c)
 
 
+def _order(keys: list[list[pa.Array]]) -> list[np.ndarray]:
+    """Integers of the same order as several rows of key columns, nulls first, for both sides of each column."""
+    joined, size = None, len(keys[0][0])
+    for both in keys:
+        every = pa.concat_arrays(both)
+        if len(keys) == 1 and pa.types.is_integer(every.type) and not every.null_count:
+            joined = every.to_numpy().astype(np.int64)
+            break
+        rank = pc.rank(every, null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)  # NaN is last
+        rank[every.is_null().to_numpy(zero_copy_only=False)] = 0
+        joined = rank if joined is None else np.unique(joined * (rank.max(initial=0) + 1) + rank, return_inverse=True)[1]
+    return [joined[:size], joined[size:]]
+
+
+def _close(x: np.ndarray, y: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``x`` and ``y`` at a squared distance of ``limit`` at most, and that distance, tile by tile."""
+    rows, cols, dist = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    step = max(1, TILE // max(len(x), 1))
+    for b in range(0, len(y), step):
+        d2 = None
+        for i in range(x.shape[1]):
+            apart = y[b : b + step, i, None] - x[None, :, i]
+            apart *= apart
+            d2 = apart if d2 is None else np.add(d2, apart, out=d2)
+        flat = np.flatnonzero(d2.ravel() <= limit)
+        col, row = np.divmod(flat, len(x))
+        rows.append(row)
+        cols.append(col + b)
+        dist.append(d2.ravel()[flat])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+
+
 def ball_pairs(
     points: DataFrame,
     eps: float,
@@ -64,26 +93,106 @@ def ball_pairs(
 
     Returns ``(part..., id_a, id_b, d2)`` once per unordered pair with
     ``(order_a, id_a) < (order_b, id_b)`` (``order_cols`` default: the id).
+
+    A cell's points are dealt to chunks of about CHUNK; a chunk meets the points of its own cell and of the cells
+    around it that come later, about MET in a group, so no group grows with a dense cell and each pair of points is
+    measured once (twice within a cell).  The result has its own size, which grows with the square of the points: rows
+    leave in runs of about PAIRS ordered by ``d2``, with the ids of few cells in a run, so that written columns of
+    distances and ids take a dictionary and runs instead of eight bytes a value.
     """
     d = len(coords)
+    part_cols = list(part_cols)
     order_cols = [c for c in (order_cols or []) if c != id_col]
-    carried = [id_col] + list(coords) + order_cols
-    cells = _cell(coords, eps)
-    build = points.select(*part_cols, *[F.col(c).alias(f"b_{c}") for c in carried],
-                          *[cc.alias(f"cell{i}") for i, cc in enumerate(cells)])
-    probe = points.select(*part_cols, *[F.col(c).alias(f"a_{c}") for c in carried],
-                          *[cc.alias(f"home{i}") for i, cc in enumerate(cells)])
-    probe = probe.withColumn("_off", F.explode(_offsets(d))).select(
-        *part_cols, *[f"a_{c}" for c in carried],
-        *[(F.col(f"home{i}") + F.col("_off")[i]).alias(f"cell{i}") for i in range(d)])
-    j = probe.join(build, list(part_cols) + [f"cell{i}" for i in range(d)])
-    a_key = [F.col(f"a_{c}") for c in order_cols] + [F.col(f"a_{id_col}")]
-    b_key = [F.col(f"b_{c}") for c in order_cols] + [F.col(f"b_{id_col}")]
-    d2 = sq_dist([F.col(f"a_{c}") for c in coords], [F.col(f"b_{c}") for c in coords])
-    return (j.where(F.struct(*a_key) < F.struct(*b_key))
-             .withColumn("d2", d2)
-             .where(F.col("d2") <= F.lit(eps * eps))
-             .select(*part_cols, F.col(f"a_{id_col}").alias("id_a"), F.col(f"b_{id_col}").alias("id_b"), "d2"))
+    xs, cell = [f"x{i}" for i in range(d)], [f"g{i}" for i in range(d)]
+    keys = [*[f"o{i}" for i in range(len(order_cols))], "id"]
+    usable = F.lit(True)
+    for c in part_cols:
+        usable &= F.col(c).isNotNull()
+    for c in coords:
+        usable &= F.abs(F.col(c).cast("double")) < float("inf")  # NaN is above it
+    side = eps * tree.MARGIN  # rounding never puts two cells between points at exactly ε
+    pts = cut(points.where(usable).select(
+        (F.struct(*part_cols) if part_cols else F.lit(0)).alias("part"), F.col(id_col).alias("id"),
+        *[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)], *[F.col(c).cast("double").alias(x) for c, x in zip(coords, xs, strict=True)],
+        *[F.floor(F.col(c).cast("double") / F.lit(side)).cast("long").alias(g) for c, g in zip(coords, cell, strict=True)]))
+    cells = cut(pts.groupBy("part", *cell).agg(F.count(F.lit(1)).alias("n")).withColumn("no", F.monotonically_increasing_id()))
+    later = [o for o in itertools.product((-1, 0, 1), repeat=d) if o >= (0,) * d]  # the cell itself comes first
+    around = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(o).alias(g) for o, g in zip(off, cell, strict=True)]) for k, off in enumerate(later)])
+    before = Window.partitionBy("no").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    met = (cells.select("part", "no", F.ceil(F.col("n") / CHUNK).alias("chunks"), F.col("n").alias("mine"), F.explode(around).alias("at"), *cell)
+           .select("part", "no", "chunks", "mine", "at.k", *[(F.col(g) + F.col(f"at.{g}")).alias(g) for g in cell])
+           .join(cells.select("part", *cell, "n"), ["part", *cell])
+           .withColumn("first", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / MET))
+           .withColumn("batches", F.ceil(F.col("n") / MET)))
+    met = cut(met)
+    load = met.agg(F.sum(F.col("mine").cast("double") * F.col("n")), F.sum(F.col("n") * F.col("chunks"))).first()
+    partitions = max(3 * points.sparkSession.sparkContext.defaultParallelism, math.ceil((load[0] or 0) / WORK), math.ceil((load[1] or 0) / PAIRS))
+    homes = met.groupBy("no").agg(F.max(F.col("first") + F.col("batches")).alias("batches"))
+    homes = cells.join(homes, "no").select("part", *cell, "no", F.ceil(F.col("n") / CHUNK).alias("chunks"), "batches")
+    dealt = pts.withColumn("deal", F.xxhash64(F.monotonically_increasing_id()))
+    shape = ["no", "chunk", "batch", "side", *(["part"] if part_cols else []), *keys, *xs]
+    mine = (dealt.join(homes, ["part", *cell]).withColumn("chunk", F.pmod("deal", "chunks"))
+            .withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1))).withColumn("side", F.lit(0)))
+    theirs = (dealt.join(met, ["part", *cell]).withColumn("batch", F.col("first") + F.pmod("deal", "batches"))
+              .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+              .withColumn("side", F.when(F.col("k") == 0, F.lit(1)).otherwise(F.lit(2))))
+    group = ["no", "chunk", "batch"]
+    tiles = mine.select(*shape).unionByName(theirs.select(*shape)).repartition(partitions, *group).sortWithinPartitions(*group, "side")
+    limit = eps * eps
+    named = [*(["part"] if part_cols else []), "id_a", "id_b", "d2"]
+
+    def ordered(found: list[list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+        """The pairs found so far in the order of d2; the unordered ones are let go column by column."""
+        columns = [list(c) for c in zip(*found, strict=True)]
+        found.clear()
+        by_d2 = pa.array(np.argsort(np.concatenate(columns[-1])))
+        table = pa.table([pa.concat_arrays(columns.pop(0)).take(by_d2) for _ in named], names=named)
+        yield from table.to_batches(max_chunksize=ROWS)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, parts, found, count = None, [], [], 0
+        for batch in batches:
+            at = np.column_stack([batch.column(c).to_numpy() for c in (*group, "side")])
+            starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)]) if len(at) else np.zeros(0, int)
+            for first, last in zip(starts, np.append(starts[1:], len(at)), strict=True):
+                rows = batch.slice(first, last - first)
+                if tuple(at[first, :3]) != home:
+                    home, parts = tuple(at[first, :3]), []
+                if at[first, 3] == 0:  # the chunk of the group comes before those that it meets
+                    parts.append(rows)
+                    continue
+                if not parts:
+                    continue  # no point was dealt to that chunk
+                if len(parts) > 1:
+                    parts = [pa.Table.from_batches(parts).combine_chunks().to_batches()[0]]
+                own = parts[0]
+                x, y = (np.column_stack([t.column(c).to_numpy() for c in xs]) for t in (own, rows))
+                reach = np.flatnonzero(((np.maximum(x.min(axis=0) - y, 0) + np.maximum(y - x.max(axis=0), 0)) ** 2).sum(axis=1) <= limit * tree.MARGIN)
+                mine, others = _order([[own.column(c), rows.column(c)] for c in keys])
+                ids = pa.concat_arrays([own.column("id"), rows.column("id")])
+                step = max(1, PAIRS // len(x))
+                for a in range(0, len(reach), step):
+                    some = reach[a : a + step]
+                    row, col, d2 = _close(x, y[some], limit)
+                    col = some[col]
+                    apart = mine[row] - others[col]
+                    keep = np.flatnonzero(apart < 0 if at[first, 3] == 1 else apart != 0)
+                    row, col, d2, swap = row[keep], col[keep] + len(x), d2[keep], apart[keep] > 0
+                    if not len(row):
+                        continue
+                    found.append([*([own.column("part").take(pa.array(row))] if part_cols else []),
+                                  ids.take(pa.array(np.where(swap, col, row))), ids.take(pa.array(np.where(swap, row, col))), pa.array(d2)])
+                    count += len(row)
+                    if count >= PAIRS:
+                        yield from ordered(found)
+                        count = 0
+        if found:
+            yield from ordered(found)
+
+    id_type = pts.schema["id"].dataType.simpleString()
+    part_type = f"part {pts.schema['part'].dataType.simpleString()}, " if part_cols else ""
+    out = tiles.mapInArrow(meet, f"{part_type}id_a {id_type}, id_b {id_type}, d2 double")
+    return out.select(*[F.col(f"part.{c}").alias(c) for c in part_cols], "id_a", "id_b", "d2")
 
 
 def grid_scale(probes: DataFrame, candidates: DataFrame, coords: Sequence[str]) -> tuple[float, float]:

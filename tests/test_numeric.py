@@ -433,3 +433,49 @@ def test_layout_sends_no_positions_through_the_driver(spark):
     finally:
         layout.cut = cut
     assert len(plans) >= 5 and not any("Join" in p for p in plans[-3:])
+
+
+def test_ball_pairs_are_written_in_runs_that_pack(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(0, 0.22, size=(4000, 3)), 6)
+    df = spark.createDataFrame([(1000 + 7 * i, *map(float, x[i])) for i in range(len(x))], "id long, x double, y double, z double")
+    found = neighbors.ball_pairs(df, 0.1)
+    out = str(tmp_path / "pairs")
+    found.select("id_a", "id_b", F.round(F.sqrt("d2"), 6).alias("dist")).coalesce(2).write.parquet(out)
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    d2 = (x[:, None, 0] - x[None, :, 0]) ** 2 + (x[:, None, 1] - x[None, :, 1]) ** 2 + (x[:, None, 2] - x[None, :, 2]) ** 2
+    a, b = np.nonzero(np.triu(d2 <= 0.1 * 0.1, 1))
+    got = spark.read.parquet(out).toPandas()
+    assert len(got) == len(a) and set(zip(got.id_a, got.id_b)) == set(zip((1000 + 7 * a).tolist(), (1000 + 7 * b).tolist()))
+    assert size < 6 * len(a)  # a double alone has 8 bytes
+
+
+def test_ball_pairs_in_small_chunks_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 400
+    x = np.concatenate([rng.integers(-6, 6, size=(250, 2)) / 10, rng.normal(0, 0.1, size=(100, 2)), np.tile([[0.05, 0.05]], (50, 1))])
+    ids = [None if i == 3 else f"k{i % 390:03d}" for i in range(n)]  # ids that come twice, one without
+    first = [None if i % 50 == 0 else int(v) for i, v in enumerate(rng.integers(0, 5, n))]
+    part = [None if i % 97 == 0 else "ab"[i % 2] for i in range(n)]
+    pts = [(ids[i], part[i], first[i], float(x[i, 0]), float(x[i, 1])) for i in range(n)]
+    odd = [("n1", "a", 1, None, 0.0), ("n2", "a", 1, float("nan"), 0.0), ("n3", "a", 1, float("inf"), 0.0)]
+    df = spark.createDataFrame(pts + odd, "id string, part string, first int, x double, y double")
+
+    def key(p):
+        return (p[2] is not None, p[2] or 0, p[0] is not None, p[0] or "")
+
+    want = []
+    for i, p in enumerate(pts):
+        for q in pts[:i]:
+            d2 = (p[3] - q[3]) * (p[3] - q[3]) + (p[4] - q[4]) * (p[4] - q[4])
+            if d2 <= 0.1 * 0.1 and p[1] is not None and p[1] == q[1] and key(p) != key(q):
+                low, high = sorted((p, q), key=key)
+                want.append((p[1], str(low[0]), str(high[0]), d2))
+    for chunk, met, pairs in ((7, 20, 50), (4096, 1 << 16, 1 << 21)):
+        monkeypatch.setattr(neighbors, "CHUNK", chunk)
+        monkeypatch.setattr(neighbors, "MET", met)
+        monkeypatch.setattr(neighbors, "PAIRS", pairs)
+        got = neighbors.ball_pairs(df, 0.1, ("x", "y"), "id", ("part",), ("first",))
+        assert got.columns == ["part", "id_a", "id_b", "d2"]
+        assert sorted((r["part"], str(r["id_a"]), str(r["id_b"]), r["d2"]) for r in got.collect()) == sorted(want)
+    assert neighbors.ball_pairs(df.where("x > 100 AND y > 1"), 0.1, ("x", "y")).count() == 0
