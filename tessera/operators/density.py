@@ -44,17 +44,15 @@ def metric_space(df: DataFrame, coords: Sequence[str], metric: str) -> tuple[Dat
     raise ValueError(f"Unknown metric: {metric}")
 
 
-def _report(dist_col, metric: str):
-    return dist_col * dist_col / F.lit(2.0) if metric == "cosine" else dist_col
-
-
 def neighbour_pairs(df: DataFrame, k: int, coords: Sequence[str] = XY, id_col: str = "id",
                     metric: str = "euclidean") -> DataFrame:
     """``(u, rank, v, dist)``: the k nearest other points of every point."""
     pts, cs, grid_metric = metric_space(df.select(id_col, *coords), coords, metric)
-    res = knn(pts.select(id_col, *cs), pts.select(id_col, *cs), k, cs, id_col, (), grid_metric, exclude_self=True)
+    cosine = metric == "cosine"
+    res = knn(pts.select(id_col, *cs), pts.select(id_col, *cs), k, cs, id_col, (), grid_metric, exclude_self=True, squared=cosine)
+    # half the squared distance as measured, to the last digit what the spanning tree weighs: a root squared again breaks ties
     return res.select(F.col("probe_id").alias("u"), "rank", F.col("match_id").alias("v"),
-                      _report(F.col("dist"), metric).alias("dist"))
+                      (F.col("dist") / F.lit(2.0) if cosine else F.col("dist")).alias("dist"))
 
 
 def core_distances(df: DataFrame, min_samples: int = 3, coords: Sequence[str] = XY, id_col: str = "id",

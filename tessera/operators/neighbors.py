@@ -257,6 +257,7 @@ def knn(
     metric: str = "euclidean",
     exclude_self: bool = False,
     capacity: int = tree.CAPACITY,
+    squared: bool = False,
 ) -> DataFrame:
     """The k nearest candidates of every probe (same partition).
 
@@ -265,7 +266,7 @@ def knn(
     so are rows with a null or NaN coordinate.  ``exclude_self`` drops the
     candidates with the probe's own id.  Probes that repeat an id each have
     their own rows.  ``capacity`` bounds the rows of a leaf and changes no
-    result.
+    result.  ``squared`` gives the squared Euclidean distance, as measured.
     """
     part_cols = list(part_cols)
     part = F.struct(*part_cols) if part_cols else F.lit(0)
@@ -344,4 +345,4 @@ def knn(
     out = ranked.join(local.select("row", "part", F.col("id").alias("probe_id")), "row")
     release(groups, leaves, open_pairs)
     return out.select("probe_id", *[F.col(f"part.{c}").alias(c) for c in part_cols], F.col("rank").cast("int").alias("rank"), "match_id",
-                      _true_dist(F.col("d"), metric).alias("dist"))
+                      (F.col("d") if squared else _true_dist(F.col("d"), metric)).alias("dist"))
